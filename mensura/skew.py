@@ -64,6 +64,13 @@ def join_by_key(
     )
 
 
+def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table (an aggregate of a whole table) beside every row, as a scalar subquery."""
+    names = one_row.columns
+    row = one_row.select(F.struct(*names)).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in names])
+
+
 # --- exact quantiles ---------------------------------------------------------------------------
 
 _ALL = "_all"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
-from mensura.skew import HEAVY_ROWS, join_by_key, select_quantiles, split_heavy
+from mensura.skew import HEAVY_ROWS, find_heavy, join_by_key, select_quantiles, split_heavy
 
 
 def replicate_profile(
@@ -21,20 +21,23 @@ def replicate_profile(
     medians by rank.
     """
     rows = df.filter(F.col(key).isNotNull()).withColumn("_v", fn.finite(value))
-    light, heavy = split_heavy(rows, [key], heavy_rows)
+    heavy = find_heavy(rows, [key], heavy_rows)
+    if heavy is None:
+        return _profile_in_arrays(rows, key, aggs)
+    light_rows, hot_rows = split_heavy(rows, [key], heavy)
+    first = select_quantiles(hot_rows, [key], "_v", [0.5]).select(key, F.col("q")[0].alias("median"))
+    away = hot_rows.join(F.broadcast(first), key).withColumn("_away", F.abs(F.col("_v") - F.col("median")))
+    second = select_quantiles(away, [key], "_away", [0.5]).select(key, F.col("q")[0].alias("mad"))
+    deep = hot_rows.groupBy(key).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")])).drop("_unused")
+    deep = deep.join(first, key, "left").join(second, key, "left")
+    return _profile_in_arrays(light_rows, key, aggs).unionByName(deep)
+
 
-    sorted_values = F.array_sort(F.collect_list("_v"))
-    grouped = light.groupBy(key).agg(sorted_values.alias("_values"), *aggs)
+def _profile_in_arrays(rows: DataFrame, key: str, aggs: Sequence[Column]) -> DataFrame:
+    grouped = rows.groupBy(key).agg(*aggs, F.array_sort(F.collect_list("_v")).alias("_values"))
     grouped = grouped.withColumn("median", fn.median_of(F.col("_values")))
     spread = F.array_sort(F.transform("_values", lambda x: F.abs(x - F.col("median"))))
-    grouped = grouped.withColumn("mad", fn.median_of(spread)).drop("_values")
-
-    first = select_quantiles(heavy, [key], "_v", [0.5]).select(key, F.col("q")[0].alias("median"))
-    away = heavy.join(F.broadcast(first), key).withColumn("_away", F.abs(F.col("_v") - F.col("median")))
-    second = select_quantiles(away, [key], "_away", [0.5]).select(key, F.col("q")[0].alias("mad"))
-    deep = heavy.groupBy(key).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")])).drop("_unused")
-    deep = deep.join(first, key, "left").join(second, key, "left")
-    return grouped.unionByName(deep)
+    return grouped.withColumn("mad", fn.median_of(spread)).drop("_values")
 
 
 def with_replicate_mad(df: DataFrame, key: str, value: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

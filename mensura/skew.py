@@ -28,21 +28,23 @@ def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumnsRenamed({k: "__" + k for k in keys})
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """At most ``HEAVY_KEYS`` keys with more than ``heavy_rows`` rows each, largest first."""
-    return (
+def find_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """The heavy keys of ``df``, or None. One counting job; at most ``HEAVY_KEYS`` keys reach the driver.
+
+    Knowing the answer while the plan is built keeps the common plan, without heavy keys, as short as a plain group-by.
+    """
+    counted = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > heavy_rows)
         .orderBy(F.desc("_rows"), *keys).limit(HEAVY_KEYS)
         .select(*keys)
     )
+    found = counted.collect()
+    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
 
 
-def split_heavy(
-    df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS, heavy: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of light keys, rows of heavy keys); null counts as a key like any other."""
-    heavy = heavy_keys(df, keys, heavy_rows) if heavy is None else heavy
     listed = F.broadcast(_renamed(heavy, keys))
     on = _same(df, listed, keys)
     return df.join(listed, on, "left_anti"), df.join(listed, on, "left_semi")
@@ -55,13 +57,13 @@ def join_by_key(
 
     Rows of heavy keys meet the few matching table rows by broadcast, all others by an ordinary key join.
     """
-    heavy = heavy_keys(df, keys, heavy_rows)
-    light_rows, heavy_rows_ = split_heavy(df, keys, heavy=heavy)
+    heavy = find_heavy(df, keys, heavy_rows)
+    if heavy is None:
+        return df.join(table, list(keys), how)
+    light_rows, hot_rows = split_heavy(df, keys, heavy)
     listed = F.broadcast(_renamed(heavy, keys))
     few = table.join(listed, _same(table, listed, keys), "left_semi")
-    return light_rows.join(table, list(keys), how).unionByName(
-        heavy_rows_.join(F.broadcast(few), list(keys), how)
-    )
+    return light_rows.join(table, list(keys), how).unionByName(hot_rows.join(F.broadcast(few), list(keys), how))
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
         F.array(*[f(p).cast("long") for p in positions for f in (F.floor, F.ceil)])
     )
     inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    targets = coarse.withColumn("_rank", F.explode(wanted)).filter(inside)
+    targets = cut(coarse.withColumn("_rank", F.explode(wanted)).filter(inside))  # a few rows per key
 
     spots = targets.select(*keys, "_b", "_lo", "_hi").distinct()
     width = F.col("_hi") - F.col("_lo")
@@ -119,7 +121,7 @@ def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
     slices = slices.withColumn(
         "_before2", F.coalesce(F.sum("_n2").over(_running([*keys, "_b"], ["_s"])), F.lit(0))
     )
-    targets = (
+    targets = cut(
         targets.select(*keys, "_b", "_rank", "_before", "_total").join(slices, [*keys, "_b"])
         .withColumn("_base", F.col("_before") + F.col("_before2"))
         .filter((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n2")))
@@ -145,7 +147,7 @@ def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
         low = F.element_at("_at", F.floor(position).cast("long"))
         high = F.element_at("_at", F.ceil(position).cast("long"))
         parts.append(low + (position - F.floor(position)) * (high - low))
-    return found.select(*keys, F.array(*parts).alias("q"))
+    return cut(found.select(*keys, F.array(*parts).alias("q")))
 
 
 def aggregate(
@@ -167,21 +169,21 @@ def aggregate(
     whole = not keys
     by = [_ALL] if whole else list(keys)
     rows = df.withColumn(_ALL, F.lit(1)) if whole else df
-    light, heavy = split_heavy(rows, by, heavy_rows)
-    result = light.groupBy(*by).agg(*aggs, *[F.percentile(c, F.lit(p)).alias(a) for a, (c, p) in quantiles.items()])
-    deep = heavy.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")]))
+    heavy = find_heavy(rows, by, heavy_rows)
+    exact = [F.percentile(c, F.lit(p)).alias(a) for a, (c, p) in quantiles.items()]
+    if heavy is None:
+        return df.groupBy(*keys).agg(*aggs, *exact)
+    light_rows, hot_rows = split_heavy(rows, by, heavy)
+    deep = hot_rows.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")]))
     for column in dict.fromkeys(c for c, _ in quantiles.values()):
         wanted = {a: p for a, (c, p) in quantiles.items() if c == column}
-        picked = select_quantiles(heavy, by, column, list(wanted.values()))
+        picked = select_quantiles(hot_rows, by, column, list(wanted.values()))
         picked = picked.select(
             *[F.col(k).alias("__" + k) for k in by], *[F.col("q")[i].alias(a) for i, a in enumerate(wanted)]
         )
         deep = deep.join(picked, _same(deep, picked, by), "left").drop(*["__" + k for k in by])
-    result = result.unionByName(deep.drop("_unused"))
-    if whole:
-        one = df.sparkSession.range(1).select(F.lit(1).alias(_ALL))
-        result = one.join(F.broadcast(result), _ALL, "left").drop(_ALL)
-    return result
+    deep = deep.drop("_unused")
+    return deep.drop(_ALL) if whole else light_rows.groupBy(*by).agg(*aggs, *exact).unionByName(deep)
 
 
 # --- order over a whole table ------------------------------------------------------------------

@@ -13,7 +13,8 @@ from mensura.skew import HEAVY_ROWS, find_heavy, join_by_key, select_quantiles,
 
 
 def replicate_profile(
-    df: DataFrame, key: str, value: str, aggs: Sequence[Column] = (), heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, key: str, value: str, aggs: Sequence[Column] = (), heavy_rows: int = HEAVY_ROWS,
+    heavy: DataFrame | None | str = "find",
 ) -> DataFrame:
     """Per key: ``median``, ``mad`` and any further aggregates. Rows without a key belong to no group.
 
@@ -21,7 +22,8 @@ def replicate_profile(
     medians by rank.
     """
     rows = df.filter(F.col(key).isNotNull()).withColumn("_v", fn.finite(value))
-    heavy = find_heavy(rows, [key], heavy_rows)
+    if isinstance(heavy, str):
+        heavy = find_heavy(rows, [key], heavy_rows)
     if heavy is None:
         return _profile_in_arrays(rows, key, aggs)
     light_rows, hot_rows = split_heavy(rows, [key], heavy)
@@ -37,13 +39,15 @@ def _profile_in_arrays(rows: DataFrame, key: str, aggs: Sequence[Column]) -> Dat
     grouped = rows.groupBy(key).agg(*aggs, F.array_sort(F.collect_list("_v")).alias("_values"))
     grouped = grouped.withColumn("median", fn.median_of(F.col("_values")))
     spread = F.array_sort(F.transform("_values", lambda x: F.abs(x - F.col("median"))))
-    return grouped.withColumn("mad", fn.median_of(spread)).drop("_values")
+    grouped = grouped.withColumn("_spread", spread)
+    return grouped.withColumn("mad", fn.median_of(F.col("_spread"))).drop("_values", "_spread")
 
 
 def with_replicate_mad(df: DataFrame, key: str, value: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Every row with its group's ``median``, its own ``deviation`` and the group's ``mad``; null for keyless rows."""
-    profile = replicate_profile(df, key, value, heavy_rows=heavy_rows)
-    joined = join_by_key(df, profile, [key], "left", heavy_rows)
+    heavy = find_heavy(df, [key], heavy_rows)
+    profile = replicate_profile(df, key, value, heavy=heavy)
+    joined = join_by_key(df, profile, [key], "left", heavy=heavy)
     return joined.withColumn("deviation", F.abs(F.col(value) - F.col("median")))
 
 
@@ -51,8 +55,9 @@ def replicate_filter(
     df: DataFrame, key: str, value: str, mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """All rows of the keys that pass the gate, their value replaced by the group median."""
-    profile = replicate_profile(df, key, value, heavy_rows=heavy_rows).filter(F.col("mad") <= mad_max)
-    joined = join_by_key(df, profile.select(key, "median"), [key], "inner", heavy_rows)
+    heavy = find_heavy(df, [key], heavy_rows)
+    profile = replicate_profile(df, key, value, heavy=heavy).filter(F.col("mad") <= mad_max)
+    joined = join_by_key(df, profile.select(key, "median"), [key], "inner", heavy=heavy)
     return joined.withColumn(value, F.col("median")).select(*df.columns)
 
 

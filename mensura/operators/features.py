@@ -18,34 +18,47 @@ from mensura.skew import beside
 # --- text --------------------------------------------------------------------------------------
 
 
-def token_fingerprint(text: Column | str, n: int = 2, bits: int = fixed.BITS) -> Column:
-    """On-bit positions of a text: its distinct runs of ``n`` words, hashed and folded. Null or short text has none."""
+def token_fingerprint(
+    df: DataFrame, text: str, n: int = 2, bits: int = fixed.BITS, out: str = "bits"
+) -> DataFrame:
+    """Add the on-bit positions of a text: its distinct runs of ``n`` words, hashed and folded. Short text has none.
+
+    Runs are built by pairing the word list with its own shifted copies, so a long text costs linear time.
+    """
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    folded = F.transform(F.array_distinct(runs), lambda run: (
+    runs = words
+    for shift in range(1, n):
+        shifted = F.slice(words, shift + 1, 1_000_000_000)
+        runs = F.zip_with(runs, shifted, lambda head, word: F.concat(head, F.lit(" "), word))
+    whole = F.array_distinct(F.array_compact(runs))
+    folded = F.transform(whole, lambda run: (
         F.conv(F.substring(F.md5(run), 1, 8), 16, 10).cast("long") % bits
     ).cast("int"))
-    return F.coalesce(F.array_sort(F.array_distinct(folded)), F.array().cast("array<int>"))
+    marked = F.coalesce(F.array_sort(F.array_distinct(folded)), F.array().cast("array<int>"))
+    return df.withColumn(out, marked)
 
 
 # Patterns of the line notation.
-ATOM = r"\[[^\]]*\]|Br|Cl|[BCNOPSFIbcnops]"
-ELEMENT = r"^\[?[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*)"
+BRACKET = r"\[[^\[\]]*\]"
+PLAIN_ATOM = "Br|Cl|[BCNOPSFIbcnops]"
+ELEMENT = r"^\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*)"
 
 
 def notation_descriptors(text: str) -> dict[str, Column]:
-    """Counts read off a line notation: heavy atoms, heteroatoms, aliphatic nitrogens, ring closures, formal charge."""
-    atoms = F.regexp_extract_all(F.col(text), F.lit(ATOM), F.lit(0))
-    symbol = lambda a: F.regexp_extract(a, ELEMENT, 1)
-    heavy = F.filter(atoms, lambda a: ~symbol(a).isin("H", "D", "T", ""))
-    hetero = F.filter(heavy, lambda a: ~symbol(a).isin("C", "c"))
-    nitrogen = F.filter(heavy, lambda a: symbol(a) == "N")
-    bare = F.regexp_replace(F.col(text), r"\[[^\]]*\]", "")
-    closures = F.size(F.regexp_extract_all(bare, F.lit("%[0-9][0-9]|[0-9]"), F.lit(0)))
-    inside = F.regexp_extract_all(F.col(text), F.lit(r"\[[^\]]*\]"), F.lit(0))
+    """Counts read off a line notation: heavy atoms, heteroatoms, aliphatic nitrogens, ring closures, formal charge.
+
+    Atoms in brackets are listed and read one by one; all others are counted by pattern in one pass each.
+    """
+    def times(pattern: str) -> Column:
+        return F.regexp_count(bare, F.lit(pattern))
+
+    bare = F.regexp_replace(F.col(text), BRACKET, " ")
+    inside = F.regexp_extract_all(F.col(text), F.lit(BRACKET), F.lit(0))
+    symbols = F.filter(
+        F.transform(inside, lambda a: F.regexp_extract(a, ELEMENT, 1)), lambda s: ~s.isin("H", "D", "T", "")
+    )
+    heavy = times(PLAIN_ATOM) + F.size(symbols)
+    carbons = times("[Cc]") - times("Cl") + F.size(F.filter(symbols, lambda s: s.isin("C", "c")))
     signs = F.transform(inside, lambda a: F.regexp_extract(a, r"([+-]+[0-9]*)\]$", 1))
 
     def charge(sign: Column) -> Column:
@@ -54,10 +67,10 @@ def notation_descriptors(text: str) -> dict[str, Column]:
         return F.when(sign == "", 0).when(sign.startswith("-"), -size).otherwise(size)
 
     return {
-        "heavy_atoms": F.size(heavy),
-        "heteroatoms": F.size(hetero),
-        "aliphatic_nitrogens": F.size(nitrogen),
-        "ring_closures": F.floor(closures / 2).cast("int"),
+        "heavy_atoms": heavy,
+        "heteroatoms": heavy - carbons,
+        "aliphatic_nitrogens": times("N") + F.size(F.filter(symbols, lambda s: s == "N")),
+        "ring_closures": F.floor(times("%[0-9][0-9]|[0-9]") / 2).cast("int"),
         "formal_charge": F.aggregate(
             F.transform(signs, charge), F.lit(0), lambda total, c: total + F.coalesce(c, F.lit(0))
         ),

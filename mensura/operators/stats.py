@@ -78,42 +78,55 @@ def stage_lineage(
     stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str], numbers: Sequence[str], missing: Sequence[str] = (),
     heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Per stage: rows before, after, removed, percent removed, unique keys, missing counts, number statistics."""
+    """Per stage: rows before, after, removed, percent removed, unique keys, missing counts, number statistics.
+
+    All stages are stacked with their number and grouped once. A column a stage does not have yet gives nulls.
+    """
+    spark = stages[0][1].sparkSession
+    names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(stages, 1)], "stage_order int, stage string")
+    has = {c: [i for i, (_, df) in enumerate(stages, 1) if c in df.columns] for c in [*keys, *numbers, *missing]}
     parts = []
-    for order, (name, df) in enumerate(stages, 1):
-        have = set(df.columns)
-        used = [c for c in dict.fromkeys([*keys, *numbers, *missing]) if c in have]
-        rows = df.select(*used) if used else df
-        aggs = [F.count(F.lit(1)).alias("rows_after")]
-        for c in missing:
-            text = F.col(c) if c in have else None
-            aggs.append((_count(fn.is_missing(c) if c in numbers else text.isNull()) if c in have
-                         else F.lit(None).cast("long")).alias("missing_" + c))
-        quantiles = {}
-        for c in numbers:
-            if c in have:
-                rows = rows.withColumn(c, fn.to_number(c)).withColumn("_x_" + c, fn.finite(F.col(c)))
-                aggs += _number_aggs(c, c + "_")
-                quantiles[c + "_median"] = ("_x_" + c, 0.5)
-        row = aggregate(rows, [], aggs, quantiles, heavy_rows)
-        for c in numbers:
-            if c not in have:
-                for part in ("count", "missing", "nonfinite"):
-                    row = row.withColumn(f"{c}_{part}", F.lit(None).cast("long"))
-                for part in ("min", "max", "mean", "std", "median"):
-                    row = row.withColumn(f"{c}_{part}", F.lit(None).cast("double"))
-        for c in keys:
-            unique = rows.agg(F.count_distinct(c)).scalar() if c in have else F.lit(0).cast("long")
-            row = row.withColumn("unique_" + c, unique)
-        parts.append(row.withColumn("stage_order", F.lit(order)).withColumn("stage", F.lit(name)))
-    table = reduce(DataFrame.unionByName, parts)
-    by_order = Window.orderBy("stage_order")  # one row per stage
-    before = F.coalesce(F.lag("rows_after").over(by_order), F.col("rows_after"))
-    removed = F.greatest(F.lit(0), before - F.col("rows_after"))
-    table = table.withColumn("before_rows", before).withColumn("rows_removed", removed)
-    table = table.withColumn("percent_removed", _share(F.col("rows_removed"), F.col("before_rows")))
-    head = ["stage_order", "stage", "before_rows", "rows_after", "rows_removed", "percent_removed"]
-    return table.select(*head, *[c for c in table.columns if c not in head])
+    for order, (_, df) in enumerate(stages, 1):
+        def cell(c: str, value: Column, dtype: str) -> Column:
+            return (value if order in has[c] else F.lit(None)).cast(dtype)
+
+        parts.append(df.select(
+            F.lit(order).alias("stage_order"),
+            *[cell(c, F.col(c), "string").alias("_k_" + c) for c in keys],
+            *[cell(c, fn.to_number(c), "double").alias(c) for c in numbers],
+            *[cell(c, fn.is_missing(fn.to_number(c)) if c in numbers else F.col(c).isNull(), "boolean").alias("_m_" + c)
+              for c in missing],
+        ))
+    rows = reduce(DataFrame.unionByName, parts).withColumns({"_x_" + c: fn.finite(c) for c in numbers})
+    aggs = [F.count(F.lit(1)).alias("rows_after"), *[_count(F.col("_m_" + c)).alias("missing_" + c) for c in missing]]
+    aggs += [a for c in numbers for a in _number_aggs(c, c + "_")]
+    table = aggregate(rows, ["stage_order"], aggs, {c + "_median": ("_x_" + c, 0.5) for c in numbers}, heavy_rows)
+    for c in keys:
+        values = rows.filter(F.col("_k_" + c).isNotNull()).groupBy("stage_order", "_k_" + c).agg(F.count(F.lit(1)))
+        unique = values.groupBy("stage_order").agg(F.count(F.lit(1)).alias("unique_" + c))
+        table = table.join(unique, "stage_order", "left")
+    table = names.join(table, "stage_order", "left")
+    counts = ["rows_after", *["unique_" + c for c in keys]]
+    for c in missing:
+        counts.append("missing_" + c)
+    for c in numbers:
+        counts += [f"{c}_{part}" for part in ("count", "missing", "nonfinite")]
+    table = table.fillna(0, counts)
+
+    def present(c: str, name: str) -> Column:
+        return F.when(F.col("stage_order").isin(has[c]), F.col(name)).alias(name)
+
+    before = F.coalesce(F.lag("rows_after").over(Window.orderBy("stage_order")), F.col("rows_after"))  # one row per stage
+    table = table.withColumn("before_rows", before)
+    table = table.withColumn("rows_removed", F.greatest(F.lit(0), F.col("before_rows") - F.col("rows_after")))
+    return table.select(
+        "stage_order", "stage", "before_rows", "rows_after", "rows_removed",
+        _share(F.col("rows_removed"), F.col("before_rows")).alias("percent_removed"),
+        *["unique_" + c for c in keys],
+        *[present(c, "missing_" + c) for c in missing],
+        *[present(c, f"{c}_{part}") for c in numbers
+          for part in ("count", "missing", "nonfinite", "min", "max", "mean", "median", "std")],
+    )
 
 
 def unit_distribution(
@@ -198,18 +211,20 @@ def mad_summary(stats: DataFrame, rows: DataFrame, heavy_rows: int = HEAVY_ROWS)
 def duplicate_signatures(
     phases: Mapping[str, DataFrame], signatures: Mapping[str, Sequence[str]]
 ) -> DataFrame:
-    """Rows, distinct signatures and excess per phase and column set; null equals null."""
-    parts = []
-    for phase, df in phases.items():
-        for name, columns in signatures.items():
-            copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-            parts.append(copies.agg(
-                F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_signatures")
-            ).select(
-                F.lit(phase).alias("phase"), F.lit(name).alias("signature"), "rows", "distinct_signatures",
-                (F.col("rows") - F.col("distinct_signatures")).alias("excess_rows"),
-            ))
-    return reduce(DataFrame.unionByName, parts)
+    """Rows, distinct signatures and excess per phase and column set; null equals null.
+
+    Each row becomes one exact text key per column set, so that one grouping counts all sets of all phases.
+    """
+    columns = list(dict.fromkeys(c for cs in signatures.values() for c in cs))
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(p).alias("phase"), *columns) for p, df in phases.items()])
+    keys = F.array(*[
+        F.struct(F.lit(name).alias("signature"), F.to_json(F.struct(*cs)).alias("_key")) for name, cs in signatures.items()
+    ])
+    copies = rows.select("phase", F.inline(keys)).groupBy("phase", "signature", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    return copies.groupBy("phase", "signature").agg(
+        F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("distinct_signatures"),
+        (F.sum("_n") - F.count(F.lit(1))).alias("excess_rows"),
+    )
 
 
 def identity_mappings(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -121,13 +121,13 @@ def _(t):
 
 
 NONFINITE = """
-SELECT source_index, x FROM (SELECT source_index, CASE WHEN x < 7.2 THEN 'nan'::DOUBLE WHEN x > 9 THEN 'inf'::DOUBLE
+SELECT source_index, CASE WHEN isfinite(x) THEN round(x, 6) ELSE x END AS x FROM (SELECT source_index, CASE WHEN x < 7.2 THEN 'nan'::DOUBLE WHEN x > 9 THEN 'inf'::DOUBLE
     WHEN key IS NOT NULL THEN x END AS x FROM measures) s"""
 
 
 def _nonfinite(t):
     x = F.when(F.col("x") < 7.2, float("nan")).when(F.col("x") > 9, float("inf")).when(F.col("key").isNotNull(), F.col("x"))
-    return t.measures.select("source_index", "kind", x.alias("x"))
+    return t.measures.select("source_index", "kind", F.when(fn.is_finite(x), F.round(x, 6)).otherwise(x).alias("x"))
 
 
 @query("drop_nonfinite", NONFINITE + " WHERE isfinite(x)")

@@ -34,7 +34,7 @@ FROM (SELECT event_id, user_id, event_type, value, CAST(regexp_extract(props, '(
 # Replicate measurements: a finite negative log value per event, two keys without name.
 VIEWS["measures"] = """
 SELECT event_id AS source_index, nullif(CAST(user_id AS STRING), '7') AS key, event_type AS kind,
-       round(-log10(value * 1e-9), 5) AS x, value AS raw
+       -log10(value * 1e-9) AS x, value AS raw
 FROM events
 """
 

@@ -51,13 +51,16 @@ def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[D
 
 
 def join_by_key(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", heavy_rows: int = HEAVY_ROWS,
+    heavy: DataFrame | None | str = "find",
 ) -> DataFrame:
     """Join rows to a table that is unique by ``keys`` without sending a hot key's rows to one task.
 
-    Rows of heavy keys meet the few matching table rows by broadcast, all others by an ordinary key join.
+    Rows of heavy keys meet the few matching table rows by broadcast, all others by an ordinary key join. Pass ``heavy``
+    where the heavy keys of ``df`` are known already.
     """
-    heavy = find_heavy(df, keys, heavy_rows)
+    if isinstance(heavy, str):
+        heavy = find_heavy(df, keys, heavy_rows)
     if heavy is None:
         return df.join(table, list(keys), how)
     light_rows, hot_rows = split_heavy(df, keys, heavy)
@@ -67,10 +70,9 @@ def join_by_key(
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row table (an aggregate of a whole table) beside every row, as a scalar subquery."""
-    names = one_row.columns
-    row = one_row.select(F.struct(*names)).scalar()
-    return df.withColumn("_row", row).select(*df.columns, *[F.col("_row")[c].alias(c) for c in names])
+    """Put the columns of a one-row table (aggregates of a whole table) beside every row, as constants of the plan."""
+    row = one_row.first()
+    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema])
 
 
 # --- exact quantiles ---------------------------------------------------------------------------

@@ -24,7 +24,9 @@ def residuals(df: DataFrame, actual: str = "actual", predicted: str = "predicted
 def _correlation(a: Column, b: Column) -> Column:
     """Pearson correlation, null when either side does not vary."""
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
-    return F.when(varies, F.corr(a, b))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.when(varies, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def regression_metrics(

@@ -188,8 +188,8 @@ def core_keys(vertices: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFra
     core = core_graph(edges)
     ends = both_directions(core).select("graph", F.col("a").alias("v")).distinct()
     inside = vertices.join(ends, ["graph", "v"], "left_semi")
-    kept = edges.withColumn("src", F.least("src", "dst")).withColumn("dst", F.greatest(edges["src"], edges["dst"]))
-    kept = kept.join(core, ["graph", "src", "dst"], "left_semi")
+    ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
+    kept = edges.withColumns(ends).join(core, ["graph", "src", "dst"], "left_semi")
     keys = graph_key(inside, kept, rounds)
     graphs = vertices.select("graph").distinct()
     return graphs.join(keys, "graph", "left").select("graph", fn.fill_group("key").alias("key"))

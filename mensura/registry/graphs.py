@@ -142,7 +142,7 @@ def _(t):
 
 
 def passing(n: int) -> str:
-    text = "x0 AS (SELECT graph, v, CAST(length(v) AS DOUBLE) AS x FROM graph_vertices)"
+    text = "x0 AS (SELECT graph, v, sqrt(length(v)) AS x FROM graph_vertices)"
     for i in range(1, n + 1):
         text += f""",
 y{i} AS (SELECT b.graph, b.b AS v, avg(x.x) AS m FROM graph_both b JOIN x{i - 1} x ON b.graph = x.graph AND b.a = x.v GROUP BY b.graph, b.b),
@@ -151,7 +151,7 @@ x{i} AS MATERIALIZED (SELECT x.graph, x.v, x.x + coalesce(m, 0) AS x FROM x{i -
 
 
 def _states(t):
-    start = t.graph_vertices.withColumn("x", F.length("v").cast("double"))
+    start = t.graph_vertices.withColumn("x", F.sqrt(F.length("v")))
     return gr.message_passing(start, t.graph_edges, ["x"], 3)
 
 

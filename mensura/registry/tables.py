@@ -1 +1,142 @@
-"""Queries."""
+"""Queries that read, land, look up and write tables."""
+
+import uuid
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from mensura.plans import ingest as plan
+from mensura.registry.core import query, rounded
+from mensura.session import shared_folder
+from mensura.sources import records as rec
+from mensura.sources import sinks
+from mensura.streaming import landed
+
+
+def scratch(t) -> str:
+    """A new folder inside the cluster's shared checkpoint folder."""
+    return f"{shared_folder(t.spark)}/run-{uuid.uuid4().hex}"
+
+
+@query("select_records", "SELECT event_id, user_id, event_type, value FROM events WHERE user_id = 8 AND value IS NOT NULL AND event_type IN ('click', 'view')")
+def _(t):
+    return rec.select_records(t.events, "user_id", 8, "event_type", ["click", "view"], "value").select("event_id", "user_id", "event_type", "value")
+
+
+@query("preview", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def _(t):
+    return rec.preview(t.orders.select("o_orderkey", "o_totalprice"), 5, [F.desc("o_totalprice"), "o_orderkey"])
+
+
+@query("register_table", "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment")
+def _(t):
+    rec.register_table(t.customer, "registered_customer")
+    return t.spark.sql("SELECT c_mktsegment, count(*) AS customers FROM registered_customer GROUP BY c_mktsegment")
+
+
+@query("search_entities", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 10")
+def _(t):
+    return rec.search_entities(t.part.select("p_partkey", "p_name"), "p_name", " Ring ", 10, ["p_partkey"])
+
+
+@query("select_entity", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'Customer_000000003' AS c_name, c_mktsegment FROM customer ORDER BY c_name, customer.c_custkey LIMIT 1 OFFSET 3""")
+def _(t):
+    return rec.select_entity(t.customer, 3, "c_custkey", ["c_name", "c_mktsegment"], ["c_name", "c_custkey"])
+
+
+@query("read_records_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def _(t):
+    path = scratch(t)
+    sinks.write_csv(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path)
+    return rec.read_records_csv(t.spark, path).withColumns(
+        {"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint")})
+
+
+ORDER_SCHEMA = T.StructType([
+    T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
+
+
+@query("malformed_rows", "SELECT CAST(o_orderkey AS VARCHAR) || ',' || 'x' || CAST(o_custkey AS VARCHAR) || ',1.5' AS line FROM orders WHERE o_orderstatus = 'P'")
+def _(t):
+    path = scratch(t)
+    key = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
+    sinks.write_csv(t.orders.select("o_orderkey", key.alias("o_custkey"), F.lit(1.5).alias("o_totalprice")), path)
+    return rec.malformed_rows(t.spark, path, ORDER_SCHEMA)[1]
+
+
+@query("land_records", "SELECT count(*) AS rows, count(*) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+def _(t):
+    rows = rec.land_records(t.events, scratch(t))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_index").alias("ids"), F.sum("event_id").alias("total"))
+
+
+@query("export_parquet", "SELECT * FROM supplier")
+def _(t):
+    path = scratch(t)
+    sinks.export_parquet(t.supplier, path)
+    return t.spark.read.parquet(path)
+
+
+@query("write_csv", "SELECT doc_id, lang, source, n_chars FROM documents")
+def _(t):
+    path = scratch(t)
+    rows = t.documents.select("doc_id", "lang", "source", "n_chars")
+    sinks.write_csv(rows, path)
+    return rec.read_records_csv(t.spark, path, rows.schema)
+
+
+@query("json_safe", """
+SELECT event_id, CASE WHEN value < 5 THEN NULL WHEN value > 100 THEN NULL ELSE value END AS x FROM events""")
+def _(t):
+    odd = F.when(F.col("value") < 5, float("nan")).when(F.col("value") > 100, float("inf")).otherwise(F.col("value"))
+    return sinks.json_safe(t.events.select("event_id", odd.alias("x")))
+
+
+@query("write_json", "SELECT event_id, CASE WHEN value < 5 THEN NULL ELSE value END AS x FROM events")
+def _(t):
+    path = scratch(t)
+    odd = F.when(F.col("value") < 5, float("nan")).otherwise(F.col("value"))
+    sinks.write_json(t.events.select("event_id", odd.alias("x")), path)
+    return t.spark.read.schema("event_id bigint, x double").json(path)
+
+
+@query("write_run", "SELECT l_returnflag, count(*) AS rows FROM lineitem GROUP BY l_returnflag")
+def _(t):
+    table = t.lineitem.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+    return t.spark.read.parquet(sinks.write_run(table, scratch(t), "first", "flags"))
+
+
+@query("materialize_if_absent", "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY o_orderpriority")
+def _(t):
+    path = scratch(t)
+    name = "priorities_" + path[-12:]
+
+    def build():
+        return t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
+
+    t.spark.sql(f"CREATE TABLE {name}_other (o_orderpriority STRING, orders BIGINT) USING parquet LOCATION '{path}'")
+    build().write.mode("overwrite").parquet(path)
+    t.spark.catalog.refreshTable(f"{name}_other")
+    return rec.materialize_if_absent(t.spark, [name, f"{name}_other"], build)
+
+
+@query("stream_landed_records", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events WHERE event_type <> 'error'")
+def _(t):
+    base = scratch(t)
+    stream = landed.landed_records(t.spark, t.folder, t.events.schema, "events.parquet")
+    kept = landed.deduplicated(stream.filter(F.col("event_type") != "error"), "event_id", "ts")
+    rows = landed.ingest_available(kept, base + "/data", base + "/checkpoint")
+    return rounded(rows, "value").select("event_id", "user_id", "event_type", "value")
+
+
+@query("ingest", """
+SELECT event_id, user_id, event_type, value FROM events WHERE event_type IN ('click', 'view') AND user_id =
+       (SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'customer') ORDER BY c_name, c_custkey LIMIT 1 OFFSET 8)""")
+def _(t):
+    rows, name = plan.ingest(
+        t.customer, t.events, "customer", 8, entity_key="c_custkey", entity_name="c_name", record_entity="user_id",
+        kind="event_type", kinds=["click", "view"], value="value", folder=scratch(t))
+    return t.spark.table(name).select("event_id", "user_id", "event_type", "value")
+
+

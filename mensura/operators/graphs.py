@@ -113,27 +113,33 @@ def graph_key(vertices: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFra
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``graph, v, component``: the smallest vertex of the connected component.
 
-    Each round points every remaining vertex at its smallest neighbour, follows those pointers, merges vertices that
-    point to the same place, and keeps only edges between different places; edges shrink until none is left.
+    Each round gives the remaining vertices a fresh random order, points every one at its first neighbour (or itself),
+    follows those pointers a few steps, merges what they reach, and keeps only edges between different places. A random
+    order leaves at most about a third of the places, also on long paths, so few rounds are needed.
     """
-    place = vertices.select("graph", "v", F.col("v").alias("component"))
-    left = edges.filter(F.col("src") != F.col("dst")).select(
+    place = vertices.select("graph", "v", F.col("v").alias("at"))
+    left = cut(edges.filter(F.col("src") != F.col("dst")).select(
         "graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
-    ).distinct()
-    left = cut(left)
-    for _ in range(max_rounds):
+    ).distinct())
+    for turn in range(max_rounds):
         if left.isEmpty():
-            return place
-        pointer = both_directions(left).groupBy("graph", F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("to"))
-        for _ in range(2):  # follow pointers four steps
+            smallest = place.groupBy("graph", "at").agg(F.min("v").alias("component"))
+            return place.join(smallest, ["graph", "at"]).select("graph", "v", "component")
+
+        def first(c: str) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
+
+        best = both_directions(left).groupBy("graph", F.col("a").alias("v")).agg(F.min(first("b")).alias("_b"))
+        pointer = best.select("graph", "v", F.least("_b", first("v"))["v"].alias("to"))
+        for _ in range(2):
             onward = pointer.select("graph", F.col("v").alias("to"), F.col("to").alias("_next"))
-            pointer = pointer.join(onward, ["graph", "to"], "left").select(
-                "graph", "v", F.coalesce("_next", "to").alias("to")
-            )
+            pointer = pointer.join(onward, ["graph", "to"], "left").select("graph", "v", F.coalesce("_next", "to").alias("to"))
         pointer = cut(pointer)
-        place = cut(place.join(pointer.withColumnRenamed("v", "component"), ["graph", "component"], "left").select(
-            "graph", "v", F.coalesce("to", "component").alias("component")
-        ))
+        place = place.join(pointer.withColumnRenamed("v", "at"), ["graph", "at"], "left").select(
+            "graph", "v", F.coalesce("to", "at").alias("at")
+        )
+        if turn % 4 == 3:
+            place = cut(place)
         source = pointer.select("graph", F.col("v").alias("src"), F.col("to").alias("_s"))
         target = pointer.select("graph", F.col("v").alias("dst"), F.col("to").alias("_d"))
         moved = left.join(source, ["graph", "src"]).join(target, ["graph", "dst"]).filter(F.col("_s") != F.col("_d"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,81 +18,86 @@ from mensura.skew import HEAVY_ROWS
 
 
 def audit(
-    df: DataFrame, names: Names = Names(), group: str | None = None, features: list[str] | None = None,
-    mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS,
+    df: DataFrame, wanted: Sequence[str] | None = None, names: Names = Names(), group: str | None = None,
+    features: list[str] | None = None, mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS,
 ) -> dict[str, DataFrame]:
-    """Named audit tables. ``group`` is the split group column (default: the identity key); ``features`` are checked
-    for leakage and sanity where given. The final stage is used by many tables, so it is persisted here."""
+    """The wanted audit tables by name (all by default).
+
+    ``group`` is the split group column (default: the identity key); ``features`` are checked for sanity and leakage
+    where given. Tables that several others are made of are built once and persisted.
+    """
     stages = audit_stages(df, names, mad_max, heavy_rows)
     by_name = dict(stages)
-    raw, final, converted = by_name["raw"], by_name["in range"].persist(), by_name["converted"]
+    raw, converted, exact = by_name["raw"], by_name["converted"], by_name["exact"]
     key, target, cleaned = names.key, names.target, names.cleaned
     group = group or key
-    replicates = st.replicate_stats(converted, key, target, cleaned, names.row_id, mad_max, heavy_rows).persist()
-    assigned = sp.group_split(final, group, heavy_rows=heavy_rows).persist()
     raw_value, scaled = fn.to_number(names.value) <= fixed.RANGE_MAX, F.col(names.scaled) <= fixed.RANGE_MAX
+    final = cache(lambda: by_name["in range"].persist())
+    replicates = cache(lambda: st.replicate_stats(
+        converted, key, target, cleaned, names.row_id, mad_max, heavy_rows).persist())
+    assigned = cache(lambda: sp.group_split(final(), group, heavy_rows=heavy_rows).persist())
+    long = cache(lambda: st.long_features(final(), names.row_id, features))
     signatures = {
         cleaned: [cleaned], key: [key], target: [target], f"{cleaned} + {target}": [cleaned, target],
         f"{key} + {target}": [key, target],
     }
+    scopes = {"final": F.lit(True), "train": F.col("split") == "train", "test": F.col("split") == "test"}
+    assignment = list(dict.fromkeys([names.row_id, key, cleaned, target, group, "group_size", "split"]))
     tables = {
-        "stage_counts": st.stage_lineage(
+        "stage_counts": lambda: st.stage_lineage(
             stages, [key, cleaned], [names.value, names.scaled, target],
             [names.structure, cleaned, key, names.unit, names.value, names.scaled, target], heavy_rows),
-        "unit_distribution": st.unit_distribution(
+        "unit_distribution": lambda: st.unit_distribution(
             {"raw": raw, "unflagged": by_name["unflagged"]}, names.unit, names.value, list(fixed.UNIT_FACTORS), heavy_rows),
-        "unit_conversion": st.unit_conversion_check(
+        "unit_conversion": lambda: st.unit_conversion_check(
             converted, "original_" + names.unit, names.value, names.scaled, target, order=names.row_id),
-        "unit_prefix": st.unit_prefix_check(raw.select(names.unit).distinct(), names.unit),
+        "unit_prefix": lambda: st.unit_prefix_check(raw.select(names.unit).distinct(), names.unit),
         "replicates": replicates,
-        "replicate_counts": st.replicate_count_distribution(replicates),
-        "high_variability": st.high_variability(replicates, key),
-        "mad_summary": st.mad_summary(replicates, converted, heavy_rows),
-        "duplicate_signatures": st.duplicate_signatures(
-            {"converted": converted, "deduplicated": by_name["deduplicated"], "final": final}, signatures),
-        "identity_mappings": st.identity_mappings(by_name["identified"], key, cleaned),
-        "identity_mapping_counts": st.identity_mapping_counts(by_name["identified"], key, cleaned),
-        "filter_differences": jn.exclusive_rows(by_name["exact"], raw_value, scaled),
-        "filter_differences_by_unit": st.compare_filters_by(by_name["exact"], raw_value, scaled, "original_" + names.unit),
-        "filter_comparison": st.compare_filters(
-            by_name["exact"], {"raw value": raw_value, "scaled value": scaled}, key, target, heavy_rows),
-        "filter_summary": st.compare_filters_summary(by_name["exact"], raw_value, scaled, key),
-        "relation_distribution": st.relation_distribution(raw, names.relation),
-        "raw_value_sanity": st.value_sanity(raw.select(fn.to_number(names.value).alias("v")), "v"),
-        "target_sanity": st.value_sanity(final, target),
-        "boundary_counts": st.threshold_boundary_counts(final, names.scaled, fixed.RANGE_MAX),
-        "split_assignments": assigned.select(names.row_id, key, cleaned, target, *dict.fromkeys(
-            c for c in (group, "group_size", "split") if c not in (key, cleaned))),
-        "group_sizes": st.group_size_summary(assigned, group, "split", heavy_rows),
-        "top_groups": st.top_share(assigned, group),
-        "split_overlap": jn.split_overlap_counts(assigned, "split", list(dict.fromkeys([group, key, cleaned]))),
-        "target_distribution": st.target_stats(assigned, target, {
-            "final": F.lit(True), "train": F.col("split") == "train", "test": F.col("split") == "test",
-        }, heavy_rows=heavy_rows),
-        "dataset_hash": st.dataset_hash(final, [key, cleaned, F.format_string("%.10g", F.col(target))]),
+        "replicate_counts": lambda: st.replicate_count_distribution(replicates()),
+        "high_variability": lambda: st.high_variability(replicates(), key),
+        "mad_summary": lambda: st.mad_summary(replicates(), converted, heavy_rows),
+        "duplicate_signatures": lambda: st.duplicate_signatures(
+            {"converted": converted, "deduplicated": by_name["deduplicated"], "final": final()}, signatures),
+        "identity_mappings": lambda: st.identity_mappings(by_name["identified"], key, cleaned),
+        "identity_mapping_counts": lambda: st.identity_mapping_counts(by_name["identified"], key, cleaned),
+        "filter_differences": lambda: jn.exclusive_rows(exact, raw_value, scaled),
+        "filter_differences_by_unit": lambda: st.compare_filters_by(exact, raw_value, scaled, "original_" + names.unit),
+        "filter_comparison": lambda: st.compare_filters(
+            exact, {"raw value": raw_value, "scaled value": scaled}, key, target, heavy_rows),
+        "filter_summary": lambda: st.compare_filters_summary(exact, raw_value, scaled, key),
+        "relation_distribution": lambda: st.relation_distribution(raw, names.relation),
+        "raw_value_sanity": lambda: st.value_sanity(raw.select(fn.to_number(names.value).alias("v")), "v"),
+        "target_sanity": lambda: st.value_sanity(final(), target),
+        "boundary_counts": lambda: st.threshold_boundary_counts(final(), names.scaled, fixed.RANGE_MAX),
+        "split_assignments": lambda: assigned().select(*assignment),
+        "group_sizes": lambda: st.group_size_summary(assigned(), group, "split", heavy_rows),
+        "top_groups": lambda: st.top_share(assigned(), group),
+        "split_overlap": lambda: jn.split_overlap_counts(assigned(), "split", list(dict.fromkeys([group, key, cleaned]))),
+        "target_distribution": lambda: st.target_stats(assigned(), target, scopes, heavy_rows=heavy_rows),
+        "dataset_hash": lambda: st.dataset_hash(final(), [key, cleaned, F.format_string("%.10g", F.col(target))]),
     }
     if features:
-        long = st.long_features(final, names.row_id, features)
-        tables["feature_sanity"] = st.feature_sanity(long, heavy_rows)
-        tables["feature_summary"] = st.describe_columns(long, heavy_rows)
-        tables["leakage"] = st.leakage_audit(final, features, target)
-    tables["findings"] = audit_findings(tables, final, target)
-    return tables
+        tables["feature_sanity"] = lambda: st.feature_sanity(long(), heavy_rows)
+        tables["feature_summary"] = lambda: st.describe_columns(long(), heavy_rows)
+        tables["leakage"] = lambda: st.leakage_audit(final(), features, target)
+    tables = {name: cache(build) for name, build in tables.items()}
+    tables["findings"] = lambda: audit_findings({n: b for n, b in tables.items() if n != "findings"}, final(), target)
+    return {name: tables[name]() for name in (wanted or tables)}
 
 
-def audit_findings(tables: dict[str, DataFrame], final: DataFrame, target: str) -> DataFrame:
+def audit_findings(tables: dict[str, Callable[[], DataFrame]], final: DataFrame, target: str) -> DataFrame:
     """Findings over the audit tables; CRITICAL ones fail a run through ``stats.enforce``."""
     shared = F.col("key_column")
-    overlap = tables["split_overlap"]
+    overlap = tables["split_overlap"]()
     checks = [
-        ("standard relation filter recorded", "PASS", tables["relation_distribution"].agg(F.max("rejected_total").alias("n")), "n"),
-        ("raw value and scaled value thresholds differ", "WARNING", tables["filter_summary"], "different"),
+        ("standard relation filter recorded", "PASS", tables["relation_distribution"]().agg(F.max("rejected_total").alias("n")), "n"),
+        ("raw value and scaled value thresholds differ", "WARNING", tables["filter_summary"](), "different"),
         ("finite model target", "CRITICAL", final.agg(F.count_if(~fn.is_finite(target)).alias("n")), "n"),
         ("split overlap", "CRITICAL", overlap.filter(shared.isNotNull()).agg(F.sum("shared").alias("n")), "n"),
-        ("unit conversion formula", "WARNING", tables["unit_prefix"].agg(F.count_if(~F.col("matches")).alias("n")), "n"),
+        ("unit conversion formula", "WARNING", tables["unit_prefix"]().agg(F.count_if(~F.col("matches")).alias("n")), "n"),
     ]
     if "leakage" in tables:
-        leaks = tables["leakage"].agg(
+        leaks = tables["leakage"]().agg(
             F.count_if("is_identifier").alias("identifiers"),
             F.count_if(F.col("target_like_name") | F.col("equals_target")).alias("targets"))
         checks += [("identifier leakage", "CRITICAL", leaks, "identifiers"), ("target leakage", "WARNING", leaks, "targets")]

@@ -16,7 +16,6 @@ from mensura.operators import joins as jn
 from mensura.operators import models as md
 from mensura.operators import ranking as rk
 from mensura.operators import splits as sp
-from mensura.skew import beside
 
 
 def compare_models(
@@ -30,23 +29,28 @@ def compare_models(
     """
     train = sp.grouped_kfold(train, group, folds).persist()
     test = test.persist()
-    rows, runs = [], {}
+    facts, runs = [], {}
     for family in families:
         for variant, columns in variants.items():
             space = (spaces or md.SPACES)[family]
             found = md.search(train, family, columns, label, "fold", trials, folds, space, parallelism, seed)
             best = found.orderBy("value", "number").first()
             _, scored = md.fit_predict_best(train, test, family, columns, label, found, row_id, seed)
-            scored = scored.persist()
-            runs[f"{family}_{variant}"] = scored
-            score = ev.regression_metrics(scored)
-            rows.append(score.select(
-                F.lit(family).alias("model"), F.lit(variant).alias("features"),
-                F.lit(len(columns)).alias("n_features"), F.lit(float(best["value"])).alias("cv_mae"),
-                F.lit(best["params"]).alias("params"), F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"),
-                F.col("r2").alias("test_r2"), F.col("pearson").alias("test_pearson"),
-                F.col("spearman").alias("test_spearman"), F.col("rows").alias("n_test")))
-    return rk.leaderboard(reduce(DataFrame.unionByName, rows)), runs
+            run = f"{family}_{variant}"
+            runs[run] = scored.persist()
+            facts.append((run, family, variant, len(columns), float(best["value"]), best["params"]))
+    known = train.sparkSession.createDataFrame(
+        facts, "run string, model string, features string, n_features int, cv_mae double, params string")
+    scores = scored_runs(jn.union_runs(runs, "run"), ["run"])
+    return rk.leaderboard(known.join(F.broadcast(scores), "run").drop("run")), runs
+
+
+def scored_runs(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Held-out metrics under the names of the results table."""
+    return ev.regression_metrics(predictions, by).withColumnsRenamed({
+        "mae": "test_mae", "rmse": "test_rmse", "r2": "test_r2", "pearson": "test_pearson", "spearman": "test_spearman",
+        "rows": "n_test",
+    })
 
 
 def benchmark(
@@ -78,7 +82,7 @@ def matched_comparison(
     """
     rows = sp.group_split(df, group, frac)
     sp.require_sides(rows)
-    inner = sp.seeded_group_holdout(rows.filter(F.col("split") == "train"), group, validation, seed)
+    inner = sp.seeded_group_holdout(rows.filter(F.col("split") == "train").drop("split"), group, validation, seed)
     rows = inner.unionByName(rows.filter(F.col("split") == "test")).persist()
     shared = jn.split_overlap(rows, "split", group)
     if not shared.isEmpty():
@@ -91,13 +95,10 @@ def matched_comparison(
     if not candidate.join(truth, "source_index").filter(~fn.is_close("truth", "actual")).isEmpty():
         raise ValueError("the candidate's actual values differ from the data")
     results, runs = compare_models(train, test, variants, label, group, row_id=row_id, seed=seed, **options)
-    mine = ev.regression_metrics(candidate)
-    row = beside(mine.select(
-        F.lit(candidate_name).alias("model"), F.lit("own").alias("features"), F.lit(None).cast("int").alias("n_features"),
-        F.lit(None).cast("double").alias("cv_mae"), F.lit(None).cast("string").alias("params"),
-        F.col("mae").alias("test_mae"), F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"),
-        F.col("pearson").alias("test_pearson"), F.col("spearman").alias("test_spearman")),
-        test.agg(F.count(F.lit(1)).alias("n_test")))
+    row = scored_runs(candidate).withColumns({
+        "model": F.lit(candidate_name), "features": F.lit("own"), "n_features": F.lit(None).cast("int"),
+        "cv_mae": F.lit(None).cast("double"), "params": F.lit(None).cast("string"),
+    })
     table = results.unionByName(row)
     held_out = ev.wide_predictions({**runs, candidate_name: candidate.select(
         "source_index", "predicted").join(test.select(F.col(row_id).alias("source_index"), F.col(label).cast("double").alias("actual")), "source_index")})

@@ -1 +1,166 @@
-"""Queries."""
+"""Queries for model fitting, search, comparison, storage, and the composed audit and benchmark plans."""
+
+from pyspark.sql import functions as F
+
+from mensura.operators import evaluation as ev
+from mensura.operators import features as ft
+from mensura.operators import models as md
+from mensura.operators import splits as sp
+from mensura.plans import audit as audit_plan
+from mensura.plans import benchmark as bench_plan
+from mensura.registry.core import query, rounded
+from mensura.registry.curation import AUDIT
+from mensura.registry.statistics import UNIT_DIST, lineage_sql
+from mensura.registry.tables import scratch
+
+NUMBERS = ["size", "retail", "lines", "quantity", "discount"]
+BITS = [f"bit_{i}" for i in range(16)]
+VARIANTS = {"bits": BITS, "descriptors": NUMBERS, "combined": BITS + NUMBERS}
+# Small spaces keep the check short; the defaults are in the models module.
+SPACES = {
+    "forest": {"numTrees": ("step", 4, 8, 4), "maxDepth": ("int", 2, 4), "minInstancesPerNode": ("int", 1, 8)},
+    "boosted": {"maxIter": ("step", 2, 4, 1), "maxDepth": ("int", 2, 3), "stepSize": ("log", 0.05, 0.2)},
+}
+
+
+def table(t):
+    marked = ft.token_fingerprint(t.part_features, "name", 1, 16)
+    return ft.bit_columns(marked, "bits", 16, "bit_").drop("name")
+
+
+def sides(t):
+    rows = sp.group_split(table(t), "grp").persist()
+    return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
+
+
+def _fitted(t, family, params):
+    train, test = sides(t)
+    model = md.fit(train, family, NUMBERS, "target", params)
+    return md.predict(model, test, NUMBERS, "target")
+
+
+@query("fit_forest")
+def _(t):
+    return _fitted(t, "forest", {"numTrees": 8, "maxDepth": 5})
+
+
+@query("fit_boosted")
+def _(t):
+    return _fitted(t, "boosted", {"maxIter": 8, "maxDepth": 3})
+
+
+@query("grouped_cv")
+def _(t):
+    train = sp.grouped_kfold(sides(t)[0], "grp", 3)
+    return md.grouped_cv(train, "forest", NUMBERS, "target", "fold", [{"numTrees": 4}, {"numTrees": 8}], 3)
+
+
+@query("search")
+def _(t):
+    train = sp.grouped_kfold(sides(t)[0], "grp", 3)
+    return md.search(train, "boosted", NUMBERS, "target", "fold", 2, 3, SPACES["boosted"])
+
+
+@query("fit_predict_best")
+def _(t):
+    train, test = sides(t)
+    trials = md.search(sp.grouped_kfold(train, "grp", 3), "forest", NUMBERS, "target", "fold", 2, 3, SPACES["forest"])
+    return md.fit_predict_best(train, test, "forest", NUMBERS, "target", trials)[1]
+
+
+@query("importance_filter")
+def _(t):
+    return md.importances(sides(t)[0], BITS + NUMBERS, "target", 10)
+
+
+@query("model_store")
+def _(t):
+    train, test = sides(t)
+    path = scratch(t)
+    model = md.fit_forest(train, NUMBERS, "target", {"numTrees": 4})
+    md.save_model(model, path, {"columns": NUMBERS, "seed": 50}, train)
+    again, metadata = md.load_model(t.spark, path)
+    return md.predict(again, test, metadata["columns"], "target")
+
+
+@query("correlation_pvalue")
+def _(t):
+    one = t.predictions.select("actual", F.col("model_key").alias("predicted"))
+    return ev.correlation_pvalue(one)
+
+
+@query("feature_variants", """
+SELECT 'bits' AS variant, 16 AS width UNION ALL SELECT 'combined', 21 UNION ALL SELECT 'descriptors', 5""")
+def _(t):
+    found = ft.feature_variants(table(t), "bit_", NUMBERS, {"bits": 16, "descriptors": 5, "combined": 21})
+    return t.spark.createDataFrame([(k, len(v)) for k, v in found.items()], "variant string, width int")
+
+
+@query("model_columns", "SELECT source_index, size, retail, lines, round(quantity, 6) AS quantity, round(discount, 6) AS discount FROM part_features")
+def _(t):
+    names = ft.model_columns(t.part_features.columns, "descriptors", "bit_", NUMBERS)
+    return rounded(t.part_features.select("source_index", *names), "quantity", "discount")
+
+
+@query("bit_columns", """
+SELECT p_partkey AS source_index, CAST(len(list_filter(list_distinct(list_transform(list_filter(string_split(p_name, ' '), lambda s: s <> ''),
+       lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT % 16)), lambda b: b = 3)) AS INTEGER) AS bit_3
+FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")
+def _(t):
+    return table(t).select("source_index", "bit_3")
+
+
+@query("benchmark")
+def _(t):
+    return bench_plan.benchmark(table(t), {"descriptors": NUMBERS, "combined": BITS + NUMBERS}, "target", "grp",
+                                trials=1, folds=2, spaces=SPACES)["results"]
+
+
+@query("matched_comparison")
+def _(t):
+    rows = table(t)
+    test = sp.group_split(rows, "grp").filter(F.col("split") == "test")
+    candidate = test.select("source_index", F.col("target").alias("actual"), (F.col("retail") * F.col("quantity")).alias("predicted"))
+    return bench_plan.matched_comparison(rows, {"descriptors": NUMBERS}, "target", "grp", candidate, "price times quantity",
+                                         trials=1, folds=2, spaces=SPACES)["outcome"]
+
+
+# --- the audit, table by table -----------------------------------------------------------------
+
+
+@query("audit_stage_counts", lineage_sql())
+def _(t):
+    table_ = audit_plan.audit(t.records, ["stage_counts"])["stage_counts"]
+    wanted = ["stage_order", "stage", "before_rows", "rows_after", "rows_removed", "percent_removed", "unique_InChIkey",
+              "unique_cleaned_smiles", "missing_cleaned_smiles", "missing_InChIkey", "missing_standard_units", "missing_standard_value"]
+    parts = ["count", "missing", "nonfinite", "min", "max", "mean", "std", "median"]
+    numbers = [f"{c}_{p}" for c in ("standard_value", "PIC50") for p in parts]
+    floats = [n for n in numbers if n.rsplit("_", 1)[1] in ("min", "max", "mean", "std", "median")]
+    return rounded(table_, "percent_removed", *floats).select(*wanted, *numbers)
+
+
+@query("audit_unit_distribution", UNIT_DIST)
+def _(t):
+    return rounded(audit_plan.audit(t.records, ["unit_distribution"])["unit_distribution"], "value_min", "value_max", "value_median", "percent")
+
+
+@query("audit_split_assignments", f"""
+WITH {AUDIT.strip()},
+s AS (SELECT "InChIkey", count(*) AS size FROM final GROUP BY "InChIkey"),
+o AS (SELECT *, coalesce(sum(size) OVER (ORDER BY size DESC, "InChIkey" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM s)
+SELECT source_index, f."InChIkey", cleaned_smiles, round("PIC50", 6) AS "PIC50", size AS group_size,
+       CASE WHEN before < floor(0.8::DOUBLE * total) THEN 'train' ELSE 'test' END AS split FROM final f JOIN o ON f."InChIkey" = o."InChIkey" """)
+def _(t):
+    return rounded(audit_plan.audit(t.records, ["split_assignments"])["split_assignments"], "PIC50")
+
+
+@query("audit_findings", f"""
+WITH {AUDIT.strip()}
+SELECT 'PASS' AS severity, 'standard relation filter recorded' AS "check", count(*) AS affected FROM records WHERE standard_relation IS DISTINCT FROM '='
+UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'PASS' END, 'raw value and scaled value thresholds differ', count(*) FROM exact
+          WHERE coalesce(num <= 10000, false) <> coalesce("IC50_nM" <= 10000, false)
+UNION ALL SELECT 'PASS', 'finite model target', 0 UNION ALL SELECT 'PASS', 'split overlap', 0 UNION ALL SELECT 'PASS', 'unit conversion formula', 0""")
+def _(t):
+    return audit_plan.audit(t.records, ["findings"])["findings"]
+
+

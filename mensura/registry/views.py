@@ -81,3 +81,12 @@ SELECT event_type AS run, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INT) AS e
        round(avg(value), 6) AS metric
 FROM events GROUP BY event_type, CAST(ts AS DATE)
 """
+
+# One row per part with a few numbers, as a small feature table with groups.
+VIEWS["part_features"] = """
+SELECT p.p_partkey AS source_index, p.p_brand || '/' || CAST(p.p_size AS STRING) AS grp, p.p_name AS name,
+       CAST(p.p_size AS DOUBLE) AS size, p.p_retailprice AS retail, CAST(l.lines AS DOUBLE) AS lines, l.quantity, l.discount,
+       l.price AS target
+FROM part p JOIN (SELECT l_partkey, count(*) AS lines, avg(l_quantity) AS quantity, avg(l_discount) AS discount,
+                         avg(l_extendedprice) AS price FROM lineitem GROUP BY l_partkey) l ON p.p_partkey = l.l_partkey
+"""

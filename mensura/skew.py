@@ -95,10 +95,11 @@ def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
     """Exact interpolated quantiles per key by rank selection: ``keys`` + ``q`` (one entry per probability).
 
     Three counting passes narrow each wanted rank to a magnitude bucket, a slice of it, and a value. Each pass is a
-    map-side-combined count, so no task ever holds the rows of one key.
+    map-side-combined count, so no task ever holds the rows of one key. The keys travel as one struct, in which null
+    equals null, so that a null key keeps its rows through the joins.
     """
-    keys = list(keys)
-    rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_b", _magnitude_bucket(value))
+    names, keys = list(keys), ["_k"]
+    rows = df.select(F.struct(*names).alias("_k"), value).filter(F.col(value).isNotNull()).withColumn("_b", _magnitude_bucket(value))
 
     coarse = rows.groupBy(*keys, "_b").agg(
         F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
@@ -149,7 +150,7 @@ def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequ
         low = F.element_at("_at", F.floor(position).cast("long"))
         high = F.element_at("_at", F.ceil(position).cast("long"))
         parts.append(low + (position - F.floor(position)) * (high - low))
-    return cut(found.select(*keys, F.array(*parts).alias("q")))
+    return cut(found.select(*[F.col("_k")[n].alias(n) for n in names], F.array(*parts).alias("q")))
 
 
 def aggregate(

@@ -28,7 +28,9 @@ def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> tupl
         .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(full).csv(path)
     )
     good = rows.filter(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
-    return good, rows.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("line"))
+    # A scan of the corrupt column alone is refused, and a narrower scan would judge fewer fields: name all of them.
+    line = F.element_at(F.array(F.col(CORRUPT), *[F.col(f.name).cast("string") for f in schema.fields]), 1)
+    return good, rows.filter(F.col(CORRUPT).isNotNull()).select(line.alias("line"))
 
 
 def land_records(df: DataFrame, path: str, row_id: str = "source_index", mode: str = "errorifexists") -> DataFrame:

@@ -18,7 +18,7 @@ def landed_records(spark: SparkSession, folder: str, schema: T.StructType, patte
 
 def deduplicated(stream: DataFrame, row_id: str, time: str, delay: str = "1 hour") -> DataFrame:
     """Drop repeats of a record id that arrive within ``delay`` of event time; state older than that is freed."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([row_id])
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([row_id])
 
 
 def ingest_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

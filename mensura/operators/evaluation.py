@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions.columns import is_finite
 from mensura.operators.joins import join_one_to_one
-from mensura.operators.ranking import average_rank
+from mensura.operators.ranking import average_ranks
 from mensura.skew import HEAVY_ROWS, aggregate, beside, join_by_key
 
 
@@ -42,11 +42,9 @@ def regression_metrics(
     )
     if not spearman:
         return table
-    ranked = average_rank(average_rank(df.select(*by, actual, predicted), actual, by, "_ra"), predicted, by, "_rp")
-    rho = ranked.groupBy(*by).agg(_correlation(F.col("_ra"), F.col("_rp")).alias("spearman"))
-    if by:
-        return table.join(rho, list(by))
-    return table.withColumn("spearman", rho.scalar())
+    ranked = average_ranks(df.select(*by, a.cast("double").alias("_a"), p.cast("double").alias("_p")), ["_a", "_p"], by)
+    rho = ranked.groupBy(*by).agg(_correlation(F.col("_a_rank"), F.col("_p_rank")).alias("spearman"))
+    return table.join(rho, list(by)) if by else beside(table, rho)
 
 
 def _slope_p(df: DataFrame, x: str, y: str) -> float | None:
@@ -57,8 +55,8 @@ def _slope_p(df: DataFrame, x: str, y: str) -> float | None:
 
 def correlation_pvalue(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Two-sided p-values of Pearson and Spearman correlation: the t-test of the slope on values and on ranks."""
-    ranked = average_rank(average_rank(df.select(actual, predicted), actual, (), "_ra"), predicted, (), "_rp")
-    row = (_slope_p(df, predicted, actual), _slope_p(ranked, "_rp", "_ra"))
+    ranked = average_ranks(df.select(actual, predicted), [actual, predicted])
+    row = (_slope_p(df, predicted, actual), _slope_p(ranked, predicted + "_rank", actual + "_rank"))
     return df.sparkSession.createDataFrame([row], "pearson_p double, spearman_p double")
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.functions import columns as fn
-from mensura.skew import HEAVY_ROWS, join_by_key, ordered_prefix
+from mensura.session import cut
+from mensura.skew import HEAVY_ROWS, heavy_among, join_by_key, ordered_prefix
 
 
 def early_stopping(history: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
@@ -36,6 +37,18 @@ def early_stopping(history: DataFrame, run: str, epoch: str, metric: str, patien
     )
 
 
+def _rank_table(values: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """Distinct values with their number ``_n`` and mean rank ``_rank`` within ``by`` groups, cut to the shared folder."""
+    copies = values.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut(ordered_prefix(copies, [F.col(c) for c in [*by, column]], "_n"))
+    if by:
+        starts = placed.groupBy(*by).agg(F.min("before").alias("_start"))
+        placed = join_by_key(placed, starts, by, "left")
+    else:
+        placed = placed.withColumn("_start", F.lit(0))
+    return placed.select(*by, column, "_n", (F.col("before") - F.col("_start") + (F.col("_n") + 1) / 2).alias("_rank"))
+
+
 def average_rank(
     df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank", heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
@@ -43,16 +56,25 @@ def average_rank(
 
     Distinct values are counted and ordered, then joined back, so neither a tie nor a group meets in one task.
     """
+    keys = [*by, column]
+    ranks = _rank_table(df.filter(~fn.is_missing(column)).select(*keys), list(by), column)
+    heavy = heavy_among(ranks, keys, "_n", heavy_rows)
+    return join_by_key(df, ranks.select(*keys, F.col("_rank").alias(out)), keys, "left", heavy=heavy)
+
+
+def average_ranks(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), suffix: str = "_rank", heavy_rows: int = HEAVY_ROWS
+) -> DataFrame:
+    """:func:`average_rank` of several columns at once: all are counted and ordered in one pass."""
     by = list(by)
-    copies = df.filter(~fn.is_missing(column)).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    placed = ordered_prefix(copies, [F.col(c) for c in [*by, column]], "_n")
-    if by:
-        starts = placed.groupBy(*by).agg(F.min("before").alias("_start"))
-        placed = join_by_key(placed, starts, by, "left", heavy_rows)
-    else:
-        placed = placed.withColumn("_start", F.lit(0))
-    rank = F.col("before") - F.col("_start") + (F.col("_n") + 1) / 2
-    return join_by_key(df, placed.select(*by, column, rank.alias(out)), [*by, column], "left", heavy_rows)
+    cells = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).cast("double").alias("_value")) for c in columns])
+    values = df.select(*by, F.inline(cells)).filter(~fn.is_missing("_value"))
+    ranks = _rank_table(values, [*by, "_side"], "_value")
+    for c in columns:
+        mine = ranks.filter(F.col("_side") == c).select(*by, F.col("_value").alias(c), "_n", F.col("_rank").alias(c + suffix))
+        heavy = heavy_among(mine, [*by, c], "_n", heavy_rows)
+        df = join_by_key(df, mine.drop("_n"), [*by, c], "left", heavy=heavy)
+    return df
 
 
 def leaderboard(results: DataFrame, metric: str = "test_mae", ties: Sequence[str] = ("model", "features")) -> DataFrame:

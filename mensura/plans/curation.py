@@ -77,26 +77,25 @@ def production_stages(
     return stages
 
 
+def record_stages(df: DataFrame, names: Names = Names()) -> list[tuple[str, DataFrame]]:
+    """The row-wise stages of the audit order, before any grouping."""
+    valid = valid_records(cur.drop_all_null_columns(df), names)
+    identified = with_identity(valid, names)
+    unflagged = cur.filter_flag(identified, names.flag)
+    converted = convert(unflagged, names, default=0.0).withColumn(names.value, fn.to_number(names.value))
+    return [("raw", df), ("valid", valid), ("identified", identified), ("unflagged", unflagged), ("converted", converted)]
+
+
 def audit_stages(
     df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
 ) -> list[tuple[str, DataFrame]]:
     """Consensus first, then exact duplicates, relation, and the range of the raw value."""
-    stages = [("raw", df)]
-
-    def then(name: str, step: DataFrame) -> DataFrame:
-        stages.append((name, step))
-        return step
-
-    rows = then("valid", valid_records(cur.drop_all_null_columns(df), names))
-    rows = then("identified", with_identity(rows, names))
-    rows = then("unflagged", cur.filter_flag(rows, names.flag))
-    rows = convert(rows, names, default=0.0)
-    rows = then("converted", rows.withColumn(names.value, fn.to_number(names.value)))
-    rows = then("consistent", con.replicate_filter(rows, names.key, names.target, mad_max, heavy_rows))
-    rows = then("deduplicated", con.exact_dedup(rows, [names.key, names.cleaned, names.target], [names.row_id]))
-    rows = then("exact", cur.filter_censored(rows, names.relation))
-    then("in range", cur.filter_range(rows, names.value, above=None))
-    return stages
+    stages = record_stages(df, names)
+    consistent = con.replicate_filter(stages[-1][1], names.key, names.target, mad_max, heavy_rows)
+    single = con.exact_dedup(consistent, [names.key, names.cleaned, names.target], [names.row_id])
+    exact = cur.filter_censored(single, names.relation)
+    return [*stages, ("consistent", consistent), ("deduplicated", single), ("exact", exact),
+            ("in range", cur.filter_range(exact, names.value, above=None))]
 
 
 def curate(

@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.registry.views import VIEWS
+from mensura.sources.records import spread
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+WORDY = {"documents", "pages", "conversations", "events"}  # costly per row
+
 REGISTRY: dict[str, tuple[Callable[["Tables"], DataFrame], str | None]] = {}
 
 
@@ -48,9 +51,11 @@ class Tables:
         if name.startswith("_") or (name not in BASE and name not in VIEWS):
             raise AttributeError(name)
         if name not in self._seen:
-            self._seen[name] = (
-                self.spark.read.parquet(self.path(name)) if name in BASE else self.sql(VIEWS[name])
-            )
+            if name in BASE:
+                table = self.spark.read.parquet(self.path(name))
+                self._seen[name] = spread(table) if name in WORDY else table
+            else:
+                self._seen[name] = self.sql(VIEWS[name])
         return self._seen[name]
 
     def sql(self, text: str) -> DataFrame:

@@ -134,7 +134,7 @@ FROM u GROUP BY scope, unit, supported"""
 
 @query("unit_distribution", UNIT_DIST)
 def _(t):
-    scopes = dict(plan.audit_stages(t.records)[:4])
+    scopes = dict(plan.record_stages(t.records))
     table = st.unit_distribution({"raw": scopes["raw"], "unflagged": scopes["unflagged"]}, "standard_units", "standard_value",
                                  list(fixed.UNIT_FACTORS))
     return rounded(table, "value_min", "value_max", "value_median", "percent")
@@ -301,7 +301,7 @@ SELECT unit, source_index, raw, round(scaled, 6) AS scaled, round(target, 6) AS
        round(recomputed, 6) AS recomputed, coalesce(abs(scaled - expected) <= 1e-8 + 1e-5 * abs(expected), scaled IS NULL AND expected IS NULL) AS scaled_matches,
        coalesce(abs(target - recomputed) <= 1e-8 + 1e-5 * abs(recomputed), false) AS target_matches FROM e""")
 def _(t):
-    converted = dict(plan.audit_stages(t.records))["converted"]
+    converted = dict(plan.record_stages(t.records))["converted"]
     table = st.unit_conversion_check(converted, "original_standard_units", "standard_value", "IC50_nM", "PIC50")
     return rounded(table, "scaled", "target", "expected", "recomputed")
 

@@ -33,14 +33,14 @@ def find_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS)
 
     Knowing the answer while the plan is built keeps the common plan, without heavy keys, as short as a plain group-by.
     """
-    counted = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > heavy_rows)
-        .orderBy(F.desc("_rows"), *keys).limit(HEAVY_KEYS)
-        .select(*keys)
-    )
-    found = counted.collect()
-    return df.sparkSession.createDataFrame(found, counted.schema) if found else None
+    return heavy_among(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", heavy_rows)
+
+
+def heavy_among(counts: DataFrame, keys: Sequence[str], rows: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
+    """The same from a table that already holds the number of rows per key."""
+    largest = counts.filter(F.col(rows) > heavy_rows).orderBy(F.desc(rows), *keys).limit(HEAVY_KEYS).select(*keys)
+    found = largest.collect()
+    return counts.sparkSession.createDataFrame(found, largest.schema) if found else None
 
 
 def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:

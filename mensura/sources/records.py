@@ -33,6 +33,15 @@ def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> tupl
     return good, rows.filter(F.col(CORRUPT).isNotNull()).select(line.alias("line"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores to all cores; larger inputs stay as they are.
+
+    Meant for work that is heavy per row, such as long texts in a few unsplittable files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def land_records(df: DataFrame, path: str, row_id: str = "source_index", mode: str = "errorifexists") -> DataFrame:
     """Write records once with a row id that follows file order, and read them back; the id is fixed from then on."""
     df.withColumn(row_id, F.monotonically_increasing_id()).write.mode(mode).parquet(path)

@@ -2,7 +2,9 @@
 
 ``vertices(graph, v, label, ...)`` and ``edges(graph, src, dst, label, ...)`` with every edge stored once. Neighbour
 information is always combined by sums, minima or means, which merge before the shuffle, so a hub vertex or a giant
-graph is never gathered. Loops cut their lineage to the shared folder.
+graph is never gathered. Joins of edges with hubs take the heavy-key route or, inside the shrinking loops, adaptive
+execution's skew splitting: an edge meets one row per vertex, and what follows groups by the other end. Loops cut their
+lineage to the shared folder.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.session import cut
-from mensura.skew import aggregate
+from mensura.skew import aggregate, find_heavy, join_by_key
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -53,13 +55,14 @@ def _start(vertices: DataFrame) -> DataFrame:
     return vertices.select("graph", "v", F.md5(F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("h"))
 
 
-def neighborhood_round(state: DataFrame, directed: DataFrame) -> DataFrame:
+def neighborhood_round(state: DataFrame, directed: DataFrame, hubs: DataFrame | None | str = "find") -> DataFrame:
     """New hash of every vertex from its own and the multiset of (edge label, neighbour hash).
 
     The multiset enters through its size and two sums of hash pieces, so the order of neighbours does not matter.
+    ``hubs`` are the heavy ``graph, b`` keys of ``directed`` where known.
     """
     neighbours = state.select("graph", F.col("v").alias("b"), F.col("h").alias("_hb"))
-    seen = directed.join(neighbours, ["graph", "b"]).withColumn(
+    seen = join_by_key(directed, neighbours, ["graph", "b"], "inner", heavy=hubs).withColumn(
         "_m", F.md5(F.concat_ws(":", F.coalesce(F.col("label").cast("string"), F.lit("")), "_hb"))
     )
     sums = seen.groupBy("graph", F.col("a").alias("v")).agg(
@@ -75,9 +78,10 @@ def neighborhood_round(state: DataFrame, directed: DataFrame) -> DataFrame:
 def neighborhood_hashes(vertices: DataFrame, edges: DataFrame, rounds: int) -> list[DataFrame]:
     """Vertex hashes after 0, 1, ... ``rounds`` rounds."""
     directed = both_directions(edges.select("graph", "src", "dst", "label"))
+    hubs = find_heavy(directed, ["graph", "b"])
     states = [_start(vertices)]
     for i in range(rounds):
-        state = neighborhood_round(states[-1], directed)
+        state = neighborhood_round(states[-1], directed, hubs)
         states.append(cut(state) if i % 2 else state)
     return states
 
@@ -230,11 +234,12 @@ def message_passing(
     """Parameter-free rounds: every state column gains the mean over incoming neighbours of their state (plus the edge's
     ``weight``); a vertex without neighbours gains nothing."""
     directed = both_directions(edges.select("graph", "src", "dst", *([weight] if weight else [])))
+    hubs = find_heavy(directed, ["graph", "a"])
     now = vertices.select("graph", "v", *[F.col(c).cast("double").alias(c) for c in state])
     extra = F.col(weight).cast("double") if weight else F.lit(0.0)
     for i in range(steps):
         senders = now.select("graph", F.col("v").alias("a"), *state)
-        means = directed.join(senders, ["graph", "a"]).groupBy("graph", F.col("b").alias("v")).agg(
+        means = join_by_key(directed, senders, ["graph", "a"], "inner", heavy=hubs).groupBy("graph", F.col("b").alias("v")).agg(
             *[F.avg(F.col(c) + extra).alias("_m_" + c) for c in state]
         )
         now = now.join(means, ["graph", "v"], "left").select(

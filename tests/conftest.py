@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
+    session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="2", spark__ui__enabled="false",
                             spark__driver__memory="8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session

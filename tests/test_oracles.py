@@ -9,14 +9,14 @@ from mensura.registry.core import BASE
 
 NAMES = [
     "drop_all_null_columns", "filter_validity", "normalize_units", "neg_log_transform_default_zero", "partition_rejects",
-    "replicate_consensus", "replicate_consensus_heavy_keys", "curate_production", "curate_audit", "keep_first",
-    "attach_group_stats", "attach_group_stats_heavy_keys", "join_one_to_one", "split_overlap", "same_id_set", "missing_values",
-    "group_split", "group_split_heavy_keys", "seeded_group_holdout", "grouped_kfold", "random_split", "group_size_summary",
-    "top_share", "early_stopping", "average_rank_by_group", "number_stats", "number_stats_heavy_keys", "unit_distribution",
-    "relation_distribution", "replicate_stats", "mad_summary", "duplicate_signatures", "identity_mappings", "compare_filters",
+    "replicate_consensus", "replicate_consensus_heavy_keys", "curate_production", "keep_first",
+    "attach_group_stats_heavy_keys", "join_one_to_one", "split_overlap", "same_id_set", "missing_values",
+    "group_split_heavy_keys", "seeded_group_holdout", "grouped_kfold", "random_split", "group_size_summary",
+    "top_share", "early_stopping", "average_rank_by_group", "number_stats_heavy_keys", 
+    "relation_distribution", "replicate_stats", "mad_summary", "duplicate_signatures", "identity_mappings", 
     "dataset_hash", "unit_conversion_check", "token_fingerprint", "notation_descriptors", "impute_train_mean",
-    "correlation_filter", "feature_sanity", "bit_sanity", "neighborhood_fingerprint", "components", "core_keys",
-    "regression_metrics", "residual_histogram", "prediction_correlation", "wide_predictions", "stream_landed_records",
+    "correlation_filter", "feature_sanity", "bit_sanity", "neighborhood_fingerprint", "components", 
+    "regression_metrics", "prediction_correlation", "wide_predictions", "stream_landed_records",
 ]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,6 +114,11 @@ def chunk(c: Column, index: int, digits: int = 6) -> Column:
     return F.conv(F.substring(c, 1 + index * digits, digits), 16, 10).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row, wherever the optimizer copies the expression to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def median_of(values: Column) -> Column:
     """Median of a sorted, non-empty array."""
     n = F.size(values)

@@ -37,10 +37,11 @@ def replicate_profile(
 
 def _profile_in_arrays(rows: DataFrame, key: str, aggs: Sequence[Column]) -> DataFrame:
     grouped = rows.groupBy(key).agg(*aggs, F.array_sort(F.collect_list("_v")).alias("_values"))
-    grouped = grouped.withColumn("median", fn.median_of(F.col("_values")))
-    spread = F.array_sort(F.transform("_values", lambda x: F.abs(x - F.col("median"))))
-    grouped = grouped.withColumn("_spread", spread)
-    return grouped.withColumn("mad", fn.median_of(F.col("_spread"))).drop("_values", "_spread")
+    def spread(middle: Column) -> Column:
+        return fn.let(F.array_sort(F.transform("_values", lambda x: F.abs(x - middle))), fn.median_of)
+
+    median = fn.median_of(F.col("_values"))
+    return grouped.withColumns({"median": median, "mad": fn.let(median, spread)}).drop("_values")
 
 
 def with_replicate_mad(df: DataFrame, key: str, value: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:

@@ -44,11 +44,11 @@ def with_optional(df: DataFrame, name: str, dtype: str = "string") -> DataFrame:
 
 
 def filter_validity(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Drop rows whose flag text is in any list of bad texts; rows without a text stay."""
-    for name in rules:
-        df = with_optional(df, name)
-    bad = [F.coalesce(F.col(name).isin(list(texts)), F.lit(False)) for name, texts in rules.items()]
-    return df.filter(~reduce(lambda a, b: a | b, bad))
+    """Drop rows whose flag text is in any list of bad texts; rows without a text stay. A missing column drops nothing."""
+    for name, texts in rules.items():
+        if name in df.columns:
+            df = df.filter(F.col(name).isNull() | ~F.col(name).isin(list(texts)))
+    return df
 
 
 def filter_flag(df: DataFrame, flag: str, bad: int = 1) -> DataFrame:
@@ -92,12 +92,10 @@ def filter_range(
     df: DataFrame, column: str, above: float | None = 0.0, up_to: float | None = fixed.RANGE_MAX
 ) -> DataFrame:
     """``above < x <= up_to``; a bound of None is open. NaN is outside."""
-    x = fn.finite(column)
+    x = F.col(column)
     if above is not None:
         df = df.filter(x > above)
-    if up_to is not None:
-        df = df.filter(x <= up_to)
-    return df
+    return df.filter(x <= up_to) if up_to is not None else df.filter(~F.isnan(x))
 
 
 def with_reason(df: DataFrame, rules: Mapping[str, Column], out: str = "reason") -> DataFrame:

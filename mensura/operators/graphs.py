@@ -77,12 +77,11 @@ def neighborhood_round(state: DataFrame, directed: DataFrame, hubs: DataFrame |
 
 def neighborhood_hashes(vertices: DataFrame, edges: DataFrame, rounds: int) -> list[DataFrame]:
     """Vertex hashes after 0, 1, ... ``rounds`` rounds."""
-    directed = both_directions(edges.select("graph", "src", "dst", "label"))
+    directed = both_directions(cut(edges.select("graph", "src", "dst", "label")))
     hubs = find_heavy(directed, ["graph", "b"])
-    states = [_start(vertices)]
-    for i in range(rounds):
-        state = neighborhood_round(states[-1], directed, hubs)
-        states.append(cut(state) if i % 2 else state)
+    states = [cut(_start(vertices))]
+    for _ in range(rounds):
+        states.append(cut(neighborhood_round(states[-1], directed, hubs)))
     return states
 
 
@@ -233,7 +232,7 @@ def message_passing(
 ) -> DataFrame:
     """Parameter-free rounds: every state column gains the mean over incoming neighbours of their state (plus the edge's
     ``weight``); a vertex without neighbours gains nothing."""
-    directed = both_directions(edges.select("graph", "src", "dst", *([weight] if weight else [])))
+    directed = both_directions(cut(edges.select("graph", "src", "dst", *([weight] if weight else []))))
     hubs = find_heavy(directed, ["graph", "a"])
     now = vertices.select("graph", "v", *[F.col(c).cast("double").alias(c) for c in state])
     extra = F.col(weight).cast("double") if weight else F.lit(0.0)

@@ -196,11 +196,11 @@ def ordered_prefix(df: DataFrame, order: Sequence[Column], weight: str | None =
     """Add ``before`` (weight of all rows earlier in ``order``) and ``total`` without sorting in one task.
 
     Rows are range-partitioned, cut to the shared folder so the ranges stay fixed, and each range then adds its own
-    running sum to the weight of the ranges before it. ``order`` must be unique, so equal rows cannot pile up.
+    running sum to the weight of the ranges before it. ``order`` must be unique, so equal rows cannot pile up. Adaptive
+    execution chooses the number of ranges by merging neighbours.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     amount = F.col(weight) if weight else F.lit(1)
-    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranged.groupBy("_range").agg(F.sum(amount).alias("_size"))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import chat, decontaminate, quality, secrets
+from mensura.llm import bpe, chat, decontaminate, exchange, language, quality, secrets, tokenfiles, warc
+from mensura.llm.batches import tokenizer_file
+from mensura.llm.files import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +32,30 @@ def hex_sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+# --- 1: language ---------------------------------------------------------------------------------
+
+
+@query("op1_language")
+def op1(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    sample = language.labelled_sample(documents.filter(~language.held_out()), "text", "lang")
+    network = language.fit(sample) if sample else None
+    found = language.predict(documents.select("doc_id", "text"), network, keep=["doc_id"])
+    return found.withColumn("doc_id", F.col("row.doc_id")).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+# --- 2: sharding ---------------------------------------------------------------------------------
+
+
+@query("op2_shards")
+def op2(spark, folder):
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return exchange.shuffled(rows, 24).select(
+        "row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 # --- 3: chat formatting --------------------------------------------------------------------------
 
 
@@ -53,6 +79,29 @@ def op3(spark, folder):
     return chat.format_conversations(table(spark, folder, "conversations"))
 
 
+# --- 4: byte-level BPE -----------------------------------------------------------------------------
+
+
+@query("op4_bpe")
+def op4(spark, folder):
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), ranks, keep=["doc_id"])
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        hex_sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), hex_sha256(F.col("bytes")).alias("decoded_sha256"))
+
+
+# --- 6: token files --------------------------------------------------------------------------------
+
+
+@query("op6_token_files")
+def op6(spark, folder):
+    target = new_folder(spark, "tokens")
+    manifest = tokenfiles.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), target)
+    return tokenfiles.read_documents(spark, target, manifest)
+
+
 # --- 7: benchmark decontamination ------------------------------------------------------------------
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -121,6 +170,26 @@ def op8(spark, folder):
     )
 
 
+# --- 9: web archives -------------------------------------------------------------------------------
+
+
+@query("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), d AS (
+  SELECT page_id, strlen(h) AS payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+      lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * g + 1 AS INTEGER), 5) AS INTEGER) >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest
+  FROM p
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+""")
+def op9(spark, folder):
+    source, target = new_folder(spark, "warc"), new_folder(spark, "warc-members")
+    files = warc.write_monolithic(table(spark, folder, "pages"), source)
+    return warc.read_pages(spark, target, warc.normalise(spark, source, files, target))
+
+
 # --- 10: quality rules -----------------------------------------------------------------------------
 
 QUALITY_SQL = r"""

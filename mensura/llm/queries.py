@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, chat, decontaminate, exchange, language, quality, secrets, tokenfiles, warc
+from mensura.llm import bpe, chat, decontaminate, exchange, jaccard, language, quality, secrets, tokenfiles, warc
 from mensura.llm.batches import tokenizer_file
 from mensura.llm.files import new_folder
 
@@ -92,6 +92,27 @@ def op4(spark, folder):
         hex_sha256(F.concat_ws(" ", F.col("ids").cast("array<string>"))).alias("ids_sha256"), hex_sha256(F.col("bytes")).alias("decoded_sha256"))
 
 
+# --- 5: n-gram Jaccard join ------------------------------------------------------------------------
+
+
+@query("op5_jaccard_join", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + greatest(0, least(len(w), 3) - 1)], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)
+), r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+""")
+def op5(spark, folder):
+    return jaccard.linked_documents(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 # --- 6: token files --------------------------------------------------------------------------------
 
 

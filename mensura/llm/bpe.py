@@ -11,6 +11,7 @@ import base64
 import heapq
 from array import array
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,33 +66,48 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Places(dict):
+    """Numbers pre-tokens in the order in which they are first asked for, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self.new.append(piece)
+        self[piece] = at = len(self)
+        return at
+
+
 class Memory:
-    """Ids of pre-tokens seen so far, laid out flat so that whole pieces are looked up at once."""
+    """Ids of pre-tokens seen so far, laid out flat so that whole pieces are looked up at once.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[Sequence[int]]]):
+    ``encode`` gets the new pre-tokens of a piece and returns (all their ids, how many each has).
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat, self.start, self.size, self.bytes = array("i"), array("q"), array("i"), 0
+        self.place = _Places()
+        self.flat, self.size, self.bytes = array("i"), array("i"), 0
 
     def ids(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, how many each pre-token has)."""
         if len(self.place) > CACHED or self.bytes > CACHED_BYTES:
             self.clear()
-        missing = [s for s in dict.fromkeys(slices) if s not in self.place]
-        for s, ids in zip(missing, self.encode(missing) if missing else []):
-            self.place[s] = len(self.start)
-            self.start.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
-            self.bytes += len(s)
         at = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))
         if not len(at):
             return np.zeros(0, np.int32), at
-        start, size, flat = (np.frombuffer(a, k) for a, k in ((self.start, np.int64), (self.size, np.int32), (self.flat, np.int32)))
-        sizes = size[at].astype(np.int64)
+        if new := self.place.new:
+            ids, sizes = self.encode(new)
+            self.flat.frombytes(np.asarray(ids, np.int32).tobytes())
+            self.size.frombytes(np.asarray(sizes, np.int32).tobytes())
+            self.bytes += sum(map(len, new))
+            self.place.new = []
+        flat, size = np.frombuffer(self.flat, np.int32), np.frombuffer(self.size, np.int32).astype(np.int64)
+        start = np.cumsum(size) - size
+        sizes = size[at]
         return flat[ramps(start[at], sizes)], sizes  # copies: an array cannot grow while it is viewed
 
 
@@ -154,7 +170,11 @@ class _Coder:
     kept: dict = {}
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.memory = Memory(lambda slices: [merged(s, ranks) for s in slices])
+        def encode(slices):
+            ids = [merged(s, ranks) for s in slices]
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int32)
+
+        self.memory = Memory(encode)
         self.vocabulary = Vocabulary(ranks)
 
     @classmethod

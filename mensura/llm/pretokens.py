@@ -13,12 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 
-LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
+LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 5  # of a class; BLANK: white space other than the space
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 # Symbols of the automaton. A white-space symbol knows whether a visible character follows it, an apostrophe whether it and
 # the next one or two letters are a contraction.
-SYM_LETTER, SYM_NUMBER, SYM_OTHER, SPACE_LAST, SPACE_MORE, BLANK_LAST, BLANK_MORE, SHORT, LONG = range(9)
+SYM_LETTER, SYM_NUMBER, SYM_OTHER, SPACE_MORE, SPACE_LAST, BLANK_MORE, BLANK_LAST, SHORT, LONG = range(9)
 SYMBOLS = 9
 # States: what the code point before belongs to. FRESH: nothing that could go on.
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, ONE_LEFT, TWO_LEFT = range(8)
@@ -68,23 +68,15 @@ def classes() -> np.ndarray:
 def symbols(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The automaton's symbol of every code point; ``starts`` are the first code points of texts that are not empty."""
     n = len(points)
-    kind = classes()[points]
+    out = classes()[points]
     first = np.zeros(n + 3, bool)
     first[starts] = True
     first[n:] = True
-
-    def ahead(k: int, flags: np.ndarray) -> np.ndarray:
-        """The flag k places on, in the same text."""
-        out = np.zeros(n, bool)
-        out[: max(0, n - k)] = flags[k:]
-        for j in range(1, k + 1):
-            out &= ~first[j : j + n]
-        return out
-
-    visible_next = ahead(1, (kind != SPACE) & (kind != BLANK))
-    out = np.choose(kind, [SYM_LETTER, SYM_NUMBER, SYM_OTHER, SPACE_MORE, BLANK_MORE]).astype(np.uint8)
-    out[(kind == SPACE) & visible_next] = SPACE_LAST
-    out[(kind == BLANK) & visible_next] = BLANK_LAST
+    white = out >= SPACE
+    visible_next = np.zeros(n, bool)
+    visible_next[:-1] = ~white[1:]
+    visible_next &= ~first[1 : n + 1]
+    out += white & visible_next  # the symbol of white space before a visible character is the next number
     quotes = np.flatnonzero(points == 0x27)
     if len(quotes):
         padded = np.concatenate([points, np.zeros(2, points.dtype)])

@@ -4,8 +4,8 @@ A file holds blocks of ``BLOCK`` ids (the last may be shorter), each packed into
 the byte offset of every block, and for every document its id and the place of its first token; then a trailer. Any stretch
 of ids is read by the offsets of the blocks that hold it and unpacked by numpy. All numbers of the file are little-endian.
 
-Documents lie in ascending order of their ids, null first, over all files: files hold consecutive ranges. Documents with one id
-are ordered by their tokens' hash; equal ones are alike. Null texts count as empty; every document ends with one end id.
+Documents lie in ascending order of their ids, null first, over all files: files hold consecutive ranges. Documents that share an
+id stand in any order. Null texts count as empty; every document ends with one end id.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece, quoted
+from mensura.llm.batches import pieces, quoted
 from mensura.llm.bpe import Memory, encoded
 from mensura.llm.files import opened, written
-from mensura.session import cut
 
 MAGIC = b"IDPACK1\n"
 BLOCK = 1 << 15
@@ -152,24 +152,31 @@ class _Library:
     def one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, slices: list[bytes]) -> list[Sequence[int]]:
-        out: list = [None] * len(slices)
-        joined = [i for i, s in enumerate(slices) if s.strip() and not s.decode().isspace()] if self.newline is not None else []
-        for i in set(range(len(slices))).difference(joined):
-            out[i] = self.one(slices[i].decode())
-        for at in range(0, len(joined), 2000):
-            part = joined[at : at + 2000]
-            text = b"\n".join(slices[i] for i in part).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            groups = np.split(ids, np.flatnonzero(ids == self.newline))
-            for k, (i, g) in enumerate(zip(part, groups, strict=True)):
-                out[i] = (g[1:] if k else g).tolist()
-        return out
+    def encode(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens, how many each has).
+
+        Between line ends a pre-token stands as it does alone, unless it is white space, which would join them.
+        """
+        sizes, parts = np.zeros(len(slices), np.int64), []
+        alone = [i for i, s in enumerate(slices) if self.newline is None or s.isspace() or s.decode().isspace()]
+        edges = [-1, *alone, len(slices)]
+        for a, b in zip(edges, edges[1:]):
+            for at in range(a + 1, b, 2000):
+                to = min(b, at + 2000)
+                text = b"\n".join(slices[at:to]).decode()
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+                ends = np.flatnonzero(ids == self.newline)
+                sizes[at:to] = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+                parts.append(np.delete(ids, ends))
+            if b < len(slices):
+                parts.append(np.array(self.one(slices[b].decode()), np.int32))
+                sizes[b] = len(parts[-1])
+        return np.concatenate(parts), sizes
 
     @classmethod
     def of(cls, shared) -> _Library:
-        if shared.value is not cls.kept.get("content"):
-            cls.kept = {"content": shared.value, "library": cls(shared.value)}
+        if shared.value is not cls.kept.get("value"):
+            cls.kept = {"value": shared.value, "library": cls(shared.value[0])}
         return cls.kept["library"]
 
 
@@ -184,53 +191,90 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def token_rows(df: DataFrame, path: str, doc: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc, ids as bytes of ``2`` or ``4`` each): every text's ids with the end id."""
-    shared = df.sparkSession.sparkContext.broadcast(_content(path))
-    kind = np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
+MOST_FILES = 16_384
 
-    def work(texts):
-        ids, counts = encoded(_Library.of(shared).memory, texts)
-        ends = np.cumsum(counts + 1)
-        whole = np.full(int(ends[-1]), end_id, kind)
-        own = np.ones(len(whole), bool)
-        own[ends - 1] = False
-        whole[own] = ids
-        bounds = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
-        return {"ids": pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), pa.py_buffer(whole)])}
 
-    rows = each_piece(df, work, "ids binary", text, [doc])
-    return rows.select(F.col(f"row.{quoted(doc)}").cast("long").alias("doc"), "ids")
+def bounds_of(df: DataFrame, doc: str, files: int) -> np.ndarray:
+    """Document ids that part the table into about ``files`` ranges of like many documents; only the ids are read."""
+    shares = [i / files for i in range(1, files)]
+    if not shares:
+        return np.zeros(0, np.int64)
+    found = df.select(F.percentile_approx(F.col(quoted(doc)).cast("long"), shares, max(10_000, 10 * files)).alias("q")).first().q
+    return np.array(found or [], np.int64)
+
+
+def _ranges(names: pa.Array, bounds: np.ndarray, first: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range, salt) of documents; one id that fills several ranges is dealt over them in the order of the salt."""
+    salt = np.random.default_rng([place, first]).random(len(names))
+    missing = np.asarray(names.is_null())
+    ids = np.asarray(names.fill_null(0))
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    spot = low + np.floor(salt * (high - low + 1)).astype(np.int64)
+    return np.where(missing, 0, spot + 1).astype(np.int32), salt
+
+
+def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """(doc, ids as bytes of 2 or 4 each, range, salt): every text's ids with the end id; range 0 is that of null ids."""
+    shared = df.sparkSession.sparkContext.broadcast((_content(path), bounds))
+    kind = _kind(path)
+
+    def run(batches):
+        library, done, place = _Library.of(shared), 0, TaskContext.get().partitionId()
+        for piece in pieces(batches):
+            ids, counts = encoded(library.memory, piece.column("text").to_pylist())
+            ends = np.cumsum(counts + 1)
+            whole = np.full(int(ends[-1]), end_id, kind)
+            own = np.ones(len(whole), bool)
+            own[ends - 1] = False
+            whole[own] = ids
+            edges = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(whole)])
+            spot, salt = _ranges(piece.column("doc"), shared.value[1], done, place)
+            done += piece.num_rows
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), data, pa.array(spot), pa.array(salt)], ["doc", "ids", "range", "salt"])
+
+    rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc long, ids binary, range int, salt double")
+
+
+def _kind(path: str) -> np.dtype:
+    return np.dtype("<u2" if vocabulary_size(path) <= 1 << 16 else "<u4")
 
 
 def write_tokens(df: DataFrame, path: str, folder: str, doc: str = "doc_id", text: str = "text", end_id: int = 0,
-                 block: int = BLOCK) -> list[dict]:
-    """Write the ids of all texts to ``folder`` in ascending order of documents; the manifest has a row for each file."""
-    size = vocabulary_size(path)
-    bits, kind = width_of(size), np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    # Cut, so that texts are encoded once and ranges do not move; the salt lets equal documents fall into several ranges.
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("int")
-    rows = cut(token_rows(df, path, doc, text, end_id).select("doc", F.xxhash64("ids").alias("h"), salt.alias("salt"), "ids"))
-    order = [F.col("doc").asc_nulls_first(), "h", "salt"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids")
+                 block: int = BLOCK, files: int | None = None) -> list[dict]:
+    """Write the ids of all texts to ``folder`` in ascending order of documents; the manifest has a row for each file.
+
+    Ranges of documents become files (as many as the input has partitions, at most ``MOST_FILES``); their bounds come from the ids
+    alone, so texts are encoded once.
+    """
+    bits, kind = width_of(vocabulary_size(path)), _kind(path)
+    bounds = bounds_of(df, doc, min(MOST_FILES, files or max(1, df.rdd.getNumPartitions())))
+    rows = token_rows(df, path, bounds, doc, text, end_id)
+    ranged = rows.repartition("range").sortWithinPartitions("range", "doc", "salt").select("range", "doc", "ids")
+
+    def parts(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Rows of one range, in stretches."""
+        for batch in batches:
+            spots = np.asarray(batch.column("range"))
+            edges = [0, *(np.flatnonzero(np.diff(spots)) + 1).tolist(), len(spots)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    yield int(spots[a]), batch.slice(a, b - a)
 
     def run(batches):
-        writer, docs, place = None, 0, TaskContext.get().partitionId()
-        name = f"tokens-{place:06d}.bin"
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-        with written(folder, name) as out:
-            writer = Writer(out, bits, block)
-            for batch in (b for part in ([first], batches) for b in part):
-                texts = batch.column("ids")
-                ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-                data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
-                writer.add(batch.column("doc").to_pylist(), data, np.diff(ends).astype(np.int64) // kind.itemsize)
-                docs += batch.num_rows
-            writer.close()
-        yield pa.RecordBatch.from_pylist([{"file": name, "place": place, "n_docs": docs, "n_tokens": writer.n_ids}], _MANIFEST)
+        for spot, group in groupby(parts(batches), key=lambda x: x[0]):
+            name, docs = f"tokens-{spot:06d}.bin", 0
+            with written(folder, name) as out:
+                writer = Writer(out, bits, block)
+                for _, part in group:
+                    texts = part.column("ids")
+                    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+                    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
+                    writer.add(part.column("doc").to_pylist(), data, np.diff(ends).astype(np.int64) // kind.itemsize)
+                    docs += part.num_rows
+                writer.close()
+            yield pa.RecordBatch.from_pylist([{"file": name, "place": spot, "n_docs": docs, "n_tokens": writer.n_ids}], _MANIFEST)
 
     made = ranged.mapInArrow(run, MANIFEST).collect()  # a row for each file
     return sorted((r.asDict() for r in made), key=lambda r: r["place"])

@@ -8,6 +8,10 @@ Over many texts the groups are dealt into bands. Sets of sizes a and b that are
 meet in a cell (a band's point) of at least one band's tree, and cells are what Spark groups by. How many bands there are
 depends on the set's size, by classes of sizes; a set near the end of its class also appears in the next.
 
+Bands with one shingle or none say little: many texts meet there by chance. There are e bands more than d + 1, so linked texts agree
+in e + 1 at least; a set with at most e such thin bands leaves them out and still meets its partners in another, and only
+the rare set with more of them keeps them.
+
 Within cells, first every set is verified against the smallest set it shares a cell with, and links are contracted to components.
 Cells that then still hold several components are searched for pairs of different components by trees of at most
 ``BLOCK`` points a side, whose nodes keep the largest coordinates below them; survivors are verified on the sets themselves. Pairs
@@ -19,6 +23,7 @@ are never paired. Texts without words have the empty set and no links. A null id
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +39,11 @@ from mensura.session import cut
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 256  # coordinates of a point
-CELL_GROUPS = 64  # coordinates of a band
+CELL_BITS = 48  # of a hash, for the coordinate within a band: with few, unrelated texts would often meet in a cell
 BLOCK = 512
+THIN_SHARE = 0.023  # of the bands of a set that is smallest for its class, those with one shingle or none
 FILTER_BITS = 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_WEIGHTS = np.random.default_rng(5).integers(1, 1 << 24, (2, CELL_GROUPS)).astype(np.float64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,9 +82,15 @@ def most_different(total: int, percent: int = PERCENT) -> int:
     return total * (100 - percent) // (100 + percent)
 
 
+def spare_bands(bands: int) -> int:
+    """How many of the bands are allowed to be thin: about three deviations above what the thinnest sets of a class expect."""
+    expected = bands * THIN_SHARE
+    return math.ceil(expected + 3 * math.sqrt(expected))
+
+
 @lru_cache
-def size_classes(percent: int = PERCENT, upto: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest size of each class, its bands); no bands where only equal sets can be linked."""
+def size_classes(percent: int = PERCENT, upto: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smallest size, bands, spare bands) of each class; no bands where only equal sets can be linked."""
     first = [1]
     while first[-1] < upto:
         step = first[-1] * 3 // 2 + 1
@@ -87,35 +98,40 @@ def size_classes(percent: int = PERCENT, upto: int = 1 << 40) -> tuple[np.ndarra
             step = next(n for n in range(1, 1000) if most_different(2 * n, percent) or most_different(2 * n - 1, percent))
         first.append(max(step, first[-1] + 1))
     tops = [n - 1 for n in first[1:]] + [upto]
-    bands = [d + 1 if (d := most_different(2 * top, percent)) else 0 for top in tops]
-    return np.array(first), np.array(bands)
+    need = [d + 1 if (d := most_different(2 * top, percent)) else 0 for top in tops]
+    spare = [spare_bands(n) if n else 0 for n in need]
+    return np.array(first), np.array(need) + np.array(spare), np.array(spare)
 
 
 def cells(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """(cells of all sets in order, how many each set has)."""
-    first, bands = size_classes(percent)
+    first, bands, spare = size_classes(percent)
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    group = ((hashes >> np.uint64(40)) & np.uint64(CELL_GROUPS - 1)).astype(np.int64)
+    # A cell is known by two sums over its shingles, each of a 24-bit weight of the coordinate: exact in floating point.
+    weight = mixed((hashes >> np.uint64(64 - CELL_BITS)) * _A)
+    weights = [((weight >> np.uint64(b)) & np.uint64(0xFFFFFF)).astype(np.float64) for b in (0, 24)]
+    owner = np.repeat(np.arange(len(sets)), sizes)
     own = np.searchsorted(first, sizes, "right") - 1
     later = np.searchsorted(first, sizes * 100 // percent, "right") - 1
-    views = [(own, np.where(sizes > 0, bands[own], 0)), (later, np.where((sizes > 0) & (later > own), bands[later], 0))]
-    counts = views[0][1] + views[1][1]
-    begin = np.cumsum(counts) - counts
-    sums = np.zeros((2, int(counts.sum())))
-    label = np.zeros(sums.shape[1], np.uint64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    for which, k in views:
-        mine = np.repeat(k > 0, sizes)
-        each = k[owner][mine]
-        at = begin[owner][mine] + (hashes[mine] % each.astype(np.uint64)).astype(np.int64)
-        for s, w in zip(sums, _WEIGHTS):
-            s += np.bincount(at, w[group[mine]], len(s))
-        place = np.repeat(begin, k)
-        nth = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-        label[place + nth] = np.repeat(which, k).astype(np.uint64) * _C + nth.astype(np.uint64) * _D
-        begin = begin + k
-    return mixed(sums[0].astype(np.uint64) * _A + sums[1].astype(np.uint64) * _B + mixed(label)).view(np.int64), counts
+    found, owners = [], []
+    for which, there in ((own, sizes > 0), (later, (sizes > 0) & (later > own))):
+        k = np.where(there, bands[which], 0)
+        begin = np.cumsum(k) - k
+        mine = (k > 0)[owner]
+        at = begin[owner[mine]] + (hashes[mine] % k[owner[mine]].astype(np.uint64)).astype(np.int64)
+        total = int(k.sum())
+        one, two = (np.bincount(at, w[mine], total).astype(np.uint64) for w in weights)
+        whose = np.repeat(np.arange(len(sets)), k)
+        nth = np.arange(total) - np.repeat(begin, k)
+        label = which[whose].astype(np.uint64) * _C + nth.astype(np.uint64) * _D
+        thin = np.bincount(at, minlength=total) <= 1
+        few = np.bincount(whose[thin], minlength=len(sets)) <= spare[which]
+        keep = ~(thin & few[whose])
+        found.append(mixed(one * _A + two * _B + mixed(label))[keep])
+        owners.append(whose[keep])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    return np.concatenate(found)[order].view(np.int64), np.bincount(np.concatenate(owners), minlength=len(sets))
 
 
 def identities(sets: list[np.ndarray]) -> np.ndarray:
@@ -216,8 +232,7 @@ def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
 
     rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
     made = rows.mapInArrow(lambda batches: work(pieces(batches)), "doc long, c long, hashes binary")
-    wanted = wanted.select(F.col("c").alias("wc"), "head")
-    return made.join(wanted, (made["c"] == wanted["wc"]) & made["doc"].eqNullSafe(wanted["head"])).select("c", "hashes").dropDuplicates(["c"])
+    return made.join(wanted, "c").filter(F.col("doc").eqNullSafe(F.col("head"))).select("c", "hashes").dropDuplicates(["c"])
 
 
 def _hashes(column: pa.Array) -> list[np.ndarray]:

@@ -12,7 +12,7 @@ Bands with one shingle or none say little: many texts meet there by chance. Ther
 in e + 1 at least; a set with at most e such thin bands leaves them out and still meets its partners in another, and only
 the rare set with more of them keeps them.
 
-Within cells, first every set is verified against the smallest set it shares a cell with, and links are contracted to components.
+Within cells, first every set is verified against the cell's smallest, and links are contracted to components.
 Cells that then still hold several components are searched for pairs of different components by trees of at most
 ``BLOCK`` points a side, whose nodes keep the largest coordinates below them; survivors are verified on the sets themselves. Pairs
 within a component are never formed, so a group of near copies costs about one comparison for each copy.
@@ -239,24 +239,48 @@ def _hashes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked: first by the bound of their points, then by the sets."""
+def points_of(sets: DataFrame) -> DataFrame:
+    """(c, point) of every set."""
+    def run(batches):
+        for batch in batches:
+            made = [point(x).astype("<i4").tobytes() for x in _hashes(batch.column("hashes"))]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(made, pa.binary())], ["c", "point"])
+
+    return sets.mapInArrow(run, "c long, point binary")
+
+
+def _pairs_that(pairs: DataFrame, table: DataFrame, value: str, holds) -> DataFrame:
+    """The pairs (a, b) whose two values ``holds`` accepts."""
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                keep = []
-                for x, y in zip(_hashes(part.column("x")), _hashes(part.column("y"))):
-                    a, b = len(x), len(y)
-                    keep.append(bool(may_link(np.minimum(point(x), point(y)).sum(), a, b, percent)
-                                     and may_link(len(np.intersect1d(x, y, True)), a, b, percent)))
+                keep = [bool(holds(x, y)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = sets.select(F.col("c").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("c").alias("b"), F.col("hashes").alias("y"))
+    left, right = table.select(F.col("c").alias("a"), F.col(value).alias("x")), table.select(F.col("c").alias("b"), F.col(value).alias("y"))
     # The smaller set of a pair may be in very many: it is joined last, when rows are large enough for Spark to split them.
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def possible(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that the bound of their points lets through."""
+    def holds(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")
+        return may_link(np.minimum(p, q).sum(), p.sum(), q.sum(), percent)
+
+    return _pairs_that(pairs, points, "point", holds)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that are linked, by their sets."""
+    def holds(x: bytes, y: bytes) -> bool:
+        p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        return may_link(len(np.intersect1d(p, q, True)), len(p), len(q), percent)
+
+    return _pairs_that(pairs, sets, "hashes", holds)
+
+
 def _runs(table: pa.Table, names: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal values."""
     change = np.zeros(max(0, table.num_rows - 1), bool)
@@ -278,12 +302,14 @@ def _search_block(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]
     right = np.flatnonzero(side >= 1)  # 1: both sides
     tree = CountTree(points[right], sizes[right], labels[right])
     q, found = tree.search(points[left], sizes[left], labels[left], percent)
-    a, b = c[left[q]], c[right[found]]
-    differ = a != b
-    return np.maximum(a, b)[differ], np.minimum(a, b)[differ]
+    # A pair that shares several cells is left to the first of them.
+    cell, cells = rows.column("cell")[0].as_py(), [np.asarray(x.values) for x in rows.column("cells")]
+    first = [c[i] != c[j] and np.intersect1d(cells[i], cells[j], True)[0] == cell for i, j in zip(left[q], right[found])]
+    a, b = c[left[q]][first], c[right[found]][first]
+    return np.maximum(a, b), np.minimum(a, b)
 
 
-def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def across(members: DataFrame, points: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs (a > b) of different components, from members (cell, c, label), that the trees' bound lets through.
 
     Components of a block or more in a cell have blocks of their own, which are not searched against each other; smaller ones share
@@ -305,16 +331,13 @@ def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: i
     rows = members.join(dealt, ["cell", "label"]).select(
         "cell", "c", "label", F.struct("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("slot")).alias("node"))
     first = rows.join(pairs.withColumnRenamed("x", "node"), ["cell", "node"]).select(
-        "task", "c", "label", F.when(F.col("node") == F.col("y"), 1).otherwise(0).alias("side"))
-    second = rows.join(pairs.filter("x <> y").withColumnRenamed("y", "node"), ["cell", "node"]).select("task", "c", "label", F.lit(2).alias("side"))
-
-    def points(batches):
-        for batch in batches:
-            made = [point(x).astype("<i4").tobytes() for x in _hashes(batch.column("hashes"))]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(made, pa.binary())], ["c", "point"])
+        "task", "cell", "c", "label", F.when(F.col("node") == F.col("y"), 1).otherwise(0).alias("side"))
+    second = rows.join(pairs.filter("x <> y").withColumnRenamed("y", "node"), ["cell", "node"]).select("task", "cell", "c", "label", F.lit(2).alias("side"))
+    lists = members.groupBy("c").agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # as many as a set has bands
 
-    placed = first.union(second).join(sets.mapInArrow(points, "c long, point binary"), "c")
-    placed = placed.select("task", "side", "c", "label", "point").repartition("task").sortWithinPartitions("task")
+    described = points.join(lists, "c")
+    placed = first.union(second).join(described, "c")
+    placed = placed.select("task", "cell", "side", "c", "label", "point", "cells").repartition("task").sortWithinPartitions("task", "cell")
 
     def run(batches):
         held = None
@@ -324,7 +347,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT, block: i
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            runs = list(_runs(table, ["task"]))
+            runs = list(_runs(table, ["task", "cell"]))
             held = runs.pop().combine_chunks()  # its task may go on in the next batch
             for r in runs:
                 yield found(r)
@@ -350,10 +373,11 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
     members = cut(held.join(cut(shared), "cell").select("cell", "c", "low").distinct())
     sets = cut(_sets(df, doc, text, members.select("c").distinct().join(heads, "c")))
 
-    tried = cut(members.filter("c <> low").groupBy("c").agg(F.min("low").alias("b")).select(F.col("c").alias("a"), "b"))
-    near = cut(verified(tried, sets, percent))
+    points = cut(points_of(sets))
+    tried = cut(members.filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct())
+    near = cut(verified(cut(possible(tried, points, percent)), sets, percent))
     named = members.select("cell", "c").join(components(near), "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
-    more = across(cut(named), sets, percent, block).join(tried, ["a", "b"], "left_anti")
+    more = across(cut(named), points, percent, block).join(tried, ["a", "b"], "left_anti")
     labels = components(near.union(verified(cut(more), sets, percent)))
     return documents, heads.join(labels, "c", "left").select("c", "head", F.coalesce("label", "c").alias("label"))
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mensura.llm.batches import each_piece
+from mensura.llm.batches import each_piece, lean
 from mensura.llm.pretokens import sliced
 
-CACHED = 1_000_000  # different pre-tokens that a task keeps at once
+CACHED = 400_000  # different pre-tokens that a worker keeps at once
 CACHED_BYTES = 64 << 20
 MOST_RANKS = 2_000_000  # the bound of what is broadcast
 
@@ -84,8 +84,8 @@ class Memory:
     ``encode`` gets the new pre-tokens of a piece and returns (all their ids, how many each has).
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = CACHED):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -94,7 +94,7 @@ class Memory:
 
     def ids(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, how many each pre-token has)."""
-        if len(self.place) > CACHED or self.bytes > CACHED_BYTES:
+        if len(self.place) > self.most or self.bytes > CACHED_BYTES:
             self.clear()
         at = np.fromiter(map(self.place.__getitem__, slices), np.int64, len(slices))
         if not len(at):
@@ -224,4 +224,4 @@ def decode(rows: DataFrame, ranks_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), made], ["row", "ids", "bytes"])
                 at = to
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece
+from mensura.llm.batches import each_piece, lean
 
 WINDOW = 13
 MAX_WINDOWS = 500_000  # words of the items in one broadcast: about 100 MB in a task
@@ -220,4 +220,4 @@ def cut_spans(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
             columns = [pa.array(cleaned, pa.string()) if n == text else rows.field(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return found.select("row", "spans").mapInArrow(run, schema)
+    return found.select("row", "spans").mapInArrow(lean(run), schema)

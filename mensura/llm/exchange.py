@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mensura.llm.batches import quoted
+from mensura.llm.batches import lean, quoted
 from mensura.session import cut
 
 ROWS_PER_CELL = 16_384
@@ -95,7 +95,7 @@ def shuffled(df: DataFrame, shards: int, seed: int = 0, rows_per_cell: int = ROW
                 plans[src] = (goes, at + len(mine))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cell), batch.column("src"), pa.array(place)], ["row", "cell", "src", "place"])
 
-    sent = rows.mapInArrow(deal, schema)
+    sent = rows.mapInArrow(lean(deal), schema)
     again = Window.partitionBy("cell").orderBy(F.xxhash64(F.lit(seed), "src", "place"), "src", "place")
     inside = F.col("cell") % per_shard
     shard = F.floor(F.col("cell") / per_shard).cast("int")

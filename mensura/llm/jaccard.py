@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece, pieces, quoted
+from mensura.llm.batches import each_piece, lean, pieces, quoted
 from mensura.llm.links import components
 from mensura.session import cut
 
@@ -220,8 +220,8 @@ def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(np.unpackbits(found.view(np.uint8), bitorder="little"))
 
     def work(batches):
-        for batch in batches:
-            texts, docs = batch.column("text").to_pylist(), batch.column("doc")
+        for batch, texts in pieces(batches):
+            docs = batch.column("doc")
             sets = shingle_sets(texts)
             c = identities(sets)
             bits = (c ^ np.asarray(docs.fill_null(-1))) & mask
@@ -231,7 +231,7 @@ def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
                 docs.take(pa.array(keep)), pa.array(c[keep]), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], ["doc", "c", "hashes"])
 
     rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
-    made = rows.mapInArrow(lambda batches: work(pieces(batches)), "doc long, c long, hashes binary")
+    made = rows.mapInArrow(lean(work), "doc long, c long, hashes binary")
     return made.join(wanted, "c").filter(F.col("doc").eqNullSafe(F.col("head"))).select("c", "hashes").dropDuplicates(["c"])
 
 
@@ -246,7 +246,7 @@ def points_of(sets: DataFrame) -> DataFrame:
             made = [point(x).astype("<i4").tobytes() for x in _hashes(batch.column("hashes"))]
             yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(made, pa.binary())], ["c", "point"])
 
-    return sets.mapInArrow(run, "c long, point binary")
+    return sets.mapInArrow(lean(run), "c long, point binary")
 
 
 def _pairs_that(pairs: DataFrame, table: DataFrame, value: str, holds) -> DataFrame:
@@ -260,7 +260,7 @@ def _pairs_that(pairs: DataFrame, table: DataFrame, value: str, holds) -> DataFr
 
     left, right = table.select(F.col("c").alias("a"), F.col(value).alias("x")), table.select(F.col("c").alias("b"), F.col(value).alias("y"))
     # The smaller set of a pair may be in very many: it is joined last, when rows are large enough for Spark to split them.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def possible(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -358,7 +358,7 @@ def across(members: DataFrame, points: DataFrame, percent: int = PERCENT, block:
         a, b = _search_block(rows, percent)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

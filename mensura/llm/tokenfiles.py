@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import pieces, quoted
+from mensura.llm.batches import lean, pieces, quoted
 from mensura.llm.bpe import Memory, encoded
 from mensura.llm.files import opened, written
 
@@ -147,7 +147,7 @@ class _Library:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         newline = self.one("\n")
         self.newline = newline[0] if len(newline) == 1 and self.one("a\nb")[1:2] == newline else None
-        self.memory = Memory(self.encode)
+        self.memory = Memory(self.encode, 1_000_000)
 
     def one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -220,8 +220,8 @@ def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id"
 
     def run(batches):
         library, done, place = _Library.of(shared), 0, TaskContext.get().partitionId()
-        for piece in pieces(batches):
-            ids, counts = encoded(library.memory, piece.column("text").to_pylist())
+        for piece, texts in pieces(batches):
+            ids, counts = encoded(library.memory, texts)
             ends = np.cumsum(counts + 1)
             whole = np.full(int(ends[-1]), end_id, kind)
             own = np.ones(len(whole), bool)
@@ -234,7 +234,7 @@ def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id"
             yield pa.RecordBatch.from_arrays([piece.column("doc"), data, pa.array(spot), pa.array(salt)], ["doc", "ids", "range", "salt"])
 
     rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc long, ids binary, range int, salt double")
+    return rows.mapInArrow(lean(run), "doc long, ids binary, range int, salt double")
 
 
 def _kind(path: str) -> np.dtype:
@@ -276,7 +276,7 @@ def write_tokens(df: DataFrame, path: str, folder: str, doc: str = "doc_id", tex
                 writer.close()
             yield pa.RecordBatch.from_pylist([{"file": name, "place": spot, "n_docs": docs, "n_tokens": writer.n_ids}], _MANIFEST)
 
-    made = ranged.mapInArrow(run, MANIFEST).collect()  # a row for each file
+    made = ranged.mapInArrow(lean(run), MANIFEST).collect()  # a row for each file
     return sorted((r.asDict() for r in made), key=lambda r: r["place"])
 
 
@@ -307,7 +307,7 @@ def read_documents(spark: SparkSession, folder: str, manifest: Sequence[dict]) -
                             pa.array(np.diff(begins)), pa.array([zlib.crc32(data[x:y]) for x, y in zip(edges, edges[1:])], pa.int64()),
                         ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(files), 1, len(files)).mapInArrow(run, READ)
+    return spark.range(0, len(files), 1, len(files)).mapInArrow(lean(run), READ)
 
 
 def read_slice(folder: str, manifest: Sequence[dict], start: int, end: int) -> np.ndarray:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece, quoted
+from mensura.llm.batches import each_piece, lean, quoted
 from mensura.llm.files import opened, written
 from mensura.session import cut
 
@@ -118,7 +118,7 @@ def write_monolithic(pages: DataFrame, folder: str, page: str = "page_id", url:
             out.write(squeeze.flush())
         yield pa.RecordBatch.from_pylist([{"file": name, "n_records": n}], _FILES)
 
-    return sorted(r.file for r in rows.mapInArrow(run, FILES).collect())
+    return sorted(r.file for r in rows.mapInArrow(lean(run), FILES).collect())
 
 
 def _each_file(spark: SparkSession, files: Sequence[str], work, columns: str) -> DataFrame:
@@ -132,7 +132,7 @@ def _each_file(spark: SparkSession, files: Sequence[str], work, columns: str) ->
             for i in batch.column(0).to_pylist():
                 yield from work(files[i])
 
-    return spark.range(0, len(files), 1, len(files)).mapInArrow(run, columns)
+    return spark.range(0, len(files), 1, len(files)).mapInArrow(lean(run), columns)
 
 
 def normalise(spark: SparkSession, source: str, files: Sequence[str], target: str) -> list[str]:

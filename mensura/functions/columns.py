@@ -16,9 +16,12 @@ def _col(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """Tolerant parse: text that is no number becomes null. Java-only spellings (``5d``, ``0x1p3``) are no numbers."""
-    c = _col(c)
-    odd = F.coalesce(c.cast("string").rlike(r"(?i)^\s*[+-]?0x|[0-9.][df]\s*$"), F.lit(False))
-    return F.when(~odd, c.try_cast("double"))
+    def parsed(text: Column) -> Column:
+        head = F.lower(F.substring(F.ltrim(text, F.lit("+-")), 1, 2))
+        suffix = F.lower(F.substring(text, -1, 1)).isin("d", "f") & F.substring(text, -2, 1).between(".", "9")
+        return F.when((head != "0x") & ~suffix, text.try_cast("double"))
+
+    return let(F.trim(_col(c).cast("string"), F.lit(" \t\n\r\f\x0b")), parsed)
 
 
 def finite(c: Column | str) -> Column:
@@ -72,7 +75,8 @@ def null_label(c: Column | str, label: str = fixed.NULL_LABEL) -> Column:
 
 
 def fill_group(c: Column | str, sentinel: str = fixed.NO_GROUP) -> Column:
-    return F.coalesce(_col(c), F.lit(sentinel))
+    """The group as text, or the sentinel."""
+    return F.coalesce(_col(c).cast("string"), F.lit(sentinel))
 
 
 def one_hot(c: Column | str, choices: Iterable, prefix: str) -> list[Column]:

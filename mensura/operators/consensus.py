@@ -9,65 +9,42 @@ from pyspark.sql import functions as F
 
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
-from mensura.skew import HEAVY_ROWS, find_heavy, join_by_key, select_quantiles, split_heavy
+from mensura.session import cut
+from mensura.skew import join_by_key, select_quantiles
 
 
-def replicate_profile(
-    df: DataFrame, key: str, value: str, aggs: Sequence[Column] = (), heavy_rows: int = HEAVY_ROWS,
-    heavy: DataFrame | None | str = "find",
-) -> DataFrame:
+def replicate_profile(df: DataFrame, key: str, value: str, aggs: Sequence[Column] = ()) -> DataFrame:
     """Per key: ``median``, ``mad`` and any further aggregates. Rows without a key belong to no group.
 
-    The values of a light key fit in one array, which gives both medians in a single shuffle. Heavy keys select both
-    medians by rank.
+    Both medians are picked from an order of all keys' distinct values, so a key may have any number of rows.
     """
     rows = df.filter(F.col(key).isNotNull()).withColumn("_v", fn.finite(value))
-    if isinstance(heavy, str):
-        heavy = find_heavy(rows, [key], heavy_rows)
-    if heavy is None:
-        return _profile_in_arrays(rows, key, aggs)
-    light_rows, hot_rows = split_heavy(rows, [key], heavy)
-    first = select_quantiles(hot_rows, [key], "_v", [0.5]).select(key, F.col("q")[0].alias("median"))
-    away = hot_rows.join(F.broadcast(first), key).withColumn("_away", F.abs(F.col("_v") - F.col("median")))
-    second = select_quantiles(away, [key], "_away", [0.5]).select(key, F.col("q")[0].alias("mad"))
-    deep = hot_rows.groupBy(key).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")])).drop("_unused")
-    deep = deep.join(first, key, "left").join(second, key, "left")
-    return _profile_in_arrays(light_rows, key, aggs).unionByName(deep)
-
-
-def _profile_in_arrays(rows: DataFrame, key: str, aggs: Sequence[Column]) -> DataFrame:
-    grouped = rows.groupBy(key).agg(*aggs, F.array_sort(F.collect_list("_v")).alias("_values"))
-    def spread(middle: Column) -> Column:
-        return fn.let(F.array_sort(F.transform("_values", lambda x: F.abs(x - middle))), fn.median_of)
+    middle = cut(select_quantiles(rows, [key], {"median": ("_v", 0.5)}))
+    away = join_by_key(rows.select(key, "_v"), middle, [key], "inner").withColumn("_away", F.abs(F.col("_v") - F.col("median")))
+    spread = select_quantiles(away, [key], {"mad": ("_away", 0.5)})
+    grouped = rows.groupBy(key).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")])).drop("_unused")
+    return join_by_key(join_by_key(grouped, middle, [key]), spread, [key])
 
-    median = fn.median_of(F.col("_values"))
-    return grouped.withColumns({"median": median, "mad": fn.let(median, spread)}).drop("_values")
 
-
-def with_replicate_mad(df: DataFrame, key: str, value: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def with_replicate_mad(df: DataFrame, key: str, value: str) -> DataFrame:
     """Every row with its group's ``median``, its own ``deviation`` and the group's ``mad``; null for keyless rows."""
-    heavy = find_heavy(df, [key], heavy_rows)
-    profile = replicate_profile(df, key, value, heavy=heavy)
-    joined = join_by_key(df, profile, [key], "left", heavy=heavy)
+    joined = join_by_key(df, replicate_profile(df, key, value), [key], "left")
     return joined.withColumn("deviation", F.abs(F.col(value) - F.col("median")))
 
 
-def replicate_filter(
-    df: DataFrame, key: str, value: str, mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
-) -> DataFrame:
+def replicate_filter(df: DataFrame, key: str, value: str, mad_max: float = fixed.MAD_MAX) -> DataFrame:
     """All rows of the keys that pass the gate, their value replaced by the group median."""
-    heavy = find_heavy(df, [key], heavy_rows)
-    profile = replicate_profile(df, key, value, heavy=heavy).filter(F.col("mad") <= mad_max)
-    joined = join_by_key(df, profile.select(key, "median"), [key], "inner", heavy=heavy)
+    profile = replicate_profile(df, key, value).filter(F.col("mad") <= mad_max)
+    joined = join_by_key(df, profile.select(key, "median"), [key], "inner")
     return joined.withColumn(value, F.col("median")).select(*df.columns)
 
 
 def replicate_consensus(
-    df: DataFrame, key: str, value: str, order: str, mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, key: str, value: str, order: str, mad_max: float = fixed.MAD_MAX
 ) -> DataFrame:
     """One row per key that passes the gate: the first row by ``order``, its value replaced by the group median."""
     first = F.min_by(F.struct(*[F.col(c) for c in df.columns if c != key]), order).alias("_first")
-    profile = replicate_profile(df, key, value, [first], heavy_rows).filter(F.col("mad") <= mad_max)
+    profile = replicate_profile(df, key, value, [first]).filter(F.col("mad") <= mad_max)
     kept = [
         F.col(c) if c == key else F.col("median").alias(c) if c == value else F.col("_first")[c].alias(c)
         for c in df.columns

@@ -12,19 +12,10 @@ from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 
 
-def drop_all_null_columns(df: DataFrame, first_rows: int = 10_000) -> DataFrame:
-    """Drop columns that hold no value; the resulting columns depend on the data.
-
-    A look at some first rows clears most columns. Only those still without a value are read in full.
-    """
-    def empty(rows: DataFrame, names: list[str]) -> list[str]:
-        if not names:
-            return []
-        held = rows.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(names)]).first()
-        return [c for c, n in zip(names, held) if n == 0]
-
-    unsure = empty(df.limit(first_rows), df.columns)
-    return df.drop(*empty(df, unsure))
+def drop_all_null_columns(df: DataFrame) -> DataFrame:
+    """Drop columns that hold no value. The columns of the result depend on the data, so one aggregate runs at once."""
+    held = df.agg(*[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    return df.drop(*[c for c, some in zip(df.columns, held) if not some])
 
 
 def drop_if_present(df: DataFrame, names: Sequence[str] = tuple(fixed.PRUNED_COLUMNS)) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.functions.columns import is_finite
+from mensura.functions.columns import finite, is_finite
 from mensura.operators.joins import join_one_to_one
 from mensura.operators.ranking import average_ranks
-from mensura.skew import HEAVY_ROWS, aggregate, beside, join_by_key
+from mensura.skew import aggregate, beside, join_by_key
 
 
 def residuals(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -44,7 +44,7 @@ def regression_metrics(
         return table
     ranked = average_ranks(df.select(*by, a.cast("double").alias("_a"), p.cast("double").alias("_p")), ["_a", "_p"], by)
     rho = ranked.groupBy(*by).agg(_correlation(F.col("_a_rank"), F.col("_p_rank")).alias("spearman"))
-    return table.join(rho, list(by)) if by else beside(table, rho)
+    return join_by_key(table, rho, by, "left", null_safe=True) if by else beside(table, rho)
 
 
 def _slope_p(df: DataFrame, x: str, y: str) -> float | None:
@@ -60,20 +60,25 @@ def correlation_pvalue(df: DataFrame, actual: str = "actual", predicted: str = "
     return df.sparkSession.createDataFrame([row], "pearson_p double, spearman_p double")
 
 
-def residual_box(df: DataFrame, model: str = "model", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Box-plot numbers of the residuals per model."""
-    return aggregate(df, [model], [
+def residual_box(df: DataFrame, model: str = "model") -> DataFrame:
+    """Box-plot numbers of the finite residuals per model; a null model is a model."""
+    rows = df.withColumn("residual", finite("residual"))
+    return aggregate(rows, [model], [
         F.count("residual").alias("count"), F.min("residual").alias("min"), F.max("residual").alias("max"),
-    ], {"q1": ("residual", 0.25), "median": ("residual", 0.5), "q3": ("residual", 0.75)}, heavy_rows)
+    ], {"q1": ("residual", 0.25), "median": ("residual", 0.5), "q3": ("residual", 0.75)})
 
 
 def residual_histogram(df: DataFrame, model: str = "model", bins: int = 30) -> DataFrame:
-    """Equal-width bins between the smallest and largest residual per model; the last bin includes its upper edge."""
+    """Equal-width bins between the smallest and largest finite residual per model; the last bin includes its upper edge.
+
+    A null model is a model; residuals that do not vary fall in the middle bin.
+    """
+    df = df.select(model, finite("residual").alias("residual")).filter(F.col("residual").isNotNull())
     ranges = df.groupBy(model).agg(F.min("residual").alias("_lo"), F.max("residual").alias("_hi"))
-    rows = join_by_key(df.select(model, "residual"), ranges, [model])
+    rows = join_by_key(df, ranges, [model], "inner", null_safe=True)
     width = F.col("_hi") - F.col("_lo")
     place = F.when(width > 0, F.floor((F.col("residual") - F.col("_lo")) / width * bins)).otherwise(F.lit(bins // 2))
-    return rows.filter(F.col("residual").isNotNull()).groupBy(
+    return rows.groupBy(
         model, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")
     ).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,29 +166,56 @@ def bit_variance_filter(
     return table.select("bit", (p * (1 - p)).alias("variance"), (p * (1 - p) > threshold).alias("kept"))
 
 
+def _pair_sums(width: int):
+    """Per task: for every pair of columns the sums over the rows in which both have a value."""
+    names = ["n", "x", "y", "xx", "yy", "xy"]
+
+    def run(batches):
+        sums = np.zeros((6, width, width))
+        for batch in batches:
+            values = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            held = np.isfinite(values).astype(float)
+            x = np.where(held > 0, values, 0.0)
+            first, square, product = x.T @ held, (x * x).T @ held, x.T @ x
+            sums += [held.T @ held, first, first.T, square, square.T, product]
+        i, j = np.triu_indices(width, 1)
+        columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(s[i, j]) for s in sums]]
+        yield pa.RecordBatch.from_arrays(columns, ["i", "j", *names])
+
+    return run, "i int, j int, " + ", ".join(f"{n} double" for n in names)
+
+
 def correlation_filter(
     df: DataFrame, columns: Sequence[str], threshold: float = fixed.CORRELATION_MAX, split: str = "split"
 ) -> DataFrame:
     """Per feature: its largest absolute correlation with an earlier feature over train rows, and whether it is kept.
 
-    An earlier feature counts even if it is dropped itself; an undefined correlation never drops. Rows are reduced to
-    the column-by-column matrix on the executors; only that matrix reaches the driver.
+    An earlier feature counts even if it is dropped itself. A pair is judged by the rows in which both have a finite
+    value; where either does not vary there the correlation is undefined and never drops. Each task reduces its rows to the
+    sums of all pairs, which are added up and judged on the executors.
     """
-    train = df.filter(F.col(split) == "train").select(*[F.col(c).cast("double").alias(c) for c in columns])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v", handleInvalid="error").transform(train)
-    matrix = np.abs(Correlation.corr(vectors.select("_v"), "_v").first()[0].toArray())
-    rows = []
-    for j, name in enumerate(columns):
-        earlier = matrix[:j, j]
-        earlier = earlier[~np.isnan(earlier)]
-        highest = float(earlier.max()) if earlier.size else None
-        rows.append((name, highest, highest is None or highest <= threshold))
-    return df.sparkSession.createDataFrame(rows, "feature string, highest double, kept boolean")
-
-
-def kept_features(table: DataFrame) -> list[str]:
-    """Names kept by a selection table, in their natural order; as many as there are columns at most."""
-    return sorted(r["feature"] for r in table.filter("kept").select("feature").collect())
+    columns = list(columns)
+    train = df.filter(F.col(split) == "train").select(*[fn.finite(F.col(c).cast("double")).alias(c) for c in columns])
+    # Distances from the mean: sums of squares of large numbers would lose the small differences.
+    means = train.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias("_m_" + c) for c in columns])
+    centred = beside(train, means).select(*[(F.col(c) - F.col("_m_" + c)).alias(c) for c in columns])
+    run, schema = _pair_sums(len(columns))
+    sums = centred.mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    left, right = F.col("xx") - x * x / n, F.col("yy") - y * y / n
+    varies = (n > 1) & (left > 1e-14 * F.col("xx")) & (right > 1e-14 * F.col("yy"))
+    size = F.when(varies, F.least(F.lit(1.0), F.abs(F.col("xy") - x * y / n) / F.sqrt(left * right)))
+    highest = sums.filter(n > 0).groupBy("j").agg(F.max(size).alias("highest"))
+    listed = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(c).alias("feature")) for i, c in enumerate(columns)])
+    every = df.sparkSession.range(1).select(F.inline(listed))
+    judged = every.join(highest, "j", "left")
+    return judged.select("feature", "highest", F.coalesce(F.col("highest") <= threshold, F.lit(True)).alias("kept"))
+
+
+def kept_features(table: DataFrame, columns: Sequence[str]) -> list[str]:
+    """Names kept by a selection table, in the order of the columns; as many as there are columns at most."""
+    kept = {r["feature"] for r in table.filter("kept").select("feature").collect()}
+    return [c for c in columns if c in kept]
 
 
 def attach_selected(

@@ -2,14 +2,15 @@
 
 ``vertices(graph, v, label, ...)`` and ``edges(graph, src, dst, label, ...)`` with every edge stored once. Neighbour
 information is always combined by sums, minima or means, which merge before the shuffle, so a hub vertex or a giant
-graph is never gathered. Joins of edges with hubs take the heavy-key route or, inside the shrinking loops, adaptive
-execution's skew splitting: an edge meets one row per vertex, and what follows groups by the other end. Loops cut their
-lineage to the shared folder.
+graph is never gathered. Edges meet vertices by ``join_by_key``, whose hot partitions adaptive execution can split. Loops
+cut their lineage to the shared folder and go on until nothing changes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.session import cut
-from mensura.skew import aggregate, find_heavy, join_by_key
+from mensura.skew import aggregate, join_by_key
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -55,33 +56,40 @@ def _start(vertices: DataFrame) -> DataFrame:
     return vertices.select("graph", "v", F.md5(F.coalesce(F.col("label").cast("string"), F.lit(""))).alias("h"))
 
 
-def neighborhood_round(state: DataFrame, directed: DataFrame, hubs: DataFrame | None | str = "find") -> DataFrame:
+PIECES = range(4)  # of 24 bits each, in which hashes are added up
+
+
+def _sums(h: str, name: str) -> list[Column]:
+    return [F.sum(fn.chunk(F.col(h), i)).alias(f"{name}{i}") for i in PIECES]
+
+
+def neighborhood_round(state: DataFrame, directed: DataFrame) -> DataFrame:
     """New hash of every vertex from its own and the multiset of (edge label, neighbour hash).
 
-    The multiset enters through its size and two sums of hash pieces, so the order of neighbours does not matter.
-    ``hubs`` are the heavy ``graph, b`` keys of ``directed`` where known.
+    The multiset enters through its size and four sums of hash pieces, so the order of neighbours does not matter.
     """
     neighbours = state.select("graph", F.col("v").alias("b"), F.col("h").alias("_hb"))
-    seen = join_by_key(directed, neighbours, ["graph", "b"], "inner", heavy=hubs).withColumn(
+    seen = join_by_key(directed, neighbours, ["graph", "b"], "inner").withColumn(
         "_m", F.md5(F.concat_ws(":", F.coalesce(F.col("label").cast("string"), F.lit("")), "_hb"))
     )
-    sums = seen.groupBy("graph", F.col("a").alias("v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(fn.chunk(F.col("_m"), 0)).alias("_s0"), F.sum(fn.chunk(F.col("_m"), 1)).alias("_s1")
-    )
+    sums = seen.groupBy("graph", F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("_n"), *_sums("_m", "_s"))
     zero = F.lit(0).cast("long")
-    parts = [F.coalesce(F.col(c), zero).cast("string") for c in ("_n", "_s0", "_s1")]
+    parts = [F.coalesce(F.col(c), zero).cast("string") for c in ("_n", *[f"_s{i}" for i in PIECES])]
     return state.join(sums, ["graph", "v"], "left").select(
         "graph", "v", F.md5(F.concat_ws(":", F.col("h"), *parts)).alias("h")
     )
 
 
+def _directed(edges: DataFrame) -> DataFrame:
+    return both_directions(cut(edges.select("graph", "src", "dst", "label")))
+
+
 def neighborhood_hashes(vertices: DataFrame, edges: DataFrame, rounds: int) -> list[DataFrame]:
     """Vertex hashes after 0, 1, ... ``rounds`` rounds."""
-    directed = both_directions(cut(edges.select("graph", "src", "dst", "label")))
-    hubs = find_heavy(directed, ["graph", "b"])
+    directed = _directed(edges)
     states = [cut(_start(vertices))]
     for _ in range(rounds):
-        states.append(cut(neighborhood_round(states[-1], directed, hubs)))
+        states.append(cut(neighborhood_round(states[-1], directed)))
     return states
 
 
@@ -101,19 +109,43 @@ def neighborhood_fingerprint(
     return marks.groupBy("graph").agg(F.array_sort(F.collect_set("bit")).alias("bits"))
 
 
-def graph_key(vertices: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
-    """Identity key per graph that ignores vertex names and row order. Equal graphs share it; some unequal ones may."""
-    final = neighborhood_hashes(vertices, edges, rounds)[-1]
-    sums = final.groupBy("graph").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(fn.chunk(F.col("h"), i)).alias(f"_s{i}") for i in range(4)]
-    )
-    return sums.select("graph", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("_n", "_s0", "_s1", "_s2", "_s3")])).alias("key"))
+def _key(state: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A graph's key from the multisets of its vertex hashes and of its components' sizes."""
+    by_vertex = state.groupBy("graph").agg(F.count(F.lit(1)).alias("_n"), *_sums("h", "_s"))
+    hashed = sizes.select("graph", F.md5(F.col("size").cast("string")).alias("h"))
+    by_size = hashed.groupBy("graph").agg(F.count(F.lit(1)).alias("_c"), *_sums("h", "_z"))
+    names = ["_n", *[f"_s{i}" for i in PIECES], "_c", *[f"_z{i}" for i in PIECES]]
+    return by_vertex.join(by_size, "graph").select("graph", F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in names])).alias("key"))
+
+
+def _colours(state: DataFrame, name: str) -> DataFrame:
+    return state.groupBy("graph", "h").agg(F.count(F.lit(1))).groupBy("graph").agg(F.count(F.lit(1)).alias(name))
+
+
+def graph_key(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Identity key per graph that ignores vertex names and row order: equal graphs share it.
+
+    Hashes are refined until a graph's vertices fall into no more classes than the round before, each graph for itself, so
+    that its key does not depend on the other graphs; ``rounds`` fixes the number instead. Component sizes are part of the
+    key. Unequal graphs that refinement cannot tell apart, such as some regular ones, still share a key.
+    """
+    sizes = cut(component_sizes(components(vertices, edges)))
+    if rounds is not None:
+        return _key(neighborhood_hashes(vertices, edges, rounds)[-1], sizes)
+    directed, now, keys = _directed(edges), cut(_start(vertices)), []
+    while not keys or not now.isEmpty():
+        later = cut(neighborhood_round(now, directed))
+        classes = _colours(now, "before").join(_colours(later, "after"), "graph")
+        settled = cut(classes.filter("before = after").select("graph"))
+        keys.append(_key(join_by_key(later, settled, ["graph"], "left_semi"), sizes))
+        now = cut(join_by_key(later, settled, ["graph"], "left_anti"))
+    return reduce(DataFrame.unionByName, keys)
 
 
 # --- structure ---------------------------------------------------------------------------------
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``graph, v, component``: the smallest vertex of the connected component.
 
     Each round gives the remaining vertices a fresh random order, points every one at its first neighbour (or itself),
@@ -124,10 +156,10 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
     left = cut(edges.filter(F.col("src") != F.col("dst")).select(
         "graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
     ).distinct())
-    for turn in range(max_rounds):
+    for turn in count():
         if left.isEmpty():
             smallest = place.groupBy("graph", "at").agg(F.min("v").alias("component"))
-            return place.join(smallest, ["graph", "at"]).select("graph", "v", "component")
+            return join_by_key(place, smallest, ["graph", "at"], "inner").select("graph", "v", "component")
 
         def first(c: str) -> Column:
             return F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("h"), F.col(c).alias("v"))
@@ -136,18 +168,18 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
         pointer = best.select("graph", "v", F.least("_b", first("v"))["v"].alias("to"))
         for _ in range(2):
             onward = pointer.select("graph", F.col("v").alias("to"), F.col("to").alias("_next"))
-            pointer = pointer.join(onward, ["graph", "to"], "left").select("graph", "v", F.coalesce("_next", "to").alias("to"))
+            pointer = join_by_key(pointer, onward, ["graph", "to"], "left").select("graph", "v", F.coalesce("_next", "to").alias("to"))
         pointer = cut(pointer)
-        place = place.join(pointer.withColumnRenamed("v", "at"), ["graph", "at"], "left").select(
+        place = join_by_key(place, pointer.withColumnRenamed("v", "at"), ["graph", "at"], "left").select(
             "graph", "v", F.coalesce("to", "at").alias("at")
         )
         if turn % 4 == 3:
             place = cut(place)
         source = pointer.select("graph", F.col("v").alias("src"), F.col("to").alias("_s"))
         target = pointer.select("graph", F.col("v").alias("dst"), F.col("to").alias("_d"))
-        moved = left.join(source, ["graph", "src"]).join(target, ["graph", "dst"]).filter(F.col("_s") != F.col("_d"))
+        moved = join_by_key(join_by_key(left, source, ["graph", "src"], "inner"), target, ["graph", "dst"], "inner").filter(F.col("_s") != F.col("_d"))
         left = cut(moved.select("graph", F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst")).distinct())
-    raise RuntimeError("components did not settle")
+    raise AssertionError("unreachable")
 
 
 def component_sizes(placed: DataFrame) -> DataFrame:
@@ -170,31 +202,51 @@ def largest_component(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return placed.join(best, ["graph", "component"], "left_semi").select("graph", "v")
 
 
-def core_graph(edges: DataFrame, max_rounds: int = 1000, peels: int = 3) -> DataFrame:
-    """Edges left after removing vertices with at most one neighbour until none is left: rings and their linkers."""
-    left = cut(edges.filter(F.col("src") != F.col("dst")).select(
+def _at_vertices(chains: DataFrame) -> DataFrame:
+    """Per vertex: how many chain ends it has, whether one is a loop, and its first and last (other end, chain)."""
+    ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u"), "e"), F.struct(F.col("b").alias("v"), F.col("a").alias("u"), "e"))
+    return chains.select("graph", F.inline(ends)).groupBy("graph", "v").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("v") == F.col("u")).alias("loop"),
+        F.min(F.struct("u", "e")).alias("low"), F.max(F.struct("u", "e")).alias("high"))
+
+
+def core_graph(edges: DataFrame) -> DataFrame:
+    """Edges left after removing vertices with at most one neighbour until none is left: rings and their linkers.
+
+    Rake and compress: chains that end freely are dropped, and vertices between two chains, no two of them neighbours, are
+    taken out by joining their chains to one. Long tails and long rings shrink by a constant share in every round, so
+    rounds grow with the logarithm of their length. The edges of the chains that remain are the core.
+    """
+    held = cut(edges.filter(F.col("src") != F.col("dst")).select(
         "graph", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
-    ).distinct())
-    count = left.count()
-    for _ in range(max_rounds):
-        step = left
-        for _ in range(peels):
-            degree = both_directions(step).groupBy("graph", F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("_n"))
-            inner = degree.filter(F.col("_n") > 1).select("graph", "v")
-            step = step.join(inner.withColumnRenamed("v", "src"), ["graph", "src"], "left_semi").join(
-                inner.withColumnRenamed("v", "dst"), ["graph", "dst"], "left_semi"
-            ).select("graph", "src", "dst")
-        left = cut(step)
-        now = left.count()
-        if now == count:
-            return left
-        count = now
-    raise RuntimeError("core did not settle")
-
-
-def core_keys(vertices: DataFrame, edges: DataFrame, rounds: int = 4) -> DataFrame:
+    ).distinct().withColumn("e", F.struct(F.lit(-1).alias("turn"), F.col("src").alias("x"), F.col("dst").alias("y"))))
+    chains = held.select("graph", F.col("src").alias("a"), F.col("dst").alias("b"), "e")
+    for turn in count():
+        free = cut(_at_vertices(chains).filter("n = 1").select("graph", F.col("low.e").alias("e")).distinct())
+        raked = not free.isEmpty()
+        if raked:
+            chains = cut(join_by_key(chains, free, ["graph", "e"], "left_anti").select("graph", "a", "b", "e"))
+        order = F.struct(F.xxhash64(F.lit(turn), "v").alias("h"), F.col("v").alias("w"))
+        between = cut(_at_vertices(chains).filter("n = 2 AND NOT loop").select("graph", "v", "low", "high", order.alias("o")))
+        beside_ = between.select("graph", "v", F.explode(F.array("low.u", "high.u")).alias("u"))
+        near = join_by_key(beside_, between.select("graph", F.col("v").alias("u"), F.col("o").alias("other")), ["graph", "u"], "inner")
+        first = near.groupBy("graph", "v").agg(F.min("other").alias("other"))
+        chosen = cut(between.join(first, ["graph", "v"], "left").filter("other IS NULL OR o < other"))
+        if chosen.isEmpty():
+            if not raked:
+                return join_by_key(held, chains.select("graph", "e"), ["graph", "e"], "left_semi").select("graph", "src", "dst")
+            continue
+        named = F.struct(F.lit(turn).alias("turn"), F.col("v").alias("x"), F.col("v").alias("y"))
+        joined = chosen.select("graph", F.explode(F.array("low.e", "high.e")).alias("e"), named.alias("to"))
+        kept = join_by_key(chains, joined, ["graph", "e"], "left_anti").select("graph", "a", "b", "e")
+        chains = cut(kept.unionByName(chosen.select("graph", F.col("low.u").alias("a"), F.col("high.u").alias("b"), named.alias("e"))))
+        held = cut(join_by_key(held, joined, ["graph", "e"], "left").select("graph", "src", "dst", F.coalesce("to", "e").alias("e")))
+    raise AssertionError("unreachable")
+
+
+def core_keys(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Group key per graph: the identity key of its core, or the sentinel when it has none."""
-    core = core_graph(edges)
+    core = cut(core_graph(edges))
     ends = both_directions(core).select("graph", F.col("a").alias("v")).distinct()
     inside = vertices.join(ends, ["graph", "v"], "left_semi")
     ends = {"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")}
@@ -233,12 +285,11 @@ def message_passing(
     """Parameter-free rounds: every state column gains the mean over incoming neighbours of their state (plus the edge's
     ``weight``); a vertex without neighbours gains nothing."""
     directed = both_directions(cut(edges.select("graph", "src", "dst", *([weight] if weight else []))))
-    hubs = find_heavy(directed, ["graph", "a"])
     now = vertices.select("graph", "v", *[F.col(c).cast("double").alias(c) for c in state])
     extra = F.col(weight).cast("double") if weight else F.lit(0.0)
     for i in range(steps):
         senders = now.select("graph", F.col("v").alias("a"), *state)
-        means = join_by_key(directed, senders, ["graph", "a"], "inner", heavy=hubs).groupBy("graph", F.col("b").alias("v")).agg(
+        means = join_by_key(directed, senders, ["graph", "a"], "inner").groupBy("graph", F.col("b").alias("v")).agg(
             *[F.avg(F.col(c) + extra).alias("_m_" + c) for c in state]
         )
         now = now.join(means, ["graph", "v"], "left").select(

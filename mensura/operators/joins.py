@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.skew import HEAVY_ROWS, join_by_key
+from mensura.skew import join_by_key
 
 LOOKUP_ROWS = 100_000
 
@@ -27,10 +27,10 @@ def lookup_map(df: DataFrame, column: str, mapping: Mapping, out: str) -> DataFr
 
 
 def attach_group_stats(
-    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column]
 ) -> DataFrame:
     """Per-key aggregates put beside every row."""
-    return join_by_key(df, df.groupBy(*keys).agg(*aggs), keys, "left", heavy_rows)
+    return join_by_key(df, df.groupBy(*keys).agg(*aggs), keys, "left")
 
 
 def align_features(blocks: Sequence[DataFrame], row_id: str = "source_index") -> DataFrame:

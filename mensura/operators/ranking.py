@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import columns as fn
 from mensura.session import cut
-from mensura.skew import HEAVY_ROWS, heavy_among, join_by_key, ordered_prefix
+from mensura.skew import join_by_key, ordered_prefix
 
 
 def early_stopping(history: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:
@@ -43,14 +43,14 @@ def _rank_table(values: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     placed = cut(ordered_prefix(copies, [F.col(c) for c in [*by, column]], "_n"))
     if by:
         starts = placed.groupBy(*by).agg(F.min("before").alias("_start"))
-        placed = join_by_key(placed, starts, by, "left")
+        placed = join_by_key(placed, starts, by, "left", null_safe=True)
     else:
         placed = placed.withColumn("_start", F.lit(0))
     return placed.select(*by, column, "_n", (F.col("before") - F.col("_start") + (F.col("_n") + 1) / 2).alias("_rank"))
 
 
 def average_rank(
-    df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank", heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, column: str, by: Sequence[str] = (), out: str = "rank"
 ) -> DataFrame:
     """Rank from 1 in ascending order, ties sharing their mean rank, within ``by`` groups; null and NaN stay unranked.
 
@@ -58,12 +58,11 @@ def average_rank(
     """
     keys = [*by, column]
     ranks = _rank_table(df.filter(~fn.is_missing(column)).select(*keys), list(by), column)
-    heavy = heavy_among(ranks, keys, "_n", heavy_rows)
-    return join_by_key(df, ranks.select(*keys, F.col("_rank").alias(out)), keys, "left", heavy=heavy)
+    return join_by_key(df, ranks.select(*keys, F.col("_rank").alias(out)), keys, "left", null_safe=True)
 
 
 def average_ranks(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), suffix: str = "_rank", heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), suffix: str = "_rank"
 ) -> DataFrame:
     """:func:`average_rank` of several columns at once: all are counted and ordered in one pass."""
     by = list(by)
@@ -71,9 +70,9 @@ def average_ranks(
     values = df.select(*by, F.inline(cells)).filter(~fn.is_missing("_value"))
     ranks = _rank_table(values, [*by, "_side"], "_value")
     for c in columns:
-        mine = ranks.filter(F.col("_side") == c).select(*by, F.col("_value").alias(c), "_n", F.col("_rank").alias(c + suffix))
-        heavy = heavy_among(mine, [*by, c], "_n", heavy_rows)
-        df = join_by_key(df, mine.drop("_n"), [*by, c], "left", heavy=heavy)
+        mine = ranks.filter(F.col("_side") == c).select(*by, "_value", F.col("_rank").alias(c + suffix))
+        rows = df.withColumn("_value", F.col(c).cast("double"))
+        df = join_by_key(rows, mine, [*by, "_value"], "left", null_safe=True).drop("_value")
     return df
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.operators.stats import group_sizes
-from mensura.skew import HEAVY_ROWS, join_by_key, ordered_prefix
+from mensura.skew import join_by_key, ordered_prefix
 
 
 def _by_size(group: str) -> list[Column]:
@@ -27,16 +27,15 @@ def split_groups(df: DataFrame, group: str, frac: float = fixed.TRAIN_FRACTION)
 
 
 def group_split(
-    df: DataFrame, group: str, frac: float = fixed.TRAIN_FRACTION, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, group: str, frac: float = fixed.TRAIN_FRACTION
 ) -> DataFrame:
     """Rows with their group (sentinel when missing), ``group_size`` and ``split``."""
     rows = df.withColumn(group, fn.fill_group(group))
-    return join_by_key(rows, split_groups(rows, group, frac), [group], "left", heavy_rows)
+    return join_by_key(rows, split_groups(rows, group, frac), [group], "left")
 
 
 def seeded_group_holdout(
-    df: DataFrame, group: str, frac: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED,
-    heavy_rows: int = HEAVY_ROWS, out: str = "split", kept: str = "train", held: str = "validation",
+    df: DataFrame, group: str, frac: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED, out: str = "split", kept: str = "train", held: str = "validation",
 ) -> DataFrame:
     """Hold out whole groups in a seeded order until they hold ``max(1, floor(n*frac))`` rows.
 
@@ -56,7 +55,7 @@ def seeded_group_holdout(
         F.when(F.col("size") == F.col("total"), F.raise_error(F.lit("at least two groups are needed for a hold-out")))
         .when((F.col("before") < target) & ~last, held).otherwise(kept)
     )
-    return join_by_key(rows, placed.select(group, split.cast("string").alias(out)), [group], "left", heavy_rows)
+    return join_by_key(rows, placed.select(group, split.cast("string").alias(out)), [group], "left")
 
 
 def fold_groups(df: DataFrame, group: str, k: int = 3) -> DataFrame:
@@ -66,10 +65,10 @@ def fold_groups(df: DataFrame, group: str, k: int = 3) -> DataFrame:
     return ordered_prefix(group_sizes(df, group), _by_size(group)).select(group, "size", fold.alias("fold"))
 
 
-def grouped_kfold(df: DataFrame, group: str, k: int = 3, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def grouped_kfold(df: DataFrame, group: str, k: int = 3) -> DataFrame:
     """Rows with a ``fold`` from 0 to k-1; a group lies in one fold."""
     rows = df.withColumn(group, fn.fill_group(group))
-    return join_by_key(rows, fold_groups(rows, group, k).select(group, "fold"), [group], "left", heavy_rows)
+    return join_by_key(rows, fold_groups(rows, group, k).select(group, "fold"), [group], "left")
 
 
 def random_split(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = fixed.SEED) -> DataFrame:
@@ -80,7 +79,7 @@ def random_split(df: DataFrame, row_id: str, frac: float = 0.2, seed: int = fixe
 
 def require_sides(df: DataFrame, split: str = "split", sides: tuple[str, ...] = ("train", "test")) -> DataFrame:
     """Raise when a side of a split is empty, e.g. because one large group overshot the target."""
-    found = {r[split] for r in df.select(split).distinct().limit(len(sides) + 1).collect()}
+    found = {r[split] for r in df.filter(F.col(split).isin(list(sides))).select(split).distinct().collect()}
     empty = [s for s in sides if s not in found]
     if empty:
         raise ValueError("grouping did not produce rows for: " + ", ".join(empty))

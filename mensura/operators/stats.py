@@ -12,7 +12,7 @@ from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.operators.consensus import representative_row, replicate_profile
 from mensura.operators.joins import exclusive_rows
-from mensura.skew import HEAVY_ROWS, aggregate, beside, join_by_key
+from mensura.skew import aggregate, beside, join_by_key
 
 
 def _count(condition: Column) -> Column:
@@ -38,17 +38,16 @@ def _number_aggs(column: str, prefix: str = "") -> list[Column]:
 
 
 def number_stats(
-    df: DataFrame, column: str, by: Sequence[str] = (), heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, column: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Count of finite values, missing, nonfinite, min, max, mean, sample std, exact median."""
     rows = df.select(*by, F.col(column).cast("double").alias(column))
     rows = rows.withColumn("_x", fn.finite(column))
-    return aggregate(rows, by, _number_aggs(column), {"median": ("_x", 0.5)}, heavy_rows)
+    return aggregate(rows, by, _number_aggs(column), {"median": ("_x", 0.5)})
 
 
 def target_stats(
     df: DataFrame, column: str, scopes: Mapping[str, Column], quantiles: Sequence[float] = tuple(fixed.QUANTILES),
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Long table ``scope, statistic, value`` of number statistics and quantiles.
 
@@ -60,7 +59,7 @@ def target_stats(
     aggs = [F.count(F.lit(1)).alias("rows"), *_number_aggs("_y")[1:]]
     names = {f"quantile_{round(q * 100)}%": q for q in quantiles}
     wanted = {"median": ("_x", 0.5), **{n: ("_x", q) for n, q in names.items()}}
-    wide = aggregate(rows, ["scope"], aggs, wanted, heavy_rows)
+    wide = aggregate(rows, ["scope"], aggs, wanted)
     order = ["rows", "missing", "nonfinite", "min", "max", "mean", "median", "std", *names]
     cells = F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("value")) for n in order])
     return wide.select("scope", F.inline(cells))
@@ -76,7 +75,6 @@ def key_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False)
 
 def stage_lineage(
     stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str], numbers: Sequence[str], missing: Sequence[str] = (),
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Per stage: rows before, after, removed, percent removed, unique keys, missing counts, number statistics.
 
@@ -100,7 +98,7 @@ def stage_lineage(
     rows = reduce(DataFrame.unionByName, parts).withColumns({"_x_" + c: fn.finite(c) for c in numbers})
     aggs = [F.count(F.lit(1)).alias("rows_after"), *[_count(F.col("_m_" + c)).alias("missing_" + c) for c in missing]]
     aggs += [a for c in numbers for a in _number_aggs(c, c + "_")]
-    table = aggregate(rows, ["stage_order"], aggs, {c + "_median": ("_x_" + c, 0.5) for c in numbers}, heavy_rows)
+    table = aggregate(rows, ["stage_order"], aggs, {c + "_median": ("_x_" + c, 0.5) for c in numbers})
     for c in keys:
         values = rows.filter(F.col("_k_" + c).isNotNull()).groupBy("stage_order", "_k_" + c).agg(F.count(F.lit(1)))
         unique = values.groupBy("stage_order").agg(F.count(F.lit(1)).alias("unique_" + c))
@@ -130,7 +128,7 @@ def stage_lineage(
 
 
 def unit_distribution(
-    scopes: Mapping[str, DataFrame], unit: str, value: str, supported: Sequence[str], heavy_rows: int = HEAVY_ROWS
+    scopes: Mapping[str, DataFrame], unit: str, value: str, supported: Sequence[str]
 ) -> DataFrame:
     """Per scope and unit (null unit kept): records, percent, min, max, median, whether supported."""
     parts = [
@@ -142,7 +140,7 @@ def unit_distribution(
     grouped = aggregate(
         rows, ["scope", "unit", "supported"],
         [F.count(F.lit(1)).alias("records"), F.min("_v").alias("value_min"), F.max("_v").alias("value_max")],
-        {"value_median": ("_v", 0.5)}, heavy_rows,
+        {"value_median": ("_v", 0.5)},
     )
     total = F.sum("records").over(Window.partitionBy("scope"))  # one row per unit
     return grouped.withColumn("percent", _share(F.col("records"), total))
@@ -166,7 +164,6 @@ def relation_distribution(df: DataFrame, relation: str, keep: str = fixed.EXACT_
 
 def replicate_stats(
     df: DataFrame, key: str, value: str, label: str, order: str = "source_index", mad_max: float = fixed.MAD_MAX,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Per key: rows, median, mean, sample std, min, max, MAD, range, first non-null label, MAD above the gate."""
     x = fn.finite(value)
@@ -175,7 +172,7 @@ def replicate_stats(
     profile = replicate_profile(df, key, value, [
         F.count(F.lit(1)).alias("measurements"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.min(x).alias("min"), F.max(x).alias("max"), first.alias("label"),
-    ], heavy_rows)
+    ])
     return profile.withColumn("range", F.col("max") - F.col("min")).withColumn(
         "mad_over", F.coalesce(F.col("mad") > mad_max, F.lit(False))
     )
@@ -192,7 +189,7 @@ def high_variability(stats: DataFrame, key: str, k: int = 20) -> DataFrame:
     )
 
 
-def mad_summary(stats: DataFrame, rows: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def mad_summary(stats: DataFrame, rows: DataFrame) -> DataFrame:
     """Groups over the gate, their share of groups and of measurements, and how MAD and range are distributed."""
     over = F.col("mad_over")
     aggs = [
@@ -201,7 +198,7 @@ def mad_summary(stats: DataFrame, rows: DataFrame, heavy_rows: int = HEAVY_ROWS)
         F.coalesce(F.max("measurements"), F.lit(0)).alias("largest_group"),
         *[a for c in ("mad", "range") for a in _number_aggs(c, c + "_")],
     ]
-    summary = aggregate(stats, [], aggs, {"mad_median": ("mad", 0.5), "range_median": ("range", 0.5)}, heavy_rows)
+    summary = aggregate(stats, [], aggs, {"mad_median": ("mad", 0.5), "range_median": ("range", 0.5)})
     summary = summary.withColumn("_rows", rows.agg(F.count(F.lit(1))).scalar())
     return summary.withColumn("percent_groups_over", _share(F.col("groups_over"), F.col("groups"))).withColumn(
         "percent_measurements_over", _share(F.col("measurements_over"), F.col("_rows"))
@@ -268,13 +265,13 @@ def compare_filters_by(df: DataFrame, keep_a: Column, keep_b: Column, by: str) -
 
 
 def compare_filters(
-    df: DataFrame, rules: Mapping[str, Column], key: str, value: str, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, rules: Mapping[str, Column], key: str, value: str
 ) -> DataFrame:
     """Per rule: rows and unique keys retained and the statistics of the retained values."""
     parts = []
     for name, rule in rules.items():
         kept = df.filter(F.coalesce(rule, F.lit(False)))
-        stats = number_stats(kept, value, heavy_rows=heavy_rows).select("min", "max", "mean", "median", "std")
+        stats = number_stats(kept, value).select("min", "max", "mean", "median", "std")
         sizes = kept.agg(F.count(F.lit(1)).alias("retained"), F.count_distinct(key).alias("unique_keys"))
         parts.append(beside(sizes, stats).withColumn("filter", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
@@ -314,7 +311,7 @@ def group_sizes(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
 
 
-def group_size_summary(df: DataFrame, group: str, split: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def group_size_summary(df: DataFrame, group: str, split: str) -> DataFrame:
     """Per split and overall: groups, rows, fraction of rows, row-weighted mean/median size, largest; plus the group view.
 
     Row-weighted figures give every row its group's size, as a per-row size column would. They are computed from the
@@ -322,7 +319,7 @@ def group_size_summary(df: DataFrame, group: str, split: str, heavy_rows: int =
     """
     table = df.groupBy(split, group).agg(F.count(F.lit(1)).alias("_rows"))
     sizes = table.groupBy(group).agg(F.sum("_rows").alias("size"))
-    placed = join_by_key(table, sizes, [group], "left", heavy_rows)
+    placed = join_by_key(table, sizes, [group], "left")
     by_size = placed.groupBy(split, "size").agg(
         F.count(F.lit(1)).alias("_groups"), F.sum("_rows").alias("_rows")
     )  # at most sqrt(2 * rows) distinct sizes
@@ -367,11 +364,11 @@ def long_features(df: DataFrame, row_id: str, features: Sequence[str]) -> DataFr
     return wide.unpivot(row_id, list(features), "feature", "x")
 
 
-def feature_sanity(long: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def feature_sanity(long: DataFrame) -> DataFrame:
     """Per feature of a long table: number statistics, population variance, zero/near-zero variance, huge magnitude."""
     rows = long.select("feature", "x").withColumn("_x", fn.finite("x"))
     aggs = [*_number_aggs("x"), F.var_pop("_x").alias("variance"), F.max(F.abs("_x")).alias("_size")]
-    table = aggregate(rows, ["feature"], aggs, {"median": ("_x", 0.5)}, heavy_rows)
+    table = aggregate(rows, ["feature"], aggs, {"median": ("_x", 0.5)})
     return table.select(
         "feature", "count", "missing", "nonfinite", "min", "max", "mean", "median", "std", "variance",
         (F.col("variance") == 0).alias("zero_variance"),
@@ -410,13 +407,13 @@ def fingerprint_stats(df: DataFrame, bits: str) -> DataFrame:
     )
 
 
-def describe_columns(long: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def describe_columns(long: DataFrame) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max per feature of a long table."""
     rows = long.select("feature", fn.finite("x").alias("x"))
     return aggregate(rows, ["feature"], [
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"),
-    ], {"p25": ("x", 0.25), "p50": ("x", 0.5), "p75": ("x", 0.75)}, heavy_rows)
+    ], {"p25": ("x", 0.25), "p50": ("x", 0.5), "p75": ("x", 0.75)})
 
 
 def leakage_audit(
@@ -445,8 +442,12 @@ def leakage_audit(
 
 def dataset_hash(df: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     """Row count and a content hash that ignores row order and partitioning: summed pieces of every row's hash."""
-    texts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("<null>")) for c in columns]
-    hashed = df.select(F.md5(F.concat_ws("|", *texts)).alias("_h"))
+    def field(c: Column) -> Column:
+        """With its length before it, so that no two rows have one text; null is a length of its own."""
+        return F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("null:"))
+
+    texts = [field((F.col(c) if isinstance(c, str) else c).cast("string")) for c in columns]
+    hashed = df.select(F.md5(F.concat(*texts)).alias("_h"))
     pieces = [F.coalesce(F.sum(fn.chunk(F.col("_h"), i).cast("decimal(20,0)")), F.lit(0)) for i in range(4)]
     sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *[p.cast("string").alias(f"_s{i}") for i, p in enumerate(pieces)])
     return sums.select("rows", F.md5(F.concat_ws("-", F.col("rows").cast("string"), *[f"_s{i}" for i in range(4)])).alias("hash"))
@@ -482,13 +483,19 @@ def unit_prefix_check(units: DataFrame, unit: str, factors: Mapping[str, float]
     ).withColumn("matches", fn.is_close("factor", "implied_factor"))
 
 
-def findings(checks: Sequence[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """One row per check: ``(name, severity when it fires, one-row table, count column)``. Zero affected rows pass."""
-    parts = [
-        df.select(F.lit(name).alias("check"), F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("affected"))
-        .withColumn("severity", F.when(F.col("affected") > 0, F.lit(severity)).otherwise(F.lit("PASS")))
-        .select("severity", "check", "affected") for name, severity, df, column in checks
-    ]
+def findings(checks: Sequence[tuple[str, str, DataFrame, str, str, str]]) -> DataFrame:
+    """One row per check: ``(name, severity when it fires, one-row table, count column, message, recommendation)``.
+
+    Zero affected rows pass and need no recommendation. The message gets the count in place of ``{}``.
+    """
+    parts = []
+    for name, severity, df, column, message, advice in checks:
+        n = F.coalesce(F.col(column).cast("long"), F.lit(0))
+        parts.append(df.select(
+            F.when(n > 0, F.lit(severity)).otherwise(F.lit("PASS")).alias("severity"), F.lit(name).alias("check"), n.alias("affected"),
+            F.replace(F.lit(message), F.lit("{}"), n.cast("string")).alias("message"),
+            F.when(n > 0, F.lit(advice)).otherwise(F.lit("No action required.")).alias("recommendation"),
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -503,7 +510,7 @@ def gate(table: DataFrame) -> DataFrame:
 
 def enforce(table: DataFrame) -> DataFrame:
     """Raise when a finding is CRITICAL, else return the findings."""
-    failed = [r["check"] for r in table.filter(F.col("severity") == "CRITICAL").select("check").limit(20).collect()]
+    failed = [r["check"] for r in table.filter(F.col("severity") == "CRITICAL").select("check").collect()]  # one row per check
     if failed:
         raise AssertionError("critical findings: " + ", ".join(failed))
     return table

@@ -16,6 +16,7 @@ from mensura.operators import joins as jn
 from mensura.operators import models as md
 from mensura.operators import ranking as rk
 from mensura.operators import splits as sp
+from mensura.session import cut
 
 
 def compare_models(
@@ -25,10 +26,9 @@ def compare_models(
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """(results by ascending error, predictions by run) of every family on every feature variant.
 
-    The split tables are persisted once and serve every run; the held-out rows are used only after the final fit.
+    The split tables are cut to the shared folder once and serve every run; the held-out rows are used only after the final fit.
     """
-    train = sp.grouped_kfold(train, group, folds).persist()
-    test = test.persist()
+    train, test = cut(sp.grouped_kfold(train, group, folds)), cut(test)
     facts, runs = [], {}
     for family in families:
         for variant, columns in variants.items():
@@ -37,7 +37,7 @@ def compare_models(
             best = found.orderBy("value", "number").first()
             _, scored = md.fit_predict_best(train, test, family, columns, label, found, row_id, seed)
             run = f"{family}_{variant}"
-            runs[run] = scored.persist()
+            runs[run] = cut(scored)
             facts.append((run, family, variant, len(columns), float(best["value"]), best["params"]))
     known = train.sparkSession.createDataFrame(
         facts, "run string, model string, features string, n_features int, cv_mae double, params string")
@@ -83,7 +83,7 @@ def matched_comparison(
     rows = sp.group_split(df, group, frac)
     sp.require_sides(rows)
     inner = sp.seeded_group_holdout(rows.filter(F.col("split") == "train").drop("split"), group, validation, seed)
-    rows = inner.unionByName(rows.filter(F.col("split") == "test")).persist()
+    rows = cut(inner.unionByName(rows.filter(F.col("split") == "test")))
     shared = jn.split_overlap(rows, "split", group)
     if not shared.isEmpty():
         raise ValueError("a group lies in more than one split")

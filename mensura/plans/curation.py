@@ -12,7 +12,6 @@ from mensura.functions import columns as fn
 from mensura.operators import consensus as con
 from mensura.operators import curation as cur
 from mensura.operators import features as feat
-from mensura.skew import HEAVY_ROWS
 
 
 @dataclass(frozen=True)
@@ -56,7 +55,7 @@ def convert(df: DataFrame, names: Names = Names(), default: float | None = None)
 
 
 def production_stages(
-    df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX
 ) -> list[tuple[str, DataFrame]]:
     """Filters first, then consensus: one row per key."""
     stages = [("raw", df)]
@@ -72,7 +71,7 @@ def production_stages(
     rows = then("converted", cur.drop_nonfinite(convert(rows, names), names.target))
     rows = then("exact", cur.filter_censored(rows, names.relation))
     rows = then("in range", cur.filter_range(rows, names.scaled))
-    rows = con.replicate_consensus(rows, names.key, names.target, names.row_id, mad_max, heavy_rows)
+    rows = con.replicate_consensus(rows, names.key, names.target, names.row_id, mad_max)
     then("consensus", cur.drop_if_present(rows, fixed.PRUNED_AFTER_CONSENSUS))
     return stages
 
@@ -87,11 +86,11 @@ def record_stages(df: DataFrame, names: Names = Names()) -> list[tuple[str, Data
 
 
 def audit_stages(
-    df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX, heavy_rows: int = HEAVY_ROWS
+    df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX
 ) -> list[tuple[str, DataFrame]]:
     """Consensus first, then exact duplicates, relation, and the range of the raw value."""
     stages = record_stages(df, names)
-    consistent = con.replicate_filter(stages[-1][1], names.key, names.target, mad_max, heavy_rows)
+    consistent = con.replicate_filter(stages[-1][1], names.key, names.target, mad_max)
     single = con.exact_dedup(consistent, [names.key, names.cleaned, names.target], [names.row_id])
     exact = cur.filter_censored(single, names.relation)
     return [*stages, ("consistent", consistent), ("deduplicated", single), ("exact", exact),
@@ -100,10 +99,9 @@ def audit_stages(
 
 def curate(
     df: DataFrame, order: str = "production", names: Names = Names(), mad_max: float = fixed.MAD_MAX,
-    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Curated table. The two orders give different rows by design: see the README."""
     builders = {"production": production_stages, "audit": audit_stages}
     if order not in builders:
         raise ValueError("order must be 'production' or 'audit'")
-    return builders[order](df, names, mad_max, heavy_rows)[-1][1]
+    return builders[order](df, names, mad_max)[-1][1]

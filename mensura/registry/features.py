@@ -149,7 +149,7 @@ SELECT e.vec_id, e.label, CASE WHEN e.label = 3 THEN '__NO_SCAFFOLD__' ELSE 'g'
 FROM embeddings e JOIN (SELECT vec_id, sum(x) AS total FROM long WHERE feature IN (SELECT feature FROM v) GROUP BY vec_id) s ON e.vec_id = s.vec_id""")
 def _(t):
     rows = wide(t)
-    names = ft.kept_features(ft.variance_filter(rows, DIMS, 0.0156))
+    names = ft.kept_features(ft.variance_filter(rows, DIMS, 0.0156), DIMS)
     base = t.embeddings.select("vec_id", "label", F.when(F.col("label") != 3, F.concat(F.lit("g"), F.col("label").cast("string"))).alias("grp"))
     out = ft.attach_selected(base, rows.select("vec_id", *names), "grp", "vec_id")
     total = sum((F.col(c) for c in names), F.lit(0.0))

@@ -7,22 +7,37 @@ from mensura.operators import graphs as gr
 from mensura.registry.core import query, rounded
 
 
+def pieces(h: str, name: str) -> str:
+    """Sums of the four 24-bit pieces of a hash."""
+    return ", ".join(f"sum(('0x' || substr({h}, {1 + 6 * i}, 6))::BIGINT) AS {name}{i}" for i in range(4))
+
+
 def hash_rounds(n: int, vertices="graph_vertices", both="graph_both", prefix="h") -> str:
     """CTEs prefix0 .. prefixN with the neighbourhood hashes."""
     text = f"{prefix}0 AS (SELECT graph, v, md5(label) AS h FROM {vertices})"
     for i in range(1, n + 1):
         text += f""",
 {prefix}m{i} AS (SELECT b.graph, b.a AS v, md5('S:' || h.h) AS m FROM {both} b JOIN {prefix}{i - 1} h ON b.graph = h.graph AND b.b = h.v),
-{prefix}s{i} AS (SELECT graph, v, count(*) AS n, sum(('0x' || substr(m, 1, 6))::BIGINT) AS s0, sum(('0x' || substr(m, 7, 6))::BIGINT) AS s1
-        FROM {prefix}m{i} GROUP BY graph, v),
+{prefix}s{i} AS (SELECT graph, v, count(*) AS n, {pieces('m', 's')} FROM {prefix}m{i} GROUP BY graph, v),
 {prefix}{i} AS MATERIALIZED (SELECT h.graph, h.v, md5(concat_ws(':', h.h, CAST(coalesce(n, 0) AS VARCHAR), CAST(coalesce(s0, 0) AS VARCHAR),
-        CAST(coalesce(s1, 0) AS VARCHAR))) AS h FROM {prefix}{i - 1} h LEFT JOIN {prefix}s{i} s ON h.graph = s.graph AND h.v = s.v)"""
+        CAST(coalesce(s1, 0) AS VARCHAR), CAST(coalesce(s2, 0) AS VARCHAR), CAST(coalesce(s3, 0) AS VARCHAR))) AS h FROM {prefix}{i - 1} h LEFT JOIN {prefix}s{i} s ON h.graph = s.graph AND h.v = s.v)"""
     return text
 
 
-def key_of(table: str) -> str:
-    sums = ", ':', ".join(f"CAST(sum(('0x' || substr(h, {1 + 6 * i}, 6))::BIGINT) AS VARCHAR)" for i in range(4))
-    return f"SELECT graph, md5(concat(CAST(count(*) AS VARCHAR), ':', {sums})) AS key FROM {table} GROUP BY graph"
+def key_of(table: str, placed: str) -> str:
+    """Key per graph from a table of hashes and one of vertices with their component."""
+    return f"""SELECT n.graph, md5(concat_ws(':', n, s0, s1, s2, s3, c, z0, z1, z2, z3)) AS key
+FROM (SELECT graph, count(*) AS n, {pieces('h', 's')} FROM {table} GROUP BY graph) n
+JOIN (SELECT graph, count(*) AS c, {pieces('md5(CAST(size AS VARCHAR))', 'z')}
+      FROM (SELECT graph, component, count(*) AS size FROM {placed} GROUP BY graph, component) a GROUP BY graph) c ON n.graph = c.graph"""
+
+
+def reach(vertices: str, both: str, name: str) -> str:
+    """Vertices with the smallest vertex of their component."""
+    return f"""{name}_walk AS (
+    SELECT graph, v, v AS root FROM {vertices}
+    UNION SELECT b.graph, b.b, r.root FROM {name}_walk r JOIN {both} b ON r.graph = b.graph AND r.v = b.a WHERE r.root < b.b),
+{name} AS (SELECT graph, v, min(root) AS component FROM {name}_walk GROUP BY graph, v)"""
 
 
 BITS = f"""WITH {hash_rounds(2)},
@@ -37,15 +52,24 @@ def _(t):
     return out.select("graph", F.array_join("bits", ",").alias("bits"))
 
 
-@query("graph_key", f"WITH {hash_rounds(3)}\n{key_of('h3')}")
+PLACED = reach("graph_vertices", "graph_both", "placed")
+
+
+@query("graph_key", f"WITH RECURSIVE {PLACED},\n{hash_rounds(3)}\n{key_of('h3', 'placed')}")
 def _(t):
     return gr.graph_key(t.graph_vertices, t.graph_edges, 3)
 
 
-REACH = """WITH RECURSIVE reach AS (
-    SELECT graph, v, v AS root FROM graph_vertices
-    UNION SELECT b.graph, b.b, r.root FROM reach r JOIN graph_both b ON r.graph = b.graph AND r.v = b.a WHERE r.root < b.b),
-placed AS (SELECT graph, v, min(root) AS component FROM reach GROUP BY graph, v)"""
+@query("graph_key_classes", f"""WITH RECURSIVE {PLACED},
+{hash_rounds(8)},
+k AS ({key_of('h8', 'placed')})
+SELECT graph, count(*) OVER (PARTITION BY key) AS equal_graphs FROM k""")
+def _(t):
+    keys = gr.graph_key(t.graph_vertices, t.graph_edges)
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("equal_graphs")), "key").select("graph", "equal_graphs")
+
+
+REACH = f"WITH RECURSIVE {PLACED}"
 
 
 @query("components", REACH + " SELECT graph, v, component FROM placed")
@@ -82,11 +106,12 @@ def _(t):
     return gr.core_graph(t.graph_edges)
 
 
-CORE = f"""WITH {peeling(18)},
+CORE = f"""WITH RECURSIVE {peeling(18)},
 core_both AS (SELECT graph, src AS a, dst AS b FROM c18 UNION ALL SELECT graph, dst, src FROM c18),
 core_vertices AS (SELECT graph, v, label FROM graph_vertices WHERE (graph, v) IN (SELECT (graph, a) FROM core_both)),
+{reach('core_vertices', 'core_both', 'core_placed')},
 {hash_rounds(3, 'core_vertices', 'core_both', 'q')},
-keys AS ({key_of('q3')})
+keys AS ({key_of('q3', 'core_placed')})
 SELECT g.graph, coalesce(k.key, '__NO_SCAFFOLD__') AS key FROM (SELECT DISTINCT graph FROM graph_vertices) g LEFT JOIN keys k ON g.graph = k.graph"""
 
 

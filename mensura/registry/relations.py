@@ -38,7 +38,7 @@ def _(t):
 
 @query("attach_group_stats_heavy_keys", ATTACH)
 def _(t):
-    return _attach(t, heavy_rows=15)
+    return _attach(t)
 
 
 @query("align_features", """

@@ -35,7 +35,7 @@ def _(t):
 
 @query("number_stats_heavy_keys", BY_KIND)
 def _(t):
-    return rounded(st.number_stats(_nonfinite(t), "x", ["kind"], heavy_rows=2000), *MEASURES)
+    return rounded(st.number_stats(_nonfinite(t), "x", ["kind"]), *MEASURES)
 
 
 TARGET_SCOPES = """
@@ -63,7 +63,7 @@ def _(t):
 
 @query("target_stats_heavy_keys", TARGET)
 def _(t):
-    return rounded(st.target_stats(t.measures, "x", _scopes(), heavy_rows=5000), "value")
+    return rounded(st.target_stats(t.measures, "x", _scopes()), "value")
 
 
 @query("key_counts", """
@@ -169,7 +169,7 @@ def _(t):
 
 @query("replicate_stats_heavy_keys", REPLICATE)
 def _(t):
-    return rounded(_replicates(t, heavy_rows=80), *MEASURES, "mad", "range")
+    return rounded(_replicates(t), *MEASURES, "mad", "range")
 
 
 @query("replicate_count_distribution", STATS_CTE + " SELECT measurements, count(*) AS groups FROM g GROUP BY measurements")
@@ -284,8 +284,9 @@ def _(t):
 
 
 @query("dataset_hash", """
-WITH h AS (SELECT md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '<null>'), coalesce(o_orderstatus, '<null>'),
-                  coalesce(o_orderpriority, '<null>'))) AS h FROM orders),
+WITH h AS (SELECT md5(coalesce(length(CAST(o_orderkey AS VARCHAR)) || ':' || CAST(o_orderkey AS VARCHAR), 'null:')
+                  || coalesce(length(o_orderstatus) || ':' || o_orderstatus, 'null:')
+                  || coalesce(length(o_orderpriority) || ':' || o_orderpriority, 'null:')) AS h FROM orders),
 s AS (SELECT count(*) AS rows, sum(('0x' || substr(h, 1, 6))::BIGINT) AS a, sum(('0x' || substr(h, 7, 6))::BIGINT) AS b,
              sum(('0x' || substr(h, 13, 6))::BIGINT) AS c, sum(('0x' || substr(h, 19, 6))::BIGINT) AS d FROM h)
 SELECT rows, md5(concat_ws('-', CAST(rows AS VARCHAR), CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR), CAST(d AS VARCHAR))) AS hash FROM s""")

@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,7 @@ def _(t):
 
 
 @query("select_entity", """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, 'Customer_000000003' AS c_name, c_mktsegment FROM customer ORDER BY c_name, customer.c_custkey LIMIT 1 OFFSET 3""")
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, trim(regexp_replace(customer.c_name, '[^A-Za-z0-9_]+', '_', 'g'), '_') AS c_name, c_mktsegment FROM customer ORDER BY c_name, customer.c_custkey LIMIT 1 OFFSET 3""")
 def _(t):
     return rec.select_entity(t.customer, 3, "c_custkey", ["c_name", "c_mktsegment"], ["c_name", "c_custkey"])
 
@@ -65,10 +66,17 @@ def _(t):
     return rec.malformed_rows(t.spark, path, ORDER_SCHEMA)[1]
 
 
-@query("land_records", "SELECT count(*) AS rows, count(*) AS ids, CAST(sum(event_id) AS BIGINT) AS total FROM events")
+@query("land_records", "SELECT event_id, user_id, event_type, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS source_index FROM events")
 def _(t):
-    rows = rec.land_records(t.events, scratch(t))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_index").alias("ids"), F.sum("event_id").alias("total"))
+    """Three files of different sizes, the smallest first: ids follow the files' names and the places in them."""
+    base = scratch(t)
+    rows = t.spark.read.parquet(t.path("events")).select("event_id", "user_id", "event_type")
+    last = F.lit(rows.agg(F.max("event_id")).scalar())
+    for name, low, high in (("a", 0.0, 0.05), ("b", 0.05, 0.8), ("c", 0.8, 1.1)):
+        part = rows.filter((F.col("event_id") >= last * low) & (F.col("event_id") < last * high))
+        part.coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{base}/in/part={name}")
+    source = t.spark.read.option("recursiveFileLookup", True).parquet(f"{base}/in")
+    return rec.land_records(source, f"{base}/landed")
 
 
 @query("export_parquet", "SELECT * FROM supplier")
@@ -78,10 +86,10 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("write_csv", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("write_csv", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _(t):
     path = scratch(t)
-    rows = t.documents.select("doc_id", "lang", "source", "n_chars")
+    rows = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
     sinks.write_csv(rows, path)
     return rec.read_records_csv(t.spark, path, rows.schema)
 
@@ -121,13 +129,18 @@ def _(t):
     return rec.materialize_if_absent(t.spark, [name, f"{name}_other"], build)
 
 
-@query("stream_landed_records", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events WHERE event_type <> 'error'")
+@query("stream_landed_records", "SELECT event_id, user_id, event_type, CAST(ts AS VARCHAR) AS ts, round(value, 6) AS value, props FROM events WHERE event_type <> 'error'")
 def _(t):
+    """Four files in descending time order, one per trigger, and a fifth that repeats a share of the records."""
     base = scratch(t)
-    stream = landed.landed_records(t.spark, t.folder, t.events.schema, "events.parquet")
-    kept = landed.deduplicated(stream.filter(F.col("event_type") != "error"), "event_id", "ts")
-    rows = landed.ingest_available(kept, base + "/data", base + "/checkpoint")
-    return rounded(rows, "value").select("event_id", "user_id", "event_type", "value")
+    rows = t.spark.read.parquet(t.path("events"))
+    ranked = rows.withColumn("_part", F.ntile(4).over(Window.partitionBy(F.pmod("event_id", F.lit(7))).orderBy(F.desc("ts"))))
+    for i in range(1, 5):
+        ranked.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{base}/in/{i}")
+    rows.filter("event_id % 3 = 0").coalesce(1).write.parquet(f"{base}/in/5")
+    stream = landed.landed_records(t.spark, f"{base}/in/*", rows.schema, files_per_trigger=1).filter(F.col("event_type") != "error")
+    out = landed.ingest_available(stream, base + "/data", base + "/checkpoint", "event_id")
+    return rounded(out, "value").withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("ingest", """

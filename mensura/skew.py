@@ -1,192 +1,90 @@
-"""Hot-key handling shared by all operators.
+"""Hot keys, exact quantiles and order over a whole table: one exact route each, whatever the size of the data.
 
-A *heavy* key is one with more than ``heavy_rows`` rows, and at most ``HEAVY_KEYS`` of them (the largest) are
-treated as such. That gives two proven bounds: the heavy key list is small enough to broadcast, and every key left
-on the light path has at most ``max(heavy_rows, rows / HEAVY_KEYS)`` rows, so it may be buffered in one task.
-Both paths are exact; only the physical route differs.
+No step counts rows to choose a route, lists keys on the driver, or gathers the values of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.session import cut
 
-HEAVY_ROWS = 1_000_000
-HEAVY_KEYS = 100_000
 
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right["__" + k]) for k in keys])
-
-
-def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.withColumnsRenamed({k: "__" + k for k in keys})
-
-
-def find_heavy(df: DataFrame, keys: Sequence[str], heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
-    """The heavy keys of ``df``, or None. One counting job; at most ``HEAVY_KEYS`` keys reach the driver.
-
-    Knowing the answer while the plan is built keeps the common plan, without heavy keys, as short as a plain group-by.
-    """
-    return heavy_among(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", heavy_rows)
-
-
-def heavy_among(counts: DataFrame, keys: Sequence[str], rows: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame | None:
-    """The same from a table that already holds the number of rows per key."""
-    largest = counts.filter(F.col(rows) > heavy_rows).orderBy(F.desc(rows), *keys).limit(HEAVY_KEYS).select(*keys)
-    found = largest.collect()
-    return counts.sparkSession.createDataFrame(found, largest.schema) if found else None
-
-
-def split_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of light keys, rows of heavy keys); null counts as a key like any other."""
-    listed = F.broadcast(_renamed(heavy, keys))
-    on = _same(df, listed, keys)
-    return df.join(listed, on, "left_anti"), df.join(listed, on, "left_semi")
-
-
-def join_by_key(
-    df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", heavy_rows: int = HEAVY_ROWS,
-    heavy: DataFrame | None | str = "find",
-) -> DataFrame:
+def join_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left", null_safe: bool = False) -> DataFrame:
     """Join rows to a table that is unique by ``keys`` without sending a hot key's rows to one task.
 
-    Rows of heavy keys meet the few matching table rows by broadcast, all others by an ordinary key join. Pass ``heavy``
-    where the heavy keys of ``df`` are known already.
+    The keys' hash is joined on as well, so both sides are dealt anew for this join, whatever they were dealt by before. That
+    is what lets adaptive execution split the partitions of a hot key, or broadcast a side that it measured and found
+    small. With ``null_safe`` null equals null.
     """
-    if isinstance(heavy, str):
-        heavy = find_heavy(df, keys, heavy_rows)
-    if heavy is None:
-        return df.join(table, list(keys), how)
-    light_rows, hot_rows = split_heavy(df, keys, heavy)
-    listed = F.broadcast(_renamed(heavy, keys))
-    few = table.join(listed, _same(table, listed, keys), "left_semi")
-    return light_rows.join(table, list(keys), how).unionByName(hot_rows.join(F.broadcast(few), list(keys), how))
+    keys = list(keys)
+    for k in keys:
+        kind = df.schema[k].dataType
+        if table.schema[k].dataType != kind:  # equal numbers of two types have two hashes
+            table = table.withColumn(k, F.col(k).try_cast(kind))
+    if null_safe:
+        packed = F.struct(*keys).alias("_key")
+        table = table.select(packed, *[c for c in table.columns if c not in keys])
+        return join_by_key(df.select("*", packed), table, ["_key"], how).drop("_key")
+    hashed = F.xxhash64(*keys)
+    return df.withColumn("_hash", hashed).join(table.withColumn("_hash", hashed), [*keys, "_hash"], how).drop("_hash")
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a one-row table (aggregates of a whole table) beside every row, as constants of the plan."""
-    row = one_row.first()
-    return df.select("*", *[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema])
+    """Put the columns of a one-row table (aggregates of a whole table) beside every row, as a subquery of the plan."""
+    row = one_row.select(F.struct(*one_row.columns)).scalar()
+    return df.withColumn("_beside", row).select(*df.columns, *[F.col("_beside")[c].alias(c) for c in one_row.columns])
 
 
 # --- exact quantiles ---------------------------------------------------------------------------
 
-_ALL = "_all"
-
-
-def _magnitude_bucket(value: str) -> Column:
-    """Order-preserving bucket: 64 per power of two, negative values mirrored, zero in the middle."""
-    v = F.col(value)
-    size = F.floor(F.log2(F.abs(v)) * 64).cast("int") + 100_000
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
 
+def select_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """Exact interpolated quantiles ``{alias: (column, p)}`` per key (none: the whole table), null values left out.
 
-def _running(by: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def select_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles per key by rank selection: ``keys`` + ``q`` (one entry per probability).
-
-    Three counting passes narrow each wanted rank to a magnitude bucket, a slice of it, and a value. Each pass is a
-    map-side-combined count, so no task ever holds the rows of one key. The keys travel as one struct, in which null
-    equals null, so that a null key keeps its rows through the joins.
+    Distinct values of all columns are counted, put in one order by ranges, and the ranks that a quantile needs are picked from
+    that order. A quantile between an infinite value and another follows the rules of floating-point numbers; NaN is the
+    largest value. Keys without values are not in the result.
     """
-    names, keys = list(keys), ["_k"]
-    rows = df.select(F.struct(*names).alias("_k"), value).filter(F.col(value).isNotNull()).withColumn("_b", _magnitude_bucket(value))
-
-    coarse = rows.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-    )
-    by_key = Window.partitionBy(*keys)
-    coarse = coarse.withColumn("_before", F.coalesce(F.sum("_n").over(_running(keys, ["_b"])), F.lit(0)))
-    coarse = coarse.withColumn("_total", F.sum("_n").over(by_key))
-    positions = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    wanted = F.array_distinct(
-        F.array(*[f(p).cast("long") for p in positions for f in (F.floor, F.ceil)])
-    )
-    inside = (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
-    targets = cut(coarse.withColumn("_rank", F.explode(wanted)).filter(inside))  # a few rows per key
-
-    spots = targets.select(*keys, "_b", "_lo", "_hi").distinct()
-    width = F.col("_hi") - F.col("_lo")
-    sliced = rows.join(F.broadcast(spots), [*keys, "_b"]).withColumn(
-        "_s",
-        F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * 4096).cast("int")).otherwise(F.lit(0)),
-    )
-    slices = sliced.groupBy(*keys, "_b", "_s").agg(F.count(F.lit(1)).alias("_n2"))
-    slices = slices.withColumn(
-        "_before2", F.coalesce(F.sum("_n2").over(_running([*keys, "_b"], ["_s"])), F.lit(0))
-    )
-    targets = cut(
-        targets.select(*keys, "_b", "_rank", "_before", "_total").join(slices, [*keys, "_b"])
-        .withColumn("_base", F.col("_before") + F.col("_before2"))
-        .filter((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n2")))
-        .select(*keys, "_b", "_s", "_rank", "_base", "_total")
-    )
-
-    spots = targets.select(*keys, "_b", "_s").distinct()
-    exact = (
-        sliced.join(F.broadcast(spots), [*keys, "_b", "_s"])
-        .groupBy(*keys, "_b", "_s", value).agg(F.count(F.lit(1)).alias("_n3"))
-    )
-    exact = exact.withColumn(
-        "_before3", F.coalesce(F.sum("_n3").over(_running([*keys, "_b", "_s"], [value])), F.lit(0))
-    )
-    picked = targets.join(exact, [*keys, "_b", "_s"]).withColumn("_base", F.col("_base") + F.col("_before3"))
-    picked = picked.filter((F.col("_rank") >= F.col("_base")) & (F.col("_rank") < F.col("_base") + F.col("_n3")))
-
-    found = picked.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", value))).alias("_at"), F.max("_total").alias("_total")
-    )
-    parts = []
-    for position in positions:
-        low = F.element_at("_at", F.floor(position).cast("long"))
-        high = F.element_at("_at", F.ceil(position).cast("long"))
-        parts.append(low + (position - F.floor(position)) * (high - low))
-    return cut(found.select(*[F.col("_k")[n].alias(n) for n in names], F.array(*parts).alias("q")))
+    names = list(dict.fromkeys(c for c, _ in wanted.values()))
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(names)])
+    packed = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    copies = df.select(packed.alias("_k"), F.inline(cells)).filter(F.col("_v").isNotNull()).groupBy("_k", "_c", "_v").agg(
+        F.count(F.lit(1)).alias("_n"))
+    placed = ordered_prefix(copies, [F.col("_k"), F.col("_c"), F.col("_v")], "_n")
+    totals = placed.groupBy("_k", "_c").agg(F.min("before").alias("_start"), F.sum("_n").alias("_total"))
+    rows = join_by_key(placed, totals, ["_k", "_c"], "inner").withColumn("_rank", F.col("before") - F.col("_start"))
+
+    def at(column: str, rank: Column) -> Column:
+        mine = (F.col("_c") == names.index(column)) & (F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_n"))
+        return F.max(F.when(mine, F.col("_v")))
+
+    parts, quantiles = [], {}
+    for i, (alias, (column, p)) in enumerate(wanted.items()):
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        share = F.max(F.when(F.col("_c") == names.index(column), place - F.floor(place)))
+        parts += [at(column, F.floor(place)).alias(f"_low{i}"), at(column, F.ceil(place)).alias(f"_high{i}"), share.alias(f"_share{i}")]
+        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
+        quantiles[alias] = F.when(low == high, low).otherwise(low + F.col(f"_share{i}") * (high - low))
+    found = rows.groupBy("_k").agg(*parts)
+    return found.select(*[F.col("_k")[k].alias(k) for k in keys], *[q.alias(a) for a, q in quantiles.items()])
 
 
 def aggregate(
-    df: DataFrame,
-    keys: Sequence[str],
-    aggs: Sequence[Column] = (),
-    quantiles: dict[str, tuple[str, float]] | None = None,
-    heavy_rows: int = HEAVY_ROWS,
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column] = (), quantiles: dict[str, tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """Group by ``keys`` (none = whole table) with ordinary aggregates and exact quantiles ``{alias: (column, p)}``.
-
-    Light keys take Spark's exact ``percentile`` in the same shuffle as the other aggregates; heavy keys use
-    :func:`select_quantiles`. A whole table is one key.
-    """
-    quantiles = quantiles or {}
-    aggs = list(aggs)
-    if not quantiles:
-        return df.groupBy(*keys).agg(*aggs)
-    whole = not keys
-    by = [_ALL] if whole else list(keys)
-    rows = df.withColumn(_ALL, F.lit(1)) if whole else df
-    heavy = find_heavy(rows, by, heavy_rows)
-    exact = [F.percentile(c, F.lit(p)).alias(a) for a, (c, p) in quantiles.items()]
-    if heavy is None:
-        return df.groupBy(*keys).agg(*aggs, *exact)
-    light_rows, hot_rows = split_heavy(rows, by, heavy)
-    deep = hot_rows.groupBy(*by).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")]))
-    for column in dict.fromkeys(c for c, _ in quantiles.values()):
-        wanted = {a: p for a, (c, p) in quantiles.items() if c == column}
-        picked = select_quantiles(hot_rows, by, column, list(wanted.values()))
-        picked = picked.select(
-            *[F.col(k).alias("__" + k) for k in by], *[F.col("q")[i].alias(a) for i, a in enumerate(wanted)]
-        )
-        deep = deep.join(picked, _same(deep, picked, by), "left").drop(*["__" + k for k in by])
-    deep = deep.drop("_unused")
-    return deep.drop(_ALL) if whole else light_rows.groupBy(*by).agg(*aggs, *exact).unionByName(deep)
+    """Group by ``keys`` (none = whole table) with ordinary aggregates and exact quantiles ``{alias: (column, p)}``."""
+    base = df.groupBy(*keys).agg(*(list(aggs) or [F.count(F.lit(1)).alias("_unused")]))
+    if quantiles:
+        picked = select_quantiles(df, keys, quantiles)
+        if keys:
+            base = join_by_key(base, picked, keys, "left", null_safe=True)
+        else:
+            base = beside(base, picked)
+    return base.drop("_unused")
 
 
 # --- order over a whole table ------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,11 @@ CORRUPT = "_corrupt_record"
 
 
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Header CSV; types are inferred when no schema is given. ``source_index`` is given once, by :func:`land_records`."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    """Header CSV; types are inferred when no schema is given. ``source_index`` is given once, by :func:`land_records`.
+
+    Quotes inside quoted text are doubled, and a quoted text may hold line ends.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
@@ -43,8 +47,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def land_records(df: DataFrame, path: str, row_id: str = "source_index", mode: str = "errorifexists") -> DataFrame:
-    """Write records once with a row id that follows file order, and read them back; the id is fixed from then on."""
-    df.withColumn(row_id, F.monotonically_increasing_id()).write.mode(mode).parquet(path)
+    """Write records once with a row id, and read them back; the id is fixed from then on.
+
+    Ids count from 0 without gaps. Records read from files are numbered by file name and place in the file, however the files
+    were cut into tasks; other records by partition and place.
+    """
+    here = F.monotonically_increasing_id()
+    try:
+        placed = df.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", here.alias("here")).alias("_place"))
+    except AnalysisException:  # not read from files
+        placed = df.withColumn("_place", F.struct(here.alias("here")))
+    ordered_prefix(placed, [F.col("_place")]).withColumnRenamed("before", row_id).drop("_place", "total").write.mode(mode).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

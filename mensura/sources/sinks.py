@@ -14,7 +14,9 @@ def export_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header CSV that :func:`read_records_csv` reads back: every text is quoted, with its quotes doubled and line ends kept."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def json_safe(df: DataFrame) -> DataFrame:

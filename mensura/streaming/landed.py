@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mensura.skew import join_by_key
+
 
 def landed_records(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet",
                    files_per_trigger: int = 1000) -> DataFrame:
@@ -16,21 +18,29 @@ def landed_records(spark: SparkSession, folder: str, schema: T.StructType, patte
     )
 
 
-def deduplicated(stream: DataFrame, row_id: str, time: str, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of a record id that arrive within ``delay`` of event time; state older than that is freed."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([row_id])
+def ingest_available(stream: DataFrame, path: str, checkpoint: str, row_id: str | None = None) -> DataFrame:
+    """Process everything landed so far into Parquet, and return the table.
 
+    With ``row_id`` a record whose id is in the table already, or earlier in its batch, is left out, however old or new it
+    is: each batch is compared with the ids landed before, so nothing depends on event times or on how files fall into
+    batches. Records without an id are all kept. A batch that is run again after a failure adds only what is missing.
+    """
+    schema = stream.schema
+    stream.sparkSession.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
-def ingest_available(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Process everything landed so far into Parquet, exactly once across restarts, and return the table."""
-    query = (
-        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    def land(batch: DataFrame, number: int) -> None:
+        fresh = batch
+        if row_id is not None:
+            known = batch.sparkSession.read.schema(schema).parquet(path).select(row_id)
+            named = batch.filter(F.col(row_id).isNotNull()).dropDuplicates([row_id])
+            fresh = join_by_key(named, known, [row_id], "left_anti").select(*schema.names).unionByName(batch.filter(F.col(row_id).isNull()))
+        fresh.write.mode("append").parquet(path)
+
+    query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(path)
+    return stream.sparkSession.read.schema(schema).parquet(path)
 
 
-def touched_keys(stream: DataFrame, key: str) -> DataFrame:
+def touched_keys(batch: DataFrame, key: str) -> DataFrame:
     """Distinct keys of a batch: medians are not incremental, so a stream recomputes only the keys a batch touches."""
-    return stream.filter(F.col(key).isNotNull()).select(key).distinct()
+    return batch.filter(F.col(key).isNotNull()).select(key).distinct()

@@ -59,3 +59,33 @@ def test_warnings(spark):
     graphs = spark.createDataFrame([("p",), ("empty",)], "graph string")
     assert rows(gr.structure_warnings(graphs, v, e, ["C"], 3)) == [
         ("empty", "no vertices"), ("p", "disconnected parts"), ("p", "more than 3 vertices")]
+
+
+def _named(name, pairs, marks=()):
+    edges = [(name, f"v{a}", f"v{b}", "S") for a, b in pairs]
+    names = sorted({v for p in pairs for v in p})
+    return [(name, f"v{v}", "X" if v in marks else "C") for v in names], edges
+
+
+def test_keys_tell_far_marks_and_rings_apart(spark):
+    path = [(i, i + 1) for i in range(24)]
+    ring = lambda n, at=0: [(at + i, at + (i + 1) % n) for i in range(n)]
+    graphs = [("p1", path, (4, 12)), ("p2", path, (4, 14)), ("p3", [(b, a) for a, b in path], (20, 12)), ("r1", ring(12), ()), ("r2", ring(6) + ring(6, 50), ())]
+    vertices, edges = [], []
+    for name, pairs, marks in graphs:
+        v, e = _named(name, pairs, marks)
+        vertices += v
+        edges += e
+    keys = dict(rows(gr.graph_key(spark.createDataFrame(vertices, "graph string, v string, label string"),
+                                  spark.createDataFrame(edges, "graph string, src string, dst string, label string"))))
+    assert keys["p1"] == keys["p3"] and len(set(keys.values())) == 4
+
+
+def test_core_of_a_long_tail_and_a_long_ring(spark):
+    tail = [("t", i, i + 1, "S") for i in range(2000)] + [("t", 2000, 2001, "S"), ("t", 2001, 2002, "S"), ("t", 2002, 2000, "S")]
+    ring = [("r", i, (i + 1) % 500, "S") for i in range(500)] + [("r", 0, 900, "S"), ("r", 100, 300, "S")]
+    bare = [("b", i, i + 1, "S") for i in range(700)]
+    edges = spark.createDataFrame(tail + ring + bare, "graph string, src long, dst long, label string")
+    core = rows(gr.core_graph(edges), "graph", "src", "dst")
+    assert [r for r in core if r[0] == "t"] == [("t", 2000, 2001), ("t", 2000, 2002), ("t", 2001, 2002)]
+    assert sum(r[0] == "r" for r in core) == 501 and not any(r[0] == "b" for r in core)

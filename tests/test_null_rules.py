@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mensura.functions import columns as fn
 from mensura.operators import consensus as con
 from mensura.operators import curation as cur
+from mensura.operators import evaluation as ev
 from mensura.operators import features as ft
 from mensura.operators import joins as jn
 from mensura.operators import ranking as rk
@@ -100,9 +101,8 @@ def test_sample_and_population_deviation(spark):
 
 def test_quantiles_interpolate(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "x double")
-    for heavy in (1, 1000):
-        table = st.target_stats(df, "x", {"all": F.lit(True)}, [0.25], heavy_rows=heavy)
-        assert {r["statistic"]: r["value"] for r in table.collect()}["quantile_25%"] == 1.75
+    table = st.target_stats(df, "x", {"all": F.lit(True)}, [0.25])
+    assert {r["statistic"]: r["value"] for r in table.collect()}["quantile_25%"] == 1.75
 
 
 def test_closeness(spark):
@@ -209,8 +209,9 @@ def test_notation_counts(spark):
 
 def test_gate_and_enforce(spark):
     one = spark.createDataFrame([(3,)], "n int")
-    bad = st.findings([("x", "CRITICAL", one, "n"), ("y", "WARNING", one.select((F.col("n") * 0).alias("n")), "n")])
+    bad = st.findings([("x", "CRITICAL", one, "n", "{} are odd", "mend"), ("y", "WARNING", one.select((F.col("n") * 0).alias("n")), "n", "{} are odd", "mend")])
     assert rows(bad, "check", "severity") == [("x", "CRITICAL"), ("y", "PASS")]
+    assert rows(bad, "message", "recommendation") == [("0 are odd", "No action required."), ("3 are odd", "mend")]
     with pytest.raises(AssertionError, match="x"):
         st.enforce(bad)
 
@@ -221,3 +222,37 @@ def test_rejects_need_enough_rows(spark):
     assert rows(bad) == [(0, "no text"), (1, "no value")] and ok.count() == 3
     with pytest.raises(ValueError):
         cur.partition_rejects(df, {"no text": F.col("s").isNull()}, minimum=5)
+
+
+def test_groups_of_any_type_may_be_null(spark):
+    df = spark.createDataFrame([(i, None if i == 0 else i % 3) for i in range(9)], "i int, g int")
+    assert rows(sp.group_split(df, "g").filter("i = 0"), "g") == [("__NO_SCAFFOLD__",)]
+    assert sp.grouped_kfold(df, "g").count() == sp.seeded_group_holdout(df, "g").count() == 9
+
+
+def test_metrics_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0, 1.5), (None, 2.0, 2.5), ("a", 1.0, 1.0), ("a", 2.0, 3.0)], "model string, actual double, predicted double")
+    got = {r["model"]: (r["rows"], r["mae"], r["spearman"]) for r in ev.regression_metrics(df, ["model"]).collect()}
+    assert set(got) == {None, "a"} and got[None][:2] == (2, 0.5) and abs(got[None][2] - 1) < 1e-9
+
+
+def test_correlation_of_columns_with_holes(spark):
+    data = [(float(i), None if i == 3 else 2.0 * i, float(i % 2), 1.0, "train") for i in range(8)] + [(0.0, 99.0, 9.0, 1.0, "test")]
+    df = spark.createDataFrame(data, "f0 double, f10 double, f2 double, f1 double, split string")
+    names = ["f0", "f10", "f2", "f1"]
+    table = ft.correlation_filter(df, names, 0.9)
+    got = {r["feature"]: (r["highest"], r["kept"]) for r in table.collect()}
+    assert got["f0"] == (None, True) and abs(got["f10"][0] - 1) < 1e-9 and not got["f10"][1] and got["f2"][1] and got["f1"] == (None, True)
+    assert ft.kept_features(table, names) == ["f0", "f2", "f1"]
+
+
+def test_sides_may_be_found_among_many(spark):
+    df = spark.createDataFrame([(f"s{i}",) for i in range(10)] + [("train",), ("test",)], "split string")
+    assert sp.require_sides(df) is df
+
+
+def test_numbers_that_are_none(spark):
+    texts = ["1", " 2.5 ", "1e3", "5d", "3.F", "0x10", "+0X1p3", "inf", "NaN", "", None, "x", "-7", "\t8\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(fn.to_number("t").alias("x"))
+    got = [r[0] for r in df.collect()]
+    assert got[:3] == [1.0, 2.5, 1000.0] and got[3:7] == [None] * 4 and math.isinf(got[7]) and math.isnan(got[8]) and got[9:12] == [None] * 3 and got[12:] == [-7.0, 8.0]

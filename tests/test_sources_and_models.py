@@ -69,10 +69,27 @@ def test_stream_ingests_each_record_once(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("ts", T.TimestampType())])
     base = spark.range(10).select("id", F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
     base.write.parquet(source)
-    stream = lambda: landed.deduplicated(landed.landed_records(spark, source, schema), "id", "ts")
-    assert landed.ingest_available(stream(), out, marks).count() == 10
+    stream = lambda: landed.landed_records(spark, source, schema)
+    assert landed.ingest_available(stream(), out, marks, "id").count() == 10
     base.filter("id > 4").unionByName(spark.range(10, 12).select("id", F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))).write.mode("append").parquet(source)
-    assert sorted(r["id"] for r in landed.ingest_available(stream(), out, marks).collect()) == list(range(12))
+    assert sorted(r["id"] for r in landed.ingest_available(stream(), out, marks, "id").collect()) == list(range(12))
+    spark.range(-3, 1).select("id", F.timestamp_seconds(F.col("id") + 1_600_000_000).alias("ts")).write.mode("append").parquet(source)  # years late
+    assert sorted(r["id"] for r in landed.ingest_available(stream(), out, marks, "id").collect()) == list(range(-3, 12))
+
+
+def test_csv_keeps_quotes_and_line_ends(spark, tmp_path):
+    texts = ['line one\nline "two", x', '"', "", " spaces ", "a,b", None, "back\\slash", "\r\nend"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    back = {r["i"]: r["t"] for r in rec.read_records_csv(spark, str(tmp_path / "c"), df.schema).collect()}
+    assert [back[i] for i in (0, 1, 3, 4, 6)] == [texts[i] for i in (0, 1, 3, 4, 6)] and len(back) == len(texts)
+
+
+def test_ids_follow_files_and_places(spark, tmp_path):
+    for name, low, high in (("a", 0, 3), ("b", 3, 5000), ("c", 5000, 5010)):
+        spark.range(low, high, 1, 1).write.parquet(str(tmp_path / "in" / f"part={name}"))
+    source = spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    assert rec.land_records(source, str(tmp_path / "out")).filter("source_index <> id").count() == 0
 
 
 def _table(spark, n=400):

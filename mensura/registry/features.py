@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mensura.operators import features as ft
 from mensura.operators import stats as st
+from mensura.plans.reduction import reduce_features
 from mensura.registry.core import query, r, rounded
 
 WIDTH = 64
@@ -142,6 +143,19 @@ def _(t):
     return rounded(ft.correlation_filter(wide(t), DIMS, 0.11), "highest")
 
 
+@query("feature_reduction", f"""
+WITH {LONG}, v AS (SELECT feature, i FROM long WHERE split = 'train' GROUP BY feature, i HAVING var_pop(x) > 0.0156),
+k AS (SELECT l.* FROM long l JOIN v ON l.feature = v.feature WHERE l.split = 'train'),
+p AS (SELECT feature, max(abs(c)) AS highest FROM (
+    SELECT b.feature, corr(a.x, b.x) AS c FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.feature) c GROUP BY feature)
+SELECT f.feature, CAST(f.i AS INTEGER) AS place, CASE WHEN v.feature IS NULL THEN 'variance' WHEN highest > 0.11 THEN 'correlation' END AS dropped_by
+FROM (SELECT DISTINCT feature, i FROM long) f LEFT JOIN v ON f.feature = v.feature LEFT JOIN p ON f.feature = p.feature""")
+def _(t):
+    """The last step, by forest importance, is not SQL's: what it drops counts as left here."""
+    _, report = reduce_features(wide(t), DIMS, "label", variance_min=0.0156, correlation_max=0.11, trees=10)
+    return report.withColumn("dropped_by", F.when(F.col("dropped_by") != "importance", F.col("dropped_by")))
+
+
 @query("attach_selected", f"""
 WITH {LONG}, v AS (SELECT feature FROM long WHERE split = 'train' GROUP BY feature HAVING var_pop(x) > 0.0156)
 SELECT e.vec_id, e.label, CASE WHEN e.label = 3 THEN '__NO_SCAFFOLD__' ELSE 'g' || CAST(e.label AS VARCHAR) END AS grp,

@@ -8,10 +8,12 @@ from mensura.operators import models as md
 from mensura.operators import splits as sp
 from mensura.plans import audit as audit_plan
 from mensura.plans import benchmark as bench_plan
-from mensura.registry.core import query, rounded
+from mensura.registry.core import query, r, rounded
 from mensura.registry.curation import AUDIT
 from mensura.registry.statistics import UNIT_DIST, lineage_sql
 from mensura.registry.tables import scratch
+from mensura.session import cut
+from mensura.skew import beside
 
 NUMBERS = ["size", "retail", "lines", "quantity", "discount"]
 BITS = [f"bit_{i}" for i in range(16)]
@@ -29,71 +31,122 @@ def table(t):
 
 
 def sides(t):
-    rows = sp.group_split(table(t), "grp").persist()
+    rows = cut(sp.group_split(table(t), "grp"))
     return rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "test")
 
 
-def _fitted(t, family, params):
+SIDES = """
+s AS (SELECT grp, count(*) AS size FROM part_features GROUP BY grp),
+o AS (SELECT grp, coalesce(sum(size) OVER (ORDER BY size DESC, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM s),
+p AS (SELECT f.*, CASE WHEN before < floor(0.8::DOUBLE * total) THEN 'train' ELSE 'test' END AS split FROM part_features f JOIN o ON f.grp = o.grp)"""
+JUDGED = f"""WITH {SIDES.strip()}
+SELECT source_index, round(target, 6) AS actual, true AS residual_agrees, true AS in_range, true AS beats_mean FROM p WHERE split = 'test'"""
+
+
+def judged(scored, train, slack=0.0):
+    """What SQL can check of predictions: ids and actual values, and that they are sound and better than the train mean.
+
+    Forests stay within the labels they saw; boosted trees may leave that range by a share of its width.
+    """
+    facts = train.agg(F.min("target").alias("low"), F.max("target").alias("high"), F.avg("target").alias("mean"))
+    rows = beside(scored, facts)
+    rows = beside(rows, rows.agg((F.avg(F.abs("residual")) < F.avg(F.abs(F.col("actual") - F.col("mean")))).alias("beats_mean")))
+    room = (F.col("high") - F.col("low")) * slack + 1e-6
+    return rows.select(
+        "source_index", r("actual").alias("actual"), (F.abs(F.col("residual") - F.col("actual") + F.col("predicted")) < 1e-9).alias("residual_agrees"),
+        F.col("predicted").between(F.col("low") - room, F.col("high") + room).alias("in_range"), "beats_mean")
+
+
+def _fitted(t, family, params, slack=0.0):
     train, test = sides(t)
-    model = md.fit(train, family, NUMBERS, "target", params)
-    return md.predict(model, test, NUMBERS, "target")
+    return judged(md.predict(md.fit(train, family, NUMBERS, "target", params), test, NUMBERS, "target"), train, slack)
 
 
-@query("fit_forest")
+@query("fit_forest", JUDGED)
 def _(t):
-    return _fitted(t, "forest", {"numTrees": 8, "maxDepth": 5})
+    return _fitted(t, "forest", {"numTrees": 100, "maxDepth": 5})
 
 
-@query("fit_boosted")
+@query("fit_boosted", JUDGED)
 def _(t):
-    return _fitted(t, "boosted", {"maxIter": 8, "maxDepth": 3})
+    return _fitted(t, "boosted", {"maxIter": 8, "maxDepth": 3}, 0.5)
 
 
-@query("grouped_cv")
+@query("grouped_cv", f"""WITH {SIDES.strip()}, n AS (SELECT count(*) AS train_rows FROM p WHERE split = 'train')
+SELECT 0 AS number, '{{"numTrees": 4}}' AS params, true AS sound, train_rows FROM n UNION ALL SELECT 1, '{{"numTrees": 8}}', true, train_rows FROM n""")
 def _(t):
     train = sp.grouped_kfold(sides(t)[0], "grp", 3)
-    return md.grouped_cv(train, "forest", NUMBERS, "target", "fold", [{"numTrees": 4}, {"numTrees": 8}], 3)
+    found = md.grouped_cv(train, "forest", NUMBERS, "target", "fold", [{"numTrees": 4}, {"numTrees": 8}], 3)
+    rows = found.select("number", "params", (F.col("value") > 0).alias("sound"))
+    return beside(rows, train.agg(F.count(F.lit(1)).alias("train_rows")))
 
 
-@query("search")
+@query("search", "SELECT CAST(i AS INTEGER) AS number, 3 AS settings, true AS sound FROM range(8) r(i)")
 def _(t):
     train = sp.grouped_kfold(sides(t)[0], "grp", 3)
-    return md.search(train, "boosted", NUMBERS, "target", "fold", 2, 3, SPACES["boosted"])
+    found = md.search(train, "boosted", NUMBERS, "target", "fold", 8, 3, SPACES["boosted"])
+    return found.select("number", F.size(F.json_object_keys("params")).alias("settings"), (F.col("value") > 0).alias("sound"))
 
 
-@query("fit_predict_best")
+@query("fit_predict_best", JUDGED)
 def _(t):
     train, test = sides(t)
     trials = md.search(sp.grouped_kfold(train, "grp", 3), "forest", NUMBERS, "target", "fold", 2, 3, SPACES["forest"])
-    return md.fit_predict_best(train, test, "forest", NUMBERS, "target", trials)[1]
+    return judged(md.fit_predict_best(train, test, "forest", NUMBERS, "target", trials)[1], train)
 
 
-@query("importance_filter")
+@query("importance_filter", " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS adds_up, true AS mask_agrees" for c in [*BITS, *NUMBERS]))
 def _(t):
-    return md.importances(sides(t)[0], BITS + NUMBERS, "target", 10)
+    found = md.importances(sides(t)[0], BITS + NUMBERS, "target")
+    facts = beside(found, found.agg(F.sum("importance").alias("total"), F.avg("importance").alias("mean")))
+    return facts.select("feature", (F.abs(F.col("total") - 1) < 1e-6).alias("adds_up"), (F.col("kept") == (F.col("importance") >= F.col("mean") - 1e-12)).alias("mask_agrees"))
 
 
-@query("model_store")
+@query("model_store", f"""WITH {SIDES.strip()}
+SELECT source_index, round(target, 6) AS actual, true AS agrees FROM p WHERE split = 'test'""")
 def _(t):
     train, test = sides(t)
     path = scratch(t)
     model = md.fit_forest(train, NUMBERS, "target", {"numTrees": 4})
     md.save_model(model, path, {"columns": NUMBERS, "seed": 50}, train)
     again, metadata = md.load_model(t.spark, path)
-    return md.predict(again, test, metadata["columns"], "target")
+    first = md.predict(model, test, NUMBERS, "target").select("source_index", F.col("predicted").alias("first"))
+    both = md.predict(again, test, metadata["columns"], "target").join(first, "source_index")
+    return both.select("source_index", r("actual").alias("actual"), (F.col("first") == F.col("predicted")).alias("agrees"))
 
 
-@query("correlation_pvalue")
+@query("correlation_pvalue", """
+WITH c AS (SELECT corr(actual, model_key) AS c, count(*) AS n FROM predictions)
+SELECT round(c, 6) AS pearson, n AS rows, round(c * sqrt((n - 2) / (1 - c * c)), 4) AS t, abs(c * sqrt((n - 2) / (1 - c * c))) > 3.5 AS significant FROM c""")
 def _(t):
+    """The p-value has no SQL; beyond 3.5 deviations, and only there, it is below 0.0005 on many rows."""
     one = t.predictions.select("actual", F.col("model_key").alias("predicted"))
-    return ev.correlation_pvalue(one)
+    facts = ev.regression_metrics(one, spearman=False).select("rows", "pearson")
+    c, n = F.col("pearson"), F.col("rows")
+    both = beside(facts, ev.correlation_pvalue(one))
+    return both.select(r(c).alias("pearson"), "rows", r(c * F.sqrt((n - 2) / (1 - c * c)), 4).alias("t"), (F.col("pearson_p") < 5e-4).alias("significant"))
+
 
+NAME_BITS = """b AS (SELECT p_partkey AS source_index, list_distinct(list_transform(list_filter(string_split(p_name, ' '), lambda s: s <> ''),
+       lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT % 16)) AS b FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem))"""
+NONZERO = " + ".join(f"CAST({c} <> 0 AS BIGINT)" for c in NUMBERS)
 
-@query("feature_variants", """
-SELECT 'bits' AS variant, 16 AS width UNION ALL SELECT 'combined', 21 UNION ALL SELECT 'descriptors', 5""")
+
+@query("feature_variants", f"""
+WITH {NAME_BITS},
+c AS (SELECT count(*) AS rows, CAST(sum(len(b)) AS BIGINT) AS bits, CAST(sum({NONZERO}) AS BIGINT) AS numbers FROM b JOIN part_features f ON b.source_index = f.source_index)
+SELECT 'bits' AS variant, 16 AS width, rows, bits AS nonzero, CAST(0 AS BIGINT) AS missing FROM c UNION ALL SELECT 'descriptors', 5, rows, numbers, 0 FROM c
+UNION ALL SELECT 'combined', 21, rows, bits + numbers, 0 FROM c""")
 def _(t):
-    found = ft.feature_variants(table(t), "bit_", NUMBERS, {"bits": 16, "descriptors": 5, "combined": 21})
-    return t.spark.createDataFrame([(k, len(v)) for k, v in found.items()], "variant string, width int")
+    rows = table(t)
+    found = ft.feature_variants(rows, "bit_", NUMBERS, {"bits": 16, "descriptors": 5, "combined": 21})
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("variant"), F.lit(len(columns)).alias("width"),
+                 sum((F.coalesce((F.col(c) != 0).cast("bigint"), F.lit(0)) for c in columns), F.lit(0)).alias("nonzero"),
+                 sum((F.col(c).isNull().cast("bigint") for c in columns), F.lit(0)).alias("missing"))
+        for name, columns in found.items()])
+    each = rows.select(F.inline(cells))
+    return each.groupBy("variant", "width").agg(F.count(F.lit(1)).alias("rows"), F.sum("nonzero").alias("nonzero"), F.sum("missing").alias("missing"))
 
 
 @query("model_columns", "SELECT source_index, size, retail, lines, round(quantity, 6) AS quantity, round(discount, 6) AS discount FROM part_features")
@@ -102,27 +155,30 @@ def _(t):
     return rounded(t.part_features.select("source_index", *names), "quantity", "discount")
 
 
-@query("bit_columns", """
-SELECT p_partkey AS source_index, CAST(len(list_filter(list_distinct(list_transform(list_filter(string_split(p_name, ' '), lambda s: s <> ''),
-       lambda s: ('0x' || substr(md5(s), 1, 8))::BIGINT % 16)), lambda b: b = 3)) AS INTEGER) AS bit_3
-FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)""")
+@query("bit_columns", f"""WITH {NAME_BITS}
+SELECT source_index, {', '.join(f"CAST(list_contains(b, {i}) AS INTEGER) AS bit_{i}" for i in range(16))} FROM b""")
 def _(t):
-    return table(t).select("source_index", "bit_3")
+    return table(t).select("source_index", *BITS)
 
 
-@query("benchmark")
+@query("benchmark", f"""WITH {SIDES.strip()}, n AS (SELECT count(*) AS n_test FROM p WHERE split = 'test')
+SELECT model, features, n_features, n_test, true AS sound FROM n, (VALUES ('forest'), ('boosted')) f(model), (VALUES ('descriptors', 5), ('combined', 21)) v(features, n_features)""")
 def _(t):
-    return bench_plan.benchmark(table(t), {"descriptors": NUMBERS, "combined": BITS + NUMBERS}, "target", "grp",
-                                trials=1, folds=2, spaces=SPACES)["results"]
+    found = bench_plan.benchmark(table(t), {"descriptors": NUMBERS, "combined": BITS + NUMBERS}, "target", "grp",
+                                 trials=1, folds=2, spaces=SPACES)["results"]
+    return found.select("model", "features", "n_features", "n_test", ((F.col("cv_mae") > 0) & (F.col("test_mae") > 0)).alias("sound"))
 
 
-@query("matched_comparison")
+@query("matched_comparison", f"""WITH {SIDES.strip()}
+SELECT 'price times quantity' AS candidate, round(avg(abs(target - retail * quantity)), 6) AS candidate_value, true AS sound FROM p WHERE split = 'test'""")
 def _(t):
     rows = table(t)
     test = sp.group_split(rows, "grp").filter(F.col("split") == "test")
     candidate = test.select("source_index", F.col("target").alias("actual"), (F.col("retail") * F.col("quantity")).alias("predicted"))
-    return bench_plan.matched_comparison(rows, {"descriptors": NUMBERS}, "target", "grp", candidate, "price times quantity",
-                                         trials=1, folds=2, spaces=SPACES)["outcome"]
+    found = bench_plan.matched_comparison(rows, {"descriptors": NUMBERS}, "target", "grp", candidate, "price times quantity",
+                                          trials=1, folds=2, spaces=SPACES)["outcome"]
+    lower = F.col("candidate_value") < F.col("best_other_value")
+    return found.select("candidate", r("candidate_value").alias("candidate_value"), ((F.col("outcome") == "win") == lower).alias("sound"))
 
 
 # --- the audit, table by table -----------------------------------------------------------------
@@ -154,13 +210,27 @@ def _(t):
     return rounded(audit_plan.audit(t.records, ["split_assignments"])["split_assignments"], "PIC50")
 
 
-@query("audit_findings", f"""
-WITH {AUDIT.strip()}
-SELECT 'PASS' AS severity, 'standard relation filter recorded' AS "check", count(*) AS affected FROM records WHERE standard_relation IS DISTINCT FROM '='
-UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'WARNING' ELSE 'PASS' END, 'raw value and scaled value thresholds differ', count(*) FROM exact
-          WHERE coalesce(num <= 10000, false) <> coalesce("IC50_nM" <= 10000, false)
-UNION ALL SELECT 'PASS', 'finite model target', 0 UNION ALL SELECT 'PASS', 'split overlap', 0 UNION ALL SELECT 'PASS', 'unit conversion formula', 0""")
-def _(t):
-    return audit_plan.audit(t.records, ["findings"])["findings"]
+def _finding(severity, check, affected, message, advice):
+    """One finding in SQL; ``affected`` is a scalar query."""
+    return f"""SELECT CASE WHEN n > 0 THEN '{severity}' ELSE 'PASS' END AS severity, '{check}' AS "check", n AS affected, replace('{message}', '{{}}', CAST(n AS VARCHAR)) AS message,
+       CASE WHEN n > 0 THEN '{advice}' ELSE 'No action required.' END AS recommendation FROM (SELECT ({affected}) AS n) q"""
 
 
+NEVER = "SELECT CAST(0 AS BIGINT)"
+FINDINGS = " UNION ALL ".join([
+    _finding("PASS", "standard relation filter recorded", "SELECT count(*) FROM records WHERE standard_relation IS DISTINCT FROM '='",
+             "{} records have a relation other than equality.", "Keep the relation filter before modelling."),
+    _finding("WARNING", "raw value and scaled value thresholds differ",
+             'SELECT count(*) FROM exact WHERE coalesce(num <= 10000, false) <> coalesce("IC50_nM" <= 10000, false)',
+             "{} records are judged differently by the raw and the scaled value.", "Filter by the value in one unit."),
+    _finding("CRITICAL", "finite model target", 'SELECT count(*) FROM final WHERE NOT coalesce(isfinite("PIC50"), false)',
+             "{} targets are missing or infinite.", "Remove or repair these records before a split."),
+    _finding("CRITICAL", "group overlap between splits", NEVER, "{} groups lie in more than one split.", "Split by whole groups."),
+    _finding("CRITICAL", "record overlap between splits", NEVER, "{} record keys lie in more than one split.", "Remove duplicates before the split."),
+    _finding("WARNING", "unit conversion formula", NEVER, "{} units have a factor that their prefix does not imply.", "Check the unit table."),
+])
+
+
+@query("audit_findings", f"WITH {AUDIT.strip()}\n{FINDINGS}")
+def _(t):
+    return audit_plan.audit(t.records, ["findings"], strict=True)["findings"]

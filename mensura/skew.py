@@ -23,7 +23,7 @@ def join_by_key(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str =
     keys = list(keys)
     for k in keys:
         kind = df.schema[k].dataType
-        if table.schema[k].dataType != kind:  # equal numbers of two types have two hashes
+        if table.schema[k].dataType.simpleString() != kind.simpleString():  # equal numbers of two types have two hashes
             table = table.withColumn(k, F.col(k).try_cast(kind))
     if null_safe:
         packed = F.struct(*keys).alias("_key")

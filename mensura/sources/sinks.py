@@ -14,8 +14,8 @@ def export_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header CSV that :func:`read_records_csv` reads back: every text is quoted, with its quotes doubled and line ends kept."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option(
+    """Header CSV that :func:`read_records_csv` reads back: quotes in a text are doubled; line ends and outer spaces are kept."""
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 

@@ -320,18 +320,22 @@ WITH f AS (
 SELECT 'WARNING' AS severity, 'null key' AS check_name, count(*) FILTER (WHERE key IS NULL) AS affected FROM measures
 UNION ALL SELECT 'CRITICAL', 'nonfinite value', count(*) FILTER (WHERE NOT isfinite(x)) FROM measures
 UNION ALL SELECT 'WARNING', 'rejected relation', count(*) FILTER (WHERE standard_relation IS DISTINCT FROM '=') FROM records),
-v AS (SELECT CASE WHEN affected > 0 THEN severity ELSE 'PASS' END AS severity, check_name AS "check", affected FROM f)"""
+v AS (SELECT CASE WHEN affected > 0 THEN severity ELSE 'PASS' END AS severity, check_name AS "check", affected,
+             affected || ' rows have a ' || check_name || '.' AS message,
+             CASE WHEN affected > 0 THEN 'Remove or repair them.' ELSE 'No action required.' END AS recommendation FROM f)"""
 
 
 def _findings(t):
-    return st.findings([
+    told = ("{} rows have a %s.", "Remove or repair them.")
+    checks = [
         ("null key", "WARNING", t.measures.agg(F.count_if(F.col("key").isNull()).alias("n")), "n"),
         ("nonfinite value", "CRITICAL", t.measures.agg(F.count_if(~fn.is_finite("x")).alias("n")), "n"),
         ("rejected relation", "WARNING", t.records.agg(F.count_if(~F.col("standard_relation").eqNullSafe("=")).alias("n")), "n"),
-    ])
+    ]
+    return st.findings([(name, *rest, told[0] % name, told[1]) for name, *rest in checks])
 
 
-@query("findings", FINDINGS + ' SELECT severity, "check", affected FROM v')
+@query("findings", FINDINGS + ' SELECT severity, "check", affected, message, recommendation FROM v')
 def _(t):
     return _findings(t)
 

@@ -5,7 +5,8 @@ the byte offset of every block, and for every document its id and the place of i
 of ids is read by the offsets of the blocks that hold it and unpacked by numpy. All numbers of the file are little-endian.
 
 Documents lie in ascending order of their ids, null first, over all files: files hold consecutive ranges. Documents that share an
-id stand in any order. Null texts count as empty; every document ends with one end id.
+id stand in any order. Null texts count as empty; every document ends with one end id. Ids are those that the library gives to
+the whole text with ``add_special_tokens=False``: the string of an added token, such as ``<|endoftext|>``, is that token.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from mensura.llm.batches import lean, pieces, quoted
 from mensura.llm.bpe import Memory, encoded
 from mensura.llm.files import opened, written
+from mensura.llm.pretokens import valid
 
 MAGIC = b"IDPACK1\n"
 BLOCK = 1 << 15
@@ -135,7 +137,10 @@ class Reader:
 
 
 class _Library:
-    """A worker's tokenizer, for pre-tokens: many in one call, parted by a line end where that is a token of its own."""
+    """A worker's tokenizer, for pre-tokens: many in one call, parted by a line end where that is a token of its own.
+
+    A text that holds the string of an added token is encoded whole: the library looks for these before it pre-tokenises.
+    """
 
     kept: dict = {}
 
@@ -144,9 +149,11 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [a.encode() for a in added]
         newline = self.one("\n")
-        self.newline = newline[0] if len(newline) == 1 and self.one("a\nb")[1:2] == newline else None
+        joins = len(newline) == 1 and self.one("a\nb")[1:2] == newline and not any("\n" in a for a in added)
+        self.newline = newline[0] if joins else None
         self.memory = Memory(self.encode, 1_000_000)
 
     def one(self, text: str) -> list[int]:
@@ -173,6 +180,22 @@ class _Library:
                 sizes[b] = len(parts[-1])
         return np.concatenate(parts), sizes
 
+    def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each text has)."""
+        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
+        if not whole:
+            return encoded(self.memory, texts)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = None
+        ids, counts = encoded(self.memory, rest)
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in whole:
+            text = valid(texts[i]).decode()
+            parts[i] = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            counts[i] = len(parts[i])
+        return np.concatenate(parts), counts
+
     @classmethod
     def of(cls, shared) -> _Library:
         if shared.value is not cls.kept.get("value"):
@@ -221,7 +244,7 @@ def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id"
     def run(batches):
         library, done, place = _Library.of(shared), 0, TaskContext.get().partitionId()
         for piece, texts in pieces(batches):
-            ids, counts = encoded(library.memory, texts)
+            ids, counts = library.texts(texts)
             ends = np.cumsum(counts + 1)
             whole = np.full(int(ends[-1]), end_id, kind)
             own = np.ones(len(whole), bool)

@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +46,24 @@ def test_files_hold_every_document_in_order(spark, files):
         assert (tokenfiles.read_slice(folder, manifest, a, b) == whole[a:b]).all()
 
 
+def test_strings_of_added_tokens_are_encoded_as_the_library_does(spark, tmp_path):
+    mark = "<|endoftext|>"
+    texts = ["a<|endoftext|>b", mark, mark * 3, f" {mark} \n{mark}  don't", "<|endoftext|", "plain text", None, "", f"x\n{mark}\ny é🙂", "p\nq <x\ny> z"]
+    changed = json.loads(Path(PATH).read_text())
+    changed["added_tokens"][0] |= {"lstrip": True}
+    changed["added_tokens"].append({"id": 50257, "content": "x\ny", "single_word": False, "lstrip": False, "rstrip": True, "normalized": False, "special": False})
+    (tmp_path / "changed.json").write_text(json.dumps(changed))
+    for path in (PATH, str(tmp_path / "changed.json")):
+        library = Tokenizer.from_file(path)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+        folder = new_folder(spark, "test-tokens")
+        manifest = tokenfiles.write_tokens(documents(spark, list(enumerate(texts))), path, folder, files=2)
+        rows = tokenfiles.read_documents(spark, folder, manifest).orderBy("doc_id").collect()
+        assert [(r.n_tokens, r.ids_crc32) for r in rows] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+        assert tokenfiles.read_slice(folder, manifest, 0, sum(map(len, want))).tolist() == sum(want, [])
+    assert Tokenizer.from_file(PATH).encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+
+
 def test_ranges_keep_the_order_of_ids_that_fill_several():
     import pyarrow as pa
 

@@ -205,13 +205,26 @@ class CountTree:
 # --- the join --------------------------------------------------------------------------------------
 
 
+def filter_bits(c: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A document's place in the filter, from all bits of its set and id."""
+    both = (c ^ ids).view(np.uint64)
+    folded = both.copy()
+    for places in range(FILTER_BITS, 64, FILTER_BITS):
+        folded ^= both >> np.uint64(places)
+    return (folded & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
 def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
     """(c, hashes) of the wanted sets (c, head), read from the texts of their first documents.
 
     A filter of fixed size keeps most other sets from being shuffled; what passes it wrongly is dropped by the join.
     """
     mask = (1 << FILTER_BITS) - 1
-    bit = F.col("c").bitwiseXOR(F.coalesce("head", F.lit(-1))).bitwiseAND(F.lit(mask))
+    both = F.col("c").bitwiseXOR(F.coalesce("head", F.lit(-1)))
+    folded = both
+    for places in range(FILTER_BITS, 64, FILTER_BITS):  # as filter_bits does: ids may differ in high bits alone
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(both, places))
+    bit = folded.bitwiseAND(F.lit(mask))
     words = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(
         F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("v"))
     found = np.zeros((mask + 1) // 32, np.uint32)
@@ -224,9 +237,11 @@ def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
             docs = batch.column("doc")
             sets = shingle_sets(texts)
             c = identities(sets)
-            bits = (c ^ np.asarray(docs.fill_null(-1))) & mask
+            ids, missing = np.asarray(docs.fill_null(-1)), np.asarray(docs.is_null())
+            bits = filter_bits(c, ids)
             keep = np.flatnonzero(shared.value[bits].astype(bool) & np.array([len(s) > 0 for s in sets]))
-            keep = keep[np.unique(np.stack([c[keep], bits[keep]]), axis=1, return_index=True)[1]] if len(keep) else keep
+            # Only whole copies of a row go, by set and id: the head of a set must reach the join.
+            keep = keep[np.unique(np.stack([c, ids, missing])[:, keep], axis=1, return_index=True)[1]] if len(keep) else keep
             yield pa.RecordBatch.from_arrays([
                 docs.take(pa.array(keep)), pa.array(c[keep]), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], ["doc", "c", "hashes"])
 

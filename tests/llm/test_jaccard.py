@@ -68,6 +68,25 @@ def test_groups_of_near_copies_match_brute_force(spark, block):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("ids", [
+    [5 + (k << 24) for k in (3, 1, 0, 2)], [7 + (k << 33) for k in (2, 0, 1, 3)], [7 + (k << 48) for k in (2, 0, 1, 3)],
+    [None, (1 << 24) - 1, None, (3 << 24) - 1], [-1, None, -1, None], [9, 9 + (1 << 24) + 1, 9 - (1 << 24), 9 - (1 << 24)]])
+def test_copies_whose_ids_differ_in_high_bits_keep_their_links(spark, ids):
+    base = prose(31, 60)
+    rows = [*((i, base) for i in ids), (400, base + " tail"), (401, prose(32, 60))]
+    got = table(jaccard.linked_documents(documents(spark, rows).coalesce(1)), "doc_id", "n_shingles", "component_id")
+    assert got == brute(rows)
+
+
+def test_the_filter_folds_ids_alike_in_spark_and_numpy(spark):
+    rng = np.random.default_rng(4)
+    texts = [prose(500 + i, 30) for i in range(200)]
+    ids = [int(x) for x in rng.integers(-(2**63), 2**63, 200)]
+    wanted = spark.createDataFrame(
+        [(int(c), d) for c, d in zip(jaccard.identities(jaccard.shingle_sets([t.encode() for t in texts])), ids)], "c long, head long")
+    assert jaccard._sets(documents(spark, list(zip(ids, texts))), "doc_id", "text", wanted).count() == 200
+
+
 def test_linked_sets_share_a_cell():
     rng, seen = np.random.default_rng(1), 0
     for _ in range(1500):

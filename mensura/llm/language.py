@@ -7,16 +7,18 @@ the mean over all its windows, weighted by their bytes; no part of a text is lef
 A filter's answer is a sum over its bytes, so for prediction the weights of two neighbouring bytes are tabulated once and a
 filter of width four costs two lookups.
 
-At most ``PER_LANGUAGE`` labelled texts of each language are used to fit, chosen by a hash of their text; a text without letters
+At most ``PER_LANGUAGE`` different labelled texts of each language are used to fit, chosen by a hash of their text; more than
+``MOST_LANGUAGES`` languages raise. A text without letters
 (null included) is ``und`` with score 0. Ties go to the language that is first by name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mensura.llm.batches import each_piece, quoted
@@ -164,23 +166,29 @@ class Predictor:
 
 
 def labelled_sample(df: DataFrame, text: str, lang: str, per_language: int = PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """About ``per_language`` texts of each language, and never more than a tenth beyond that, by a hash of the text."""
+    """``per_language`` different texts of each language, or all it has if these are fewer, by a hash of the text.
+
+    Copies count once, also for the share that is looked at: a language that is almost all copies is learned from its other texts too.
+    """
     rows = df.select(F.col(quoted(text)).alias("t"), F.col(quoted(lang)).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL").filter(F.col("t").rlike(r"\p{L}"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = rows.groupBy("l", F.xxhash64("t").alias("h")).agg(F.lit(1).alias("one"))
+    counts = {r.l: r.n for r in different.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return []
     scale = 1 << 30
-    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, scale * per_language // n))])
-    picked = rows.filter(F.pmod(F.xxhash64("t"), F.lit(scale)) < limits[F.col("l")])
+    enough = per_language + 8 * math.isqrt(per_language) + 8  # so many are expected: fewer than per_language would be eight deviations
+    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(scale, max(1, scale * enough // n)))])
+    place = F.pmod(F.xxhash64("t"), F.lit(scale))
+    picked = rows.filter(place < limits[F.col("l")])
     # Windows of the text, not the whole: three at most, evenly placed.
     size = F.octet_length("t")
     places = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda i: F.floor(F.greatest(size - WINDOW, F.lit(0)) * i / (FIT_WINDOWS - 1)))
     cuts = F.transform(F.array_distinct(places), lambda p: F.substring(F.col("t").cast("binary"), p.cast("int") + 1, F.lit(WINDOW)))
-    found = picked.select("l", cuts.alias("cuts"), F.xxhash64("t").alias("h")).dropDuplicates(["l", "h"])
-    most = int(1.1 * per_language) * len(counts)
-    rows = found.orderBy("h", "l").limit(most).collect()
+    found = picked.select("l", cuts.alias("cuts"), F.xxhash64("t").alias("h"), place.alias("place")).dropDuplicates(["l", "h"])
+    first = F.row_number().over(Window.partitionBy("l").orderBy("place", "h"))  # of a little more than is kept
+    rows = found.withColumn("nth", first).filter(F.col("nth") <= per_language).orderBy("h", "l").select("l", "cuts").collect()
     return [(bytes(c), r.l) for r in rows for c in r.cuts]
 
 

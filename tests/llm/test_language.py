@@ -58,6 +58,15 @@ def test_held_out_accuracy_and_unknown_texts(spark):
     assert {r.lang_pred for r in language.predict(documents(spark), None).collect()} == {"und"}
 
 
+def test_a_language_of_almost_only_copies_is_learned(spark):
+    texts = [("copy of one text ö", "aa")] * 4000 + [(f"aa text {i}", "aa") for i in range(30)] + [(f"bb words {i}", "bb") for i in range(500)]
+    docs = spark.createDataFrame([*texts, ("bb words 1", "aa"), ("cc", "cc")], "text string, lang string").repartition(3)
+    sample = language.labelled_sample(docs, "text", "lang", per_language=40)
+    each = {l: [t for t, x in sample if x == l] for l in ("aa", "bb", "cc")}
+    assert {l: (len(ts), len(set(ts))) for l, ts in each.items()} == {"aa": (32, 32), "bb": (40, 40), "cc": (1, 1)}
+    assert "copy of one text ö".encode() in each["aa"]
+
+
 def test_no_labels_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a", None), (2, None, "en"), (3, "1 2", "en")], "doc_id long, text string, lang string")
     assert language.labelled_sample(docs, "text", "lang") == []

@@ -37,10 +37,16 @@ def _one(rng: np.random.Generator, good: int, bad: int, taken: int) -> int:
     """Of ``taken`` items drawn from good and bad ones, how many are good."""
     if good + bad < _EXACT:
         return int(rng.hypergeometric(good, bad, taken))
-    total = good + bad  # beyond numpy's range the normal limit, within the possible values
+    # Beyond numpy's range the law itself, from the ratios of neighbouring chances; what lies outside has less than 1e-26.
+    total = good + bad
     mean = taken * (good / total)
-    spread = np.sqrt(mean * (bad / total) * ((total - taken) / max(1, total - 1)))
-    return int(np.clip(round(rng.normal(mean, spread)), max(0, taken - bad), min(good, taken)))
+    reach = 12 * np.sqrt(mean * (bad / total) * ((total - taken) / max(1, total - 1))) + 60
+    low, high = max(0, taken - bad, int(mean - reach)), min(good, taken, int(mean + reach) + 1)
+    k = np.arange(low, high)
+    steps = np.log((good - k) / (k + 1)) + np.log((taken - k) / (bad - taken + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(sums, rng.random() * sums[-1], "right")), high - low)
 
 
 def drawn(rng: np.random.Generator, cells: np.ndarray, taken: int) -> np.ndarray:

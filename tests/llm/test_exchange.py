@@ -50,5 +50,18 @@ def test_order_is_uniform_and_repeatable(spark):
     assert (np.abs(halves - 250) < 60).all()
 
 
+def test_draws_beyond_numpys_range_follow_the_law():
+    rng = np.random.default_rng(6)
+    for good, bad, taken in ((3, 1_500_000_000, 150_000_000), (1_500_000_000, 3, 1_350_000_003)):
+        draws = np.array([exchange._one(rng, good, bad, taken) for _ in range(20_000)])
+        rare = draws if good == 3 else 3 - (taken - draws)  # good ones taken, or bad ones left
+        found = np.bincount(rare, minlength=4) / 20_000
+        want = np.array([0.9**3, 3 * 0.1 * 0.9**2, 3 * 0.1**2 * 0.9, 0.1**3])
+        assert np.abs(found - want).max() < 0.02
+    wide = np.array([exchange._one(rng, 2_000_000_000, 3_000_000_000, 1_000_000_000) for _ in range(200)])
+    spread = np.sqrt(1e9 * 0.4 * 0.6 * 0.8)
+    assert abs(wide.mean() - 4e8) < 5 * spread / np.sqrt(200) and 0.75 < wide.std() / spread < 1.25
+
+
 def test_empty_table(spark):
     assert exchange.shuffled(documents(spark).limit(0), 24).count() == 0

@@ -12,32 +12,47 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """(u, p) with p followed to its end; every parent is smaller than its child, so there are no rings."""
-    while True:
-        above = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        parents = cut(parents.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), (F.col("pp") < F.col("p")).alias("moved")))
-        if parents.filter("moved").isEmpty():
-            return parents.select("u", "p")
+def _followed(parents: DataFrame) -> DataFrame:
+    """(u, p) with p followed one step further."""
+    above = parents.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+    return parents.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(c, label) of every node of links (a, b): nodes with one label are connected.
+    """(c, label) of every node of links (a, b): nodes with one label are connected, and it is the smallest of them.
 
-    Each round hangs every node under its smallest neighbour, follows the chains to their ends, and replaces the links by those
-    between the ends. Neighbours are combined before a shuffle, and joins meet tables that were cut, so that a node of very many
-    links can be split.
+    Each round hangs every node under its smallest neighbour, follows the chains two steps and twice that, and replaces the links by
+    those between the nodes reached, so chains shrink to a quarter at least. Links and labels go through a round as one table,
+    which is cut once. Neighbours are combined before a shuffle, and joins meet tables that were cut, so that a node of very
+    many links can be split. No links give no rows.
     """
-    links, labels = cut(_ordered(links)), None
-    spark = links.sparkSession
-    while not links.isEmpty():
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        parents = _roots(cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))))
-        if labels is None:
-            labels = parents.select(F.col("u").alias("c"), F.col("p").alias("label"))
+    table = cut(_ordered(links).select("a", "b", F.lit(True).alias("link")))
+    rounds = 0
+    while not table.filter("link").isEmpty():
+        edges = table.filter("link")
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        parents = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
+        parents = cut(_followed(_followed(parents)))
+        onward = parents.select(F.col("u").alias("b"), F.col("p").alias("pb"))
+        if rounds:
+            labels = table.filter(~F.col("link")).join(onward, "b", "left").select("a", F.coalesce("pb", "b").alias("b"))
         else:
-            onward = parents.select(F.col("u").alias("label"), "p")
-            labels = cut(labels.join(onward, "label", "left").select("c", F.coalesce("p", "label").alias("label")))
-        left, right = parents.select(F.col("u").alias("a"), F.col("p").alias("pa")), parents.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        links = cut(_ordered(links.join(left, "a").join(right, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))))
-    return labels if labels is not None else spark.createDataFrame([], "c long, label long")
+            labels = parents.select(F.col("u").alias("a"), F.col("p").alias("b"))
+        left = parents.select(F.col("u").alias("a"), F.col("p").alias("pa"))
+        rest = _ordered(edges.join(left, "a").join(onward, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        table = cut(rest.withColumn("link", F.lit(True)).union(labels.withColumn("link", F.lit(False))))
+        rounds += 1
+    return table.filter(~F.col("link")).select(F.col("a").alias("c"), F.col("b").alias("label"))
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(c, label) after further links (a, b) are added to the components (c, label); only the links' ends are worked on again."""
+    def named(side: str) -> DataFrame:
+        return labels.select(F.col("c").alias(side), F.col("label").alias(f"l{side}"))
+
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    merged = components(between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    onward = merged.select(F.col("c").alias("label"), F.col("label").alias("root"))
+    moved = labels.join(onward, "label", "left").select("c", F.coalesce("root", "label").alias("label"))
+    new = merged.join(labels.select("c"), "c", "left_anti")  # an end that had no link before
+    return moved.union(new)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm import bpe, chat, decontaminate, exchange, jaccard, language, quality, secrets, tokenfiles, warc
+from mensura.llm import bpe, chat, decontaminate, divergence, exchange, jaccard, language, quality, secrets, sketches, tokenfiles, vectors, warc
 from mensura.llm.batches import tokenizer_file
 from mensura.llm.files import new_folder
 
@@ -238,3 +238,94 @@ SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
 def op10(spark, folder):
     rows = quality.ledger(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     return rows.select("row.doc_id", *[c for c in rows.columns if c != "row"], (~quality.passes("base")).alias("base_failed"), quality.passes().alias("kept"))
+
+
+# --- 11: HyperMinHash near-duplicates --------------------------------------------------------------
+
+
+@query("op11_near_duplicates", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + greatest(0, least(len(w), 3) - 1)], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS i FROM d)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 85 * (na.n + nb.n - o)
+), r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+""")
+def op11(spark, folder):
+    return sketches.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+# --- 12: vector codes ------------------------------------------------------------------------------
+
+
+def _nearest(name: str, books: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT rid, part, x, m.e AS entry, m.d AS d FROM (
+    SELECT rid, part, any_value(x) AS x, min({{'d': d, 'e': entry}}) AS m FROM (
+      SELECT rid, part, x, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+      FROM p JOIN {books} USING (part)) GROUP BY rid, part))"""
+
+
+def _means(name: str, books: str, nearest: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT part, entry, CASE WHEN n IS NULL THEN c ELSE list_transform(t, lambda s: (s - ((s % n) + n) % n) // n) END AS c FROM {books}
+  LEFT JOIN (SELECT part, entry, n, list(s ORDER BY j) AS t FROM (
+    SELECT part, entry, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS j FROM {nearest})
+    GROUP BY part, entry, j) GROUP BY part, entry, n) USING (part, entry))"""
+
+
+@query("op12_vector_codes", f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, e) - 1 AS rid, vec_id, label, e FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), p AS MATERIALIZED (SELECT rid, part, e[part * (len(e) // 16) + 1:(part + 1) * (len(e) // 16)] AS x FROM (SELECT rid, e, unnest(range(0, 16)) AS part FROM v)
+), b0 AS MATERIALIZED (SELECT part, rid AS entry, x AS c FROM p WHERE rid < 64),
+{_nearest('a0', 'b0')}, {_means('b1', 'b0', 'a0')}, {_nearest('a1', 'b1')}, {_means('b2', 'b1', 'a1')}, {_nearest('a2', 'b2')},
+coded AS (SELECT rid, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY rid),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS digest FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM v JOIN coded USING (rid), books
+""")
+def op12(spark, folder):
+    return vectors.codes(table(spark, folder, "embeddings"))
+
+
+# --- 13: source divergence -------------------------------------------------------------------------
+
+
+@query("op13_source_divergence", r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS MATERIALIZED (SELECT rid, lang, source, term, count(*) AS n FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), kept AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(*) >= 10
+), c AS MATERIALIZED (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, CAST(coalesce(sum(n), 0) AS BIGINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source
+), dense AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + CAST((1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT)) // (g.total + 2 * g.v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+), whole AS (SELECT lang, term, 1 + CAST((1000000000 * CAST(sum(n) + 2 AS HUGEINT)) // (any_value(total) + 2 * any_value(v)) AS BIGINT) AS q
+  FROM dense JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, term
+), sums AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f
+QUALIFY part = 'pair' OR rank <= 10
+""")
+def op13(spark, folder):
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))

@@ -9,21 +9,17 @@ from pyspark.sql import functions as F
 
 from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
-from mensura.session import cut
-from mensura.skew import join_by_key, select_quantiles
+from mensura.skew import join_by_key, select_spread
 
 
 def replicate_profile(df: DataFrame, key: str, value: str, aggs: Sequence[Column] = ()) -> DataFrame:
     """Per key: ``median``, ``mad`` and any further aggregates. Rows without a key belong to no group.
 
-    Both medians are picked from an order of all keys' distinct values, so a key may have any number of rows.
+    Both medians come from one order of all keys' distinct values, so a key may have any number of rows.
     """
     rows = df.filter(F.col(key).isNotNull()).withColumn("_v", fn.finite(value))
-    middle = cut(select_quantiles(rows, [key], {"median": ("_v", 0.5)}))
-    away = join_by_key(rows.select(key, "_v"), middle, [key], "inner").withColumn("_away", F.abs(F.col("_v") - F.col("median")))
-    spread = select_quantiles(away, [key], {"mad": ("_away", 0.5)})
     grouped = rows.groupBy(key).agg(*(aggs or [F.count(F.lit(1)).alias("_unused")])).drop("_unused")
-    return join_by_key(join_by_key(grouped, middle, [key]), spread, [key])
+    return join_by_key(grouped, select_spread(rows, [key], "_v"), [key])
 
 
 def with_replicate_mad(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -47,6 +47,31 @@ def test_one_key_with_a_third_of_the_rows(spark):
     assert con.with_replicate_mad(df, "k", "x").count() == 3000
 
 
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_keys_that_span_ranges_carry_their_ranks(spark, monkeypatch, held):
+    """Many ranges, keys of one value and of thousands, and keys with more values than a task holds."""
+    monkeypatch.setattr(skew, "HELD", held)
+    old = [(n, spark.conf.get(n)) for n in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")]
+    for (n, _), v in zip(old, ("false", "7")):
+        spark.conf.set(n, v)
+    try:
+        rng = np.random.default_rng(5)
+        keys = np.where(np.arange(2000) % 3 == 0, 0, rng.integers(1, 300, 2000))
+        values = np.round(rng.normal(size=2000), 2)
+        df = spark.createDataFrame([(int(k), float(v), float(v) * 2) for k, v in zip(keys, values)], "k int, x double, y double")
+        got = {r["k"]: r for r in skew.select_quantiles(df, ["k"], {"a": ("x", 0.5), "b": ("y", 0.9), "c": ("x", 0.0)}).collect()}
+        spread = {r["k"]: r for r in skew.select_spread(df, ["k"], "x").collect()}
+    finally:
+        for n, v in old:
+            spark.conf.set(n, v)
+    assert set(got) == set(spread) == set(keys.tolist())
+    for k in got:
+        x = values[keys == k]
+        middle = np.median(x)
+        assert np.allclose([got[k]["a"], got[k]["b"], got[k]["c"]], [middle, np.quantile(2 * x, 0.9), x.min()], rtol=1e-12, atol=1e-12)
+        assert np.allclose([spread[k]["median"], spread[k]["mad"]], [middle, np.median(np.abs(x - middle))], rtol=1e-12, atol=1e-12)
+
+
 def test_null_is_a_key_like_any_other(spark):
     df = spark.createDataFrame([(None, 1.0)] * 50 + [("a", 2.0)] * 3, "k string, x double")
     table = st.number_stats(df, "x", ["k"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from mensura.functions.columns import finite, is_finite
 from mensura.operators.joins import join_one_to_one
 from mensura.operators.ranking import average_ranks
+from mensura.session import cut
 from mensura.skew import aggregate, beside, join_by_key
 
 
@@ -32,17 +33,26 @@ def _correlation(a: Column, b: Column) -> Column:
 def regression_metrics(
     df: DataFrame, by: Sequence[str] = (), actual: str = "actual", predicted: str = "predicted", spearman: bool = True
 ) -> DataFrame:
-    """MAE, RMSE, R2 (null without variance), Pearson and Spearman (null when a side is constant) per group."""
-    a, p = F.col(actual), F.col(predicted)
+    """MAE, RMSE, R2 (null without variance), Pearson and Spearman (null when a side is constant) per group.
+
+    All are figures of the rows where both numbers are finite, which ``rows`` counts; ``left_out`` counts the others.
+    """
+    by = list(by)
+    pairs = df.select(*by, F.col(actual).cast("double").alias("_a"), F.col(predicted).cast("double").alias("_p"))
+    complete = is_finite("_a") & is_finite("_p")
+    pairs = pairs.select(*by, *[F.when(complete, F.col(c)).alias(c) for c in ("_a", "_p")])
+    if spearman:
+        pairs = cut(pairs)  # read for the figures and for the ranks
+    a, p = F.col("_a"), F.col("_p")
     error = a - p
     spread = F.var_pop(a) * F.count(a)
-    table = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
+    table = pairs.groupBy(*by).agg(
+        F.count(a).alias("rows"), F.count_if(a.isNull()).alias("left_out"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         F.when(spread > 0, 1 - F.sum(error * error) / spread).alias("r2"), _correlation(a, p).alias("pearson"),
     )
     if not spearman:
         return table
-    ranked = average_ranks(df.select(*by, a.cast("double").alias("_a"), p.cast("double").alias("_p")), ["_a", "_p"], by)
+    ranked = average_ranks(pairs.filter(a.isNotNull()), ["_a", "_p"], by)
     rho = ranked.groupBy(*by).agg(_correlation(F.col("_a_rank"), F.col("_p_rank")).alias("spearman"))
     return join_by_key(table, rho, by, "left", null_safe=True) if by else beside(table, rho)
 
@@ -115,19 +125,22 @@ def wide_predictions(runs: Mapping[str, DataFrame], row_id: str = "source_index"
 
 
 def run_metrics_row(
-    df: DataFrame, split: str, group: str, columns: Sequence[str], predictions: DataFrame
+    df: DataFrame, split: str, group: str, columns: Sequence[str], predictions: DataFrame, rejected: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: rows and groups per split, imputed values, feature count, and the metrics of the predictions."""
+    """One row: rows and groups of the train, validation and test side, imputed values of the train and test side, rows that were
+    rejected before the split, feature count, and the metrics of the predictions."""
+    sides = ("train", "validation", "test")
+
     def side(name: str) -> Column:
         return F.col(split) == name
 
     missing = sum((F.when(is_finite(c), 0).otherwise(1) for c in columns), F.lit(0))
     sizes = df.agg(
-        F.count_if(side("train")).alias("n_train"), F.count_if(side("test")).alias("n_test"),
-        F.coalesce(F.sum(F.when(side("train"), missing)), F.lit(0)).alias("n_imputed_train"),
-    )
-    groups = df.select(split, group).distinct().agg(
-        F.count_if(side("train")).alias("n_train_groups"), F.count_if(side("test")).alias("n_test_groups")
+        *[F.count_if(side(s)).alias(f"n_{s}") for s in sides],
+        *[F.coalesce(F.sum(F.when(side(s), missing)), F.lit(0)).alias(f"n_imputed_{s}") for s in ("train", "test")],
     )
+    groups = df.select(split, group).distinct().agg(*[F.count_if(side(s)).alias(f"n_{s}_groups") for s in sides])
     row = beside(beside(sizes, groups), regression_metrics(predictions))
+    if rejected is not None:
+        row = beside(row, rejected.agg(F.count(F.lit(1)).alias("n_rejected")))
     return row.withColumn("n_features", F.lit(len(columns)))

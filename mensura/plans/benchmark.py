@@ -47,7 +47,7 @@ def compare_models(
 
 def scored_runs(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Held-out metrics under the names of the results table."""
-    return ev.regression_metrics(predictions, by).withColumnsRenamed({
+    return ev.regression_metrics(predictions, by).drop("left_out").withColumnsRenamed({
         "mae": "test_mae", "rmse": "test_rmse", "r2": "test_r2", "pearson": "test_pearson", "spearman": "test_spearman",
         "rows": "n_test",
     })

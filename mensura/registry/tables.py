@@ -4,7 +4,6 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mensura.plans import ingest as plan
 from mensura.registry.core import query, rounded
@@ -29,10 +28,18 @@ def _(t):
     return rec.preview(t.orders.select("o_orderkey", "o_totalprice"), 5, [F.desc("o_totalprice"), "o_orderkey"])
 
 
-@query("register_table", "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment")
+@query("register_table", """
+SELECT 'view' AS kind, c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'saved', c_mktsegment, count(*) FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_mktsegment""")
 def _(t):
+    """A session view, and a saved table that replaces one of its name."""
+    name = f"saved_customer_{uuid.uuid4().hex[:12]}"
     rec.register_table(t.customer, "registered_customer")
-    return t.spark.sql("SELECT c_mktsegment, count(*) AS customers FROM registered_customer GROUP BY c_mktsegment")
+    rec.register_table(t.customer, name, saved=True)
+    rec.register_table(t.customer.filter("c_custkey % 2 = 0"), name, saved=True)
+    parts = [t.spark.sql(f"SELECT '{kind}' AS kind, c_mktsegment, count(*) AS customers FROM {n} GROUP BY c_mktsegment")
+             for kind, n in (("view", "registered_customer"), ("saved", name))]
+    return parts[0].union(parts[1])
 
 
 @query("search_entities", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_name, p_partkey LIMIT 10")
@@ -54,16 +61,19 @@ def _(t):
         {"o_orderkey": F.col("o_orderkey").cast("bigint"), "o_custkey": F.col("o_custkey").cast("bigint")})
 
 
-ORDER_SCHEMA = T.StructType([
-    T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_totalprice", T.DoubleType())])
-
-
-@query("malformed_rows", "SELECT CAST(o_orderkey AS VARCHAR) || ',' || 'x' || CAST(o_custkey AS VARCHAR) || ',1.5' AS line FROM orders WHERE o_orderstatus = 'P'")
+@query("malformed_rows", """
+SELECT doc_id, text, n_chars, CAST(NULL AS VARCHAR) AS line FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT NULL, NULL, NULL, CAST(doc_id AS VARCHAR) || ',bad ' || CAST(doc_id AS VARCHAR) || ',x' || CAST(n_chars AS VARCHAR) FROM documents WHERE doc_id % 7 = 0""")
 def _(t):
+    """Whole documents with quotes and line ends in their text, every seventh with a bad number in place of a good text."""
     path = scratch(t)
-    key = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("x"), F.col("o_custkey").cast("string"))).otherwise(F.col("o_custkey").cast("string"))
-    sinks.write_csv(t.orders.select("o_orderkey", key.alias("o_custkey"), F.lit(1.5).alias("o_totalprice")), path)
-    return rec.malformed_rows(t.spark, path, ORDER_SCHEMA)[1]
+    bad = F.col("doc_id") % 7 == 0
+    rows = t.documents.select("doc_id", "text", "n_chars")
+    sinks.write_csv(rows.select(
+        "doc_id", F.when(bad, F.concat(F.lit("bad "), F.col("doc_id").cast("string"))).otherwise(F.col("text")).alias("text"),
+        F.concat(F.when(bad, "x").otherwise(""), F.col("n_chars").cast("string")).alias("n_chars")), path)
+    good, lines = rec.malformed_rows(t.spark, path, rows.schema)
+    return good.withColumn("line", F.lit(None).cast("string")).unionByName(lines, allowMissingColumns=True)
 
 
 @query("land_records", "SELECT event_id, user_id, event_type, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS source_index FROM events")
@@ -115,32 +125,47 @@ def _(t):
     return t.spark.read.parquet(sinks.write_run(table, scratch(t), "first", "flags"))
 
 
-@query("materialize_if_absent", "SELECT o_orderpriority, count(*) AS orders FROM orders GROUP BY o_orderpriority")
+@query("materialize_if_absent", """
+SELECT turn, o_orderpriority, count(*) AS orders FROM orders, (VALUES ('built'), ('met')) v(turn) GROUP BY turn, o_orderpriority""")
 def _(t):
-    path = scratch(t)
-    name = "priorities_" + path[-12:]
+    """The first call finds no table and builds it; the second meets it under another name and builds nothing."""
+    name = f"priorities_{uuid.uuid4().hex[:12]}"
 
     def build():
         return t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders"))
 
-    t.spark.sql(f"CREATE TABLE {name}_other (o_orderpriority STRING, orders BIGINT) USING parquet LOCATION '{path}'")
-    build().write.mode("overwrite").parquet(path)
-    t.spark.catalog.refreshTable(f"{name}_other")
-    return rec.materialize_if_absent(t.spark, [name, f"{name}_other"], build)
+    def refuse():
+        raise AssertionError("the table is there")
+
+    built = rec.materialize_if_absent(t.spark, [name, f"{name}_other"], build)
+    met = rec.materialize_if_absent(t.spark, [f"{name}_other", name], refuse)
+    return built.withColumn("turn", F.lit("built")).unionByName(met.withColumn("turn", F.lit("met")))
 
 
-@query("stream_landed_records", "SELECT event_id, user_id, event_type, CAST(ts AS VARCHAR) AS ts, round(value, 6) AS value, props FROM events WHERE event_type <> 'error'")
+@query("stream_landed_records", """
+SELECT event_id, nullif(event_id, CASE WHEN event_id % 50 = 0 THEN event_id END) AS record, user_id, event_type, CAST(ts AS VARCHAR) AS ts, round(value, 6) AS value, props
+FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0 AND event_id % 3 = 0) e WHERE event_type <> 'error'""")
 def _(t):
-    """Four files in descending time order, one per trigger, and a fifth that repeats a share of the records."""
+    """Four files in descending time order, one per trigger, and a fifth that repeats a share of the records; some records have no id.
+
+    The last batch is run twice, as after a failure between its write and its commit.
+    """
     base = scratch(t)
-    rows = t.spark.read.parquet(t.path("events"))
+    rows = t.spark.read.parquet(t.path("events")).withColumn("record", F.when(F.col("event_id") % 50 != 0, F.col("event_id")))
     ranked = rows.withColumn("_part", F.ntile(4).over(Window.partitionBy(F.pmod("event_id", F.lit(7))).orderBy(F.desc("ts"))))
     for i in range(1, 5):
         ranked.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{base}/in/{i}")
     rows.filter("event_id % 3 = 0").coalesce(1).write.parquet(f"{base}/in/5")
-    stream = landed.landed_records(t.spark, f"{base}/in/*", rows.schema, files_per_trigger=1).filter(F.col("event_type") != "error")
-    out = landed.ingest_available(stream, base + "/data", base + "/checkpoint", "event_id")
-    return rounded(out, "value").withColumn("ts", F.col("ts").cast("string"))
+
+    def run():
+        stream = landed.landed_records(t.spark, f"{base}/in/*", rows.schema, files_per_trigger=1).filter(F.col("event_type") != "error")
+        return landed.ingest_available(stream, base + "/data", base + "/checkpoint", "record")
+
+    run()
+    jvm = t.spark.sparkContext._jvm
+    commit = jvm.org.apache.hadoop.fs.Path(f"{base}/checkpoint/commits/4")
+    commit.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).delete(commit, False)
+    return rounded(run(), "value").withColumn("ts", F.col("ts").cast("string"))
 
 
 @query("ingest", """

@@ -11,30 +11,31 @@ from pyspark.sql import types as T
 
 from mensura.functions import columns as fn
 from mensura.skew import ordered_prefix
-
-CORRUPT = "_corrupt_record"
-
+from mensura.sources import quoted
 
 def read_records_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Header CSV; types are inferred when no schema is given. ``source_index`` is given once, by :func:`land_records`.
 
-    Quotes inside quoted text are doubled, and a quoted text may hold line ends.
+    Quotes inside quoted text are doubled, and a quoted text may hold line ends; a file of any size is read by many tasks. Fields that
+    do not fit their type are null.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    records = quoted.records_of(spark, path)
+    if schema is None:
+        texts = T.StructType([T.StructField(c, T.StringType()) for c in quoted.header_of(spark, path)])
+        schema = quoted.inferred(quoted.parsed(records, texts).drop(quoted.CORRUPT)) if len(texts) else texts
+    return quoted.parsed(records, schema).drop(quoted.CORRUPT)
 
 
 def malformed_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows that fit the schema, raw text of lines that do not); nothing fails and nothing is lost."""
-    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    rows = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", True).schema(full).csv(path)
-    )
-    good = rows.filter(F.col(CORRUPT).isNull()).select(*schema.fieldNames())
-    # A scan of the corrupt column alone is refused, and a narrower scan would judge fewer fields: name all of them.
-    line = F.element_at(F.array(F.col(CORRUPT), *[F.col(f.name).cast("string") for f in schema.fields]), 1)
-    return good, rows.filter(F.col(CORRUPT).isNotNull()).select(line.alias("line"))
+    """(rows that fit the schema, raw text of the records that do not, as ``line``); nothing fails and nothing is lost.
+
+    Records are cut as :func:`read_records_csv` does; a malformed one that spans lines is one row.
+    """
+    rows = quoted.parsed(quoted.records_of(spark, path), schema)
+    bad = F.col(quoted.CORRUPT)
+    return rows.filter(bad.isNull()).drop(quoted.CORRUPT), rows.filter(bad.isNotNull()).select(bad.alias("line"))
 
 
 def spread(df: DataFrame) -> DataFrame:

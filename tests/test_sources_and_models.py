@@ -77,6 +77,31 @@ def test_stream_ingests_each_record_once(spark, tmp_path):
     assert sorted(r["id"] for r in landed.ingest_available(stream(), out, marks, "id").collect()) == list(range(-3, 12))
 
 
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    schema = T.StructType.fromDDL("id long, v long")
+    stream = lambda: landed.landed_records(spark, source, schema)
+    spark.createDataFrame([(1, 1), (None, 2), (None, 3)], schema).coalesce(1).write.parquet(source)
+    assert landed.ingest_available(stream(), out, marks, "id").count() == 3
+    (tmp_path / "marks" / "commits" / "0").unlink()  # as if it broke off between the write and the commit
+    assert rows(landed.ingest_available(stream(), out, marks, "id")) == sorted([(1, 1), (None, 2), (None, 3)], key=repr)
+    spark.createDataFrame([(1, 9), (2, 2), (2, 1), (None, 3)], schema).coalesce(1).write.mode("append").parquet(source)
+    want = sorted([(1, 1), (2, 1), (None, 2), (None, 3), (None, 3)], key=repr)
+    assert rows(landed.ingest_available(stream(), out, marks, "id")) == want
+    assert landed.ingest_available(stream(), out, str(tmp_path / "other"), "id").count() == 5 + 3  # a new query knows the ids of the old one
+
+
+def test_metrics_are_those_of_complete_pairs(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [("a", float(i), 2.0 * i) for i in range(1, 6)] + [("a", 6.0, None)]
+    data += [("b", 1.0, nan), ("b", 2.0, 2.5), ("b", 3.0, 3.5), ("b", 9.0, inf), ("b", None, 4.0), (None, None, 1.0)]
+    found = {r["m"]: r for r in ev.regression_metrics(spark.createDataFrame(data, "m string, actual double, predicted double"), ["m"]).collect()}
+    assert (found["a"]["rows"], found["a"]["left_out"], found["a"]["r2"]) == (5, 1, -4.5)
+    assert found["a"]["pearson"] == pytest.approx(1) and found["a"]["spearman"] == pytest.approx(1)
+    assert (found["b"]["rows"], found["b"]["left_out"], found["b"]["mae"], found["b"]["rmse"]) == (2, 3, 0.5, 0.5)
+    assert (found[None]["rows"], found[None]["mae"], found[None]["spearman"]) == (0, None, None)
+
+
 def test_csv_keeps_quotes_and_line_ends(spark, tmp_path):
     texts = ['line one\nline "two", x', '"', "", " spaces ", "a,b", None, "back\\slash", "\r\nend"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")

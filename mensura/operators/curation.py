@@ -34,17 +34,25 @@ def with_optional(df: DataFrame, name: str, dtype: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 
 
+def is_valid(columns: Sequence[str], rules: Mapping[str, Sequence[str]]) -> Column:
+    """Whether no flag text of the row is in its list of bad texts; rows without a text, and missing columns, are valid."""
+    bad = [F.col(name).isin(list(texts)) for name, texts in rules.items() if name in columns]
+    return reduce(Column.__and__, [~F.coalesce(b, F.lit(False)) for b in bad], F.lit(True))
+
+
+def is_flagged(columns: Sequence[str], flag: str, bad: int = 1) -> Column:
+    """Whether the row's flag is set; a null flag, or none at all, is not."""
+    return F.col(flag).eqNullSafe(F.lit(bad)) if flag in columns else F.lit(False)
+
+
 def filter_validity(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
     """Drop rows whose flag text is in any list of bad texts; rows without a text stay. A missing column drops nothing."""
-    for name, texts in rules.items():
-        if name in df.columns:
-            df = df.filter(F.col(name).isNull() | ~F.col(name).isin(list(texts)))
-    return df
+    return df.filter(is_valid(df.columns, rules))
 
 
 def filter_flag(df: DataFrame, flag: str, bad: int = 1) -> DataFrame:
     """Drop flagged rows; a null flag is kept. Without the column nothing is flagged."""
-    return df.filter(~F.col(flag).eqNullSafe(F.lit(bad))) if flag in df.columns else df
+    return df.filter(~is_flagged(df.columns, flag, bad))
 
 
 def filter_allowed(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:

@@ -12,7 +12,7 @@ from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.operators.consensus import representative_row, replicate_profile
 from mensura.operators.joins import exclusive_rows
-from mensura.skew import aggregate, beside, join_by_key
+from mensura.skew import aggregate, beside, join_by_key, select_quantiles
 
 
 def _count(condition: Column) -> Column:
@@ -74,56 +74,81 @@ def key_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False)
 
 
 def stage_lineage(
-    stages: Sequence[tuple[str, DataFrame]], keys: Sequence[str], numbers: Sequence[str], missing: Sequence[str] = (),
+    ledger: DataFrame, stages: Mapping[str, Sequence[str]], keys: Sequence[str], numbers: Sequence[str], missing: Sequence[str] = (),
+    reached: str = "_reached", replaced: Mapping[str, tuple[str, int]] | None = None,
 ) -> DataFrame:
     """Per stage: rows before, after, removed, percent removed, unique keys, missing counts, number statistics.
 
-    All stages are stacked with their number and grouped once. A column a stage does not have yet gives nulls.
+    ``ledger`` has every record once, with the number of the last stage it is in; ``stages`` names the columns of each stage in order.
+    A column that a stage does not have gives nulls. ``replaced`` says which column takes another's place from which stage on. What a
+    stage holds is what reaches it or goes further, so records are counted once, by the last stage, and summed from the end.
     """
-    spark = stages[0][1].sparkSession
-    names = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(stages, 1)], "stage_order int, stage string")
-    has = {c: [i for i, (_, df) in enumerate(stages, 1) if c in df.columns] for c in [*keys, *numbers, *missing]}
-    parts = []
-    for order, (_, df) in enumerate(stages, 1):
-        def cell(c: str, value: Column, dtype: str) -> Column:
-            return (value if order in has[c] else F.lit(None)).cast(dtype)
-
-        parts.append(df.select(
-            F.lit(order).alias("stage_order"),
-            *[cell(c, F.col(c), "string").alias("_k_" + c) for c in keys],
-            *[cell(c, fn.to_number(c), "double").alias(c) for c in numbers],
-            *[cell(c, fn.is_missing(fn.to_number(c)) if c in numbers else F.col(c).isNull(), "boolean").alias("_m_" + c)
-              for c in missing],
-        ))
-    rows = reduce(DataFrame.unionByName, parts).withColumns({"_x_" + c: fn.finite(c) for c in numbers})
-    aggs = [F.count(F.lit(1)).alias("rows_after"), *[_count(F.col("_m_" + c)).alias("missing_" + c) for c in missing]]
-    aggs += [a for c in numbers for a in _number_aggs(c, c + "_")]
-    table = aggregate(rows, ["stage_order"], aggs, {c + "_median": ("_x_" + c, 0.5) for c in numbers})
-    for c in keys:
-        values = rows.filter(F.col("_k_" + c).isNotNull()).groupBy("stage_order", "_k_" + c).agg(F.count(F.lit(1)))
-        unique = values.groupBy("stage_order").agg(F.count(F.lit(1)).alias("unique_" + c))
-        table = table.join(unique, "stage_order", "left")
-    table = names.join(table, "stage_order", "left")
-    counts = ["rows_after", *["unique_" + c for c in keys]]
-    for c in missing:
-        counts.append("missing_" + c)
+    spark, replaced = ledger.sparkSession, dict(replaced or {})
+    n = len(stages)
+    names = spark.createDataFrame([(i, s) for i, s in enumerate(stages, 1)], "stage_order int, stage string")
+    has = {c: [i for i, columns in enumerate(stages.values(), 1) if c in columns] for c in [*keys, *numbers, *missing]}
+    # Measures: a number, or what replaces it, with the stages in which it holds.
+    spans = []
     for c in numbers:
-        counts += [f"{c}_{part}" for part in ("count", "missing", "nonfinite")]
-    table = table.fillna(0, counts)
-
-    def present(c: str, name: str) -> Column:
-        return F.when(F.col("stage_order").isin(has[c]), F.col(name)).alias(name)
-
+        low, high = min(has[c], default=1), max(has[c], default=0)
+        other, since = replaced.get(c, (c, n + 1))
+        spans += [(c, c, low, min(high, since - 1))] + ([(c, other, since, high)] if since <= high else [])
+    rows = ledger.select(
+        F.col(reached).cast("int").alias("_r"), *[F.col(c).cast("string").alias("_k_" + c) for c in keys],
+        *[fn.to_number(column).alias(f"_x{i}") for i, (_, column, _, _) in enumerate(spans)],
+        *[F.coalesce(fn.is_missing(fn.to_number(c)) if c in numbers else F.col(c).isNull(), F.lit(False)).alias("_m_" + c) for c in missing],
+    )
+    aggs = [F.count(F.lit(1)).alias("rows"), *[F.count_if("_m_" + c).alias("_m_" + c) for c in missing]]
+    for i in range(len(spans)):
+        x = fn.finite(f"_x{i}")
+        parts = {"count": F.count(x), "missing": _count(fn.is_missing(f"_x{i}")), "nonfinite": _count(fn.is_nonfinite(f"_x{i}")),
+                 "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "var": F.var_pop(x)}
+        aggs += [a.alias(f"_{k}{i}") for k, a in parts.items()]
+    by_end = rows.groupBy("_r").agg(*aggs)  # a row for each stage
+
+    each = by_end.join(F.broadcast(names), F.col("_r") >= F.col("stage_order"), "right")
+    means = [(F.sum(F.col(f"_count{i}") * F.col(f"_mean{i}")).over(Window.partitionBy("stage_order")) /
+              F.sum(f"_count{i}").over(Window.partitionBy("stage_order"))).alias(f"_whole{i}") for i in range(len(spans))]
+    each = each.select("*", *means)
+    sums = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_after"), *[F.coalesce(F.sum("_m_" + c), F.lit(0)).alias("missing_" + c) for c in missing]]
+    for i in range(len(spans)):
+        count, mean = F.col(f"_count{i}"), F.col(f"_mean{i}")
+        apart = F.sum(count * (F.col(f"_var{i}") + (mean - F.col(f"_whole{i}")) * (mean - F.col(f"_whole{i}"))))
+        sums += [F.coalesce(F.sum(f"_{k}{i}"), F.lit(0)).alias(f"{k}{i}") for k in ("count", "missing", "nonfinite")]
+        sums += [F.min(f"_min{i}").alias(f"min{i}"), F.max(f"_max{i}").alias(f"max{i}"), F.max(f"_whole{i}").alias(f"mean{i}"),
+                 F.when(F.sum(count) > 1, F.sqrt(F.greatest(apart, F.lit(0.0)) / (F.sum(count) - 1))).alias(f"std{i}")]
+    table = each.groupBy("stage_order", "stage").agg(*sums)
+
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), fn.finite(f"_x{i}").alias("_x")) for i in range(len(spans))])
+    values = rows.select("_r", F.inline(cells)).filter(F.col("_x").isNotNull()).groupBy("_r", "_i", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    low, high = (F.element_at(F.array(*[F.lit(s[k]) for s in spans]), F.col("_i") + 1) for k in (2, 3))
+    upto = F.least(high, F.col("_r"))
+    values = values.withColumn("stage_order", F.explode(F.when(low <= upto, F.sequence(low, upto)).otherwise(F.array().cast("array<int>"))))
+    medians = select_quantiles(values, ["stage_order", "_i"], {"median": ("_x", 0.5)}, weight="_n")
+    medians = medians.groupBy("stage_order").agg(*[F.max(F.when(F.col("_i") == i, F.col("median"))).alias(f"median{i}") for i in range(len(spans))])
+    table = table.join(F.broadcast(medians), "stage_order", "left")  # a row for each stage
+
+    which = F.array(*[F.struct(F.lit(c).alias("_i"), F.col("_k_" + c).alias("_k")) for c in keys])
+    ends = rows.select("_r", F.inline(which)).filter(F.col("_k").isNotNull()).groupBy("_i", "_k").agg(F.max("_r").alias("_r"))
+    ends = ends.groupBy("_r").agg(*[F.count_if(F.col("_i") == c).alias("unique_" + c) for c in keys])
+    unique = names.join(ends, F.col("_r") >= F.col("stage_order")).groupBy("stage_order").agg(*[F.sum("unique_" + c).alias("unique_" + c) for c in keys])
+    table = table.join(F.broadcast(unique), "stage_order", "left")
+
+    at = F.col("stage_order")
     before = F.coalesce(F.lag("rows_after").over(Window.orderBy("stage_order")), F.col("rows_after"))  # one row per stage
     table = table.withColumn("before_rows", before)
     table = table.withColumn("rows_removed", F.greatest(F.lit(0), F.col("before_rows") - F.col("rows_after")))
+
+    def measured(c: str, part: str) -> Column:
+        mine = [(i, s) for i, s in enumerate(spans) if s[0] == c]
+        return reduce(lambda so_far, x: so_far.when(at.between(x[1][2], x[1][3]), F.col(f"{part}{x[0]}")), mine, F).alias(f"{c}_{part}")
+
     return table.select(
         "stage_order", "stage", "before_rows", "rows_after", "rows_removed",
         _share(F.col("rows_removed"), F.col("before_rows")).alias("percent_removed"),
-        *["unique_" + c for c in keys],
-        *[present(c, "missing_" + c) for c in missing],
-        *[present(c, f"{c}_{part}") for c in numbers
-          for part in ("count", "missing", "nonfinite", "min", "max", "mean", "median", "std")],
+        *[F.coalesce(F.when(at.isin(has[c]), F.col("unique_" + c)), F.lit(0)).alias("unique_" + c) for c in keys],
+        *[F.when(at.isin(has[c]), F.col("missing_" + c)).alias("missing_" + c) for c in missing],
+        *[measured(c, part) for c in numbers for part in ("count", "missing", "nonfinite", "min", "max", "mean", "median", "std")],
     )
 
 

@@ -13,7 +13,7 @@ from mensura.functions import columns as fn
 from mensura.operators import joins as jn
 from mensura.operators import splits as sp
 from mensura.operators import stats as st
-from mensura.plans.curation import Names, audit_stages
+from mensura.plans.curation import STAGES, Names, audit_ledger
 from mensura.session import cut
 
 
@@ -24,11 +24,12 @@ def audit(
     """The wanted audit tables by name (all by default).
 
     ``group`` is the split group column (default: the identity key); ``features`` are checked for sanity and leakage
-    where given. Tables that several others are made of are built once and cut to the shared folder. With ``strict`` a
+    where given. All tables are made of one ledger of the records, which is built once. Tables that several others are made of are
+    cut to the shared folder. With ``strict`` a
     CRITICAL finding fails the run.
     """
-    stages = audit_stages(df, names, mad_max)
-    by_name = dict(stages)
+    ledger = audit_ledger(df, names, mad_max)
+    by_name = {name: ledger.stage(name) for name in STAGES}
     raw, converted, exact = by_name["raw"], by_name["converted"], by_name["exact"]
     key, target, cleaned = names.key, names.target, names.cleaned
     group = group or key
@@ -46,8 +47,8 @@ def audit(
     assignment = list(dict.fromkeys([names.row_id, key, cleaned, target, group, "group_size", "split"]))
     tables = {
         "stage_counts": lambda: st.stage_lineage(
-            stages, [key, cleaned], [names.value, names.scaled, target],
-            [names.structure, cleaned, key, names.unit, names.value, names.scaled, target]),
+            ledger.rows, ledger.columns, [key, cleaned], [names.value, names.scaled, target],
+            [names.structure, cleaned, key, names.unit, names.value, names.scaled, target], replaced={target: ("_median", 6)}),
         "unit_distribution": lambda: st.unit_distribution(
             {"raw": raw, "unflagged": by_name["unflagged"]}, names.unit, names.value, list(fixed.UNIT_FACTORS)),
         "unit_conversion": lambda: st.unit_conversion_check(

@@ -12,6 +12,8 @@ from mensura.functions import columns as fn
 from mensura.operators import consensus as con
 from mensura.operators import curation as cur
 from mensura.operators import features as feat
+from mensura.session import cut
+from mensura.skew import join_by_key
 
 
 @dataclass(frozen=True)
@@ -85,16 +87,69 @@ def record_stages(df: DataFrame, names: Names = Names()) -> list[tuple[str, Data
     return [("raw", df), ("valid", valid), ("identified", identified), ("unflagged", unflagged), ("converted", converted)]
 
 
-def audit_stages(
-    df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX
-) -> list[tuple[str, DataFrame]]:
-    """Consensus first, then exact duplicates, relation, and the range of the raw value."""
-    stages = record_stages(df, names)
-    consistent = con.replicate_filter(stages[-1][1], names.key, names.target, mad_max)
-    single = con.exact_dedup(consistent, [names.key, names.cleaned, names.target], [names.row_id])
-    exact = cur.filter_censored(single, names.relation)
-    return [*stages, ("consistent", consistent), ("deduplicated", single), ("exact", exact),
-            ("in range", cur.filter_range(exact, names.value, above=None))]
+STAGES = ("raw", "valid", "identified", "unflagged", "converted", "consistent", "deduplicated", "exact", "in range")
+
+
+@dataclass(frozen=True)
+class Ledger:
+    """Every raw record once, with ``_reached``: the number, from 1, of the last stage of ``STAGES`` that it is in.
+
+    ``columns`` has each stage's own columns. ``_median`` takes the target's place from ``consistent`` on.
+    """
+
+    rows: DataFrame
+    columns: dict[str, list[str]]
+    names: Names
+
+    def stage(self, name: str) -> DataFrame:
+        """The rows and columns of a stage."""
+        number, target = STAGES.index(name) + 1, self.names.target
+        held = set(self.rows.columns)
+        late = number > STAGES.index("converted") + 1
+        return self.rows.filter(F.col("_reached") >= number).select(*[
+            F.col("_median").alias(c) if late and c == target else F.col(f"`{c}`") if c in held else F.lit(None).cast("string").alias(c)
+            for c in self.columns[name]])
+
+
+def audit_ledger(df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX) -> Ledger:
+    """Consensus first, then exact duplicates, relation, and the range of the raw value: how far every record gets.
+
+    The records are read twice, to find empty columns and to judge each record by itself, and then kept in the shared folder; the
+    grouping stages work on those records that reach them. ``names.row_id`` tells records apart.
+    """
+    held = cur.drop_all_null_columns(df)
+    cur.require_columns(held, [names.structure, names.unit, names.value, names.kind])
+    rules = {names.comment: fixed.VALIDITY_COMMENTS, names.description: fixed.VALIDITY_DESCRIPTIONS}
+    identified = held.withColumn(names.cleaned, feat.strip_components(names.structure)).withColumn(names.key, fn.notation_key(names.cleaned))
+    rows = cur.normalize_units(identified, names.value, names.unit, out=names.scaled).withColumn(names.unit, F.col("original_" + names.unit))
+    rows = cur.neg_log_transform(rows, names.kind, names.value, names.scaled, names.target, 0.0)
+    allowed = F.coalesce(F.col(names.unit).isin(list(fixed.UNIT_FACTORS)), F.lit(False))
+    base = cut(rows.withColumn(
+        "_reached", F.when(~cur.is_valid(held.columns, rules), 1).when(cur.is_flagged(held.columns, names.flag), 3).when(~allowed, 4).otherwise(5)))
+    converted = base.filter("_reached = 5")
+
+    passing = con.replicate_profile(converted, names.key, names.target).filter(F.col("mad") <= mad_max).select(names.key, F.col("median").alias("_median"))
+    consistent = cut(join_by_key(converted, passing, [names.key], "inner"))
+    alike = [names.key, names.cleaned, "_median"]
+    first = consistent.groupBy(*alike).agg(F.min(names.row_id).alias("_first"))
+    marked = join_by_key(consistent, first, alike, "left", null_safe=True)
+    kept = F.col("_first") == F.col(names.row_id)
+    exact = F.coalesce(F.col(names.relation) == fixed.EXACT_RELATION, F.lit(False))
+    within = F.coalesce(fn.to_number(names.value) <= fixed.RANGE_MAX, F.lit(False))
+    marked = marked.withColumn("_reached", F.when(~kept, 6).when(~exact, 7).when(~within, 8).otherwise(9)).drop("_first")
+    others = join_by_key(converted, passing.select(names.key), [names.key], "left_anti").unionByName(base.filter("_reached < 5"))
+    rows = cut(others.withColumn("_median", F.lit(None).cast("double")).unionByName(marked))
+
+    unscaled = [*[c for c in held.columns if c != names.structure], names.cleaned, names.key]
+    scaled = [*unscaled, "original_" + names.unit, names.scaled, names.target]
+    columns = {"raw": df.columns, "valid": held.columns, "identified": unscaled, "unflagged": unscaled} | {n: scaled for n in STAGES[4:]}
+    return Ledger(rows, columns, names)
+
+
+def audit_stages(df: DataFrame, names: Names = Names(), mad_max: float = fixed.MAD_MAX) -> list[tuple[str, DataFrame]]:
+    """The stages of the audit order, each a part of one ledger."""
+    ledger = audit_ledger(df, names, mad_max)
+    return [(name, ledger.stage(name)) for name in STAGES]
 
 
 def curate(

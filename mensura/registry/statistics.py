@@ -115,9 +115,9 @@ SELECT *, greatest(0, before_rows - rows_after) AS rows_removed,
 
 @query("stage_lineage", lineage_sql())
 def _(t):
-    stages = plan.audit_stages(t.records)
-    table = st.stage_lineage(stages, ["InChIkey", "cleaned_smiles"], ["standard_value", "PIC50"],
-                             ["cleaned_smiles", "InChIkey", "standard_units", "standard_value"])
+    ledger = plan.audit_ledger(t.records)
+    table = st.stage_lineage(ledger.rows, ledger.columns, ["InChIkey", "cleaned_smiles"], ["standard_value", "PIC50"],
+                             ["cleaned_smiles", "InChIkey", "standard_units", "standard_value"], replaced={"PIC50": ("_median", 6)})
     names = [f"{c}_{m}" for c in ("standard_value", "PIC50") for m in MEASURES]
     return rounded(table, "percent_removed", *names)
 

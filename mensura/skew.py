@@ -80,12 +80,12 @@ def _of_runs(values: np.ndarray, n: np.ndarray, begin: np.ndarray, which: np.nda
     return np.stack(out, axis=1)
 
 
-def _counted(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
-    """(_k, _c, _v, _n): how often each key has each value of the columns named."""
+def _counted(df: DataFrame, keys: Sequence[str], names: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(_k, _c, _v, _n): how often each key has each value of the columns named; a row counts ``weight`` times."""
     cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(names)])
     packed = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
-    rows = df.select(packed.alias("_k"), F.inline(cells)).filter(F.col("_v").isNotNull())
-    return rows.groupBy("_k", "_c", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(packed.alias("_k"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"), F.inline(cells)).filter(F.col("_v").isNotNull())
+    return rows.groupBy("_k", "_c", "_v").agg(F.sum("_w").alias("_n"))
 
 
 def _by_ranges(copies: DataFrame, wanted: Wanted, away: bool = False, most: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -165,15 +165,15 @@ def _ranked(placed: DataFrame, wanted: Wanted) -> DataFrame:
     return placed.groupBy("_k", "_c").agg(*parts).select("_k", "_c", F.array(*q).alias("q"))
 
 
-def select_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def select_quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], weight: str | None = None) -> DataFrame:
     """Exact interpolated quantiles ``{alias: (column, p)}`` per key (none: the whole table), null values left out.
 
-    A quantile between an infinite value and another follows the rules of floating-point numbers; NaN is the largest value. Keys
+    With ``weight``, a column of whole numbers, a row stands for so many. A quantile between an infinite value and another follows the rules of floating-point numbers; NaN is the largest value. Keys
     without values are not in the result.
     """
     names = list(dict.fromkeys(c for c, _ in wanted.values()))
     numbered = [(names.index(c), float(p)) for c, p in wanted.values()]
-    known, rest = _by_ranges(_counted(df, keys, names), numbered)
+    known, rest = _by_ranges(_counted(df, keys, names, weight), numbered)
     found = known.union(_ranked(rest, numbered))
     each = [F.col("q")[i] if len(names) == 1 else F.max(F.when(F.col("_c") == c, F.col("q")[i])) for i, (c, _) in enumerate(numbered)]
     each = [e.alias(a) for e, a in zip(each, wanted)]

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.functions.columns import finite, is_finite
+from mensura.functions.columns import finite, is_finite, let
 from mensura.operators.joins import join_one_to_one
 from mensura.operators.ranking import average_ranks
 from mensura.session import cut
@@ -57,17 +56,59 @@ def regression_metrics(
     return join_by_key(table, rho, by, "left", null_safe=True) if by else beside(table, rho)
 
 
-def _slope_p(df: DataFrame, x: str, y: str) -> float | None:
-    rows = VectorAssembler(inputCols=[x], outputCol="_x").transform(df.select(F.col(x).cast("double"), F.col(y).cast("double")))
-    model = LinearRegression(featuresCol="_x", labelCol=y, solver="normal").fit(rows)
-    return float(model.summary.pValues[0])
+def _fraction(x: Column, a: Column, b: Column, steps: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's rule."""
+    tiny = F.lit(1e-300)
 
+    def safe(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, tiny).otherwise(v)
 
-def correlation_pvalue(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Two-sided p-values of Pearson and Spearman correlation: the t-test of the slope on values and on ranks."""
-    ranked = average_ranks(df.select(actual, predicted), [actual, predicted])
-    row = (_slope_p(df, predicted, actual), _slope_p(ranked, predicted + "_rank", actual + "_rank"))
-    return df.sparkSession.createDataFrame([row], "pearson_p double, spearman_p double")
+    def half(s: Column, term: Column) -> Column:
+        d, c = 1 / safe(1 + term * s["d"]), safe(1 + term / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    def step(s: Column, m: Column) -> Column:
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return let(half(s, even), lambda t: half(t, odd))
+
+    d = 1 / safe(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["h"])
+
+
+def _log_half_beta(a: Column) -> Column:
+    """ln B(a, 1/2): shifted to a + 30 by the rule of the gamma function, and there by the series for large numbers."""
+    moved = F.aggregate(F.sequence(F.lit(0), F.lit(29)), F.lit(0.0), lambda s, i: s + F.log1p(0.5 / (a + i)))
+    z = a + 30
+    series = -0.5 * F.log(z) + 1 / (8 * z) - 1 / (192 * z * z * z) + 1 / (640 * F.pow(z, 5)) - 17 / (14336 * F.pow(z, 7))
+    return 0.5 * math.log(math.pi) + moved + series
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation of n pairs, by Student's distribution with n - 2 degrees of freedom; null below three pairs.
+
+    It is the incomplete beta function of 1 - r * r, for a = (n - 2) / 2 and b = 1 / 2.
+    """
+    def at(a: Column) -> Column:
+        x, y = F.greatest((1 - r) * (1 + r), F.lit(0.0)), r * r
+        half = F.lit(0.5)
+        steps = (F.lit(200) + 8 * F.sqrt(a)).cast("int")
+        front = F.exp(a * F.log(x) + half * F.log(y) - _log_half_beta(a))
+        direct = front * _fraction(x, a, half, steps) / a
+        other = 1 - front * _fraction(y, half, a, steps) / half
+        whole = F.when(x <= 0, 0.0).when(y <= 0, 1.0).when(x < (a + 1) / (a + 2.5), direct).otherwise(other)
+        return F.least(F.greatest(whole, F.lit(0.0)), F.lit(1.0))
+
+    return F.when((n > 2) & r.isNotNull(), let((n - 2) / 2.0, at))
+
+
+def correlation_pvalue(df: DataFrame, actual: str = "actual", predicted: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
+    """Pearson and Spearman correlation per group with their two-sided p-values, over the rows where both numbers are finite."""
+    table = regression_metrics(df, by, actual, predicted)
+    return table.select(*by, "rows", "left_out", "pearson", correlation_p(F.col("pearson"), F.col("rows")).alias("pearson_p"),
+                        "spearman", correlation_p(F.col("spearman"), F.col("rows")).alias("spearman_p"))
 
 
 def residual_box(df: DataFrame, model: str = "model") -> DataFrame:

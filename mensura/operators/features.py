@@ -166,50 +166,105 @@ def bit_variance_filter(
     return table.select("bit", (p * (1 - p)).alias("variance"), (p * (1 - p) > threshold).alias("kept"))
 
 
-def _pair_sums(width: int):
-    """Per task: for every pair of columns the sums over the rows in which both have a value."""
-    names = ["n", "x", "y", "xx", "yy", "xy"]
+TILE = 128  # columns of a block
 
+
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One array of the columns' finite values a row, in as many parts as tasks run at once: what a task hands on does not depend on its rows."""
+    rows = df.select(F.array(*[fn.finite(F.col(c).cast("double")) for c in columns]).alias("v"))
+    return rows.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
+    return np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, width)
+
+
+def column_means(vectors: DataFrame, width: int) -> np.ndarray:
+    """The mean of each place of the vectors over its values, 0 where there is none; a number for each column comes to the driver."""
     def run(batches):
-        sums = np.zeros((6, width, width))
+        n, total = np.zeros(width), np.zeros(width)
         for batch in batches:
-            values = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            values = _matrix(batch, width)
+            held = np.isfinite(values)
+            n += held.sum(0)
+            total += np.where(held, values, 0.0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(n), pa.array(total)], ["i", "n", "total"])
+
+    found = vectors.mapInArrow(run, "i long, n double, total double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    out = np.zeros(width)
+    for r in found.collect():
+        out[r["i"]] = r["total"] / r["n"] if r["n"] else 0.0
+    return out
+
+
+def _tiles(width: int, means: np.ndarray, tile: int):
+    """Per task, for every two blocks of columns: the sums over the rows in which both columns of a pair have a value, as one matrix.
+
+    The sums are of distances from the mean: sums of squares of large numbers would lose the small differences.
+    """
+    blocks = [slice(i, min(i + tile, width)) for i in range(0, width, tile)]
+    pairs = [(a, b) for b in range(len(blocks)) for a in range(b + 1)]
+
+    def run(batches):
+        sums = {p: np.zeros((6, blocks[p[0]].stop - blocks[p[0]].start, blocks[p[1]].stop - blocks[p[1]].start)) for p in pairs}
+        for batch in batches:
+            values = _matrix(batch, width) - means
             held = np.isfinite(values).astype(float)
             x = np.where(held > 0, values, 0.0)
-            first, square, product = x.T @ held, (x * x).T @ held, x.T @ x
-            sums += [held.T @ held, first, first.T, square, square.T, product]
-        i, j = np.triu_indices(width, 1)
-        columns = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(s[i, j]) for s in sums]]
-        yield pa.RecordBatch.from_arrays(columns, ["i", "j", *names])
+            square = x * x
+            for (a, b), s in sums.items():
+                one, two = blocks[a], blocks[b]
+                s += [held[:, one].T @ held[:, two], x[:, one].T @ held[:, two], held[:, one].T @ x[:, two],
+                      square[:, one].T @ held[:, two], held[:, one].T @ square[:, two], x[:, one].T @ x[:, two]]
+        for (a, b), s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["a", "b", "sums"])
 
-    return run, "i int, j int, " + ", ".join(f"{n} double" for n in names)
+    return run, blocks
 
 
 def correlation_filter(
-    df: DataFrame, columns: Sequence[str], threshold: float = fixed.CORRELATION_MAX, split: str = "split"
+    df: DataFrame, columns: Sequence[str], threshold: float = fixed.CORRELATION_MAX, split: str = "split", tile: int = TILE,
 ) -> DataFrame:
     """Per feature: its largest absolute correlation with an earlier feature over train rows, and whether it is kept.
 
     An earlier feature counts even if it is dropped itself. A pair is judged by the rows in which both have a finite
-    value; where either does not vary there the correlation is undefined and never drops. Each task reduces its rows to the
-    sums of all pairs, which are added up and judged on the executors.
+    value; where either does not vary there the correlation is undefined and never drops. Tasks add up matrices of blocks of
+    columns; those of one pair of blocks meet in one task, which adds them and hands on one number for each column.
     """
     columns = list(columns)
-    train = df.filter(F.col(split) == "train").select(*[fn.finite(F.col(c).cast("double")).alias(c) for c in columns])
-    # Distances from the mean: sums of squares of large numbers would lose the small differences.
-    means = train.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias("_m_" + c) for c in columns])
-    centred = beside(train, means).select(*[(F.col(c) - F.col("_m_" + c)).alias(c) for c in columns])
-    run, schema = _pair_sums(len(columns))
-    sums = centred.mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
-    n, x, y = F.col("n"), F.col("x"), F.col("y")
-    left, right = F.col("xx") - x * x / n, F.col("yy") - y * y / n
-    varies = (n > 1) & (left > 1e-14 * F.col("xx")) & (right > 1e-14 * F.col("yy"))
-    size = F.when(varies, F.least(F.lit(1.0), F.abs(F.col("xy") - x * y / n) / F.sqrt(left * right)))
-    highest = sums.filter(n > 0).groupBy("j").agg(F.max(size).alias("highest"))
-    listed = F.array(*[F.struct(F.lit(i).alias("j"), F.lit(c).alias("feature")) for i, c in enumerate(columns)])
-    every = df.sparkSession.range(1).select(F.inline(listed))
-    judged = every.join(highest, "j", "left")
-    return judged.select("feature", "highest", F.coalesce(F.col("highest") <= threshold, F.lit(True)).alias("kept"))
+    width = len(columns)
+    vectors = _vectors(df.filter(F.col(split) == "train"), columns)
+    run, blocks = _tiles(width, column_means(vectors, width), tile)
+    tiles = vectors.mapInArrow(run, "a int, b int, sums binary").repartition("a", "b").sortWithinPartitions("a", "b")
+
+    def judge(batches):
+        at, total = None, None
+        for batch in batches:
+            for a, b, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (a, b):
+                    if at:
+                        yield judged(at, total)
+                    at, total = (a, b), 0.0
+                total = total + np.frombuffer(sums)
+        if at:
+            yield judged(at, total)
+
+    def judged(at, total):
+        one, two = (blocks[k] for k in at)
+        n, x, y, xx, yy, xy = total.reshape(6, one.stop - one.start, -1)
+        with np.errstate(all="ignore"):
+            left, right = xx - x * x / n, yy - y * y / n
+            size = np.minimum(np.abs(xy - x * y / n) / np.sqrt(left * right), 1.0)
+            varies = (n > 1) & (left > 1e-14 * xx) & (right > 1e-14 * yy)
+        if at[0] == at[1]:
+            varies &= np.triu(np.ones(varies.shape, bool), 1)
+        size = np.where(varies, size, -1.0).max(0)
+        some = np.flatnonzero(size >= 0)
+        return pa.RecordBatch.from_arrays([pa.array((some + two.start).astype(np.int32)), pa.array(size[some])], ["j", "highest"])
+
+    highest = tiles.mapInArrow(judge, "j int, highest double").groupBy("j").agg(F.max("highest").alias("highest"))
+    every = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "j int, feature string")
+    return every.join(highest, "j", "left").select("feature", "highest", F.coalesce(F.col("highest") <= threshold, F.lit(True)).alias("kept"))
 
 
 def kept_features(table: DataFrame, columns: Sequence[str]) -> list[str]:

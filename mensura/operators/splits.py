@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,48 @@ def seeded_group_holdout(
     return join_by_key(rows, placed.select(group, split.cast("string").alias(out)), [group], "left")
 
 
+def _phases(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, list[int]]]:
+    """(size, rank, folds): from that rank on, groups of a size go round these folds, as if each in turn went to the lightest.
+
+    ``sizes`` has (size, number of groups), the largest size first. Groups of one size join a fold at loads that are that size
+    apart, so the folds take turns in the order of their loads modulo the size once they have been reached; how often each has had its
+    turn follows without going through the groups.
+    """
+    loads, out = [0] * k, []
+    for size, groups in sizes:
+        base = min(loads)
+        late = [(load - base) // size for load in loads]  # rounds that a fold sits out
+        order = sorted(range(k), key=lambda f: ((loads[f] - base) % size, f))
+        rank = 0
+        for at, to in zip(steps := sorted(set(late)), [*steps[1:], None]):
+            turn = [f for f in order if late[f] <= at]
+            out.append((size, rank, turn))
+            here = groups - rank if to is None else min(groups - rank, (to - at) * len(turn))
+            for i, f in enumerate(turn):
+                loads[f] += size * (here // len(turn) + (i < here % len(turn)))
+            rank += here
+            if rank == groups:
+                break
+    return out
+
+
 def fold_groups(df: DataFrame, group: str, k: int = 3) -> DataFrame:
-    """Fold of every group: groups by size (ties by key) are dealt to folds forth and back."""
-    turn = F.pmod(F.col("before"), F.lit(2 * k))
-    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return ordered_prefix(group_sizes(df, group), _by_size(group)).select(group, "size", fold.alias("fold"))
+    """Fold of every group: groups by size, the largest first and ties by key, each go to the fold with the fewest rows so far, ties to the
+    first fold.
+
+    The driver goes through the distinct sizes, which are fewer than the square root of twice the rows, never through the groups.
+    """
+    table = group_sizes(df, group)
+    histogram = table.groupBy("size").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("size")).collect()
+    phases = df.sparkSession.createDataFrame(
+        _phases([(r["size"], r["groups"]) for r in histogram], k), "size long, rank long, folds array<int>")
+    phases = phases.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("rank", "folds"))).alias("_phases"))  # at most k
+    placed = ordered_prefix(table, _by_size(group))
+    first = placed.groupBy("size").agg(F.min("before").alias("_first"))
+    placed = join_by_key(join_by_key(placed, first, ["size"]), phases, ["size"]).withColumn("_rank", F.col("before") - F.col("_first"))
+    mine = F.element_at(F.filter("_phases", lambda p: p["rank"] <= F.col("_rank")), -1)
+    turn = F.pmod(F.col("_rank") - mine["rank"], F.size(mine["folds"])).cast("int")
+    return placed.select(group, "size", F.get(mine["folds"], turn).alias("fold"))
 
 
 def grouped_kfold(df: DataFrame, group: str, k: int = 3) -> DataFrame:

@@ -54,9 +54,12 @@ def _(t):
 
 
 @query("grouped_kfold", f"""
-WITH {GROUPS}
-SELECT p_partkey, g.grp, CAST(CASE WHEN place % 6 < 3 THEN place % 6 ELSE 5 - place % 6 END AS INTEGER) AS fold
-FROM g JOIN o ON g.grp = o.grp""")
+WITH RECURSIVE {GROUPS},
+m AS MATERIALIZED (SELECT grp, size, place FROM o),
+r AS (SELECT CAST(0 AS BIGINT) AS n, [0::BIGINT, 0, 0] AS loads, CAST(NULL AS INTEGER) AS fold
+      UNION ALL SELECT n + 1, list_transform(loads, lambda l, i: CASE WHEN i = f THEN l + size ELSE l END), f - 1
+      FROM (SELECT n, loads, size, CAST(list_position(loads, list_min(loads)) AS INTEGER) AS f FROM r JOIN m ON m.place = r.n))
+SELECT p_partkey, g.grp, fold FROM g JOIN m ON g.grp = m.grp JOIN r ON r.n = m.place + 1""")
 def _(t):
     return sp.grouped_kfold(parts(t), "grp", 3)
 

@@ -9,12 +9,12 @@ gives each lane its first state, and a second walk marks the boundaries.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = 0, 1, 2, 3, 5  # of a class; BLANK: white space other than the space
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_WHITE = frozenset(WHITE)
 
 # Symbols of the automaton. A white-space symbol knows whether a visible character follows it, an apostrophe whether it and
 # the next one or two letters are a contraction.
@@ -50,25 +50,28 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 AFTER, BEGINS = _automaton()
 
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of every code point."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = LETTER
-        elif kind == "N":
-            out[c] = NUMBER
-    out[WHITE] = BLANK
-    out[0x20] = SPACE
-    return out
+BLOCK_BITS = 10
+_classes = np.full(0x110000, OTHER, np.uint8)
+_known = np.zeros(0x110000 >> BLOCK_BITS, bool)
+
+
+def classes(points: np.ndarray) -> np.ndarray:
+    """The class of every code point; a worker looks up those blocks of code points that its texts use."""
+    used = np.bincount(points >> BLOCK_BITS, minlength=len(_known)) > 0
+    for block in np.flatnonzero(used & ~_known).tolist():
+        first = block << BLOCK_BITS
+        for c in range(first, first + (1 << BLOCK_BITS)):
+            kind = unicodedata.category(chr(c))[0]
+            _classes[c] = LETTER if kind == "L" else NUMBER if kind == "N" else BLANK if c in _WHITE else OTHER
+        _known[block] = True
+        _classes[0x20] = SPACE
+    return _classes[points]
 
 
 def symbols(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The automaton's symbol of every code point; ``starts`` are the first code points of texts that are not empty."""
     n = len(points)
-    out = classes()[points]
+    out = classes(points)
     first = np.zeros(n + 3, bool)
     first[starts] = True
     first[n:] = True

@@ -6,16 +6,19 @@ of ids is read by the offsets of the blocks that hold it and unpacked by numpy.
 
 Documents lie in ascending order of their ids, null first, over all files: files hold consecutive ranges. Documents that share an
 id stand in any order. Null texts count as empty; every document ends with one end id. Ids are those that the library gives to
-the whole text with ``add_special_tokens=False``: the string of an added token, such as ``<|endoftext|>``, is that token.
+the whole text with ``add_special_tokens=False``: the string of an added token, such as ``<|endoftext|>``, is that token. Repeated rows are
+documents of their own. An empty table writes no file and reads back empty.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -136,65 +139,72 @@ class Reader:
 # --- encoding by the tokenizers library ----------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that the byte-level alphabet has for each byte: visible Latin-1 stands for itself, the rest follows from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class _Library:
-    """A worker's tokenizer, for pre-tokens: many in one call, parted by a line end where that is a token of its own.
+    """A worker's tokenizer.
 
-    A text that holds the string of an added token is encoded whole: the library looks for these before it pre-tokenises.
+    Where the file pre-tokenises by the plain byte-level rule, the library's model gets each different pre-token once, in the letters that
+    stand for bytes. Otherwise whole texts go to the library. Strings of added tokens are looked for first, as the library does: a
+    text is cut at them, unless a token also takes white space or wants to stand alone; such texts go to the library whole.
     """
 
     kept: dict = {}
+    LETTERS = _byte_letters()
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work to the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = [a.encode() for a in added]
-        newline = self.one("\n")
-        joins = len(newline) == 1 and self.one("a\nb")[1:2] == newline and not any("\n" in a for a in added)
-        self.newline = newline[0] if joins else None
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content.encode(): i for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)  # the leftmost, and of those the longest
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
+        self.simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        rules = json.loads(content)
+        step = rules.get("pre_tokenizer") or {}
+        self.plain = (rules.get("normalizer") is None and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True)
+                      and rules["model"].get("type") == "BPE" and not rules["model"].get("dropout") and rules.get("truncation") is None and rules.get("padding") is None)
         self.memory = Memory(self.encode, 1_000_000)
 
-    def one(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def encode(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pre-tokens, how many each has).
-
-        Between line ends a pre-token stands as it does alone, unless it is white space, which would join them.
-        """
-        sizes, parts = np.zeros(len(slices), np.int64), []
-        alone = [i for i, s in enumerate(slices) if self.newline is None or s.isspace() or s.decode().isspace()]
-        edges = [-1, *alone, len(slices)]
-        for a, b in zip(edges, edges[1:]):
-            for at in range(a + 1, b, 2000):
-                to = min(b, at + 2000)
-                text = b"\n".join(slices[at:to]).decode()
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-                ends = np.flatnonzero(ids == self.newline)
-                sizes[at:to] = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
-                parts.append(np.delete(ids, ends))
-            if b < len(slices):
-                parts.append(np.array(self.one(slices[b].decode()), np.int32))
-                sizes[b] = len(parts[-1])
-        return np.concatenate(parts), sizes
+        """(ids of all pre-tokens, how many each has)."""
+        model, letters = self.tokenizer.model, self.LETTERS
+        found = [[t.id for t in model.tokenize(s.decode("latin-1").translate(letters))] for s in slices]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
+
+    def whole(self, text: bytes | None) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([valid(text).decode()], add_special_tokens=False)[0].ids, np.int32)
 
     def texts(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has)."""
-        whole = [i for i, t in enumerate(texts) if t and any(a in t for a in self.added)]
-        if not whole:
+        marked = [i for i, t in enumerate(texts) if t and self.cut and self.cut.search(t)]
+        if self.plain and not marked:
             return encoded(self.memory, texts)
-        rest = list(texts)
-        for i in whole:
-            rest[i] = None
-        ids, counts = encoded(self.memory, rest)
+        alone = set(range(len(texts)) if not self.plain else [] if self.simple else marked)
+        split = set(marked) - alone
+        stretches, owner = [], []  # of texts that are cut, every other one is an added token
+        for i, t in enumerate(texts):
+            for part in self.cut.split(t) if i in split else [None if i in alone else t]:
+                stretches.append(part)
+                owner.append(i)
+        tokens = {j for j, (p, i) in enumerate(zip(stretches, owner)) if i in split and p in self.added}
+        ids, counts = encoded(self.memory, [None if j in tokens else p for j, p in enumerate(stretches)])
         parts = np.split(ids, np.cumsum(counts)[:-1])
-        for i in whole:
-            text = valid(texts[i]).decode()
-            parts[i] = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            counts[i] = len(parts[i])
-        return np.concatenate(parts), counts
+        for j in tokens:
+            parts[j] = np.array([self.added[stretches[j]]], np.int32)
+        for j, i in enumerate(owner):
+            if i in alone:
+                parts[j] = self.whole(texts[i])
+        total = np.bincount(owner, list(map(len, parts)), len(texts)).astype(np.int64)
+        return np.concatenate([*parts, np.zeros(0, np.int32)]), total
 
     @classmethod
     def of(cls, shared) -> _Library:
@@ -214,31 +224,28 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-MOST_FILES = 16_384
-
-
-def bounds_of(df: DataFrame, doc: str, files: int) -> np.ndarray:
-    """Document ids that part the table into about ``files`` ranges of like many documents; only the ids are read."""
+def bounds_of(df: DataFrame, doc: str, files: int) -> tuple[int, np.ndarray]:
+    """(ranges for null ids, document ids that part the rest): about ``files`` ranges of like many documents; only the ids are read."""
+    column = F.col(quoted(doc)).cast("long")
     shares = [i / files for i in range(1, files)]
-    if not shares:
-        return np.zeros(0, np.int64)
-    found = df.select(F.percentile_approx(F.col(quoted(doc)).cast("long"), shares, max(10_000, 10 * files)).alias("q")).first().q
-    return np.array(found or [], np.int64)
+    wanted = F.percentile_approx(column, shares, max(10_000, 10 * files)) if shares else F.lit(None)
+    found = df.select(F.count(column).alias("n"), F.count(F.lit(1)).alias("rows"), wanted.alias("q")).first()
+    missing = max(1, round(files * (found.rows - found.n) / max(1, found.rows)))
+    return missing, np.array(found.q or [], np.int64)
 
 
-def _ranges(names: pa.Array, bounds: np.ndarray, first: int, place: int) -> tuple[np.ndarray, np.ndarray]:
-    """(range, salt) of documents; one id that fills several ranges is dealt over them in the order of the salt."""
+def _ranges(names: pa.Array, missing: int, bounds: np.ndarray, first: int, place: int) -> tuple[np.ndarray, np.ndarray]:
+    """(range, salt) of documents; null ids, and an id that fills several ranges, are dealt over theirs in the order of the salt."""
     salt = np.random.default_rng([place, first]).random(len(names))
-    missing = np.asarray(names.is_null())
     ids = np.asarray(names.fill_null(0))
     low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
     spot = low + np.floor(salt * (high - low + 1)).astype(np.int64)
-    return np.where(missing, 0, spot + 1).astype(np.int32), salt
+    return np.where(np.asarray(names.is_null()), np.floor(salt * missing), spot + missing).astype(np.int32), salt
 
 
-def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """(doc, ids as bytes of 2 or 4 each, range, salt): every text's ids with the end id; range 0 is that of null ids."""
-    shared = df.sparkSession.sparkContext.broadcast((_content(path), bounds))
+def token_rows(df: DataFrame, path: str, bounds: tuple[int, np.ndarray], doc: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """(doc, ids as bytes of 2 or 4 each, range, salt): every text's ids with the end id; the first ranges are those of null ids."""
+    shared = df.sparkSession.sparkContext.broadcast((_content(path), *bounds))
     kind = _kind(path)
 
     def run(batches):
@@ -252,7 +259,7 @@ def token_rows(df: DataFrame, path: str, bounds: np.ndarray, doc: str = "doc_id"
             whole[own] = ids
             edges = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), piece.num_rows, [None, pa.py_buffer(edges), pa.py_buffer(whole)])
-            spot, salt = _ranges(piece.column("doc"), shared.value[1], done, place)
+            spot, salt = _ranges(piece.column("doc"), *shared.value[1:], done, place)
             done += piece.num_rows
             yield pa.RecordBatch.from_arrays([piece.column("doc"), data, pa.array(spot), pa.array(salt)], ["doc", "ids", "range", "salt"])
 
@@ -268,13 +275,13 @@ def write_tokens(df: DataFrame, path: str, folder: str, doc: str = "doc_id", tex
                  block: int = BLOCK, files: int | None = None) -> list[dict]:
     """Write the ids of all texts to ``folder`` in ascending order of documents; the manifest has a row for each file.
 
-    Ranges of documents become files (as many as the input has partitions, at most ``MOST_FILES``); their bounds come from the ids
+    Ranges of documents become files, a task for each, and about as many as the input has partitions; their bounds come from the ids
     alone, so texts are encoded once.
     """
     bits, kind = width_of(vocabulary_size(path)), _kind(path)
-    bounds = bounds_of(df, doc, min(MOST_FILES, files or max(1, df.rdd.getNumPartitions())))
+    bounds = bounds_of(df, doc, files or max(1, df.rdd.getNumPartitions()))
     rows = token_rows(df, path, bounds, doc, text, end_id)
-    ranged = rows.repartition("range").sortWithinPartitions("range", "doc", "salt").select("range", "doc", "ids")
+    ranged = rows.repartitionById(bounds[0] + len(bounds[1]) + 1, "range").sortWithinPartitions("range", "doc", "salt").select("range", "doc", "ids")
 
     def parts(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
         """Rows of one range, in stretches."""

@@ -20,6 +20,7 @@ AWKWARD = [
     (14, "same line\n" * 90), (15, "### $$$ " * 60), (16, prose(16, 20) + " " + ITEM + " " + prose(17, 20)),
     (17, "a" * 3000 + " " + "'" * 50), (18, prose(1, 79) + " other"), (20, "🙂 api_key = 'ABCDEFGH' 🙂 Password:\"abc\" ghp_" + "a" * 36),
     (21, "x ퟿ y  'll 've ''s 1２③ Ünï"), (5, prose(77, 200)),
+    (22, "a<|endoftext|>b <|endoftext|><|endoftext|>"),
 ]
 CLASHES = ["row", "n_words", "fail_bits", "ids", "offsets", "bytes", "spans", "items", "shard", "slot", "src", "cell", "c", "n", "score", "lang_pred", "digest", "_k1", "found_hex"]
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]

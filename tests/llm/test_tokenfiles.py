@@ -24,7 +24,6 @@ def test_packing_comes_back(bits):
 
 def expected():
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     each = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in AWKWARD]
     return sorted(each, key=lambda x: (x[0] is not None, x[0] or 0))
 
@@ -67,8 +66,28 @@ def test_strings_of_added_tokens_are_encoded_as_the_library_does(spark, tmp_path
 def test_ranges_keep_the_order_of_ids_that_fill_several():
     import pyarrow as pa
 
-    spots, _ = tokenfiles._ranges(pa.array([None, 1, 5, 5, 5, 5, 9], pa.int64()), np.array([3, 5, 5, 5, 7]), 0, 0)
+    spots, _ = tokenfiles._ranges(pa.array([None, 1, 5, 5, 5, 5, 9], pa.int64()), 1, np.array([3, 5, 5, 5, 7]), 0, 0)
     assert spots[0] == 0 and spots[1] == 1 and (spots[2:6] >= 2).all() and (spots[2:6] <= 5).all() and spots[6] == 6
+    spots, _ = tokenfiles._ranges(pa.array([None] * 500 + [1, 9], pa.int64()), 4, np.array([3]), 0, 0)
+    assert set(spots[:500].tolist()) == {0, 1, 2, 3} and spots[500:].tolist() == [4, 5]
+
+
+def test_null_ids_are_dealt_over_their_share_of_the_files(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(i, f"text {i}") for i in range(300)]
+    folder = new_folder(spark, "test-tokens")
+    manifest = tokenfiles.write_tokens(documents(spark, rows).repartition(3), PATH, folder, files=8)
+    assert max(m["n_docs"] for m in manifest) < 160 and len(manifest) >= 7
+    got = sorted(tokenfiles.read_documents(spark, folder, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 300 + list(range(300))
+
+
+def test_pretokens_get_the_ids_of_whole_texts():
+    library = Tokenizer.from_file(PATH)
+    own = tokenfiles._Library(Path(PATH).read_text())
+    texts = [(t or "").encode() for _, t in AWKWARD] + [bytes(range(256)).decode("latin-1").encode(), b"", None]
+    ids, counts = own.texts(texts)
+    assert own.plain and own.simple
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode((t or b"").decode(), add_special_tokens=False).ids for t in texts]
 
 
 def test_broken_file_and_empty_table(spark):

@@ -14,17 +14,18 @@ the rare set with more of them keeps them.
 
 Within cells, first every set is verified against the cell's smallest, and links are contracted to components.
 Cells that then still hold several components are searched for pairs of different components by trees of at most
-``BLOCK`` points a side, whose nodes keep the largest coordinates below them; survivors are verified on the sets themselves. Pairs
-within a component are never formed, so a group of near copies costs about one comparison for each copy.
+``BLOCK`` points a side, by steps of size; nodes keep the largest coordinates below them, and survivors are verified on the sets
+themselves. Pairs within a component are never formed, so a group of near copies costs about one comparison for each copy. What
+this join has in common with others is in :mod:`mensura.llm.joining`.
 
-Equal sets are one set throughout, identified by a 64-bit hash, as shingles are; a false merge takes a collision of those. Copies
-are never paired. Texts without words have the empty set and no links. A null id counts as larger than any other.
+Equal sets are one set throughout, told apart by 128 bits, and copies are never paired. Null and empty texts and texts without words have
+the empty set and no links. Repeated rows are rows of one set. A null id counts as larger than any other. An empty table gives an
+empty result. Only the id and the text are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,54 +33,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece, lean, pieces, quoted
-from mensura.llm.links import components
+from mensura.llm import joining
+from mensura.llm.batches import each_piece, lean, quoted
+from mensura.llm.blocks import BLOCK
+from mensura.llm.joining import identities, mixed
 from mensura.session import cut
 
 SHINGLE = 3
 PERCENT = 90
 GROUPS = 256  # coordinates of a point
 CELL_BITS = 48  # of a hash, for the coordinate within a band: with few, unrelated texts would often meet in a cell
-BLOCK = 512
 THIN_SHARE = 0.023  # of the bands of a set that is smallest for its class, those with one shingle or none
-FILTER_BITS = 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on every bit of the number."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted hashes of each text's distinct shingles; fewer words than a shingle are one, none are the empty set."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    words = [(t or b"").lower().split() for t in texts]  # of bytes: A-Z and the ASCII white space
-    total = sum(map(len, words))
-    hashes = np.fromiter((digest(w) for ws in words for w in ws), np.uint64, total)
-    joined = np.zeros(max(0, total - shingle + 1), np.uint64)
-    for j in range(shingle):
-        joined = mixed(joined * _A + hashes[j : j + len(joined)])
-    out, at = [], 0
-    for ws in words:
-        n = len(ws)
-        if n >= shingle:
-            out.append(np.unique(joined[at : at + n - shingle + 1]))
-        else:
-            out.append(np.array([digest(b" ".join(ws), seed=n)] if n else [], np.uint64))
-        at += n
-    return out
+    return joining.shingle_sets(texts, shingle)
 
 
-# --- sizes and bands -----------------------------------------------------------------------------
+def may_link(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return joining.may_link(shared, a, b, percent)
 
 
 def most_different(total: int, percent: int = PERCENT) -> int:
-    """In how many shingles two sets of together ``total`` can differ and still be linked."""
-    return total * (100 - percent) // (100 + percent)
+    return joining.most_different(total, percent)
+
+
+# --- sizes and bands -----------------------------------------------------------------------------
 
 
 def spare_bands(bands: int) -> int:
@@ -134,27 +114,9 @@ def cells(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, n
     return np.concatenate(found)[order].view(np.int64), np.bincount(np.concatenate(owners), minlength=len(sets))
 
 
-def identities(sets: list[np.ndarray]) -> np.ndarray:
-    """A hash of each set; 0 for the empty set."""
-    out = np.zeros(len(sets), np.uint64)
-    some = [i for i, s in enumerate(sets) if len(s)]
-    if some:
-        hashes = np.concatenate([sets[i] for i in some])
-        sizes = np.array([len(sets[i]) for i in some])
-        begin = np.cumsum(sizes) - sizes
-        one, two = (np.add.reduceat(mixed(hashes * m), begin) for m in (_A, _B))
-        out[some] = mixed(one * _C + mixed(two + sizes.astype(np.uint64)))
-    return out.view(np.int64)
-
-
 def _described(texts: list[bytes | None], percent: int) -> dict:
     sets = shingle_sets(texts)
-    keys, counts = cells(sets, percent)
-    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return {
-        "n": np.array([len(s) for s in sets], np.int64), "c": identities(sets),
-        "cells": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys, pa.int64())),
-    }
+    return joining.described(sets, *cells(sets, percent))
 
 
 # --- points and trees ------------------------------------------------------------------------------
@@ -205,196 +167,36 @@ class CountTree:
 # --- the join --------------------------------------------------------------------------------------
 
 
-def filter_bits(c: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A document's place in the filter, from all bits of its set and id."""
-    both = (c ^ ids).view(np.uint64)
-    folded = both.copy()
-    for places in range(FILTER_BITS, 64, FILTER_BITS):
-        folded ^= both >> np.uint64(places)
-    return (folded & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-
-
-def _sets(df: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(c, hashes) of the wanted sets (c, head), read from the texts of their first documents.
-
-    A filter of fixed size keeps most other sets from being shuffled; what passes it wrongly is dropped by the join.
-    """
-    mask = (1 << FILTER_BITS) - 1
-    both = F.col("c").bitwiseXOR(F.coalesce("head", F.lit(-1)))
-    folded = both
-    for places in range(FILTER_BITS, 64, FILTER_BITS):  # as filter_bits does: ids may differ in high bits alone
-        folded = folded.bitwiseXOR(F.shiftrightunsigned(both, places))
-    bit = folded.bitwiseAND(F.lit(mask))
-    words = wanted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("v"))
-    found = np.zeros((mask + 1) // 32, np.uint32)
-    for r in words.toLocalIterator():  # at most 2 ** FILTER_BITS / 32 rows
-        found[r.w] = r.v
-    shared = df.sparkSession.sparkContext.broadcast(np.unpackbits(found.view(np.uint8), bitorder="little"))
-
-    def work(batches):
-        for batch, texts in pieces(batches):
-            docs = batch.column("doc")
-            sets = shingle_sets(texts)
-            c = identities(sets)
-            ids, missing = np.asarray(docs.fill_null(-1)), np.asarray(docs.is_null())
-            bits = filter_bits(c, ids)
-            keep = np.flatnonzero(shared.value[bits].astype(bool) & np.array([len(s) > 0 for s in sets]))
-            # Only whole copies of a row go, by set and id: the head of a set must reach the join.
-            keep = keep[np.unique(np.stack([c, ids, missing])[:, keep], axis=1, return_index=True)[1]] if len(keep) else keep
-            yield pa.RecordBatch.from_arrays([
-                docs.take(pa.array(keep)), pa.array(c[keep]), pa.array([sets[i].astype("<u8").tobytes() for i in keep], pa.binary())], ["doc", "c", "hashes"])
-
-    rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
-    made = rows.mapInArrow(lean(work), "doc long, c long, hashes binary")
-    return made.join(wanted, "c").filter(F.col("doc").eqNullSafe(F.col("head"))).select("c", "hashes").dropDuplicates(["c"])
-
-
-def _hashes(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
-
-
-def points_of(sets: DataFrame) -> DataFrame:
-    """(c, point) of every set."""
-    def run(batches):
-        for batch in batches:
-            made = [point(x).astype("<i4").tobytes() for x in _hashes(batch.column("hashes"))]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(made, pa.binary())], ["c", "point"])
-
-    return sets.mapInArrow(lean(run), "c long, point binary")
-
-
-def _pairs_that(pairs: DataFrame, table: DataFrame, value: str, holds) -> DataFrame:
-    """The pairs (a, b) whose two values ``holds`` accepts."""
+def points_of(full: DataFrame) -> DataFrame:
+    """(c, n, sketch: the point) of every set."""
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                keep = [bool(holds(x, y)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            made = [point(np.frombuffer(x, "<u8")).astype("<i4").tobytes() for x in batch.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(made, pa.binary())], ["c", "n", "sketch"])
 
-    left, right = table.select(F.col("c").alias("a"), F.col(value).alias("x")), table.select(F.col("c").alias("b"), F.col(value).alias("y"))
-    # The smaller set of a pair may be in very many: it is joined last, when rows are large enough for Spark to split them.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
+    return full.mapInArrow(lean(run), "c long, n long, sketch binary")
 
 
-def possible(pairs: DataFrame, points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that the bound of their points lets through."""
-    def holds(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, "<i4"), np.frombuffer(y, "<i4")
-        return may_link(np.minimum(p, q).sum(), p.sum(), q.sum(), percent)
-
-    return _pairs_that(pairs, points, "point", holds)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked, by their sets."""
-    def holds(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        return may_link(len(np.intersect1d(p, q, True)), len(p), len(q), percent)
-
-    return _pairs_that(pairs, sets, "hashes", holds)
-
-
-def _runs(table: pa.Table, names: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal values."""
-    change = np.zeros(max(0, table.num_rows - 1), bool)
-    for n in names:
-        v = np.asarray(table.column(n))
-        change |= v[1:] != v[:-1]
-    edges = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        yield table.slice(a, b - a)
-
-
-def _search_block(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    side = np.asarray(rows.column("side"))
-    c, labels = np.asarray(rows.column("c")), np.asarray(rows.column("label"))
-    hashes = [np.frombuffer(x, "<i4") for x in rows.column("point").to_pylist()]
-    points = np.stack(hashes)
+def _search(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    side, c, labels = (np.asarray(rows.column(x)) for x in ("side", "c", "label"))
+    points = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<i4").reshape(-1, GROUPS)
     sizes = points.sum(1).astype(np.int64)
-    left = np.flatnonzero(side <= 1)
-    right = np.flatnonzero(side >= 1)  # 1: both sides
+    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: both sides
     tree = CountTree(points[right], sizes[right], labels[right])
     q, found = tree.search(points[left], sizes[left], labels[left], percent)
-    # A pair that shares several cells is left to the first of them.
-    cell, cells = rows.column("cell")[0].as_py(), [np.asarray(x.values) for x in rows.column("cells")]
-    first = [c[i] != c[j] and np.intersect1d(cells[i], cells[j], True)[0] == cell for i, j in zip(left[q], right[found])]
-    a, b = c[left[q]][first], c[right[found]][first]
-    return np.maximum(a, b), np.minimum(a, b)
-
-
-def across(members: DataFrame, points: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Pairs (a > b) of different components, from members (cell, c, label), that the trees' bound lets through.
-
-    Components of a block or more in a cell have blocks of their own, which are not searched against each other; smaller ones share
-    blocks. A block is a share of the rows by a hash, so no cell is ever held whole.
-    """
-    counts = members.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("rows"))
-    pooled = F.sum(F.when(F.col("rows") < block, F.col("rows")))
-    mixed_cells = counts.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), pooled.alias("pooled")).filter("k > 1").drop("k")
-    big = F.col("rows") >= block
-    # A node is (own, slot): own is the component, or null for the shared blocks.
-    dealt = cut(counts.join(mixed_cells, "cell").select(
-        "cell", "label", F.when(big, F.col("label")).alias("own"),
-        F.ceil(F.when(big, F.col("rows")).otherwise(F.col("pooled")) / block).cast("int").alias("parts")))
-    nodes = dealt.select("cell", "own", "parts").distinct().select("cell", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"))
-    nodes = nodes.select("cell", F.struct("own", "slot").alias("node"))
-    x, y = nodes.select("cell", F.col("node").alias("x")), nodes.select("cell", F.col("node").alias("y"))
-    pairs = cut(x.join(y, "cell").filter((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
-                .select("cell", "x", "y", F.xxhash64("cell", "x", "y").alias("task")))
-    rows = members.join(dealt, ["cell", "label"]).select(
-        "cell", "c", "label", F.struct("own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("slot")).alias("node"))
-    first = rows.join(pairs.withColumnRenamed("x", "node"), ["cell", "node"]).select(
-        "task", "cell", "c", "label", F.when(F.col("node") == F.col("y"), 1).otherwise(0).alias("side"))
-    second = rows.join(pairs.filter("x <> y").withColumnRenamed("y", "node"), ["cell", "node"]).select("task", "cell", "c", "label", F.lit(2).alias("side"))
-    lists = members.groupBy("c").agg(F.array_sort(F.collect_set("cell")).alias("cells"))  # as many as a set has bands
-
-    described = points.join(lists, "c")
-    placed = first.union(second).join(described, "c")
-    placed = placed.select("task", "cell", "side", "c", "label", "point", "cells").repartition("task").sortWithinPartitions("task", "cell")
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            runs = list(_runs(table, ["task", "cell"]))
-            held = runs.pop().combine_chunks()  # its task may go on in the next batch
-            for r in runs:
-                yield found(r)
-        if held is not None:
-            yield found(held)
-
-    def found(rows):
-        a, b = _search_block(rows, percent)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return placed.mapInArrow(lean(run), "a long, b long").distinct()
+    apart = labels[left[q]] != labels[right[found]]
+    return c[left[q]][apart], c[right[found]][apart]
 
 
 def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc, n shingles, c the set's identity; sets: c, head the smallest document, label of its component)."""
-    described = each_piece(df, lambda texts: _described(texts, percent), "n long, c long, cells array<long>", text, [doc])
-    described = cut(described.select(F.col(f"row.{quoted(doc)}").cast("long").alias("doc"), "n", "c", "cells"))
-    documents = described.select("doc", "n", "c")
-    heads = documents.filter("n > 0").groupBy("c").agg(F.min("doc").alias("head"))
-
-    held = described.select(F.explode("cells").alias("cell"), "c")
-    shared = held.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").drop("high")
-    members = cut(held.join(cut(shared), "cell").select("cell", "c", "low").distinct())
-    sets = cut(_sets(df, doc, text, members.select("c").distinct().join(heads, "c")))
-
-    points = cut(points_of(sets))
-    tried = cut(members.filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct())
-    near = cut(verified(cut(possible(tried, points, percent)), sets, percent))
-    named = members.select("cell", "c").join(components(near), "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
-    more = across(cut(named), points, percent, block).join(tried, ["a", "b"], "left_anti")
-    labels = components(near.union(verified(cut(more), sets, percent)))
-    return documents, heads.join(labels, "c", "left").select("c", "head", F.coalesce("label", "c").alias("label"))
+    """(documents: doc, n shingles, c1 and c2 the set's identity; sets: c1, c2, head the smallest document, label of its component)."""
+    def holds(x, y, nx, ny):
+        bound = np.array([np.minimum(p, q).sum() for p, q in zip(x, y)], np.int64)
+        return may_link(bound, nx, ny, percent)
+
+    return joining.classes(
+        df, doc, text, lambda texts: _described(texts, percent), lambda sets, full: cut(points_of(full)), "<i4", holds,
+        lambda rows: _search(rows, percent), percent, SHINGLE, block)
 
 
 def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -403,23 +205,17 @@ def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", percent:
     Rows without words stay. Rows are met again by id and set, so that rows which share an id but not a text are told apart.
     """
     _, sets = classes(df, doc, text, percent, block)
-    first = F.min(F.struct(F.col("head").isNull().alias("none"), "head", "c"))
+    first = F.min(F.struct(F.col("head").isNull().alias("none"), "head", "c1", "c2"))
     kept = cut(sets.groupBy("label").agg(first.alias("k")).select(
-        F.col("k.c").alias("c"), F.coalesce("k.head", F.lit(-1)).alias("id"), F.col("k.none").alias("none")))
+        "k.c1", "k.c2", F.coalesce("k.head", F.lit(-1)).alias("id"), F.col("k.none").alias("none")))
     empty = ~F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    worded = each_piece(df.filter(~empty), lambda texts: {"c": identities(shingle_sets(texts))}, "c long", text)
+    worded = each_piece(df.filter(~empty), lambda texts: dict(zip(("c1", "c2"), identities(shingle_sets(texts)))), "c1 long, c2 long", text)
     own = F.col(f"row.{quoted(doc)}").cast("long")
-    rows = worded.select("row", "c", F.coalesce(own, F.lit(-1)).alias("id"), own.isNull().alias("none"))
-    keys = ["c", "id", "none"]
+    rows = worded.select("row", "c1", "c2", F.coalesce(own, F.lit(-1)).alias("id"), own.isNull().alias("none"))
+    keys = ["c1", "c2", "id", "none"]
     return rows.join(kept, keys).dropDuplicates(keys).select("row.*").union(df.filter(empty))
 
 
 def linked_documents(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id: the smallest id reachable by links) of every row."""
-    documents, sets = classes(df, doc, text, percent, block)
-    sets = cut(sets)
-    smallest = sets.groupBy("label").agg(F.min("head").alias("component_id"))
-    named = cut(sets.join(smallest, "label").select("c", "component_id"))
-    whole = documents.join(named, "c", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return whole.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joining.by_document(*classes(df, doc, text, percent, block))

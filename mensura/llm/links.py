@@ -18,13 +18,24 @@ def _followed(parents: DataFrame) -> DataFrame:
     return parents.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p"))
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(u, p) with p followed to its end, twice doubled for each cut; every parent is smaller than its child, so there are no rings."""
+    while True:
+        twice = _followed(parents)
+        above = twice.select(F.col("u").alias("p"), F.col("p").alias("pp"))
+        twice = twice.join(above, "p", "left").select("u", F.coalesce("pp", "p").alias("p"), (F.col("pp") < F.col("p")).alias("moved"))
+        twice = cut(twice)
+        parents = twice.select("u", "p")
+        if twice.filter("moved").isEmpty():
+            return parents
+
+
 def components(links: DataFrame) -> DataFrame:
     """(c, label) of every node of links (a, b): nodes with one label are connected, and it is the smallest of them.
 
-    Each round hangs every node under its smallest neighbour, follows the chains two steps and twice that, and replaces the links by
-    those between the nodes reached, so chains shrink to a quarter at least. Links and labels go through a round as one table,
-    which is cut once. Neighbours are combined before a shuffle, and joins meet tables that were cut, so that a node of very
-    many links can be split. No links give no rows.
+    Each round hangs every node under its smallest neighbour, follows the chains to their ends, and replaces the links by those between
+    the ends. Links and labels go through a round as one table, which is cut once. Neighbours are combined before a shuffle, and
+    joins meet tables that were cut, so that a node of very many links can be split. No links give no rows.
     """
     table = cut(_ordered(links).select("a", "b", F.lit(True).alias("link")))
     rounds = 0
@@ -32,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = table.filter("link")
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         parents = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        parents = cut(_followed(_followed(parents)))
+        parents = _roots(parents)
         onward = parents.select(F.col("u").alias("b"), F.col("p").alias("pb"))
         if rounds:
             labels = table.filter(~F.col("link")).join(onward, "b", "left").select("a", F.coalesce("pb", "b").alias("b"))

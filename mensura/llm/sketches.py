@@ -28,20 +28,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import each_piece, lean, pieces, quoted
-from mensura.llm.blocks import BLOCK, block_pairs, open_cells, searched, size_step
-from mensura.llm.jaccard import may_link, mixed, most_different, shingle_sets
-from mensura.llm.links import components, joined_components
-from mensura.session import cut
+from mensura.llm import joining
+from mensura.llm.blocks import BLOCK
+from mensura.llm.joining import mixed, most_different, shingle_sets
 
 SHINGLE, PERCENT = 3, 85
 REGISTERS, BUCKET_BITS, MANTISSA = 128, 7, 10
 MOST_BANDS = 32
 MISSED = 1e-10
-FILTER_BITS = 24
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -171,101 +168,20 @@ def cells(regs: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[
     return np.concatenate(found)[order].view(np.int64), np.bincount(owner, minlength=len(regs))
 
 
-# --- the sets of a table --------------------------------------------------------------------------------------
-
-
-def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set."""
-    out = np.zeros((2, len(sets)), np.uint64)
-    some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-    if len(some):
-        sizes = np.array([len(sets[i]) for i in some])
-        hashes, begin = np.concatenate([sets[i] for i in some]), np.cumsum(sizes) - sizes
-        for row, factor in zip(out, (_B, _C)):
-            row[some] = mixed(np.add.reduceat(mixed(hashes * factor + _A), begin) + sizes.astype(np.uint64))
-    return out[0].view(np.int64), out[1].view(np.int64)
+# --- the operator --------------------------------------------------------------------------------------------
 
 
 def _described(texts: list[bytes | None], shingle: int, percent: int) -> dict:
     sets = shingle_sets(texts, shingle)
     sizes = np.array([len(s) for s in sets], np.int64)
     regs = registers(sets)
-    keys, counts = cells(regs, sizes, percent)
-    bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    one, two = identities(sets)
-    return {
-        "n": sizes, "c1": one, "c2": two, "cells": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys, pa.int64())),
-        "regs": pa.array([r.tobytes() if n else None for r, n in zip(regs.astype("<u2"), sizes)], pa.binary()),
-    }
-
-
-def _bit(doc: Column) -> Column:
-    return F.xxhash64(doc).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-
-
-def _full_sets(df: DataFrame, doc: str, text: str, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(c, n, hashes) of the wanted sets (c, head, c1, c2), read again from the texts of their first documents.
-
-    A filter of fixed size over the ids keeps most other texts from being read again; what passes it wrongly is dropped by the join.
-    """
-    size = 1 << FILTER_BITS
-    words = wanted.select(_bit(F.col("head")).alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("w")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(bit % 32 AS int)))").alias("v"))
-    found = np.zeros(size // 32, np.uint32)
-    for r in words.toLocalIterator():  # at most 2 ** FILTER_BITS / 32 rows
-        found[r.w] = r.v
-    shared = df.sparkSession.sparkContext.broadcast(found)
-
-    def work(batches):
-        for batch, texts in pieces(batches):
-            bits = np.asarray(batch.column("bit"))
-            keep = np.flatnonzero((shared.value[bits >> 5] >> (bits & 31).astype(np.uint32)) & np.uint32(1))
-            sets = shingle_sets([texts[i] for i in keep], shingle)
-            one, two = identities(sets)
-            made = [pa.array(one), pa.array(two), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(keep)), *made], ["head", "c1", "c2", "hashes"])
-
-    rows = df.select(F.col(quoted(doc)).cast("long").alias("doc"), F.col(quoted(text)).cast("binary").alias("text"))
-    rows = rows.withColumn("bit", _bit(F.col("doc")))
-    made = rows.mapInArrow(lean(work), "head long, c1 long, c2 long, hashes binary").filter("length(hashes) > 0")
-    met = made.withColumn("head", F.coalesce("head", F.lit(-1))).join(wanted.withColumn("head", F.coalesce("head", F.lit(-1))), ["c1", "c2", "head"])
-    met = met.select("c", "hashes").dropDuplicates(["c"])  # rows that repeat an id and a text
-    return met.select("c", F.floor(F.length("hashes") / 8).alias("n"), "hashes")
-
-
-def _pairs_that(pairs: DataFrame, table: DataFrame, value: str, kind, holds) -> DataFrame:
-    """The pairs (a, b) for whose arrays and sizes ``holds`` is true; ``table`` has c, n and the value."""
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                x, y = ([np.frombuffer(v, kind) for v in part.column(side).to_pylist()] for side in ("x", "y"))
-                keep = holds(x, y, np.asarray(part.column("nx")), np.asarray(part.column("ny")))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = table.select(F.col("c").alias("a"), F.col("n").alias("nx"), F.col(value).alias("x"))
-    right = table.select(F.col("c").alias("b"), F.col("n").alias("ny"), F.col(value).alias("y"))
-    # The smaller set of a pair may be in very many: it is joined last, when rows are large enough for Spark to split them.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "nx", "ny", "x", "y").mapInArrow(lean(run), "a long, b long")
-
-
-def verified(pairs: DataFrame, full: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that are linked, by their full sets (c, n, hashes)."""
-    def holds(x, y, nx, ny):
-        shared = np.array([len(np.intersect1d(p, q, True)) for p, q in zip(x, y)], np.int64)
-        return may_link(shared, nx, ny, percent)
-
-    return _pairs_that(pairs, full, "hashes", "<u8", holds)
-
-
-def candidates(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that the estimate lets through."""
-    return _pairs_that(pairs, sets, "regs", "<u2", lambda x, y, nx, ny: may_be_linked(np.stack(x), np.stack(y), nx, ny, percent))
+    kept = pa.array([r.tobytes() if n else None for r, n in zip(regs.astype("<u2"), sizes)], pa.binary())
+    return joining.described(sets, *cells(regs, sizes, percent)) | {"regs": kept}
 
 
 def _search(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     side, c, n, label = (np.asarray(rows.column(x)) for x in ("side", "c", "n", "label"))
-    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: both sides
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left.tolist():
@@ -276,46 +192,19 @@ def _search(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-# --- the operator --------------------------------------------------------------------------------------------
-
-
 def classes(
     df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, n, c1, c2; sets: c, c1, c2, head the smallest document, label of its component)."""
-    described = each_piece(
-        df, lambda texts: _described(texts, shingle, percent), "n long, c1 long, c2 long, cells array<long>, regs binary", text, [doc])
-    described = cut(described.select(F.col(f"row.{quoted(doc)}").cast("long").alias("doc"), "n", "c1", "c2", "cells", "regs"))
-    sets = described.filter("n > 0").groupBy("c1", "c2").agg(
-        F.min("doc").alias("head"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("regs").alias("regs"))
-    sets = cut(sets.withColumn("c", F.monotonically_increasing_id()))  # fixed once it is written
-
-    held = sets.select(F.explode("cells").alias("cell"), "c")
-    shared = held.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").drop("high")
-    members = cut(held.join(shared, "cell").select("cell", "c", "low"))
-    wanted = members.select("c").distinct().join(sets.select("c", "head", "c1", "c2"), "c")
-    full = cut(_full_sets(df, doc, text, wanted, shingle))
-
-    tried = members.filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct()
-    near = cut(verified(candidates(tried, sets, percent), full, percent))
-    labels = cut(components(near))
-    named = members.select("cell", "c").join(labels, "c", "left").join(sets.select("c", "n"), "c").select(
-        "cell", "c", F.coalesce("label", "c").alias("label"), size_step(F.col("n"), percent).alias("step"))
-    placed = block_pairs(cut(open_cells(named)), block).join(sets.select("c", "n", "regs"), "c")
-    more = verified(searched(placed, lambda rows: _search(rows, percent)), full, percent)
-    labels = joined_components(labels, cut(more))
-    sets = sets.join(labels, "c", "left").select("c", "c1", "c2", "head", F.coalesce("label", "c").alias("label"))
-    return described.select("doc", "n", "c1", "c2"), cut(sets)
+    return joining.classes(
+        df, doc, text, lambda texts: _described(texts, shingle, percent), lambda sets, full: sets.select("c", "n", F.col("regs").alias("sketch")), "<u2",
+        lambda x, y, nx, ny: may_be_linked(np.stack(x), np.stack(y), nx, ny, percent), lambda rows: _search(rows, percent), percent, shingle, block,
+        ", regs binary")
 
 
 def near_duplicates(
     df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id: the smallest id reachable by links, kept: whether it is the row's own) of every row."""
-    documents, sets = classes(df, doc, text, percent, shingle, block)
-    smallest = sets.groupBy("label").agg(F.min("head").alias("component_id"))
-    named = cut(sets.join(smallest, "label").select("c1", "c2", "component_id"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    whole = documents.join(named, ["c1", "c2"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = joining.by_document(*classes(df, doc, text, percent, shingle, block))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

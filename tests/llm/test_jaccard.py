@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from awkward import AWKWARD, documents, prose, table
 
-from mensura.llm import jaccard
+from mensura.llm import jaccard, joining
 from mensura.llm.links import components
 
 
@@ -78,13 +78,14 @@ def test_copies_whose_ids_differ_in_high_bits_keep_their_links(spark, ids):
     assert got == brute(rows)
 
 
-def test_the_filter_folds_ids_alike_in_spark_and_numpy(spark):
+def test_the_filter_of_ids_lets_all_wanted_sets_through(spark):
     rng = np.random.default_rng(4)
     texts = [prose(500 + i, 30) for i in range(200)]
-    ids = [int(x) for x in rng.integers(-(2**63), 2**63, 200)]
-    wanted = spark.createDataFrame(
-        [(int(c), d) for c, d in zip(jaccard.identities(jaccard.shingle_sets([t.encode() for t in texts])), ids)], "c long, head long")
-    assert jaccard._sets(documents(spark, list(zip(ids, texts))), "doc_id", "text", wanted).count() == 200
+    ids = [int(x) for x in rng.integers(-(2**63), 2**63, 199)] + [None]
+    one, two = joining.identities(joining.shingle_sets([t.encode() for t in texts], 3))
+    wanted = [(i, d, int(x), int(y)) for i, (d, x, y) in enumerate(zip(ids, one, two)) if i % 2]
+    found = joining.full_sets(documents(spark, list(zip(ids, texts))), "doc_id", "text", spark.createDataFrame(wanted, "c long, head long, c1 long, c2 long"), 3)
+    assert {r.c: r.n for r in found.collect()} == {i: len(shingles(texts[i])) for i, *_ in wanted}
 
 
 def test_linked_sets_share_a_cell():

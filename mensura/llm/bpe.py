@@ -2,7 +2,8 @@
 
 Pre-tokens come from :mod:`mensura.llm.pretokens`; each different one is merged once and its ids are kept, up to a bound after
 which the table starts anew. Ids come with the byte at which each begins, so that a text, or a stretch of it, can be decoded
-by placing the vocabulary's bytes. Null and empty texts have no ids; ill-formed UTF-8 becomes U+FFFD before encoding.
+by placing the vocabulary's bytes. Null and empty texts have no ids; ill-formed UTF-8 becomes U+FFFD before encoding. Of pairs of one rank the
+leftmost is merged first. Equal texts have equal ids, so repeated rows do too; an empty table gives an empty one.
 """
 
 from __future__ import annotations

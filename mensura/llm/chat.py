@@ -10,7 +10,7 @@ turns with one number are ordered by role and then by the text's SHA-256. Render
 most ``PART_TURNS`` turns, so that no conversation has to fit one row.
 
 No step gathers a conversation: turns are ordered by ranges of the whole table, and a conversation that spans ranges gets its
-position and hash from the few totals of the ranges before.
+position and hash from the few totals of the ranges before. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ A filter's answer is a sum over its bytes, so for prediction the weights of two
 filter of width four costs two lookups.
 
 At most ``PER_LANGUAGE`` different labelled texts of each language are used to fit, chosen by a hash of their text; more than
-``MOST_LANGUAGES`` languages raise. A text without letters
-(null included) is ``und`` with score 0. Ties go to the language that is first by name.
+``MOST_LANGUAGES`` languages raise. Of a long labelled text at most ``FIT_WINDOWS`` windows are fitted; predictions read whole texts. A text
+without letters (null and empty included) is ``und`` with score 0. Ties go to the language that is first by name. Equal texts get equal
+answers, so repeated rows do too; a null id is a row like any other. An empty table gives an empty result, and without any
+labelled text every text is ``und``. Columns other than the text travel in ``row``, where no name can clash.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 ``ledger`` reads each text once and stores its measurements and one integer of failure bits. A policy is a named, versioned
 set of rules; applying one, changing one or asking what a rule costs never touches a text again.
 
-Null and empty texts have no words: they fail ``few_words`` and no other rule.
+Null and empty texts have no words: they fail ``few_words`` and no other rule. Rows are judged one by one, so repeated rows are judged
+alike and ids, null or not, are not read. An empty table gives an empty ledger.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ holds a posting (trigram, row key) for every trigram that some query names. Post
 that satisfy a rule's query are searched with its expression. A rule without a mandatory trigram searches every row.
 
 A key hashes a row's id and text, so equal rows share postings, and a hash collision costs a needless search, never a match.
-Null texts count as empty. Offsets are code points, ends exclusive.
+Null and empty texts hold no secrets. Repeated rows are scanned as often as they occur, and a null id is one id. Offsets are code points, ends
+exclusive; matches at one place are listed in the order of the rules. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ member's offset and length in a sidecar file, by which records are then read one
 
 Of pages with equal payloads the one with the smallest id is a response; the others are revisits without payload that refer to
 it and keep its digest and length in their headers. Rows that repeat the smallest id are responses too; a null id counts as
-larger than any other. A null html is an empty payload, a null url an empty target.
+larger than any other. A null html is an empty payload, a null url an empty target. An empty table gives no archive and no pages.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ from mensura import fixed_values as fixed
 from mensura.functions import columns as fn
 from mensura.operators.consensus import representative_row, replicate_profile
 from mensura.operators.joins import exclusive_rows
+from mensura.session import cut
 from mensura.skew import aggregate, beside, join_by_key, select_quantiles
 
 
@@ -66,11 +67,11 @@ def target_stats(
 
 
 def key_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Number of distinct non-null values per column, one row per column."""
+    """Number of distinct non-null values per column, one row per column, from one pass."""
     count = F.approx_count_distinct if approximate else F.count_distinct
-    parts = [df.agg(count(F.col(c)).alias("unique_values")).select(F.lit(c).alias("column"), "unique_values")
-             for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    found = df.agg(*[count(F.col(c)).alias(str(i)) for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(str(i)).alias("unique_values")) for i, c in enumerate(columns)])
+    return found.select(F.inline(cells))
 
 
 def stage_lineage(
@@ -235,12 +236,12 @@ def duplicate_signatures(
 ) -> DataFrame:
     """Rows, distinct signatures and excess per phase and column set; null equals null.
 
-    Each row becomes one exact text key per column set, so that one grouping counts all sets of all phases.
+    Each row becomes one digest of 128 bits per column set, so that one grouping counts all sets of all phases.
     """
     columns = list(dict.fromkeys(c for cs in signatures.values() for c in cs))
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(p).alias("phase"), *columns) for p, df in phases.items()])
     keys = F.array(*[
-        F.struct(F.lit(name).alias("signature"), F.to_json(F.struct(*cs)).alias("_key")) for name, cs in signatures.items()
+        F.struct(F.lit(name).alias("signature"), F.unhex(F.md5(F.to_json(F.struct(*cs)))).alias("_key")) for name, cs in signatures.items()
     ])
     copies = rows.select("phase", F.inline(keys)).groupBy("phase", "signature", "_key").agg(F.count(F.lit(1)).alias("_n"))
     return copies.groupBy("phase", "signature").agg(
@@ -292,14 +293,19 @@ def compare_filters_by(df: DataFrame, keep_a: Column, keep_b: Column, by: str) -
 def compare_filters(
     df: DataFrame, rules: Mapping[str, Column], key: str, value: str
 ) -> DataFrame:
-    """Per rule: rows and unique keys retained and the statistics of the retained values."""
-    parts = []
-    for name, rule in rules.items():
-        kept = df.filter(F.coalesce(rule, F.lit(False)))
-        stats = number_stats(kept, value).select("min", "max", "mean", "median", "std")
-        sizes = kept.agg(F.count(F.lit(1)).alias("retained"), F.count_distinct(key).alias("unique_keys"))
-        parts.append(beside(sizes, stats).withColumn("filter", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
+    """Per rule: rows and unique keys retained and the statistics of the retained values.
+
+    A row is copied once for each rule that keeps it, so one grouping covers all rules.
+    """
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    kept = cut(df.select(hits.alias("_hits"), F.col(key).alias("_key"), F.col(value).cast("double").alias("_y")).select(F.explode("_hits").alias("filter"), "_key", "_y"))
+    kept = kept.withColumn("_x", fn.finite("_y"))
+    aggs = [F.count(F.lit(1)).alias("retained"), *[a for a in _number_aggs("_y")[3:]]]
+    table = aggregate(kept, ["filter"], aggs, {"median": ("_x", 0.5)})
+    unique = kept.filter(F.col("_key").isNotNull()).groupBy("filter", "_key").agg(F.count(F.lit(1))).groupBy("filter").agg(F.count(F.lit(1)).alias("unique_keys"))
+    names = df.sparkSession.createDataFrame([(n,) for n in rules], "filter string")
+    whole = names.join(table, "filter", "left").join(unique, "filter", "left").fillna(0, ["retained", "unique_keys"])  # a row for each rule
+    return whole.select("retained", "unique_keys", "min", "max", "mean", "median", "std", "filter")
 
 
 def compare_filters_summary(df: DataFrame, keep_a: Column, keep_b: Column, key: str) -> DataFrame:

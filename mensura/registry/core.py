@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.registry.views import VIEWS
+from mensura.session import cut
 from mensura.sources.records import spread
 
 BASE = (
@@ -18,6 +19,7 @@ BASE = (
 ).split()
 
 WORDY = {"documents", "pages", "conversations", "events"}  # costly per row
+KEPT = {"graph_edges"}  # views of several joins that a query reads more than once
 
 REGISTRY: dict[str, tuple[Callable[["Tables"], DataFrame], str | None]] = {}
 
@@ -55,7 +57,8 @@ class Tables:
                 table = self.spark.read.parquet(self.path(name))
                 self._seen[name] = spread(table) if name in WORDY else table
             else:
-                self._seen[name] = self.sql(VIEWS[name])
+                view = self.sql(VIEWS[name])
+                self._seen[name] = cut(view) if name in KEPT else view
         return self._seen[name]
 
     def sql(self, text: str) -> DataFrame:

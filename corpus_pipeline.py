@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each over everything that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs.
-All but the last return the columns of ``documents``. There is no SQL for the whole, as SQL cannot express the merges of the last
+All but the last return the columns of ``documents``; columns beyond those travel along, whatever their names. An empty table stays empty in every
+stage. There is no SQL for the whole, as SQL cannot express the merges of the last
 stage; tests/llm/test_pipeline.py compares it with a brute-force version.
 """
 
@@ -16,27 +17,31 @@ from mensura.llm.files import new_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the policy rejects go."""
+    """Documents that the policy rejects go, those with null, empty or short texts among them. Rows are judged one by one: repeated rows alike,
+    whatever their ids."""
     return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, directly or by others, the one with the smallest id stays."""
+    """Of documents that are linked, directly or by others, the one with the smallest id stays; a null id counts as larger than any other.
+
+    Rows that repeat an id and a text become one; texts without words, null ones included, are linked with nothing and all stay.
+    """
     return jaccard.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat the benchmark go."""
+    """Documents that repeat the benchmark go. Null and empty texts have no words and stay; repeated rows are judged alike, whatever their ids."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets are replaced, and the length follows the text."""
+    """All documents stay, repeated rows and null ids included; secrets are replaced, and the length follows the text. A null text stays null."""
     return secrets.redact_documents(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What training reads: each document's tokens, checked by decoding them."""
+    """What training reads: each document's tokens, checked by decoding them. Null and empty texts have no tokens; every row gives one row."""
     ranks = tokenizer_file("byte_bpe_50k.tiktoken")
     decoded = bpe.decode(bpe.encode(docs, ranks, keep=["doc_id", "lang", "source"]), ranks)
     return decoded.select(

@@ -52,7 +52,7 @@ def filter_validity(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFr
 
 def filter_flag(df: DataFrame, flag: str, bad: int = 1) -> DataFrame:
     """Drop flagged rows; a null flag is kept. Without the column nothing is flagged."""
-    return df.filter(~is_flagged(df.columns, flag, bad))
+    return df.filter(~is_flagged(df.columns, flag, bad)) if flag in df.columns else df
 
 
 def filter_allowed(df: DataFrame, column: str, allowed: Sequence) -> DataFrame:

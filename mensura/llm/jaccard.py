@@ -196,7 +196,7 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
 
     return joining.classes(
         df, doc, text, lambda texts: _described(texts, percent), lambda sets, full: cut(points_of(full)), "<i4", holds,
-        lambda rows: _search(rows, percent), percent, SHINGLE, block)
+        [lambda rows: _search(rows, percent)], percent, SHINGLE, block)
 
 
 def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -6,7 +6,7 @@ full sets are read, and how a block of sets of one cell is searched. Equal sets
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -142,16 +142,32 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs_that(pairs, full, "hashes", "<u8", holds)
 
 
+def with_hubs(held: DataFrame) -> DataFrame:
+    """(cell, c, low) of the cells that several sets share, from (cell, c); ``low`` is the cell's set that meets the most others in its cells.
+
+    The text that a family of near copies was made from has the cells that most of them have, so it is linked to more of
+    them than any other, and one comparison a copy joins the family.
+    """
+    sizes = held.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = cut(held.join(sizes, "cell").select("cell", "c", "size"))
+    met = members.groupBy("c").agg(F.sum("size").alias("met"))
+    ranked = members.join(met, "c").select("cell", "c", "met")
+    hub = ranked.groupBy("cell").agg(F.min(F.struct(-F.col("met"), F.col("c").alias("low"))).alias("hub")).select("cell", "hub.low")
+    return cut(members.select("cell", "c").join(hub, "cell"))
+
+
 def classes(
     df: DataFrame, doc: str, text: str, describe: Callable[[list], dict], sketched: Callable[[DataFrame, DataFrame], DataFrame], kind: str,
-    holds: Callable, search: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], percent: int, shingle: int, block: int = BLOCK,
-    columns: str = "",
+    holds: Callable, searches: Sequence[Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]], percent: int, shingle: int, block: int = BLOCK,
+    columns: str = "", hubs: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, n, c1, c2; sets: c, c1, c2, head the smallest document, label of its component).
 
     ``describe`` gives n, c1, c2, cells and further ``columns`` of texts. ``sketched`` makes (c, n, sketch) from the sets and the full sets
-    (c, n, hashes); ``holds`` judges pairs of sketches, numpy arrays of the ``kind``, as ``pairs_that`` wants it. ``search`` finds pairs
-    in the rows (cell, c, label, side, n, sketch) of a block.
+    (c, n, hashes); ``holds`` judges pairs of sketches, numpy arrays of the ``kind``, as ``pairs_that`` wants it. ``searches`` find pairs
+    in the rows (cell, c, label, side, n, sketch) of a block, one after another, each among what the one before left apart; the last finds
+    all that may be linked. In each cell the sets are first held against the one with the smallest number, or,
+    with ``hubs``, against the one that shares its cells with the most others.
     """
     rows = each_piece(df, describe, "n long, c1 long, c2 long, cells array<long>" + columns, text, [doc])
     rows = cut(rows.withColumn("doc", F.col(f"row.{quoted(doc)}").cast("long")).drop("row"))
@@ -160,8 +176,11 @@ def classes(
     sets = cut(sets.withColumn("c", F.monotonically_increasing_id()))  # fixed once it is written
 
     held = sets.select(F.explode("cells").alias("cell"), "c")
-    shared = held.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").drop("high")
-    members = cut(held.join(shared, "cell").select("cell", "c", "low"))
+    if hubs:
+        members = with_hubs(held)
+    else:
+        shared = held.groupBy("cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").drop("high")
+        members = cut(held.join(shared, "cell").select("cell", "c", "low"))
     names = sets.select("c", "head", "c1", "c2")
     full = full_sets(df, doc, text, members.select("c").distinct().join(names, "c"), shingle)
     sketches = sketched(sets, full)
@@ -169,10 +188,12 @@ def classes(
     tried = members.filter("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")).distinct()
     near = cut(verified(pairs_that(tried, sketches, "sketch", kind, holds), full, percent))
     labels = components(near)
-    named = members.select("cell", "c").join(labels, "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
-    named = open_cells(cut(named)).join(full.select("c", size_step(F.col("n"), percent).alias("step")), "c")
-    placed = block_pairs(cut(named), block).join(sketches, "c")
-    labels = joined_components(labels, cut(verified(searched(placed, search), full, percent)))
+    steps = full.select("c", size_step(F.col("n"), percent).alias("step"))
+    for find in searches:
+        labels = cut(labels) if find is not searches[0] else labels
+        named = members.select("cell", "c").join(labels, "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
+        placed = block_pairs(cut(open_cells(cut(named)).join(steps, "c")), block).join(sketches, "c")
+        labels = joined_components(labels, cut(verified(searched(placed, find), full, percent)))
     return rows.select("doc", "n", "c1", "c2"), cut(names.join(labels, "c", "left").select(*names.columns, F.coalesce("label", "c").alias("label")))
 
 

@@ -1,7 +1,8 @@
 """HyperMinHash near-duplicates: texts whose sets of word shingles overlap enough, found by compressed MinHash registers.
 
 A set's shingles are dealt into ``REGISTERS`` buckets by their hash. A register keeps of its bucket's smallest hash only the count of
-leading zeros and the next ``MANTISSA`` bits, two bytes in all; 0 stands for an empty bucket. Two registers are equal where the smallest
+leading zeros and the next ``MANTISSA`` bits, two bytes in all; 0 stands for an empty bucket. Sets that share a cell have more of them, of
+the same kind, to be judged by. Two registers are equal where the smallest
 hashes are, and now and then by a collision, whose expected number follows from the sizes of the sets and is taken off the estimate.
 
 Registers are cut into bands; sets with an equal band share a cell. Sets of sizes a and b that are linked differ in at most
@@ -13,8 +14,9 @@ more than the class has to spare.
 
 Candidates are judged by their registers first. One is dropped only if it surely is not linked (more registers differ than
 shingles may), or if linked sets would agree in so few registers with a chance below ``MISSED``; what remains is verified on the
-full sets. In every cell, sets are first held against the cell's smallest id; what that links becomes one component. Cells that
-then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size.
+full sets. In every cell, sets are first held against the one that meets the most others in its cells; what that links becomes one component.
+Cells that then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size: first each set's
+``BEST`` candidates of a block are verified and linked, then all candidates that still lie in different components.
 
 Equal sets are one set throughout, told apart by 128 bits, and copies are never paired; null and empty texts and texts without words have the
 empty set and no links. Repeated rows are rows of one set. A null id counts as larger than any other. An empty table
@@ -32,11 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm import joining
+from mensura.llm.batches import lean
 from mensura.llm.blocks import BLOCK
 from mensura.llm.joining import mixed, most_different, shingle_sets
+from mensura.session import cut
 
 SHINGLE, PERCENT = 3, 85
 REGISTERS, BUCKET_BITS, MANTISSA = 128, 7, 10
+JUDGED_BITS = 9  # sets that share a cell have 2 ** JUDGED_BITS registers to be judged by
+BEST = 3
 MOST_BANDS = 32
 MISSED = 1e-10
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -45,18 +51,18 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 # --- registers -------------------------------------------------------------------------------------------
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """The registers of every set of sorted hashes: 1 + leading zeros * 2 ** MANTISSA + mantissa of each bucket's smallest, 0 if empty."""
-    out = np.zeros((len(sets), REGISTERS), np.uint16)
+def registers(sets: list[np.ndarray], bits: int = BUCKET_BITS) -> np.ndarray:
+    """The 2 ** bits registers of every set of sorted hashes: 1 + leading zeros * 2 ** MANTISSA + mantissa of each bucket's smallest, 0 if empty."""
+    out = np.zeros((len(sets), 1 << bits), np.uint16)
     sizes = np.array([len(s) for s in sets], np.int64)
     hashes = np.concatenate([*sets, np.zeros(0, np.uint64)])
     if not len(hashes):
         return out
     owner = np.repeat(np.arange(len(sets)), sizes)
-    bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    place = owner * REGISTERS + bucket
+    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    place = (owner << bits) + bucket
     first = np.concatenate([[True], place[1:] != place[:-1]])  # hashes ascend, so a bucket's first is its smallest
-    rest = (hashes[first] << np.uint64(BUCKET_BITS)) >> np.uint64(11)  # 53 bits, exact in floating point
+    rest = (hashes[first] << np.uint64(bits)) >> np.uint64(11)  # 53 bits, exact in floating point
     half, exponent = np.frexp(rest.astype(np.float64))
     zeros = np.where(rest > 0, 53 - exponent, 53)
     digits = np.where(rest > 0, np.floor((half - 0.5) * (2 << MANTISSA)), 0).astype(np.int64)
@@ -64,17 +70,17 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def expected_collisions(a: np.ndarray, b: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """In how many registers sets of sizes a and b without common shingles agree.
 
-    The smallest of a / REGISTERS uniform hashes has about the density r exp(-r x); where both lie between 2 ** -(i + 1) and 2 ** -i, a
+    The smallest of r uniform hashes in a bucket has about the density r exp(-r x); where both lie between 2 ** -(i + 1) and 2 ** -i, a
     register tells places of width 2 ** -(i + 1 + MANTISSA) apart.
     """
-    x, y = np.asarray(a, np.float64) / REGISTERS, np.asarray(b, np.float64) / REGISTERS
+    x, y = np.asarray(a, np.float64) / registers, np.asarray(b, np.float64) / registers
     low = 0.5 ** np.arange(1, 54)
     both = (x + y)[..., None]
     inside = np.exp(-both * low) - np.exp(-both * 2 * low)
-    return REGISTERS * (x * y / np.maximum(x + y, 1e-300)) * (inside * low).sum(-1) / (1 << MANTISSA)
+    return registers * (x * y / np.maximum(x + y, 1e-300)) * (inside * low).sum(-1) / (1 << MANTISSA)
 
 
 def agreement(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +89,18 @@ def agreement(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return ((one == other) & filled).sum(-1), filled.sum(-1)
 
 
-def estimated(equal: np.ndarray, filled: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def estimated(equal: np.ndarray, filled: np.ndarray, a: np.ndarray, b: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """The Jaccard similarity by the registers, less the collisions to be expected among those that differ."""
     share = equal / np.maximum(filled, 1)
-    by_chance = expected_collisions(a, b) / REGISTERS
+    by_chance = expected_collisions(a, b, registers) / registers
     return np.clip((share - by_chance) / (1 - by_chance), 0, 1)
 
 
 @lru_cache
-def least_estimates(percent: int, missed: float = MISSED) -> np.ndarray:
+def least_estimates(percent: int, registers: int = REGISTERS, missed: float = MISSED) -> np.ndarray:
     """For each number of filled registers, the estimate below which linked sets fall with a chance under ``missed`` (Chernoff's bound)."""
-    p, out = percent / 100, np.zeros(REGISTERS + 1)
-    for n in range(1, REGISTERS + 1):
+    p, out = percent / 100, np.zeros(registers + 1)
+    for n in range(1, registers + 1):
         for k in range(n + 1):
             q = k / n
             far = (q * math.log(q / p) if k else 0) + ((1 - q) * math.log((1 - q) / (1 - p)) if k < n else 0)
@@ -108,11 +114,11 @@ def may_be_linked(one: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarr
     """Whether sets of sizes a and b with such registers are candidates."""
     equal, filled = agreement(one, other)
     a, b = np.broadcast_to(a, equal.shape), np.broadcast_to(b, equal.shape)
-    least = least_estimates(percent)[filled]
+    least = least_estimates(percent, one.shape[-1])[filled]
     keep = filled - equal <= (a + b) * (100 - percent) // (100 + percent)  # a differing shingle spoils one register at most
     keep &= (equal >= least * filled) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
     some = np.flatnonzero(keep)  # the correction only lowers the estimate
-    keep[some] = estimated(equal[some], filled[some], a[some], b[some]) >= least[some]
+    keep[some] = estimated(equal[some], filled[some], a[some], b[some], one.shape[-1]) >= least[some]
     return keep
 
 
@@ -173,20 +179,30 @@ def cells(regs: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[
 
 def _described(texts: list[bytes | None], shingle: int, percent: int) -> dict:
     sets = shingle_sets(texts, shingle)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    regs = registers(sets)
-    kept = pa.array([r.tobytes() if n else None for r, n in zip(regs.astype("<u2"), sizes)], pa.binary())
-    return joining.described(sets, *cells(regs, sizes, percent)) | {"regs": kept}
+    return joining.described(sets, *cells(registers(sets), np.array([len(s) for s in sets], np.int64), percent))
+
+
+def judged_by(full: DataFrame) -> DataFrame:
+    """(c, n, sketch: the registers by which pairs are judged) of the full sets (c, n, hashes)."""
+    def run(batches):
+        for batch in batches:
+            regs = registers([np.frombuffer(x, "<u8") for x in batch.column("hashes").to_pylist()], JUDGED_BITS).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array([r.tobytes() for r in regs], pa.binary())], ["c", "n", "sketch"])
+
+    return full.mapInArrow(lean(run), "c long, n long, sketch binary")
 
 
-def _search(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _search(rows: pa.Table, percent: int, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of different labels that may be linked; with ``best`` only so many for each set, those that agree in most registers."""
     side, c, n, label = (np.asarray(rows.column(x)) for x in ("side", "c", "n", "label"))
-    regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, REGISTERS)
+    regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, 1 << JUDGED_BITS)
     left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: both sides
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in left.tolist():
         near = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         near = near[may_be_linked(regs[near], regs[i], n[near], n[i], percent)]
+        if best and len(near) > best:
+            near = near[np.argsort(-(regs[near] == regs[i]).sum(1), kind="stable")[:best]]
         a.append(np.full(len(near), c[i]))
         b.append(c[near])
     return np.concatenate(a), np.concatenate(b)
@@ -197,9 +213,9 @@ def classes(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, n, c1, c2; sets: c, c1, c2, head the smallest document, label of its component)."""
     return joining.classes(
-        df, doc, text, lambda texts: _described(texts, shingle, percent), lambda sets, full: sets.select("c", "n", F.col("regs").alias("sketch")), "<u2",
-        lambda x, y, nx, ny: may_be_linked(np.stack(x), np.stack(y), nx, ny, percent), lambda rows: _search(rows, percent), percent, shingle, block,
-        ", regs binary")
+        df, doc, text, lambda texts: _described(texts, shingle, percent), lambda sets, full: cut(judged_by(full)), "<u2",
+        lambda x, y, nx, ny: may_be_linked(np.stack(x), np.stack(y), nx, ny, percent),
+        [lambda rows: _search(rows, percent, BEST), lambda rows: _search(rows, percent)], percent, shingle, block, hubs=True)
 
 
 def near_duplicates(

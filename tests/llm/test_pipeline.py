@@ -7,6 +7,8 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from awkward import AWKWARD, documents
+from pyspark.sql import functions as F
 from test_decontaminate import words
 from test_jaccard import brute as components
 from test_quality import brute as measured
@@ -77,3 +79,23 @@ def test_stages_keep_the_columns_of_documents(spark):
             out = stage(spark, df, DATA)
             assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
             assert 0 <= out.count() <= df.count()
+
+
+def test_stages_take_awkward_rows_and_clashing_columns(spark):
+    """Nulls in any column, repeated rows and columns named like the operators' own: stages keep the columns and, but for what they drop, the rows."""
+    docs = documents(spark)
+    clean = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs.withColumn("n_chars", F.char_length("text").cast("long")), DATA)
+        assert out.columns == [*clean, "n_chars"], name
+        ids = sorted((r.doc_id for r in out.collect()), key=repr)
+        if name == "near_duplicates":
+            assert ids.count(1) == 1 and 6 not in ids and {2, 3, 4} <= set(ids)
+        elif name == "quality_rules":
+            assert ids and not {2, 3, 4, 10, 11} & set(ids) and ids.count(1) == 2
+        elif name == "decontamination":
+            assert {2, 3, 4} <= set(ids) and ids.count(1) == 2
+        else:
+            assert len(ids) == len(AWKWARD)
+    last = corpus_pipeline.token_ids(spark, docs.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s")}), DATA)
+    assert last.count() == len(AWKWARD) and last.filter("doc_id = 2").first().n_tokens == 0

@@ -14,6 +14,26 @@ from mensura.llm.batches import lean
 from mensura.session import cut
 
 BLOCK = 512
+HELD_SHINGLES = 1 << 21  # of the sets of one block
+
+
+class Block:
+    """The rows of a task as numpy arrays; ``label`` follows the links that are found.
+
+    A set's ``prints`` are 16 bits of each of its hashes. ``marks`` tells those of one set apart that are equal, so that two sets have at
+    least as many marks in common as hashes.
+    """
+
+    def __init__(self, rows: pa.Table):
+        self.c, self.label, self.side, self.n = (np.array(np.asarray(rows.column(x))) for x in ("c", "label", "side", "n"))
+        self.prints = np.frombuffer(b"".join(rows.column("prints").to_pylist()), "<u2").astype(np.int64)
+        self.sketches = rows.column("sketch").to_pylist() if "sketch" in rows.column_names else None
+        self.begin = np.cumsum(self.n) - self.n
+        self.left, self.right = np.flatnonzero(self.side <= 1), np.flatnonzero(self.side >= 1)  # 1: both sides
+        at = np.arange(len(self.prints))
+        new = np.concatenate([[True], self.prints[1:] != self.prints[:-1]])  # prints of a set ascend
+        new[self.begin] = True
+        self.marks = self.prints + ((at - np.maximum.accumulate(np.where(new, at, 0))) << 16)
 
 
 def size_step(n: Column, percent: int) -> Column:
@@ -21,18 +41,27 @@ def size_step(n: Column, percent: int) -> Column:
     return F.floor(F.ln(n.cast("double")) / (math.log(100 / percent) * 1.000001)).cast("int")
 
 
+def block_of(step: Column, percent: int, block: int = BLOCK) -> Column:
+    """How many sets of a step make a block: at most ``block``, and fewer of sets so large that they hold ``HELD_SHINGLES``."""
+    largest = F.exp((step + 1) * (math.log(100 / percent) * 1.000001))
+    return F.least(F.lit(block), F.greatest(F.lit(1), F.floor(HELD_SHINGLES / largest))).cast("int")
+
+
 def open_cells(members: DataFrame) -> DataFrame:
-    """The members (cell, c, label, ...) of cells that hold more than one label."""
-    spread = members.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return members.join(spread.select("cell"), "cell")
+    """The members (cell, c, label, ...) of cells that hold more than one label; of cells with the same members, told apart by 128 bits, one."""
+    spread = members.groupBy("cell").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("c")).alias("one"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("two")).filter("low < high")
+    return members.join(spread.groupBy("size", "one", "two").agg(F.min("cell").alias("cell")).select("cell"), "cell")
 
 
-def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
+def block_pairs(members: DataFrame, block: int | Column = BLOCK) -> DataFrame:
     """(task, cell, c, label, side) from members (cell, c, label, step): a task's rows of side 0 or 1 meet those of side 1 or 2.
 
     Members of a cell are dealt into blocks by step and a hash of c. Blocks meet within a step and with the next one. A label with a
     block or more of rows in a step has blocks of its own, which do not meet each other; other labels share blocks. No cell is held
-    whole, and no pairs within a label of many rows are formed; those of a cell's many labels are as many as it has blocks.
+    whole, and no pairs within a label of many rows are formed; those of a cell's many labels are as many as it has blocks. ``block`` may
+    depend on the step.
     """
     counts = members.groupBy("cell", "step", "label").agg(F.count(F.lit(1)).alias("rows"))
     own = F.when(F.col("rows") >= block, F.col("label"))
@@ -66,7 +95,7 @@ def _runs(table: pa.Table, names: list[str]) -> Iterator[pa.Table]:
 
 
 def searched(placed: DataFrame, search: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct pairs (a > b) that ``search`` finds in the rows of each task; ``placed`` has task, cell and what it needs."""
+    """Pairs (cell, a > b) that ``search`` finds in the rows of each task; ``placed`` has task, cell and what it needs."""
     dealt = placed.repartition("task").sortWithinPartitions("task", "cell")
 
     def run(batches):
@@ -86,6 +115,7 @@ def searched(placed: DataFrame, search: Callable[[pa.Table], tuple[np.ndarray, n
 
     def found(rows):
         a, b = search(rows)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
+        cell = pa.array(np.full(len(a), rows.column("cell")[0].as_py(), np.int64))
+        return pa.RecordBatch.from_arrays([cell, pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["cell", "a", "b"])
 
-    return dealt.mapInArrow(lean(run), "a long, b long").distinct()
+    return dealt.mapInArrow(lean(run), "cell long, a long, b long")

@@ -14,8 +14,8 @@ the rare set with more of them keeps them.
 
 Within cells, first every set is verified against the cell's smallest, and links are contracted to components.
 Cells that then still hold several components are searched for pairs of different components by trees of at most
-``BLOCK`` points a side, by steps of size; nodes keep the largest coordinates below them, and survivors are verified on the sets
-themselves. Pairs within a component are never formed, so a group of near copies costs about one comparison for each copy. What
+``BLOCK`` points a side, by steps of size; nodes keep the largest coordinates below them, and survivors are compared by 16 bits
+of each shingle; a task hands on only pairs that join components, fewer than it has sets, to be verified on the sets themselves. Pairs within a component are never formed, so a group of near copies costs about one comparison for each copy. What
 this join has in common with others is in :mod:`mensura.llm.joining`.
 
 Equal sets are one set throughout, told apart by 128 bits, and copies are never paired. Null and empty texts and texts without words have
@@ -26,6 +26,7 @@ empty result. Only the id and the text are read, so no other column can clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from mensura.llm import joining
 from mensura.llm.batches import each_piece, lean, quoted
-from mensura.llm.blocks import BLOCK
+from mensura.llm.blocks import BLOCK, Block
 from mensura.llm.joining import identities, mixed
 from mensura.session import cut
 
@@ -177,15 +178,18 @@ def points_of(full: DataFrame) -> DataFrame:
     return full.mapInArrow(lean(run), "c long, n long, sketch binary")
 
 
-def _search(rows: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    side, c, labels = (np.asarray(rows.column(x)) for x in ("side", "c", "label"))
-    points = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<i4").reshape(-1, GROUPS)
-    sizes = points.sum(1).astype(np.int64)
-    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: both sides
-    tree = CountTree(points[right], sizes[right], labels[right])
-    q, found = tree.search(points[left], sizes[left], labels[left], percent)
-    apart = labels[left[q]] != labels[right[found]]
-    return c[left[q]][apart], c[right[found]][apart]
+def _candidates(block: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of the left side those of the right that its tree lets through."""
+    cells = (np.repeat(np.arange(len(block.n)) * GROUPS, block.n) + (block.prints & (GROUPS - 1)))
+    points = np.bincount(cells, minlength=len(block.n) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
+    left, right = block.left, block.right
+    tree = CountTree(points[right], block.n[right], block.label[right])
+    q, found = tree.search(points[left], block.n[left], block.label[left], percent)
+    order = np.argsort(q, kind="stable")
+    q, found = q[order], found[order]
+    edges = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])).tolist() if len(q) else []
+    for at, to in zip(edges, [*edges[1:], len(q)]):
+        yield int(left[q[at]]), right[found[at:to]]
 
 
 def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -196,7 +200,7 @@ def classes(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int
 
     return joining.classes(
         df, doc, text, lambda texts: _described(texts, percent), lambda sets, full: cut(points_of(full)), "<i4", holds,
-        [lambda rows: _search(rows, percent)], percent, SHINGLE, block)
+        lambda found: _candidates(found, percent), percent, SHINGLE, block)
 
 
 def one_of_each(df: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

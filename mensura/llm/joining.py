@@ -6,7 +6,7 @@ full sets are read, and how a block of sets of one cell is searched. Equal sets
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.batches import each_piece, lean, pieces, quoted
-from mensura.llm.blocks import BLOCK, block_pairs, open_cells, searched, size_step
+from mensura.llm.blocks import BLOCK, Block, block_of, block_pairs, open_cells, searched, size_step
+from mensura.llm.bpe import ramps
 from mensura.llm.links import components, joined_components
 from mensura.session import cut
 
@@ -142,6 +143,43 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs_that(pairs, full, "hashes", "<u8", holds)
 
 
+def printed(full: DataFrame) -> DataFrame:
+    """(c, n, prints: the last 16 bits of each hash, in their own order) of the full sets (c, n, hashes)."""
+    def run(batches):
+        for batch in batches:
+            made = [np.sort(np.frombuffer(x, "<u2")[::4]).tobytes() for x in batch.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(made, pa.binary())], ["c", "n", "prints"])
+
+    return full.mapInArrow(lean(run), "c long, n long, prints binary")
+
+
+def spanning(rows: pa.Table, candidates: Callable[[Block], Iterable[tuple[int, np.ndarray]]], percent: int, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between the labels of a block that are linked by all but their full sets: as few as join all labels that its candidates join.
+
+    ``candidates`` gives, for places of the left side, places of the right; they are judged by their prints, which never miss a link. Those
+    whose labels are joined by then are not compared. With ``every`` no labels are joined, and all pairs are given.
+    """
+    block = Block(rows)
+    marked = np.zeros(int(block.marks.max()) + 1, bool)
+    a, b = [], []
+    for i, near in candidates(block):
+        near = near[block.label[near] != block.label[i]]
+        if not len(near):
+            continue
+        own = block.marks[block.begin[i] : block.begin[i] + block.n[i]]
+        marked[own] = True
+        upto = np.cumsum(block.n[near])
+        shared = np.add.reduceat(marked[block.marks[ramps(block.begin[near], block.n[near])]].astype(np.int64), upto - block.n[near])
+        marked[own] = False
+        for j in near[may_link(shared, block.n[i], block.n[near], percent)].tolist():
+            if block.label[j] != block.label[i]:
+                a.append(block.c[i])
+                b.append(block.c[j])
+                if not every:
+                    block.label[block.label == block.label[j]] = block.label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def with_hubs(held: DataFrame) -> DataFrame:
     """(cell, c, low) of the cells that several sets share, from (cell, c); ``low`` is the cell's set that meets the most others in its cells.
 
@@ -158,15 +196,16 @@ def with_hubs(held: DataFrame) -> DataFrame:
 
 def classes(
     df: DataFrame, doc: str, text: str, describe: Callable[[list], dict], sketched: Callable[[DataFrame, DataFrame], DataFrame], kind: str,
-    holds: Callable, searches: Sequence[Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]], percent: int, shingle: int, block: int = BLOCK,
-    columns: str = "", hubs: bool = False,
+    holds: Callable, candidates: Callable[[Block], Iterable[tuple[int, np.ndarray]]], percent: int, shingle: int, block: int = BLOCK,
+    columns: str = "", hubs: bool = False, carry: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: doc, n, c1, c2; sets: c, c1, c2, head the smallest document, label of its component).
 
     ``describe`` gives n, c1, c2, cells and further ``columns`` of texts. ``sketched`` makes (c, n, sketch) from the sets and the full sets
-    (c, n, hashes); ``holds`` judges pairs of sketches, numpy arrays of the ``kind``, as ``pairs_that`` wants it. ``searches`` find pairs
-    in the rows (cell, c, label, side, n, sketch) of a block, one after another, each among what the one before left apart; the last finds
-    all that may be linked. In each cell the sets are first held against the one with the smallest number, or,
+    (c, n, hashes); ``holds`` judges pairs of sketches, numpy arrays of the ``kind``, as ``pairs_that`` wants it. ``candidates`` finds in a
+    block all that may be linked, by prints and, with ``carry``, sketches. Only pairs that join labels leave its task, fewer than it has rows;
+    in cells of which one turns out not to be linked, all pairs of labels that are still apart are then judged.
+    In each cell the sets are first held against the one with the smallest number, or,
     with ``hubs``, against the one that shares its cells with the most others.
     """
     rows = each_piece(df, describe, "n long, c1 long, c2 long, cells array<long>" + columns, text, [doc])
@@ -189,11 +228,23 @@ def classes(
     near = cut(verified(pairs_that(tried, sketches, "sketch", kind, holds), full, percent))
     labels = components(near)
     steps = full.select("c", size_step(F.col("n"), percent).alias("step"))
-    for find in searches:
-        labels = cut(labels) if find is not searches[0] else labels
-        named = members.select("cell", "c").join(labels, "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
-        placed = block_pairs(cut(open_cells(cut(named)).join(steps, "c")), block).join(sketches, "c")
-        labels = joined_components(labels, cut(verified(searched(placed, find), full, percent)))
+    named = members.select("cell", "c").join(labels, "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
+    opened = cut(open_cells(cut(named)).join(steps, "c"))
+    carried = cut(printed(full).join(sketches.select("c", "sketch"), "c") if carry else printed(full))
+
+    def pairs(opened: DataFrame, every: bool) -> DataFrame:
+        placed = block_pairs(opened, block_of(F.col("step"), percent, block)).join(carried, "c")
+        return cut(searched(placed, lambda rows: spanning(rows, candidates, percent, every)))
+
+    found = pairs(opened, False)
+    near = cut(verified(found.select("a", "b").distinct(), full, percent))
+    labels = joined_components(labels, near)
+    failed = cut(found.join(near, ["a", "b"], "left_anti").select("cell").distinct())
+    if not failed.isEmpty():  # a pair that is not linked may have stood in for one that is
+        labels = cut(labels)
+        rest = opened.drop("label").join(failed, "cell").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        rest = pairs(cut(rest.select(*opened.columns)), True).select("a", "b").distinct()
+        labels = joined_components(labels, cut(verified(rest, full, percent)))
     return rows.select("doc", "n", "c1", "c2"), cut(names.join(labels, "c", "left").select(*names.columns, F.coalesce("label", "c").alias("label")))
 
 

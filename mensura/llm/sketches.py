@@ -15,8 +15,9 @@ more than the class has to spare.
 Candidates are judged by their registers first. One is dropped only if it surely is not linked (more registers differ than
 shingles may), or if linked sets would agree in so few registers with a chance below ``MISSED``; what remains is verified on the
 full sets. In every cell, sets are first held against the one that meets the most others in its cells; what that links becomes one component.
-Cells that then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size: first each set's
-``BEST`` candidates of a block are verified and linked, then all candidates that still lie in different components.
+Cells that then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size. A block's
+candidates are compared by 16 bits of each shingle, unless links found there have joined them; only pairs that join components are handed on,
+to be verified on the full sets.
 
 Equal sets are one set throughout, told apart by 128 bits, and copies are never paired; null and empty texts and texts without words have the
 empty set and no links. Repeated rows are rows of one set. A null id counts as larger than any other. An empty table
@@ -26,6 +27,7 @@ gives an empty result. Only ``doc`` and ``text`` are read, so no other column ca
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,14 +37,13 @@ from pyspark.sql import functions as F
 
 from mensura.llm import joining
 from mensura.llm.batches import lean
-from mensura.llm.blocks import BLOCK
+from mensura.llm.blocks import BLOCK, Block
 from mensura.llm.joining import mixed, most_different, shingle_sets
 from mensura.session import cut
 
 SHINGLE, PERCENT = 3, 85
 REGISTERS, BUCKET_BITS, MANTISSA = 128, 7, 10
 JUDGED_BITS = 9  # sets that share a cell have 2 ** JUDGED_BITS registers to be judged by
-BEST = 3
 MOST_BANDS = 32
 MISSED = 1e-10
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -192,20 +193,13 @@ def judged_by(full: DataFrame) -> DataFrame:
     return full.mapInArrow(lean(run), "c long, n long, sketch binary")
 
 
-def _search(rows: pa.Table, percent: int, best: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of different labels that may be linked; with ``best`` only so many for each set, those that agree in most registers."""
-    side, c, n, label = (np.asarray(rows.column(x)) for x in ("side", "c", "n", "label"))
-    regs = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), "<u2").reshape(-1, 1 << JUDGED_BITS)
-    left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)  # 1: both sides
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in left.tolist():
-        near = right[(label[right] != label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        near = near[may_be_linked(regs[near], regs[i], n[near], n[i], percent)]
-        if best and len(near) > best:
-            near = near[np.argsort(-(regs[near] == regs[i]).sum(1), kind="stable")[:best]]
-        a.append(np.full(len(near), c[i]))
-        b.append(c[near])
-    return np.concatenate(a), np.concatenate(b)
+def _candidates(block: Block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of the left side those of other labels on the right that may be linked."""
+    regs, n, right = np.frombuffer(b"".join(block.sketches), "<u2").reshape(-1, 1 << JUDGED_BITS), block.n, block.right
+    for i in block.left.tolist():
+        near = right[(block.label[right] != block.label[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if len(near):
+            yield i, near[may_be_linked(regs[near], regs[i], n[near], n[i], percent)]
 
 
 def classes(
@@ -215,7 +209,7 @@ def classes(
     return joining.classes(
         df, doc, text, lambda texts: _described(texts, shingle, percent), lambda sets, full: cut(judged_by(full)), "<u2",
         lambda x, y, nx, ny: may_be_linked(np.stack(x), np.stack(y), nx, ny, percent),
-        [lambda rows: _search(rows, percent, BEST), lambda rows: _search(rows, percent)], percent, shingle, block, hubs=True)
+        lambda found: _candidates(found, percent), percent, shingle, block, hubs=True, carry=True)
 
 
 def near_duplicates(

@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import AWKWARD, documents, prose, table
+from pyspark.sql import functions as F
 from test_jaccard import near_copies, shingles
 
-from mensura.llm import sketches
-from mensura.llm.blocks import block_pairs
+from mensura.llm import jaccard, joining, sketches
+from mensura.llm.blocks import block_of, block_pairs, open_cells, size_step
 from mensura.llm.links import components, joined_components
 
 COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
@@ -129,3 +131,45 @@ def test_blocks_hold_every_pair_of_labels_once(spark):
                     met.setdefault((cell, min(x.c, y.c), max(x.c, y.c)), 0)
     want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and abs(a[3] - b[3]) <= 1}
     assert want <= set(met)
+
+
+@pytest.mark.parametrize("operator, percent", [(jaccard, 90), (sketches, 85)])
+def test_a_block_hands_on_fewer_links_than_it_has_sets(operator, percent):
+    rng = np.random.default_rng(7)
+
+    def copies(base, many, gone):
+        return [np.unique(np.concatenate([rng.permutation(base)[gone:], rng.integers(0, 2**64, gone, dtype=np.uint64)])) for _ in range(many)]
+
+    one, two = (rng.integers(0, 2**64, 300, dtype=np.uint64) for _ in range(2))
+    sets = [*copies(one, 60, 4), *copies(two, 60, 30)]  # all of the first are linked; of the second none is, but many are nearly so
+    n = [len(s) for s in sets]
+    prints = [np.sort((s & np.uint64(0xFFFF)).astype("<u2")).tobytes() for s in sets]
+    regs = [r.tobytes() for r in sketches.registers(sets, sketches.JUDGED_BITS).astype("<u2")]
+    rows = pa.table({"c": range(120), "label": range(120), "side": [1] * 120, "n": n, "prints": prints, "sketch": regs})
+    a, b = joining.spanning(rows, lambda block: operator._candidates(block, percent), percent)
+    root = list(range(120))
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert joining.may_link(len(np.intersect1d(sets[x], sets[y])), n[x], n[y], percent) and root[x] != root[y]
+        root = [root[x] if r == root[y] else r for r in root]
+    assert len(a) == 59 and len(set(root[:60])) == 1
+
+
+def test_large_sets_make_smaller_blocks_and_equal_cells_are_searched_once(spark):
+    sizes = spark.createDataFrame([(10,), (3000,), (300_000,), (10_000_000,)], "n long")
+    got = [r[0] for r in sizes.select(block_of(size_step(F.col("n"), 85), 85)).collect()]
+    assert got[:2] == [512, 512] and 1 < got[2] <= (1 << 21) / 300_000 and got[3] == 1
+    cells = [(1, 5, 5), (1, 6, 6), (2, 6, 6), (2, 5, 5), (3, 5, 5), (3, 7, 7), (4, 8, 1), (4, 9, 1)]
+    members = open_cells(spark.createDataFrame(cells, "cell long, c long, label long"))
+    assert sorted((r.cell, r.c) for r in members.collect()) == [(1, 5), (1, 6), (3, 5), (3, 7)]
+
+
+@pytest.mark.parametrize("operator, percent", [(jaccard, 90), (sketches, 85)])
+def test_a_pair_that_only_looks_linked_hides_no_link(spark, operator, percent, monkeypatch):
+    """With prints of one value every pair that the sketches let through looks linked."""
+    whole = joining.printed
+    monkeypatch.setattr(joining, "printed", lambda full: whole(full).withColumn("prints", F.expr("cast(repeat('aa', cast(n as int)) as binary)")))
+    monkeypatch.setattr(operator, "_candidates", lambda block, percent: ((i, block.right) for i in block.left.tolist()))
+    texts = [t for seed in range(4) for t in near_copies(50 + seed, 100, 25, 14)]
+    rows = list(enumerate(texts))
+    documents_, sets = operator.classes(documents(spark, rows).repartition(3))
+    assert table(joining.by_document(documents_, sets), "doc_id", "n_shingles", "component_id") == [r[:3] for r in brute(rows, percent)]

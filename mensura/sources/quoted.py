@@ -101,13 +101,14 @@ def first_states(lines: DataFrame) -> dict[tuple[str, int], bool]:
     return states
 
 
-def records_of(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """(record, file, start, nth): every record as it stands in its file, with line ends inside quotes, and its place; without empty lines.
+def records_of(spark: SparkSession, path: str, header: bool = True, states: dict[tuple[str, int], bool] | None = None) -> DataFrame:
+    """(record, start, nth): every record as it stands in its file, with line ends inside quotes, and its place; without empty lines.
 
-    ``nth`` counts from 0 within a stretch. The first record of each file is left out with ``header``.
+    ``nth`` counts from 0 within a stretch. The first record of each file is left out with ``header``. ``states`` are those of
+    :func:`first_states`, where they are known.
     """
     lines = lines_of(spark, path)
-    shared = spark.sparkContext.broadcast(first_states(lines))
+    shared = spark.sparkContext.broadcast(first_states(lines) if states is None else states)
     schema = pa.schema([("record", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("nth", pa.int64()), ("head", pa.bool_()), ("open", pa.bool_())])
 
     def run(batches):
@@ -122,8 +123,9 @@ def records_of(spark: SparkSession, path: str, header: bool = True) -> DataFrame
             nonlocal n
             k = len(records)
             n += k
+            file = pa.array([at[0]] * k) if head or opened else pa.nulls(k, pa.string())  # only pieces are put together by file
             return pa.RecordBatch.from_arrays([
-                records, pa.array([at[0]] * k), pa.array([at[1]] * k, pa.int64()), pa.array(np.arange(n - k, n)), pa.array([head] * k), pa.array([opened] * k)], schema=schema)
+                records, file, pa.array([at[1]] * k, pa.int64()), pa.array(np.arange(n - k, n)), pa.array([head] * k), pa.array([opened] * k)], schema=schema)
 
         for place, values in _stretches(batches):
             if place != at:
@@ -164,17 +166,37 @@ def records_of(spark: SparkSession, path: str, header: bool = True) -> DataFrame
     joined = parts.groupBy("file", "which").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "nth", "record"))), lambda x: x["record"]), "\n").alias("record"),
         F.min(F.struct("start", "nth")).alias("place"))
-    records = whole.select("record", "file", "start", "nth").union(joined.select("record", "file", "place.start", "place.nth"))
+    records = whole.select("record", "start", "nth").union(joined.select("record", "place.start", "place.nth"))
     records = records.withColumn("record", F.regexp_replace("record", r"\r$", ""))  # of a line end in two characters
     if header:
         records = records.filter((F.col("start") > 0) | (F.col("nth") > 0))
     return records.filter("record <> ''")
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """The column names: the fields of the first record of the first file."""
-    first = records_of(spark, path, header=False).filter("start = 0 AND nth = 0").orderBy("file").first()
-    return [] if first is None else next(csv.reader(StringIO(first.record, newline="")))
+def header_of(spark: SparkSession, path: str, states: dict[tuple[str, int], bool]) -> list[str]:
+    """The column names: the fields of the first record of the first file that begins with one; only its lines come to the driver."""
+    lines = lines_of(spark, path)
+    for file in sorted({file for file, _ in states}):
+        record, inside = [], False
+        for start in sorted(start for name, start in states if name == file):  # a record may span stretches
+            at = F.when(F.col("value").isNotNull(), F.struct("file", "start"))  # not of the place alone: fewer files would be cut into other stretches
+            here, most = lines.filter((at["file"] == file) & (at["start"] == start)).select("value"), 1
+            while True:
+                head, found, state = here.take(most), [], inside
+                for r in head:
+                    found.append(r.value)
+                    state = goes_on(r.value, state)
+                    if not state:
+                        break
+                if (found and not state) or len(head) < most:
+                    break
+                most *= 16
+            record, inside = record + found, state
+            if not inside:
+                break
+        if text := "\n".join(record).removesuffix("\r"):
+            return next(csv.reader(StringIO(text, newline="")))
+    return []
 
 
 def parsed(records: DataFrame, schema: T.StructType) -> DataFrame:

@@ -21,9 +21,10 @@ def read_records_csv(spark: SparkSession, path: str, schema: T.StructType | str
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    records = quoted.records_of(spark, path)
+    states = quoted.first_states(quoted.lines_of(spark, path))
+    records = quoted.records_of(spark, path, states=states)
     if schema is None:
-        texts = T.StructType([T.StructField(c, T.StringType()) for c in quoted.header_of(spark, path)])
+        texts = T.StructType([T.StructField(c, T.StringType()) for c in quoted.header_of(spark, path, states)])
         schema = quoted.inferred(quoted.parsed(records, texts).drop(quoted.CORRUPT)) if len(texts) else texts
     return quoted.parsed(records, schema).drop(quoted.CORRUPT)
 

@@ -72,3 +72,20 @@ def test_header_only_and_empty_files(spark, tmp_path):
     assert rec.read_records_csv(spark, str(tmp_path / "h.csv"), "a int, b string").count() == 0
     assert rec.read_records_csv(spark, str(tmp_path / "h.csv")).columns == ["a", "b"]
     assert rec.malformed_rows(spark, str(tmp_path / "h.csv"), T.StructType.fromDDL("a int"))[1].count() == 0
+
+
+@pytest.mark.parametrize("size", ["128m", "5b"])
+def test_types_are_inferred_without_cutting_the_records_twice(spark, tmp_path, small_splits, monkeypatch, size):
+    (tmp_path / "a.csv").write_text('n,b\n1,x\n')
+    (tmp_path / "b.csv").write_text('n,b\n2,"y\nz"\n')
+    calls = []
+    for name in ("first_states", "records_of"):
+        whole = getattr(quoted, name)
+        monkeypatch.setattr(quoted, name, lambda *a, _n=name, _f=whole, **k: (calls.append(_n), _f(*a, **k))[1])
+    small_splits(size)
+    got = rec.read_records_csv(spark, str(tmp_path))
+    assert got.columns == ["n", "b"] and rows(got) == [(1, "x"), (2, "y\nz")]
+    assert sorted(calls) == ["first_states", "records_of"]
+    (tmp_path / "0.csv").write_text('"n ""of\n\nmany\nlines""",b\r\n2,y\n')
+    states = quoted.first_states(quoted.lines_of(spark, str(tmp_path)))
+    assert quoted.header_of(spark, str(tmp_path), states) == ['n "of\n\nmany\nlines"', "b"]

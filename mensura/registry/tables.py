@@ -153,9 +153,11 @@ def _(t):
     base = scratch(t)
     rows = t.spark.read.parquet(t.path("events")).withColumn("record", F.when(F.col("event_id") % 50 != 0, F.col("event_id")))
     ranked = rows.withColumn("_part", F.ntile(4).over(Window.partitionBy(F.pmod("event_id", F.lit(7))).orderBy(F.desc("ts"))))
+    ranked.write.partitionBy("_part").parquet(f"{base}/parts")
+    parts = t.spark.read.schema(ranked.schema).parquet(f"{base}/parts")
     for i in range(1, 5):
-        ranked.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{base}/in/{i}")
-    rows.filter("event_id % 3 = 0").coalesce(1).write.parquet(f"{base}/in/5")
+        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{base}/in/{i}")
+    rows.filter("event_id % 3 = 0").repartition(1).write.parquet(f"{base}/in/5")
 
     def run():
         stream = landed.landed_records(t.spark, f"{base}/in/*", rows.schema, files_per_trigger=1).filter(F.col("event_type") != "error")

@@ -50,16 +50,20 @@ def ingest_available(stream: DataFrame, path: str, checkpoint: str, row_id: str
         fresh = batch
         if row_id is not None:
             whole = F.struct(*[F.col(c) for c in schema.names])
-            named = batch.filter(F.col(row_id).isNotNull()).groupBy(row_id).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-            named = named.withColumn("bucket", F.pmod(F.xxhash64(row_id), F.lit(buckets)).cast("int"))
+            some = batch.filter(F.col(row_id).isNotNull())
+            repeated = cut(some.groupBy(row_id).agg(F.count(F.lit(1)).alias("_rows")).filter("_rows > 1").select(row_id))
+            named = some
+            if not repeated.isEmpty():
+                first = some.join(repeated, row_id, "left_semi").groupBy(row_id).agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+                named = some.join(repeated, row_id, "left_anti").select(*schema.names).unionByName(first)
+            named = cut(named.withColumn("bucket", F.pmod(F.xxhash64(row_id), F.lit(buckets)).cast("int")))
             touched = named.groupBy("bucket").agg(F.min(row_id).alias("low"), F.max(row_id).alias("high")).collect()  # a row for each bucket
             folders = _ids_folders(spark, ledger, [r.bucket for r in touched])
             if folders:
                 known = spark.read.option("basePath", ledger).schema(T.StructType([
                     schema[row_id], T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.StringType())])).parquet(*folders)
                 known = known.filter((F.col("batch") != name) & F.col(row_id).between(min(r.low for r in touched), max(r.high for r in touched)))
-                named = join_by_key(named, known.select(row_id), [row_id], "left_anti")
-            named = cut(named)
+                named = cut(join_by_key(named, known.select(row_id), [row_id], "left_anti"))
             named.select(row_id, "bucket", F.lit(name).alias("batch")).repartition("bucket").sortWithinPartitions("bucket", row_id).write.partitionBy("bucket", "batch").mode(
                 "overwrite").option("partitionOverwriteMode", "dynamic").parquet(ledger)
             fresh = named.select(*schema.names).unionByName(batch.filter(F.col(row_id).isNull()))

@@ -175,3 +175,31 @@ def test_audit_tables(spark):
     assert tables["stage_counts"].count() == 9
     assert {r["severity"] for r in tables["findings"].collect()} <= {"PASS", "WARNING", "CRITICAL"}
     assert list(tables) == wanted
+
+
+def test_a_batch_without_repeated_ids_is_not_written_as_json(spark, tmp_path, monkeypatch):
+    source, out, calls = str(tmp_path / "in"), str(tmp_path / "out"), []
+    to_json = landed.F.to_json
+    monkeypatch.setattr(landed.F, "to_json", lambda c: (calls.append(1), to_json(c))[1])
+
+    def batch(data):
+        spark.createDataFrame(data, "id int, x string").coalesce(1).write.mode("append").parquet(source)
+        return rows(landed.ingest_available(landed.landed_records(spark, source, T.StructType.fromDDL("id int, x string")), out, str(tmp_path / "marks"), "id"))
+
+    assert batch([(1, "b"), (2, "a"), (None, "c"), (None, "c")]) == sorted([(1, "b"), (2, "a"), (None, "c"), (None, "c")], key=repr) and not calls
+    assert batch([(2, "z"), (3, "b"), (3, "a"), (4, None)]) == sorted([(1, "b"), (2, "a"), (3, "a"), (4, None), (None, "c"), (None, "c")], key=repr) and calls
+
+
+def test_the_benchmark_computes_its_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def looked_at(x):
+        seen.add(1)
+        return x
+
+    df = spark.range(200).select(F.col("id").alias("source_index"), (F.col("id") % 40).cast("string").alias("g"), (F.col("id") % 7).cast("double").alias("x"),
+                                 looked_at((F.col("id") % 11).cast("double")).alias("y"))
+    options = {"families": ["forest"], "trials": 1, "folds": 2, "spaces": {"forest": {"numTrees": ("step", 2, 2, 1), "maxDepth": ("int", 2, 2)}}}
+    bench.benchmark(df, {"x": ["x"]}, "y", "g", **options)
+    assert seen.value == 200

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mensura.llm.batches import lean
+from mensura.llm.batches import lean, pieces
+from mensura.llm.bpe import ramps
 from mensura.session import cut
 
 BLOCK = 512
 HELD_SHINGLES = 1 << 21  # of the sets of one block
+RARITY_BITS, SIZE_CLASSES = 20, 4  # buckets that count shingles; classes of sizes between those of sets that can just be linked
 
 
 class Block:
@@ -48,11 +50,91 @@ def block_of(step: Column, percent: int, block: int = BLOCK) -> Column:
 
 
 def open_cells(members: DataFrame) -> DataFrame:
-    """The members (cell, c, label, ...) of cells that hold more than one label; of cells with the same members, told apart by 128 bits, one."""
+    """The members (cell, c, label, ...) of cells that hold more than one label, and how many (size); of cells with the same members, told apart
+    by 128 bits, one.
+
+    With a column ``part``, a cell of which one part is missing is left out.
+    """
+    whole = F.coalesce(F.min("part") < F.max("part"), F.lit(True)) if "part" in members.columns else F.lit(True)
     spread = members.groupBy("cell").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.bit_xor(F.xxhash64("c")).alias("one"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("two")).filter("low < high")
-    return members.join(spread.groupBy("size", "one", "two").agg(F.min("cell").alias("cell")).select("cell"), "cell")
+        F.bit_xor(F.xxhash64("c")).alias("one"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("two"),
+        whole.alias("whole")).filter("low < high and whole")
+    return members.join(spread.groupBy("size", "one", "two").agg(F.min("cell").alias("cell")).select("cell", "size"), "cell")
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many of the sets (hashes) hold a shingle, by ``RARITY_BITS`` bits of it: 2 ** RARITY_BITS numbers, however many sets there are."""
+    def run(batches):
+        held = np.zeros(1 << RARITY_BITS, np.int64)
+        for _, hashes in pieces(batches):
+            found = np.frombuffer(b"".join(hashes), "<u8") >> np.uint64(64 - RARITY_BITS)
+            held += np.bincount(found.astype(np.int64), minlength=len(held))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], ["bucket", "n"])
+
+    rows = sets.select(F.col("hashes").alias("text")).mapInArrow(lean(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out[np.asarray(rows.column("bucket"))] = np.asarray(rows.column("n"))
+    return out
+
+
+def first_shingles(hashes: list[np.ndarray], often: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """(place of the set, shingle, class, other class) of the rows of sets: two that may be linked have one in common, with classes exchanged.
+
+    All shingles have one order, those of which there are fewer by ``often`` first. The first that two sets have in common is at most as far
+    in one of them as the sizes of both allow: what follows it must be enough for a link. Sizes are dealt into classes. A shingle that no other
+    set holds is left out.
+    """
+    shingles, places, owners = [], [], []
+    for i, x in enumerate(hashes):
+        count = often[(x >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+        first = np.argsort(count, kind="stable")[: len(x) - -(-percent * len(x) // 100) + 1]  # hashes ascend, so ties go by them
+        some = np.flatnonzero(count[first] > 1)
+        shingles.append(x[first[some]])
+        places.append(some)
+        owners.append(np.full(len(some), i))
+    shingles, place, owner = (np.concatenate(x) for x in (shingles, places, owners))
+    n = np.array([len(x) for x in hashes])[owner]
+
+    def size_class(size: np.ndarray) -> np.ndarray:
+        return np.floor(np.log(np.maximum(size, 1)) * (SIZE_CLASSES / math.log(100 / percent))).astype(np.int64)
+
+    least, most = -(-percent * n // 100), np.minimum((100 + percent) * (n - place) // percent - n, 100 * n // percent)
+    own, begin = size_class(n), size_class(least)
+    times = np.where(most >= least, size_class(most) - begin + 1, 0)
+    return np.repeat(owner, times), np.repeat(shingles, times), np.repeat(own, times), ramps(begin, times)
+
+
+def narrowed(members: DataFrame, full: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(cell, c, label, step, part) from members (cell, c, label, step, size), with smaller cells in place of those of more than ``block`` sets.
+
+    Linked sets of such cells share one by a shingle among the rarest of each, and by the classes of their sizes; of two classes, the sets of
+    one ``part`` are to meet those of the other only. Copies that are too far from each other to be linked have so many shingles of their own that
+    they hardly meet there, however many they are. ``full`` has (c, hashes).
+    """
+    large = members.filter(F.col("size") > block)
+    members = members.filter(F.col("size") <= block).select("cell", "c", "label", "step", F.lit(None).cast("int").alias("part"))
+    if large.isEmpty():
+        return members
+    wide = large.groupBy("c").agg(*[F.first(x).alias(x) for x in ("label", "step")])  # a set has one of each
+    wide = cut(wide.join(full.select("c", "hashes"), "c"))
+    shared = members.sparkSession.sparkContext.broadcast(rarity(wide))
+
+    def run(batches):
+        for piece, texts in pieces(batches):
+            at, shingle, own, other = first_shingles([np.frombuffer(x, "<u8") for x in texts], shared.value, percent)
+            rows = piece.select(["c", "label", "step"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(shingle.view(np.int64)), pa.array(own), pa.array(other)], ["c", "label", "step", "shingle", "own", "other"])
+
+    rare = wide.withColumnRenamed("hashes", "text").mapInArrow(lean(run), "c long, label long, step int, shingle long, own long, other long")
+    cell = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("cell")
+    side = F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).alias("part")
+    rare = open_cells(rare.select(cell, "c", "label", "step", side).repartition("cell"))  # dealt once for both uses
+    out = cut(members.union(rare.select(*members.columns)))
+    shared.destroy()
+    return out
 
 
 def block_pairs(members: DataFrame, block: int | Column = BLOCK) -> DataFrame:
@@ -61,22 +143,27 @@ def block_pairs(members: DataFrame, block: int | Column = BLOCK) -> DataFrame:
     Members of a cell are dealt into blocks by step and a hash of c. Blocks meet within a step and with the next one. A label with a
     block or more of rows in a step has blocks of its own, which do not meet each other; other labels share blocks. No cell is held
     whole, and no pairs within a label of many rows are formed; those of a cell's many labels are as many as it has blocks. ``block`` may
-    depend on the step.
+    depend on the step. With a column ``part``, rows of the same part of a cell do not meet either.
     """
-    counts = members.groupBy("cell", "step", "label").agg(F.count(F.lit(1)).alias("rows"))
+    if "part" not in members.columns:
+        members = members.withColumn("part", F.lit(None).cast("int"))
+    counts = members.groupBy("cell", "step", "part", "label").agg(F.count(F.lit(1)).alias("rows"))
     own = F.when(F.col("rows") >= block, F.col("label"))
-    nodes = counts.groupBy("cell", "step", own.alias("own")).agg(F.ceil(F.sum("rows") / block).cast("int").alias("parts"))
+    nodes = counts.groupBy("cell", "step", "part", own.alias("own")).agg(F.ceil(F.sum("rows") / block).cast("int").alias("parts"))
     nodes = cut(nodes)
-    slots = nodes.select("cell", "step", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"))
-    slots = slots.select("cell", F.struct("step", "own", "slot").alias("node"))
+    slots = nodes.select("cell", "step", "part", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"))
+    slots = slots.select("cell", F.struct("step", "part", "own", "slot").alias("node"))
     x, y = slots.select("cell", F.col("node").alias("x")), slots.select("cell", F.col("node").alias("y"))
     apart = F.col("y.step") - F.col("x.step")
-    pairs = x.join(y, "cell").filter((F.col("x") <= F.col("y")) & (apart <= 1) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    alike = [F.coalesce(F.col(f"x.{n}") == F.col(f"y.{n}"), F.lit(False)) for n in ("own", "part")]
+    pairs = x.join(y, "cell").filter((F.col("x") <= F.col("y")) & (apart <= 1) & ~alike[0] & ~alike[1])
     pairs = cut(pairs.select("cell", "x", "y", F.xxhash64("cell", "x", "y").alias("task")))
-    mine = counts.select("cell", "step", "label", own.alias("own"))
-    keyed = members.join(mine, ["cell", "step", "label"]).join(
-        nodes.withColumnRenamed("own", "its"), ["cell", "step"]).filter(F.col("own").eqNullSafe(F.col("its")))
-    rows = cut(keyed.select("cell", "c", "label", F.struct("step", "own", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("slot")).alias("node")))
+    mine = counts.select("cell", "step", F.col("part").alias("its_part"), "label", own.alias("own"))
+    keyed = members.join(mine, ["cell", "step", "label"]).filter(F.col("part").eqNullSafe(F.col("its_part"))).join(
+        nodes.withColumnRenamed("own", "its").withColumnRenamed("part", "part_"), ["cell", "step"]).filter(
+        F.col("own").eqNullSafe(F.col("its")) & F.col("part").eqNullSafe(F.col("part_")))
+    slot = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("slot")
+    rows = cut(keyed.select("cell", "c", "label", F.struct("step", "part", "own", slot).alias("node")))
     first = rows.join(pairs.withColumnRenamed("x", "node"), ["cell", "node"]).select(
         "task", "cell", "c", "label", F.when(F.col("node") == F.col("y"), 1).otherwise(0).alias("side"))
     second = rows.join(pairs.filter("x <> y").withColumnRenamed("y", "node"), ["cell", "node"]).select("task", "cell", "c", "label", F.lit(2).alias("side"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mensura.llm.batches import each_piece, lean, pieces, quoted
-from mensura.llm.blocks import BLOCK, Block, block_of, block_pairs, open_cells, searched, size_step
+from mensura.llm.blocks import BLOCK, Block, block_of, block_pairs, narrowed, open_cells, searched, size_step
 from mensura.llm.bpe import ramps
 from mensura.llm.links import components, joined_components
 from mensura.session import cut
@@ -230,7 +230,9 @@ def classes(
     steps = full.select("c", size_step(F.col("n"), percent).alias("step"))
     named = members.select("cell", "c").join(labels, "c", "left").select("cell", "c", F.coalesce("label", "c").alias("label"))
     opened = cut(open_cells(cut(named)).join(steps, "c"))
-    carried = cut(printed(full).join(sketches.select("c", "sketch"), "c") if carry else printed(full))
+    opened = narrowed(opened, full, percent, block)
+    carried = printed(full).join(sketches.select("c", "sketch"), "c") if carry else printed(full)
+    carried = cut(carried.join(opened.select("c").distinct(), "c", "left_semi"))
 
     def pairs(opened: DataFrame, every: bool) -> DataFrame:
         placed = block_pairs(opened, block_of(F.col("step"), percent, block)).join(carried, "c")

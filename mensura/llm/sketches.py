@@ -15,7 +15,8 @@ more than the class has to spare.
 Candidates are judged by their registers first. One is dropped only if it surely is not linked (more registers differ than
 shingles may), or if linked sets would agree in so few registers with a chance below ``MISSED``; what remains is verified on the
 full sets. In every cell, sets are first held against the one that meets the most others in its cells; what that links becomes one component.
-Cells that then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size. A block's
+Cells that then still hold several are compared across components in blocks of at most ``block`` sets, by steps of size; larger cells are
+first replaced by cells of rare shingles. A block's
 candidates are compared by 16 bits of each shingle, unless links found there have joined them; only pairs that join components are handed on,
 to be verified on the full sets.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_jaccard import near_copies, shingles
 
 from mensura.llm import jaccard, joining, sketches
-from mensura.llm.blocks import block_of, block_pairs, open_cells, size_step
+from mensura.llm.blocks import RARITY_BITS, block_of, block_pairs, first_shingles, narrowed, open_cells, size_step
 from mensura.llm.links import components, joined_components
 
 COLUMNS = ["doc_id", "n_shingles", "component_id", "kept"]
@@ -173,3 +173,33 @@ def test_a_pair_that_only_looks_linked_hides_no_link(spark, operator, percent, m
     rows = list(enumerate(texts))
     documents_, sets = operator.classes(documents(spark, rows).repartition(3))
     assert table(joining.by_document(documents_, sets), "doc_id", "n_shingles", "component_id") == [r[:3] for r in brute(rows, percent)]
+
+
+@pytest.mark.parametrize("percent", [85, 90])
+def test_linked_sets_share_a_rare_shingle_and_their_classes(percent):
+    rng = np.random.default_rng(8)
+    often = rng.integers(2, 5, 1 << RARITY_BITS)
+    for a, b in pairs_of_sets(rng, 600):
+        if joining.may_link(len(np.intersect1d(a, b)), len(a), len(b), percent):
+            at, shingle, own, other = first_shingles([a, b], often, percent)
+            one, two = (set(zip(shingle[at == i].tolist(), *(x[at == i].tolist() for x in order))) for i, order in ((0, (own, other)), (1, (other, own))))
+            assert one & two
+
+
+def test_copies_too_far_from_each_other_cost_rows_in_proportion(spark):
+    """Every copy has 30 of 100 shingles of its own, every twentieth also a twin."""
+    rng, placed = np.random.default_rng(9), []
+    base = rng.integers(0, 2**64, 70, dtype=np.uint64)
+    for many in (200, 800):
+        sets = [np.unique(np.concatenate([base, rng.integers(0, 2**64, 30, dtype=np.uint64)])) for _ in range(many)]
+        sets += [np.unique(np.concatenate([x[3:], rng.integers(0, 2**64, 5, dtype=np.uint64)])) for x in sets[::20]]
+        full = spark.createDataFrame([(c, len(x), bytearray(x.tobytes())) for c, x in enumerate(sets)], "c long, n long, hashes binary")
+        members = full.select(F.lit(1).cast("long").alias("cell"), "c", F.col("c").alias("label"), size_step(F.col("n"), 85).alias("step"))
+        rows = block_pairs(narrowed(members.withColumn("size", F.lit(len(sets))), full, 85, 16), 16).collect()
+        tasks = {}
+        for r in rows:
+            tasks.setdefault(r.task, []).append(r)
+        met = {(min(x.c, y.c), max(x.c, y.c)) for part in tasks.values() for x in part for y in part if x.side <= 1 <= y.side and x.c != y.c}
+        assert {(20 * i, many + i) for i in range(many // 20)} <= met
+        placed.append(len(rows))
+    assert placed[1] <= 6 * placed[0] and placed[1] < 800

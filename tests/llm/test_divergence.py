@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from awkward import AWKWARD, CLASHES, prose
 from pyspark.sql import types as T
@@ -84,3 +85,17 @@ def test_empty_tables_and_lone_groups(spark):
     assert got(frame(spark, [])) == []
     assert got(frame(spark, [(None, None, None)])) == []
     assert got(frame(spark, [(None, "a", "x"), ("b", "a", "y")])) == [("a", "x", "pair", "y", 0, 1), ("a", "y", "pair", "x", 0, 1)]
+
+
+def test_packed_rows_come_back_and_hold_two_values():
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(["en", "", "de", "de"]), pa.array([b"x", b"y", b"y", b"z"], pa.binary()),
+        pa.array([["a", "", "é🙂"], [""], ["b"], ["", "b"]], pa.list_(pa.string())), pa.array([[1, 2, 3], [4], [1 << 40], [5, 6]], pa.list_(pa.int64())),
+        pa.array([None, [7], [8, 9 << 36], None], pa.list_(pa.int64()))], ["lang", "chunk", "sources", "counts", "docs"])
+    for part in (rows, rows.slice(1, 2), rows.slice(3), rows.slice(2, 0)):
+        made = divergence.packed(part)
+        assert made.schema.names == ["lang", "chunk", "names", "numbers"]
+        sources, counts, docs, unlisted = divergence.unpacked(made) if part.num_rows else ([],) * 4
+        assert list(map(lambda x: x.as_py(), sources)) == part.column("sources").to_pylist()
+        assert list(map(lambda x: x.as_py(), counts)) == part.column("counts").to_pylist()
+        assert [None if no else x.as_py() for x, no in zip(docs, unlisted)] == part.column("docs").to_pylist()

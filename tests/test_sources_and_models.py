@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from __spark_entry__ import queries
 from mensura.operators import evaluation as ev
 from mensura.operators import models as md
 from mensura.operators import splits as sp
@@ -203,3 +204,30 @@ def test_the_benchmark_computes_its_table_once(spark):
     options = {"families": ["forest"], "trials": 1, "folds": 2, "spaces": {"forest": {"numTrees": ("step", 2, 2, 1), "maxDepth": ("int", 2, 2)}}}
     bench.benchmark(df, {"x": ["x"]}, "y", "g", **options)
     assert seen.value == 200
+
+
+def test_the_benchmark_query_searches_the_full_spaces(spark, tmp_path, monkeypatch):
+    spark.range(60).select(
+        F.col("id").alias("p_partkey"), F.concat(F.lit("name "), F.col("id") % 7).alias("p_name"), F.concat(F.lit("Brand#"), F.col("id") % 5).alias("p_brand"),
+        (F.col("id") % 10).cast("int").alias("p_size"), (F.col("id") + 900.0).alias("p_retailprice")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(180).select(
+        (F.col("id") % 60).alias("l_partkey"), (F.col("id") % 50 + 1.0).alias("l_quantity"), (F.col("id") % 11 / 100).alias("l_discount"),
+        (F.col("id") * 37 % 1000 + 1.0).alias("l_extendedprice")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    asked = []
+
+    def search(df, family, columns, label, fold, n, folds, space, *rest):
+        asked.append((family, len(columns), n, folds, space, df.select(fold).distinct().count()))
+        params = {"forest": '{"numTrees": 2, "maxDepth": 2}', "boosted": '{"maxIter": 2, "maxDepth": 2}'}[family]
+        return spark.createDataFrame([(0, 1.0, params)], "number int, value double, params string")
+
+    monkeypatch.setattr(md, "search", search)
+    assert rows(queries()["benchmark"](spark, str(tmp_path)), "model", "n_features", "sound") == [
+        ("boosted", 21, True), ("boosted", 5, True), ("forest", 21, True), ("forest", 5, True)]
+    assert asked == [(family, width, 8, 3, md.SPACES[family], 3) for family in md.FAMILIES for width in (5, 21)]
+
+
+def test_a_forest_is_the_same_with_and_without_cached_node_ids(spark):
+    df, params = _table(spark), {"numTrees": 4, "maxDepth": 6, "featureSubsetStrategy": "sqrt"}
+    cached, plain = md.fit_forest(df, ["x", "z"], "y", params), md.fit_forest(df, ["x", "z"], "y", {**params, "cacheNodeIds": False})
+    assert cached.stages[-1].getCacheNodeIds() and not plain.stages[-1].getCacheNodeIds()
+    assert rows(md.predict(cached, df, ["x", "z"], "y")) == rows(md.predict(plain, df, ["x", "z"], "y"))
